@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # A key counts as hot above this share of the rows, so there are at most 1/share hot keys.
 HOT_SHARE = 0.01
 MAX_HOT_KEYS = int(1 / HOT_SHARE)
+SALTS = 64
 
 
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a plan (file sizes and statistics, no job)."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def broadcast_limit(df: DataFrame) -> int:
@@ -27,22 +30,34 @@ def one_per_key(right: DataFrame, keys: list[str], prefer: Column) -> DataFrame:
     return best.select(*keys, *[F.col("_row")[c].alias(c) for c in rest])
 
 
+def hot_keys(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys with more than HOT_SHARE of the rows: at most MAX_HOT_KEYS rows, whatever the data."""
+    counts = df.groupBy(*keys).agg(F.count("*").alias("_n"))
+    rows = df.agg(F.count("*")).scalar()
+    return counts.where(F.col("_n") > rows * HOT_SHARE).select(*keys)
+
+
 def lookup_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Join many rows to a table that is unique by `keys`.
 
     A right side below the session's broadcast limit is left to Catalyst, which then moves
-    no left row. Otherwise the left rows of hot keys are joined to the (at most
-    MAX_HOT_KEYS) matching right rows without a shuffle, and only the rest is shuffled.
+    no left row. Otherwise both sides are shuffled by key and salt: rows of a hot key get one
+    of SALTS salts, its single right row is repeated for each, and every other key has salt 0.
     """
     if estimated_bytes(right) <= broadcast_limit(right):
         return left.join(right, keys, how)
-    counts = left.groupBy(*keys).agg(F.count("*").alias("_n"))
-    total = counts.agg(F.sum("_n").alias("_total"))
-    hot = counts.join(F.broadcast(total), F.col("_n") > F.col("_total") * HOT_SHARE).select(*keys)
-    hot = F.broadcast(hot)
-    usual = left.join(hot, keys, "left_anti").join(right, keys, how)
-    heavy = left.join(hot, keys, "left_semi").join(F.broadcast(right.join(hot, keys, "left_semi")), keys, how)
-    return usual.unionByName(heavy)
+    return salted_join(left, right, keys, how)
+
+
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    hot = F.broadcast(hot_keys(left, keys).withColumn("_hot", F.lit(True)))
+    turn = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
+    # rows with a null key match nothing; they are spread as well
+    spread = F.col("_hot") | reduce(Column.__or__, [F.col(k).isNull() for k in keys])
+    salted = left.join(hot, keys, "left").withColumn("_salt", F.when(spread, turn).otherwise(0)).drop("_hot")
+    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    repeated = right.join(hot, keys, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
 
 
 def nearest_before(left: DataFrame, right: DataFrame, key: str, ts: str, window_seconds: int,
