@@ -6,7 +6,7 @@ import importlib
 
 from siftlake.plans.base import QUERIES
 
-_MODULES = ["schema_queries", "ledger_queries"]
+_MODULES = ["schema_queries", "ledger_queries", "report_queries", "function_queries"]
 for _name in _MODULES:
     importlib.import_module(f"siftlake.plans.{_name}")
 
