@@ -87,8 +87,8 @@ def recent_docs(values: DataFrame, date_after=None, date_before=None, entry_rege
         F.col("mtime").alias("last_write_time"), "type", mru.alias("mru_entries"), "key", "hive",
         *([] if offline else ["username", "sid"]), *lineage(values),
     )
-    return out.where(matches(F.coalesce(F.concat_ws(" ", "mru_entries"), F.lit("NULL")), entry_regex)
-                     if entry_regex != "." else F.lit(True))
+    shown = F.when(F.col("mru_entries").isNull(), "NULL").otherwise(F.concat_ws(" ", "mru_entries"))
+    return out if entry_regex == "." else out.where(matches(shown, entry_regex))
 
 
 def _rdp_user(username: Column, hive: Column) -> Column:

@@ -87,8 +87,9 @@ def short_key(name: Column) -> Column:
 
 
 def run_id(package: Column, session: Column) -> Column:
-    """Repeatable upload id, so that a re-run of the same work is recognised."""
-    return F.concat(F.lit("id"), F.substring(F.md5(F.concat_ws("|", package, session)), 1, 8))
+    """Repeatable upload id, so that a re-run of the same work is recognised. 64 bits, since
+    ids are joined on and must not collide over many runs."""
+    return F.concat(F.lit("id"), F.substring(F.md5(F.concat_ws("|", package, session)), 1, 16))
 
 
 def account_display_name(name: Column) -> Column:

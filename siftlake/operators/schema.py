@@ -124,10 +124,10 @@ def head_lines(lines: DataFrame, by: list[str], pos: str, n: int | None) -> Data
     return lines.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= n).drop("_rank")
 
 
-def first_file_types(voted: DataFrame, file: str) -> DataFrame:
+def first_file_types(voted: DataFrame, by: list[str], file: str) -> DataFrame:
     """Of per-file votes the type of the first file that has the column: files loaded one
     after the other would leave the same table."""
-    return voted.groupBy("key").agg(F.min_by("kind", file).alias("kind"))
+    return voted.groupBy(*by, "key").agg(F.min_by("kind", file).alias("kind"))
 
 
 def field_types(voted: DataFrame) -> list[FieldType]:
@@ -205,8 +205,12 @@ def merge_schema(existing: T.StructType | None, incoming: T.StructType) -> T.Str
         return incoming
     known = {f.name for f in existing.fields}
     merged = existing.fields + [f for f in incoming.fields if f.name not in known]
-    head = [f for f in merged if f.name not in LINEAGE]
-    return T.StructType(head + [f for n in LINEAGE for f in merged if f.name == n])
+    return lineage_last(T.StructType(merged))
+
+
+def lineage_last(columns: T.StructType) -> T.StructType:
+    head = [f for f in columns.fields if f.name not in LINEAGE]
+    return T.StructType(head + [f for n in LINEAGE for f in columns.fields if f.name == n])
 
 
 def new_columns(existing: T.StructType | None, incoming: T.StructType) -> list[str]:

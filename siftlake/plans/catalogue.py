@@ -6,7 +6,8 @@ import importlib
 
 from siftlake.plans.base import QUERIES
 
-_MODULES = ["schema_queries", "ledger_queries", "report_queries", "function_queries"]
+_MODULES = ["schema_queries", "ledger_queries", "report_queries", "function_queries", "artifact_queries",
+            "stream_queries", "io_queries"]
 for _name in _MODULES:
     importlib.import_module(f"siftlake.plans.{_name}")
 

@@ -148,7 +148,7 @@ def schema_merge_union(spark, sf):
 @query("PRJ-01 SCH-05 FN-08", """
  SELECT event_id, event_type, concat('host-', user_id) AS src_host,
    concat('pkg-', event_id % 97, '.zip') AS src_package,
-   concat('id', substr(md5(concat('pkg-', event_id % 97, '.zip', '|', 's-1')), 1, 8)) AS src_upload FROM events""")
+   concat('id', substr(md5(concat('pkg-', event_id % 97, '.zip', '|', 's-1')), 1, 16)) AS src_upload FROM events""")
 def lineage_tagging(spark, sf):
     rec = table(spark, sf, "events").select(F.lit("spoofed").alias("src_host"), "event_id", "event_type", "user_id")
     package = F.concat(F.lit("pkg-"), F.col("event_id") % 97, F.lit(".zip"))

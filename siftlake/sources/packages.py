@@ -215,10 +215,24 @@ def member_inventory(packages: DataFrame, tasks: int | None = None) -> DataFrame
     return rows.mapInPandas(_inventory, MEMBER_SCHEMA)
 
 
-def member_lines(members: DataFrame, tasks: int | None = None) -> DataFrame:
-    """Lines of the listed members. Work is spread by member, not by package."""
-    rows = members.where("member is not null").select("package", "member")
-    return _spread(rows, tasks, "package", "member").mapInPandas(_lines_of_members, LINE_SCHEMA)
+def member_lines(members: DataFrame, tasks: int | None = None, target_bytes: int = 1 << 30) -> DataFrame:
+    """Lines of the listed members. Work is spread by member, not by package.
+
+    When the members carry a `table_name`, a task reads members of one table as far as
+    possible, each table getting tasks by its bytes, so that landing the lines by table
+    writes few files without shuffling them.
+    """
+    rows = members.where("member is not null")
+    if "table_name" not in rows.columns:
+        return _spread(rows.select("package", "member"), tasks, "package", "member").mapInPandas(
+            _lines_of_members, LINE_SCHEMA)
+    shares = rows.groupBy("table_name").agg(F.ceil(F.sum("size") / target_bytes).alias("_share"))
+    shares = F.broadcast(shares)  # one row per artifact type
+    share = F.greatest(F.col("_share"), F.lit(1)).cast("bigint")
+    slot = F.pmod(F.xxhash64("package", "member"), share)
+    placed = rows.join(shares, "table_name").select("package", "member", "table_name", slot.alias("_slot"))
+    spread = _spread(placed, tasks, "table_name", "_slot").select("package", "member")
+    return spread.mapInPandas(_lines_of_members, LINE_SCHEMA)
 
 
 def package_lines(packages: DataFrame, tasks: int | None = None) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql import types as T
 from siftlake.functions import paths
 from siftlake.operators import ledger, schema
 from siftlake.operators.schema import FieldType
+from siftlake.operators.skew import lookup_join
 from siftlake.sources import records
 
 CATALOG_SCHEMA = "table_name string, column_name string, column_type string, position int, version bigint"
@@ -49,61 +51,56 @@ class ArtifactTables:
         path = f"{self.root}/_catalog"
         return self.spark.read.schema(CATALOG_SCHEMA).parquet(path) if _exists(self.spark, path) else None
 
-    def columns(self, table: str) -> T.StructType | None:
-        """Current columns of a table, or None when it does not exist."""
+    def all_columns(self) -> dict[str, T.StructType]:
+        """Current columns of every table. One small job over the catalog, whose rows are
+        columns, not records."""
         catalog = self._catalog()
         if catalog is None:
-            return None
+            return {}
         first = F.struct("version", "position")
         rows = (
-            catalog.where(F.col("table_name") == table)
-            .groupBy("column_name")
+            catalog.groupBy("table_name", "column_name")
             .agg(F.min_by("column_type", first).alias("column_type"), F.min(first).alias("_at"))
-            .orderBy("_at")
-            .collect()  # the columns of one table
+            .orderBy("table_name", "_at")
+            .collect()
         )
-        if not rows:
-            return None
-        fields = [T.StructField(r["column_name"], T.StructType.fromDDL(f"x {r['column_type']}")["x"].dataType)
-                  for r in rows]
-        return T.StructType([f for f in fields if f.name not in records.LINEAGE]
-                            + [f for n in records.LINEAGE for f in fields if f.name == n])
-
-    def evolve(self, table: str, incoming: T.StructType) -> T.StructType:
-        """Create the table or add its new columns; existing types stay."""
-        existing = self.columns(table)
-        merged = schema.merge_schema(existing, incoming)
-        added = schema.new_columns(existing, incoming)
-        if added:
-            version = time.time_ns()
-            by_name = {f.name: f for f in merged.fields}
-            rows = [(table, n, by_name[n].dataType.simpleString(), merged.names.index(n), version) for n in added]
-            self.spark.createDataFrame(rows, CATALOG_SCHEMA).coalesce(1).write.mode("append").parquet(
-                f"{self.root}/_catalog")
+        tables: dict[str, list[T.StructField]] = {}
+        for r in rows:
+            kind = T.StructType.fromDDL(f"x {r['column_type']}")["x"].dataType
+            tables.setdefault(r["table_name"], []).append(T.StructField(r["column_name"], kind))
+        return {name: schema.lineage_last(T.StructType(fields)) for name, fields in tables.items()}
+
+    def columns(self, table: str) -> T.StructType | None:
+        """Current columns of a table, or None when it does not exist."""
+        return self.all_columns().get(table)
+
+    def evolve(self, incoming: dict[str, T.StructType]) -> dict[str, T.StructType]:
+        """Create tables or add their new columns; existing types stay. One append for all."""
+        existing = self.all_columns()
+        version, rows, merged = time.time_ns(), [], {}
+        for table, columns in incoming.items():
+            merged[table] = schema.merge_schema(existing.get(table), columns)
+            kinds = {f.name: f.dataType.simpleString() for f in merged[table].fields}
+            added = schema.new_columns(existing.get(table), columns)
+            rows += [(table, n, kinds[n], merged[table].names.index(n), version) for n in added]
+        if rows:
+            new = self.spark.createDataFrame(rows, CATALOG_SCHEMA).coalesce(1)
+            new.write.mode("append").parquet(f"{self.root}/_catalog")
         return merged
 
-    def append(self, df: DataFrame, table: str) -> tuple:
+    def append(self, df: DataFrame, table: str, target: T.StructType | None = None) -> tuple:
         """Append typed rows; returns (table, rows, initiated, duration, error). A failure is
         a result, not an exception, so other tables go on."""
         started = time.time()
         try:
-            target = self.evolve(table, df.schema)
+            target = target or self.evolve({table: df.schema})[table]
             seen = Observation()
-            schema.conform(df, target).observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("append").parquet(
-                self.path(table))
+            counted = schema.conform(df, target).observe(seen, F.count(F.lit(1)).alias("rows"))
+            counted.write.mode("append").parquet(self.path(table))
             return table, int(seen.get["rows"]), True, time.time() - started, None
         except Exception as exc:
             return table, None, False, time.time() - started, f"{type(exc).__name__}: {exc}".splitlines()[0]
 
-    def append_records(self, parsed: DataFrame, table: str, voted: list[FieldType], host: Column,
-                       package: Column, upload: Column) -> tuple:
-        """Type VARIANT records by the voted schema, add lineage and append."""
-        typed = parsed.where("record is not null").select(
-            *[c for c in schema.typed_columns(F.col("record"), voted)],
-            host.alias("_h"), package.alias("_p"), upload.alias("_u"))
-        tagged = records.with_lineage(typed, F.col("_h"), F.col("_p"), F.col("_u")).drop("_h", "_p", "_u")
-        return self.append(tagged, table)
-
     def read(self, table: str) -> DataFrame:
         current = self.columns(table)
         if current is None:
@@ -114,23 +111,42 @@ class ArtifactTables:
         return self.spark.createDataFrame(outcomes, UPLOAD_RESULT)
 
 
-def ingest(lines: DataFrame, tables: ArtifactTables, raw_path: str, sample: int | None = 1000) -> DataFrame:
-    """Lines (table_name, file, pos, line, host, package, upload) to artifact tables.
+def typed_records(parsed: DataFrame, voted: list[FieldType], host: Column, package: Column,
+                  upload: Column) -> DataFrame:
+    """VARIANT records as the voted columns, lineage last."""
+    own = [f for f in voted if f.name not in records.LINEAGE]
+    return parsed.where("record is not null").select(
+        *schema.typed_columns(F.col("record"), own),
+        host.alias(records.LINEAGE[0]), package.alias(records.LINEAGE[1]), upload.alias(records.LINEAGE[2]))
 
-    Lines are landed once, partitioned by table, so that each table's vote and load read
-    only their own partition. The loop runs over the artifact types, never over packages.
+
+def ingest(lines: DataFrame, tables: ArtifactTables, raw_path: str, sample: int | None = 1000,
+           parallel: int = 4) -> DataFrame:
+    """Lines (table_name, file, pos, line, host, package, upload) to artifact tables; returns
+    one outcome row per table.
+
+    Lines are landed once, partitioned by table, so that each load reads only its own
+    partition. One job votes on the columns of all tables; as when files are loaded one by
+    one, the first file that has a column gives its type. The loop is over artifact types,
+    never over packages.
     """
     spark = lines.sparkSession
     records.record_lines(lines).write.mode("overwrite").partitionBy("table_name").parquet(raw_path)
-    landed = spark.read.parquet(raw_path)
-    names = [r[0] for r in landed.select("table_name").distinct().collect()]
-    outcomes = []
-    for name in sorted(names):
-        parsed = records.parsed(landed.where(F.col("table_name") == name))
-        voted = schema.field_types(schema.first_file_types(
-            schema.vote(schema.head_lines(parsed, ["file"], "pos", sample), ["file"], "pos", sample), "file"))
-        outcomes.append(tables.append_records(parsed, name, voted, F.col("host"), F.col("package"), F.col("upload")))
-    return tables.results(outcomes)
+    landed = records.parsed(spark.read.schema(lines.schema).parquet(raw_path))
+    head = schema.head_lines(landed, ["table_name", "file"], "pos", sample)
+    per_file = schema.vote(head, ["table_name", "file"], "pos", sample)
+    voted: dict[str, list[FieldType]] = {}
+    for row in schema.first_file_types(per_file, ["table_name"], "file").orderBy("table_name", "key").collect():
+        voted.setdefault(row["table_name"], []).append(FieldType(row["key"], row["kind"]))
+    targets = tables.evolve({name: schema.struct_of(fields) for name, fields in voted.items()})
+
+    def load(name: str) -> tuple:
+        own = landed.where(F.col("table_name") == name)
+        typed = typed_records(own, voted[name], F.col("host"), F.col("package"), F.col("upload"))
+        return tables.append(typed, name, targets[name])
+
+    with ThreadPoolExecutor(parallel) as pool:  # loads of different tables are independent jobs
+        return tables.results(list(pool.map(load, voted)))
 
 
 # --- ledgers, snapshots, exports ------------------------------------------------------------
@@ -151,12 +167,17 @@ def snapshot_documents(df: DataFrame, section: str, upload_id: str = "uploadid")
     return df.select(F.col(upload_id).alias("upload_id"), F.lit(section).alias("section"), body.alias("document"))
 
 
-def write_snapshots(documents: DataFrame, path: str) -> None:
-    """Replace the snapshots of the upload ids in `documents`, keep all others."""
-    (
-        documents.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy("upload_id").json(path)
-    )
+def write_snapshots(documents: DataFrame, path: str, version: int) -> None:
+    """Append a new version of the snapshots of the upload ids in `documents`. One folder per
+    id would give millions of small files, so the newest version of an id counts instead."""
+    documents.withColumn("version", F.lit(version).cast("bigint")).write.mode("append").json(path)
+
+
+def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
+    """The newest snapshot of every upload id."""
+    stored = spark.read.schema("upload_id string, section string, document string, version bigint").json(path)
+    newest = stored.groupBy("upload_id").agg(F.max("version").alias("version"))
+    return lookup_join(stored, newest, ["upload_id", "version"], "inner").drop("version")
 
 
 def append_csv(df: DataFrame, path: str) -> None:
