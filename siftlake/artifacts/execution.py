@@ -63,7 +63,7 @@ def bam(values: DataFrame, users: DataFrame, user_regex=".") -> DataFrame:
 def user_assist(values: DataFrame, user_filter="", execution_time_after=None) -> DataFrame:
     """Programs started from the shell: decoded name, run count and last run, in time order."""
     encoded = F.regexp_extract("key_path", r'^.+Count\\"?(.+?)"?$', 1)
-    last = binary.filetime(binary.uint64(F.col("value"), 60))
+    last = binary.filetime(binary.int64(F.col("value"), 60))
     out = values.select(
         "key_path",
         F.when(encoded != "", binary.rot13(encoded)).otherwise(F.col("key_path")).alias("name"),

@@ -33,7 +33,7 @@ SYSTEM_HIVES = ["DEFAULT", "SAM", "SECURITY", "SOFTWARE", "SYSTEM"]
 
 def account_f(f: Column) -> Column:
     return F.struct(
-        *[binary.filetime(binary.uint64(f, at)).alias(name) for name, at in F_TIMES.items()],
+        *[binary.filetime(binary.int64(f, at)).alias(name) for name, at in F_TIMES.items()],
         binary.uint32(f, F_RID).alias("rid"),
         binary.flag_names(binary.uint16(f, F_FLAGS), FLAG_NAMES).alias("flags"),
         binary.uint16(f, F_FAILED_LOGINS).alias("failed_logins"),

@@ -22,11 +22,16 @@ def slice_bytes(blob: Column, offset: Column | int, length: Column | int) -> Col
     return F.substring(blob, _offset(offset), length)
 
 
+def _swapped(blob: Column, offset: Column | int, width: int) -> Column:
+    """Hex digits of `width` bytes, last byte first; empty when the blob is too short."""
+    groups = "(..)" * width
+    back = "".join(f"${i}" for i in range(width, 0, -1))
+    return F.regexp_replace(F.hex(slice_bytes(blob, offset, width)), f"^(?:{groups}|.*)$", back)
+
+
 def uint_le(blob: Column, offset: Column | int, width: int) -> Column:
     """Unsigned integer of 1, 2 or 4 bytes as BIGINT; null when the blob is too short."""
-    h = F.hex(slice_bytes(blob, offset, width))
-    pairs = [F.substring(h, 2 * i + 1, 2) for i in reversed(range(width))]
-    return F.when(F.length(h) == 2 * width, F.conv(F.concat(*pairs), 16, 10).cast("bigint"))
+    return F.conv(_swapped(blob, offset, width), 16, 10).cast("bigint")
 
 
 def uint16(blob: Column, offset: Column | int = 0) -> Column:
@@ -38,21 +43,19 @@ def uint32(blob: Column, offset: Column | int = 0) -> Column:
 
 
 def int64(blob: Column, offset: int = 0) -> Column:
-    high = uint_le(blob, offset + 4, 4)
-    return F.when(high >= 2147483648, high - WORD).otherwise(high) * WORD + uint_le(blob, offset, 4)
+    # a negative target base makes conv read the digits as two's complement
+    return F.conv(_swapped(blob, offset, 8), 16, -10).cast("bigint")
 
 
 def uint64(blob: Column, offset: int = 0) -> Column:
     """Unsigned 64-bit value as DECIMAL(20,0)."""
-    big = lambda c: c.cast("decimal(20,0)")
-    return (big(uint_le(blob, offset + 4, 4)) * F.lit(WORD).cast("decimal(20,0)") + big(uint_le(blob, offset, 4))).cast(
-        "decimal(20,0)"
-    )
+    return F.conv(_swapped(blob, offset, 8), 16, 10).cast("decimal(20,0)")
 
 
 def filetime(ticks: Column) -> Column:
-    """Windows file time (100 ns since 1601) as a timestamp."""
-    return F.timestamp_micros(F.floor((ticks.cast("decimal(20,0)") - FILETIME_UNIX_TICKS) / F.lit(10)).cast("bigint"))
+    """Windows file time (BIGINT, 100 ns since 1601) as a timestamp, rounded down to micros."""
+    shifted = ticks - FILETIME_UNIX_TICKS
+    return F.timestamp_micros(F.call_function("div", shifted - F.pmod(shifted, F.lit(10)), F.lit(10)))
 
 
 def filetime_words(high: Column, low: Column) -> Column:
@@ -105,8 +108,9 @@ def rot13(text: Column) -> Column:
 
 
 def pack_le(value: Column, width: int) -> Column:
-    h = F.lpad(F.hex(value.cast("bigint")), 2 * width, "0")
-    return F.unhex(F.concat(*[F.substring(h, 2 * width - 2 * i - 1, 2) for i in range(width)]))
+    digits = F.lpad(F.hex(value.cast("bigint")), 2 * width, "0")
+    back = "".join(f"${i}" for i in range(width, 0, -1))
+    return F.unhex(F.regexp_replace(digits, "(..)" * width, back))
 
 
 def pack_utf16(text: Column) -> Column:

@@ -45,7 +45,7 @@ def size_text_short(size: Column, units: int = 5) -> Column:
 
 
 def _div(value: Column, by: int) -> Column:
-    return ((value - value % by) / by).cast("bigint")
+    return F.call_function("div", value, F.lit(by))
 
 
 def duration_hms(seconds: Column) -> Column:

@@ -21,17 +21,17 @@ ISO_PATTERN = (
 
 
 def is_iso_datetime(value: Column) -> Column:
-    """True for text that holds a whole ISO-8601 date, with or without a time."""
-    s = F.trim(value)
-    part = lambda i: F.regexp_extract(s, ISO_PATTERN, i)
-    year = part(1)
-    month = F.concat(part(2), part(4))
-    day = F.concat(part(3), part(5))
-    week = F.concat(part(6), part(8))
-    calendar = F.try_to_date(F.concat_ws("-", year, month, day), "yyyy-MM-dd").isNotNull()
-    weeks_in_year = F.weekofyear(F.try_to_date(F.concat(year, F.lit("-12-28")), "yyyy-MM-dd"))
-    in_week = week.try_cast("int").between(1, 53) & (week.try_cast("int") <= weeks_in_year)
-    return s.rlike(ISO_PATTERN) & (year != "0000") & F.when(week != "", in_week).otherwise(calendar)
+    """True for text that holds a whole ISO-8601 date, with or without a time. The pattern
+    fixes the places of the parts, so only matching text is cut up and checked as a date."""
+    s = F.btrim(value, F.lit(" \t\n\r\f\x0b"))
+    year, extended = F.substring(s, 1, 4), F.substring(s, 5, 1) == "-"
+    date = F.when(extended, F.substring(s, 1, 10)).otherwise(
+        F.concat_ws("-", year, F.substring(s, 5, 2), F.substring(s, 7, 2)))
+    week = F.regexp_extract(s, r"^[0-9]{4}-?W([0-9]{2})", 1).try_cast("int")
+    weeks_in_year = F.weekofyear(F.concat(year, F.lit("-12-28")).try_cast("date"))
+    valid = F.when(F.substring(s, 5, 2).contains("W"), week.between(1, 53) & (week <= weeks_in_year)).otherwise(
+        date.try_cast("date").isNotNull())
+    return F.when(s.rlike(ISO_PATTERN), (year != "0000") & valid).otherwise(False)
 
 
 def parse_time(value: Column) -> Column:

@@ -41,24 +41,26 @@ def _float_kind(number: Column) -> Column:
     return F.when(number.between(EPOCH_MIN, EPOCH_MAX), "datetime").otherwise("real")
 
 
-def classify_variant(value: Column) -> Column:
-    """Type of one JSON value, null for JSON null. The token decides: `1` is long, `1.5`
-    is real, and only non-integers are tested as an epoch."""
-    token = F.schema_of_variant(value)
-    number = F.try_variant_get(value, "$", "double")
-    text = F.try_variant_get(value, "$", "string")
+def classify(df: DataFrame, value: str, kind: str = "kind") -> DataFrame:
+    """Adds the type of a JSON value, null for JSON null. The token decides: `1` is long,
+    `1.5` is real, and only non-integers are tested as an epoch."""
+    # a projection of its own: Catalyst keeps it apart because every rule below reads it
+    tokens = df.withColumn("_token", F.schema_of_variant(value))
+    token, v = F.col("_token"), F.col(value)
     big_int = token.rlike(r"^DECIMAL\((19|[23][0-9]),0\)$")
-    return (
+    rule = (
         F.when(token.isNull() | (token == "VOID"), F.lit(None).cast("string"))
         .when(token == "BIGINT", "long")
-        .when(token == "STRING", F.when(times.is_iso_datetime(text), "datetime").otherwise("string"))
+        .when(token == "STRING", F.when(times.is_iso_datetime(F.try_variant_get(v, "$", "string")), "datetime")
+              .otherwise("string"))
         .when(token == "BOOLEAN", "bool")
         .when(token.startswith("OBJECT<") | token.startswith("ARRAY<"), "dynamic")
         .when(big_int, "long")
-        .when(token.rlike("^(DECIMAL|DOUBLE|FLOAT)"), _float_kind(number))
+        .when(token.rlike("^(DECIMAL|DOUBLE|FLOAT)"), _float_kind(F.try_variant_get(v, "$", "double")))
         .when(token.rlike("^(TIMESTAMP|DATE)"), "datetime")
         .otherwise("string")
     )
+    return tokens.withColumn(kind, rule).drop("_token")
 
 
 def classify_text(value: Column) -> Column:
@@ -108,7 +110,7 @@ def majority(classified: DataFrame, by: list[str], pos: str, kind: str = "kind")
 def vote(records: DataFrame, by: list[str], pos: str = "pos", sample: int | None = 100) -> DataFrame:
     """(by..., key, kind, votes, samples) from VARIANT records; `sample=None` votes over
     every value."""
-    classified = fields(records, *by, pos).select(*by, pos, "key", classify_variant(F.col("value")).alias("kind"))
+    classified = classify(fields(records, *by, pos), "value").drop("value")
     keys = [*by, "key"]
     if sample is not None:
         classified = first_values(classified, keys, pos, sample)

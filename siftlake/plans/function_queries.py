@@ -21,7 +21,7 @@ def filetime_decode(spark, sf):
     b = F.col("blob")
     words = binary.filetime_words(binary.uint32(b, 8), binary.uint32(b, 4))
     out = raw.select(
-        "event_id", binary.filetime(binary.uint64(b, 4)).alias("ts"), words.alias("ts_words"),
+        "event_id", binary.filetime(binary.int64(b, 4)).alias("ts"), words.alias("ts_words"),
         binary.uint16(b, 12).alias("low16"), binary.uint32(b, 12).alias("u32"), binary.int64(b, 16).alias("i64"))
     return out.select("event_id", stamp("ts"), stamp("ts_words"), "low16", "u32", "i64")
 
@@ -196,7 +196,8 @@ def nested_objects(spark, sf):
 def number_lists(spark, sf):
     blob = F.concat(binary.pack_le(F.col("user_id"), 4), F.lit(b"\xff\xff\xff\xff"),
                     binary.pack_le(F.col("event_id"), 4), F.lit(b"\xff\xff\xff\xff"))
-    rows = REC.df(spark, sf).select("event_id", binary.uint32_list(blob, drop=4294967295).alias("n"))
+    blobs = REC.df(spark, sf).select("event_id", blob.alias("b"))
+    rows = blobs.select("event_id", binary.uint32_list(F.col("b"), drop=4294967295).alias("n"))
     entries = F.transform("n", lambda v: F.when(v == 3, F.lit("")).otherwise(F.concat(F.lit("v"), v.cast("string"))))
     return rows.select("event_id", F.concat_ws(",", F.transform("n", lambda v: v.cast("string"))).alias("numbers"),
                        documents.null_if_first_empty(entries)[0].alias("first_entry"))

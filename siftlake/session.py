@@ -45,5 +45,10 @@ def scratch_path(spark: SparkSession, purpose: str) -> str:
     return f"{checkpoint_base(spark).rstrip('/')}/siftlake/{purpose}-{uuid.uuid4().hex}"
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
 def bench_cpus(default: int = 8) -> int:
     return int(os.environ.get("BENCH_CPUS", default))

@@ -13,17 +13,13 @@ from siftlake.functions import paths
 from siftlake.operators import ledger, schema
 from siftlake.operators.schema import FieldType
 from siftlake.operators.skew import lookup_join
+from siftlake.session import path_exists
 from siftlake.sources import records
 
 CATALOG_SCHEMA = "table_name string, column_name string, column_type string, position int, version bigint"
 UPLOAD_RESULT = "table_name string, rows bigint, initiated boolean, duration_in_sec double, error string"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)
-
-
 class ArtifactTables:
     """One append-only Parquet table per artifact below `root`.
 
@@ -49,7 +45,7 @@ class ArtifactTables:
 
     def _catalog(self) -> DataFrame | None:
         path = f"{self.root}/_catalog"
-        return self.spark.read.schema(CATALOG_SCHEMA).parquet(path) if _exists(self.spark, path) else None
+        return self.spark.read.schema(CATALOG_SCHEMA).parquet(path) if path_exists(self.spark, path) else None
 
     def all_columns(self) -> dict[str, T.StructType]:
         """Current columns of every table. One small job over the catalog, whose rows are

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from siftlake.operators import ledger
+from siftlake.session import path_exists
 
 MINUTE = "1 minute"
 
@@ -45,12 +46,9 @@ def batch_folder(path: str, batch_id: int) -> str:
 
 def read_batches(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """All batch folders of a path; no folders yet means no rows."""
-    try:
-        return spark.read.schema(f"{schema}, batch bigint").option("basePath", path).parquet(path)
-    except Exception as exc:  # the path does not exist before the first batch
-        if "PATH_NOT_FOUND" not in str(exc):
-            raise
+    if not path_exists(spark, path):
         return spark.createDataFrame([], f"{schema}, batch bigint")
+    return spark.read.schema(f"{schema}, batch bigint").option("basePath", path).parquet(path)
 
 
 ENTRY = ("package string, row_key string, upload_id string, status string, session string, source string, "
