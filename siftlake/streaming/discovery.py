@@ -16,11 +16,12 @@ from siftlake.operators import ledger
 from siftlake.session import path_exists
 
 MINUTE = "1 minute"
+FILE = "path string, modificationTime timestamp, length bigint, content binary"
 
 
 def listing_stream(spark: SparkSession, path: str, source: str) -> DataFrame:
     """New `*.zip` files below a path; their content is not read."""
-    files = spark.readStream.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.zip")
+    files = spark.readStream.format("binaryFile").schema(FILE).option("recursiveFileLookup", True).option("pathGlobFilter", "*.zip")
     return files.load(path).select(
         F.col("path").alias("package"), F.col("length").alias("size"), F.lit(source).alias("source"))
 
