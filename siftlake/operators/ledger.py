@@ -57,10 +57,11 @@ ENTRY_COLUMNS = ["package", "row_key", "upload_id", "status", "session", "source
                  "updated_at", "started_at", "host", "size"]
 
 
-def shaped(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """Rows of a ledger with every field present; fields not given are null."""
+def shaped(df: DataFrame, schema: T.StructType, lead: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of a ledger with every field present, after the `lead` columns; fields not given
+    are null."""
     have = set(df.columns)
-    return df.select(*[
+    return df.select(*lead, *[
         (F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields
     ])
 

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftlake.operators.numbering import BLOCK, running_sum
+from siftlake.session import ensure_checkpoint_dir
 
 FAN_IN = 64
 _NODE = "file string, node bigint, total bigint, bounds binary, rooms binary, cuts binary"
@@ -134,6 +135,9 @@ def greedy_parts(lines: DataFrame, target: int, max_file_blocks: int, block: int
     rows = rows.withColumn("node", F.floor(F.col("line_no") / block).cast("bigint"))
     levels = [rows.groupBy("file", "node").applyInPandas(_summaries(target), _NODE)]
     nodes = max_file_blocks
+    if nodes > fan_in:  # the summaries are read twice below: cut, so that sizes are read once
+        ensure_checkpoint_dir(lines.sparkSession)
+        levels[0] = levels[0].checkpoint()
     while nodes > fan_in:
         parent = F.floor(F.col("node") / fan_in).cast("bigint").alias("node")
         levels.append(levels[-1].groupBy("file", parent).applyInPandas(_combined(target), _NODE))

@@ -146,22 +146,26 @@ def _short_sql(n: str) -> str:
             f"WHEN {n} < 1073741824 THEN {unit(2, 'MB')} ELSE {unit(3, 'GB')} END")
 
 
+def _report_sql(n: str) -> str:
+    return (f"CASE WHEN {n} < 1024 THEN concat({n}, ' B') WHEN {n} < 1048576 THEN printf('%.2f KB', {n} / 1024.0::double) "
+            f"WHEN {n} < 1073741824 THEN printf('%.2f MB', {n} / 1048576.0::double) "
+            f"ELSE printf('%.2f GB', {n} / 1073741824.0::double) END")
+
+
 @query("FN-03 FN-04 FN-05", f"""
- SELECT package, {_short_sql('size')} AS short_size,
-   CASE WHEN size < 1048576 THEN printf('%.2f KB', size / 1024.0::double) ELSE printf('%.2f MB', size / 1048576.0::double) END AS report_size,
+ SELECT package, {_short_sql('size')} AS short_size, {_report_sql('size')} AS report_size,
    concat(size // 3600000000, 'h ', size // 60000000 % 60, 'm ', size // 1000000 % 60, 's') AS hms,
    concat(size // 60000000, 'm ', size // 1000000 % 60, 's') AS ms,
    concat(size // 60000000, ':', lpad(cast(size // 1000000 % 60 AS varchar), 2, '0')) AS clock,
-   concat(cast(round(cast(size AS decimal(20,2)) / 1000, 2) AS decimal(18,2)), ' seconds') AS seconds
- FROM {PKG.sql} WHERE size >= 1024 AND size % 10 = 0""")
+   concat(cast(cast(size AS decimal(20,2)) / 100 AS decimal(18,2)), ' seconds') AS seconds
+ FROM {PKG.sql}""")
 def display_texts(spark, sf):
     size = F.col("size")
     secs = size / 1_000_000
-    rows = PKG.df(spark, sf).where((size >= 1024) & (size % 10 == 0))
-    return rows.select("package", text.size_text_short(size).alias("short_size"),
-                       text.size_text(size).alias("report_size"), text.duration_hms(secs).alias("hms"),
-                       text.duration_ms(secs).alias("ms"), text.duration_clock(secs).alias("clock"),
-                       text.seconds_text(size / 1000).alias("seconds"))
+    return PKG.df(spark, sf).select(
+        "package", text.size_text_short(size).alias("short_size"), text.size_text(size).alias("report_size"),
+        text.duration_hms(secs).alias("hms"), text.duration_ms(secs).alias("ms"),
+        text.duration_clock(secs).alias("clock"), text.seconds_text(size / 100).alias("seconds"))
 
 
 @query("FN-07", f"""

@@ -124,7 +124,7 @@ def ordered_dedup(spark, sf):
     calls = table(spark, sf, "events").select(
         paths.artifact_call_name(F.concat("event_type", F.lit("(key='a')"))).alias("name"), "event_id")
     # one document per table, its two lists unfolded to rows
-    lists = table(spark, sf, "region").where("r_regionkey = 0").select(
+    lists = table(spark, sf, "region").select(
         F.lit('{"default": ["click()", "view(x=1)", "click()"], "skip": ["view()"]}').alias("doc"))
     listed = documents.artifact_list(lists, "doc").select(paths.artifact_call_name(F.col("call")).alias("name"))
     first = reports.first_seen(calls, "name", "event_id")

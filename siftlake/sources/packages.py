@@ -143,18 +143,24 @@ def _member_lines(package: str, archive: zipfile.ZipFile, members: list[str]) ->
         yield pd.DataFrame(rows, columns=names)
 
 
-def _lines_of_members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for package, part in batch.groupby("package", sort=False):
-            try:
-                with _open_archive(package, None) as outer:
-                    archive, _ = _resolve_nested(outer)
-                    yield from _member_lines(package, archive, list(part["member"]))
-            except Exception as exc:
-                yield pd.DataFrame(
-                    [(package, m, None, None, f"{type(exc).__name__}: {exc}") for m in part["member"]],
-                    columns=["package", "member", "line_no", "line", "error"],
-                )
+def _lines_of_members(carry: list[str]):
+    """Columns named in `carry` are the same for all lines of a member and travel along."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for package, part in batch.groupby("package", sort=False):
+                try:
+                    with _open_archive(package, None) as outer:
+                        archive, _ = _resolve_nested(outer)
+                        for row in part.itertuples(index=False):
+                            for lines in _member_lines(package, archive, [row.member]):
+                                yield lines.assign(**{c: getattr(row, c) for c in carry})
+                except Exception as exc:
+                    failed = part[["package", "member", *carry]].assign(
+                        line_no=None, line=None, error=f"{type(exc).__name__}: {exc}")
+                    yield failed[["package", "member", "line_no", "line", "error", *carry]]
+
+    return read
 
 
 def _lines_of_packages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -215,24 +221,29 @@ def member_inventory(packages: DataFrame, tasks: int | None = None) -> DataFrame
     return rows.mapInPandas(_inventory, MEMBER_SCHEMA)
 
 
-def member_lines(members: DataFrame, tasks: int | None = None, target_bytes: int = 1 << 30) -> DataFrame:
-    """Lines of the listed members. Work is spread by member, not by package.
+def member_lines(members: DataFrame, tasks: int | None = None, carry: tuple[str, ...] = (),
+                 target_bytes: int = 1 << 30) -> DataFrame:
+    """Lines of the listed members, with the text columns of `carry` (host, upload id, ...)
+    repeated on each line. They are joined to members, so lines are never shuffled for it.
+    Work is spread by member, not by package.
 
     When the members carry a `table_name`, a task reads members of one table as far as
     possible, each table getting tasks by its bytes, so that landing the lines by table
-    writes few files without shuffling them.
+    writes few files.
     """
-    rows = members.where("member is not null")
-    if "table_name" not in rows.columns:
-        return _spread(rows.select("package", "member"), tasks, "package", "member").mapInPandas(
-            _lines_of_members, LINE_SCHEMA)
-    shares = rows.groupBy("table_name").agg(F.ceil(F.sum("size") / target_bytes).alias("_share"))
-    shares = F.broadcast(shares)  # one row per artifact type
-    share = F.greatest(F.col("_share"), F.lit(1)).cast("bigint")
-    slot = F.pmod(F.xxhash64("package", "member"), share)
-    placed = rows.join(shares, "table_name").select("package", "member", "table_name", slot.alias("_slot"))
-    spread = _spread(placed, tasks, "table_name", "_slot").select("package", "member")
-    return spread.mapInPandas(_lines_of_members, LINE_SCHEMA)
+    rows = members.where("member is not null").select(
+        "package", "member", *(["size"] if "size" in members.columns else []), *carry)
+    schema = LINE_SCHEMA + "".join(f", {c} string" for c in carry)
+    if "table_name" in carry and "size" in rows.columns:
+        shares = rows.groupBy("table_name").agg(F.ceil(F.sum("size") / target_bytes).alias("_share"))
+        shares = F.broadcast(shares)  # one row per artifact type
+        share = F.greatest(F.col("_share"), F.lit(1)).cast("bigint")
+        slot = F.pmod(F.xxhash64("package", "member"), share)
+        placed = rows.join(shares, "table_name").withColumn("_slot", slot)
+        spread = _spread(placed, tasks, "table_name", "_slot")
+    else:
+        spread = _spread(rows, tasks, "package", "member")
+    return spread.select("package", "member", *carry).mapInPandas(_lines_of_members(list(carry)), schema)
 
 
 def package_lines(packages: DataFrame, tasks: int | None = None) -> DataFrame:

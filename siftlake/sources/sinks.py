@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -84,15 +85,17 @@ class ArtifactTables:
             new.write.mode("append").parquet(f"{self.root}/_catalog")
         return merged
 
-    def append(self, df: DataFrame, table: str, target: T.StructType | None = None) -> tuple:
-        """Append typed rows; returns (table, rows, initiated, duration, error). A failure is
-        a result, not an exception, so other tables go on."""
+    def append(self, df: DataFrame, table: str, target: T.StructType | None = None,
+               run: str | None = None) -> tuple:
+        """Add typed rows; returns (table, rows, initiated, duration, error). A failure is a
+        result, not an exception, so other tables go on. Each run has its own folder, and
+        loading a run again replaces what it had written."""
         started = time.time()
         try:
             target = target or self.evolve({table: df.schema})[table]
             seen = Observation()
             counted = schema.conform(df, target).observe(seen, F.count(F.lit(1)).alias("rows"))
-            counted.write.mode("append").parquet(self.path(table))
+            counted.write.mode("overwrite").parquet(f"{self.path(table)}/run={run or uuid.uuid4().hex}")
             return table, int(seen.get["rows"]), True, time.time() - started, None
         except Exception as exc:
             return table, None, False, time.time() - started, f"{type(exc).__name__}: {exc}".splitlines()[0]
@@ -101,7 +104,8 @@ class ArtifactTables:
         current = self.columns(table)
         if current is None:
             raise ValueError(f"no table {table}")
-        return self.spark.read.schema(current).parquet(self.path(table))
+        rows = self.spark.read.schema(current).option("basePath", self.path(table)).parquet(self.path(table))
+        return rows.select(*[F.col(f"`{n}`") for n in current.names])
 
     def results(self, outcomes: list[tuple]) -> DataFrame:
         return self.spark.createDataFrame(outcomes, UPLOAD_RESULT)
@@ -117,7 +121,7 @@ def typed_records(parsed: DataFrame, voted: list[FieldType], host: Column, packa
 
 
 def ingest(lines: DataFrame, tables: ArtifactTables, raw_path: str, sample: int | None = 1000,
-           parallel: int = 4) -> DataFrame:
+           parallel: int = 4, run: str | None = None) -> DataFrame:
     """Lines (table_name, file, pos, line, host, package, upload) to artifact tables; returns
     one outcome row per table.
 
@@ -127,8 +131,11 @@ def ingest(lines: DataFrame, tables: ArtifactTables, raw_path: str, sample: int
     never over packages.
     """
     spark = lines.sparkSession
-    records.record_lines(lines).write.mode("overwrite").partitionBy("table_name").parquet(raw_path)
-    landed = records.parsed(spark.read.schema(lines.schema).parquet(raw_path))
+    held = F.trim("line") != ""
+    if "error" in lines.columns:  # members that could not be read stay visible in the landed rows
+        held = held | F.col("error").isNotNull()
+    lines.where(held).write.mode("overwrite").partitionBy("table_name").parquet(raw_path)
+    landed = records.parsed(spark.read.schema(lines.schema).parquet(raw_path)).where("record is not null")
     head = schema.head_lines(landed, ["table_name", "file"], "pos", sample)
     per_file = schema.vote(head, ["table_name", "file"], "pos", sample)
     voted: dict[str, list[FieldType]] = {}
@@ -139,7 +146,7 @@ def ingest(lines: DataFrame, tables: ArtifactTables, raw_path: str, sample: int
     def load(name: str) -> tuple:
         own = landed.where(F.col("table_name") == name)
         typed = typed_records(own, voted[name], F.col("host"), F.col("package"), F.col("upload"))
-        return tables.append(typed, name, targets[name])
+        return tables.append(typed, name, targets[name], run)
 
     with ThreadPoolExecutor(parallel) as pool:  # loads of different tables are independent jobs
         return tables.results(list(pool.map(load, voted)))

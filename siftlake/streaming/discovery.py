@@ -16,13 +16,14 @@ from siftlake.operators import ledger
 from siftlake.session import path_exists
 
 MINUTE = "1 minute"
+MAX_KEYS = 10_000  # a batch up to this size is broadcast to the ledger
 FILE = "path string, modificationTime timestamp, length bigint, content binary"
 
 
-def listing_stream(spark: SparkSession, path: str, source: str) -> DataFrame:
+def listing_stream(spark: SparkSession, path: str, source: str, files_per_trigger: int = MAX_KEYS) -> DataFrame:
     """New `*.zip` files below a path; their content is not read."""
     files = spark.readStream.format("binaryFile").schema(FILE).option("recursiveFileLookup", True).option("pathGlobFilter", "*.zip")
-    return files.load(path).select(
+    return files.option("maxFilesPerTrigger", files_per_trigger).load(path).select(
         F.col("path").alias("package"), F.col("length").alias("size"), F.lit(source).alias("source"))
 
 
@@ -62,11 +63,16 @@ def discover(listing: DataFrame, path: str, checkpoint: str, now: Column | None
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        found = batch.dropDuplicates(["package"]).persist()
+        keys = found.select("package")
+        if found.count() <= MAX_KEYS:  # then the whole ledger is only scanned, not shuffled
+            keys = F.broadcast(keys)
         known = read_batches(spark, path, ENTRY).where(F.col("batch") != batch_id)
-        fresh = ledger.new_packages(batch.dropDuplicates(["package"]), known)
+        fresh = ledger.new_packages(found, known.join(keys, "package", "left_semi"))
         stamp = now if now is not None else F.current_timestamp()
         entries = ledger.status_entry(fresh, F.lit("new"), F.lit(None), stamp)
         entries.write.mode("overwrite").parquet(batch_folder(path, batch_id))
+        found.unpersist()
 
     return start(listing, write, checkpoint, every=every)
 
