@@ -69,14 +69,24 @@ def names() -> list[str]:
 
 
 def describe() -> list[tuple[str, str, str, str]]:
-    """(artifact, parameter, default, type) of everything registered."""
-    return [(a.name, p.name, str(p.default), p.kind) for a in _ARTIFACTS.values() for p in a.params]
+    """(artifact, parameter, default as text, type) of everything registered."""
+    return [(a.name, p.name, str(p.default or ""), p.kind) for a in _ARTIFACTS.values() for p in a.params]
 
 
 def selected(lists: dict[str, list[str]]) -> list[str]:
-    """The default calls, in order, each once; calls on the skip list are not run."""
-    skip = set(lists.get("skip", []))
-    return [c for c in dict.fromkeys(lists.get("default", [])) if c not in skip]
+    """The calls to run: the default list in order, each once. The skip list only names what
+    is known but not run by default."""
+    return list(dict.fromkeys(lists.get("default", [])))
+
+
+def add_to_list(lists: dict[str, list[str]], name: str, category: str = "default") -> dict[str, list[str]]:
+    """The lists with a new artifact, unless either list already has a call of that name."""
+    if category not in ("default", "skip"):
+        raise ValueError(f"unknown category {category}")
+    listed = {call.split("(")[0].strip() for calls in lists.values() for call in calls}
+    if name in listed:
+        return lists
+    return {**lists, category: [*lists.get(category, []), f"{name}()"]}
 
 
 def collect(spark: SparkSession, calls: list[tuple[str, dict]], tables: dict[str, DataFrame], out: str,

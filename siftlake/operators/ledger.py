@@ -137,7 +137,10 @@ def requeue(ledger: DataFrame, selected: DataFrame, updated_at: Column, key: str
 def confirm(finished: DataFrame, visible_ids: DataFrame, now: Column, timeout_minutes: int = 30) -> DataFrame:
     """Adds `confirmation` to finished entries (upload_id, updated_at): confirmed when the id
     is visible, timeout when it is older than the limit, otherwise pending. Entries without
-    a usable id are left out."""
+    a usable id, or with a final `confirmation` already, are left out."""
+    if "confirmation" in finished.columns:
+        final = F.coalesce(F.col("confirmation").isin("confirmed", "timeout"), F.lit(False))
+        finished = finished.where(~final).drop("confirmation")
     ids = visible_ids.select("upload_id").distinct().withColumn("_seen", F.lit(True))
     checked = lookup_join(finished.where(rules.safe_id(F.col("upload_id"))), ids, ["upload_id"])
     cutoff = now - F.make_dt_interval(mins=F.lit(timeout_minutes))

@@ -8,12 +8,20 @@ from pyspark.sql import functions as F
 from siftlake.functions import text
 from siftlake.operators.ledger import IN_PROGRESS
 
-MONEY = "decimal(28,2)"
+# Durations are summed as decimals, so that a total does not depend on the order of the rows.
+SECONDS = "decimal(28,9)"
+
+# Fixed value: the text of a completion message (package, artifacts, uploads).
+NOTIFICATION = "%s finished.Postprocessed %d artifacts. Upload in total %d json files."
+
+
+def seconds_sum(value: Column) -> Column:
+    return F.sum(value.cast(SECONDS))
 
 
 def total(value: Column) -> Column:
     """Sum of the non-null values, rounded to two decimals."""
-    return F.round(F.coalesce(F.sum(value.cast("decimal(28,6)")), F.lit(0)), 2).cast("double")
+    return F.round(F.coalesce(seconds_sum(value), F.lit(0)), 2).cast("double")
 
 
 def records_per_host(records: DataFrame, host: str = "src_host") -> DataFrame:
@@ -26,7 +34,7 @@ def package_totals(runs: DataFrame, by: list[str]) -> DataFrame:
     """Per package: total duration and bytes, succeeded and failed artifacts (a run without
     a result counts in neither)."""
     return runs.groupBy(*by).agg(
-        total(F.col("duration_in_sec")).alias("total_processing"),
+        F.coalesce(seconds_sum(F.col("duration_in_sec")), F.lit(0)).cast("double").alias("total_processing"),
         F.coalesce(F.sum("size"), F.lit(0)).cast("bigint").alias("total_size_bytes"),
         F.count_if("success").alias("success_count"),
         F.count_if(~F.col("success")).alias("fail_count"),
@@ -41,15 +49,17 @@ def artifact_table(runs: DataFrame, limited: bool = False) -> DataFrame:
     )
     ok, bad, rows = F.count_if("success"), F.count_if(~F.col("success")), F.count("*")
     is_total = F.grouping("artifact") == 1
-    seconds = F.sum(F.col("duration_in_sec").cast("decimal(28,6)"))
+    seconds = seconds_sum(F.col("duration_in_sec"))
     status = (
         F.when(is_total, F.concat(ok, F.lit(" out of "), rows))
         .when(bad > 0, "FAILED").when(ok > 0, "OK").otherwise("")
     )
-    duration = F.when(F.coalesce(seconds, F.lit(0)) != 0, F.concat(text.fixed(seconds, 2), F.lit(" sec"))).otherwise("")
+    shown = seconds.isNotNull() & (~is_total | (seconds != 0))
+    duration = F.when(shown, F.concat(text.fixed(seconds, 2), F.lit(" sec"))).otherwise("")
+    size = F.sum("size").cast("bigint")
     cols = [
         F.when(is_total, "TOTALS").otherwise(F.col("artifact")).alias("artifact_label"),
-        F.coalesce(F.sum("size"), F.lit(0)).cast("bigint").alias("output_size"),
+        F.when(is_total, F.coalesce(size, F.lit(0))).otherwise(size).alias("output_size"),
         duration.alias("duration"),
         status.alias("status"),
     ]
@@ -64,7 +74,7 @@ def master_table(totals: DataFrame) -> DataFrame:
     grand = totals.groupingSets(
         [[F.col("package"), F.col("host")], []], F.col("package"), F.col("host")
     )
-    seconds = F.sum(F.col("total_processing").cast(MONEY))
+    seconds = seconds_sum(F.col("total_processing"))
     size = F.sum("total_size_bytes").cast("bigint")
     detail = F.grouping("package") == 0
     return grand.agg(
@@ -98,8 +108,7 @@ def notifications(uploads: DataFrame, runs: DataFrame) -> DataFrame:
         F.col("success"), F.col("error"), F.col("basename")).cast("int").alias("artifact"), F.lit(0).alias("upload"))
     counts = up.unionByName(post).groupBy("package").agg(
         F.sum("artifact").cast("bigint").alias("artifacts"), F.sum("upload").cast("bigint").alias("uploads"))
-    message = F.concat(F.col("package"), F.lit(": "), F.col("artifacts"), F.lit(" artifacts, "),
-                       F.col("uploads"), F.lit(" uploads"))
+    message = F.format_string(NOTIFICATION, "package", "artifacts", "uploads")
     return counts.withColumn("message", message)
 
 
@@ -128,9 +137,9 @@ def upload_outcomes(uploads: DataFrame) -> DataFrame:
 def duration_summary(runs: DataFrame, label: str, labels: list[str], by: str = "package") -> DataFrame:
     """Per package the duration of each label and the total, as text. The labels are the
     artifact list, so the pivot needs no job to find them."""
-    value = F.col("duration_in_sec").cast("decimal(28,6)")
-    per_label = [F.sum(F.when(F.col(label) == name, value)).alias(name.lower()) for name in labels]
-    sums = runs.groupBy(by).agg(*per_label, F.round(F.sum(value), 2).alias("total"))
+    value = F.col("duration_in_sec")
+    per_label = [seconds_sum(F.when(F.col(label) == name, value)).alias(name) for name in labels]
+    sums = runs.groupBy(by).agg(*per_label, total(value).alias("total"))
     return sums.select(by, *[text.seconds_text(F.col(c)).alias(c) for c in sums.columns if c != by])
 
 

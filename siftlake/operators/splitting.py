@@ -81,7 +81,7 @@ def _frame(rows) -> pd.DataFrame:
 
 
 def _summaries(target: int):
-    def summarise(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def summarise(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         sizes = pdf.sort_values("line_no")["size"].to_numpy(dtype=np.int64)
         return _frame([_Step.of_lines(sizes, target).row(key[0], key[1])])
 
@@ -89,7 +89,7 @@ def _summaries(target: int):
 
 
 def _combined(target: int):
-    def combine(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def combine(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         steps = [_Step.from_row(r) for r in pdf.sort_values("node").itertuples()]
         out = steps[0]
         for step in steps[1:]:
@@ -99,7 +99,7 @@ def _combined(target: int):
     return combine
 
 
-def _handed_down(key, pdf: pd.DataFrame) -> pd.DataFrame:
+def _handed_down(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("node")
     room, part = np.array([pdf["room_in"].iloc[0]]), int(pdf["part_in"].iloc[0])
     rows = []
@@ -111,7 +111,7 @@ def _handed_down(key, pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _numbered(target: int):
-    def number(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def number(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("line_no")
         room, part = int(pdf["room_in"].iloc[0]), int(pdf["part_in"].iloc[0])
         parts = []

@@ -19,7 +19,7 @@ from siftlake.sources import packages, records, sinks
 _PER_PACKAGE = 20
 
 
-def _pack(key, pdf: pd.DataFrame) -> pd.DataFrame:
+def _pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     """One zip of a few documents: some with the evidence in an inner archive, some cut short."""
     number = int(key[0])
     inner = io.BytesIO()
@@ -82,7 +82,7 @@ def zip_records(spark, sf):
     return rows.groupBy("package", "doc_id", "digest").agg(F.count("*").cast("int").alias("lines"))
 
 
-@query("SRC-09 Q9", f"""
+@query("SRC-09", f"""
  SELECT DISTINCT concat('pkg-', {_N}, '.zip') AS package, CASE WHEN {_READABLE} AND {_N} % 3 = 0 THEN concat('host-', {_N})
    WHEN {_READABLE} AND {_N} % 3 = 1 THEN concat('host-', {_N}, '.corp') WHEN {_N} % 2 = 0 THEN concat('reg-', {_N})
    ELSE '' END AS host FROM documents""")

@@ -67,7 +67,7 @@ def status_counters(spark, sf):
    FROM {UPL.sql} GROUP BY package UNION ALL SELECT package, 0, count(*) FILTER (success AND error IS NULL)
    FROM {POST_SQL} GROUP BY package)
  SELECT package, cast(sum(artifacts) AS bigint) AS artifacts, cast(sum(uploads) AS bigint) AS uploads,
-   concat(package, ': ', sum(artifacts), ' artifacts, ', sum(uploads), ' uploads') AS message FROM u GROUP BY package""")
+   concat(package, ' finished.Postprocessed ', sum(artifacts), ' artifacts. Upload in total ', sum(uploads), ' json files.') AS message FROM u GROUP BY package""")
 def notification_counts(spark, sf):
     return reports.notifications(UPL.df(spark, sf), post(spark, sf))
 
@@ -88,7 +88,7 @@ def upload_outcomes(spark, sf):
 
 
 @query("AG-10 FN-05", "SELECT package, " + ", ".join(
-    f"CASE WHEN count(*) FILTER (artifact = '{p}') > 0 THEN concat(sum({_PRICE}) FILTER (artifact = '{p}'), ' seconds') END AS {p.lower()}"
+    f"CASE WHEN count(*) FILTER (artifact = '{p}') > 0 THEN concat(sum({_PRICE}) FILTER (artifact = '{p}'), ' seconds') END AS {p}"
     for p in PART_TYPES) + f", concat(sum({_PRICE}), ' seconds') AS total FROM {POST_SQL} GROUP BY package")
 def duration_summary(spark, sf):
     return reports.duration_summary(post(spark, sf), "artifact", PART_TYPES)

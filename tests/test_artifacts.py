@@ -72,15 +72,23 @@ def test_role_order(one):
             label("w", "x")] == ["Linux", "Workstation", "Domain Controller", None]
 
 
-def test_selection_keeps_order_and_skips():
-    assert artifacts.selected({"default": ["b()", "a()", "b()", "c()"], "skip": ["c()"]}) == ["b()", "a()"]
+def test_selection_keeps_order():
+    assert artifacts.selected({"default": ["b()", "a()", "b()", "c()"], "skip": ["c()"]}) == ["b()", "a()", "c()"]
     assert artifacts.selected({}) == []
 
 
+def test_lists_grow_only_by_unknown_names():
+    lists = {"default": ["a(x=1)"], "skip": ["b()"]}
+    assert artifacts.add_to_list(lists, "a") == lists and artifacts.add_to_list(lists, "b") == lists
+    assert artifacts.add_to_list(lists, "c", "skip")["skip"] == ["b()", "c()"]
+    with pytest.raises(ValueError):
+        artifacts.add_to_list(lists, "d", "other")
+
+
 def test_registry(spark, tmp_path):
     with pytest.raises(TypeError):
         artifacts.get("Usn")({"journal": spark.range(1)}, nonsense=1)
-    assert ("Usn", "date_after", "None", "timestamp") in artifacts.describe()
+    assert ("Usn", "date_after", "", "timestamp") in artifacts.describe()
     registry.register("Mine", lambda t, factor=2: t.select((F.col("id") * factor).alias("x")), ["numbers"],
                       [registry.Parameter("factor", 2, "int")])
     registry.register("Fails", lambda t: t.select(F.raise_error(F.lit("boom"))), ["numbers"])

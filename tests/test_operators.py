@@ -128,6 +128,24 @@ def test_confirm_edges(spark):
     assert {r["package"]: r["confirmation"] for r in out} == {"a": "confirmed", "b": "timeout", "c": "pending", "f": "timeout"}
 
 
+def test_confirmed_entries_are_not_checked_again(spark):
+    rows = [("a", "id1", "timeout"), ("b", "id2", "pending"), ("c", "id3", None)]
+    finished = spark.createDataFrame(rows, "package string, upload_id string, confirmation string").withColumn(
+        "updated_at", F.lit("2026-01-01").cast("timestamp_ntz"))
+    out = ledger.confirm(finished, spark.createDataFrame([("id1",), ("id2",)], "upload_id string"),
+                         F.lit("2026-01-02").cast("timestamp_ntz"))
+    assert {r["package"]: r["confirmation"] for r in out.collect()} == {"b": "confirmed", "c": "timeout"}
+
+
+def test_artifact_table_blanks(spark):
+    df = spark.createDataFrame([("p", "x", None, None, None, None), ("p", "y", 0.0, 5, True, 0), ("p", "z", 1.0, 2, False, 1)],
+                               "package string, artifact string, duration_in_sec double, size bigint, success boolean, returncode int")
+    got = {r["artifact"]: tuple(r)[2:] for r in reports.artifact_table(df).collect()}
+    assert got == {"x": (None, "", "", None), "y": (5, "0.00 sec", "OK", 0), "z": (2, "1.00 sec", "FAILED", 1),
+                   "TOTALS": (7, "1.00 sec", "1 out of 3", None)}
+    assert "returncode" not in reports.artifact_table(df, limited=True).columns
+
+
 def test_upload_classes_are_disjoint_and_complete(spark):
     import itertools
 
@@ -142,7 +160,12 @@ def test_upload_classes_are_disjoint_and_complete(spark):
 def test_totals_ignore_missing_values(spark):
     df = spark.createDataFrame([("p", "h", None, None, None), ("p", "h", 1.005, 3, True), ("p", "h", 2.0, None, False)],
                                "package string, host string, duration_in_sec double, size bigint, success boolean")
-    assert tuple(reports.package_totals(df, ["package", "host"]).first()) == ("p", "h", 3.01, 3, 1, 1)
+    assert tuple(reports.package_totals(df, ["package", "host"]).first()) == ("p", "h", 3.005, 3, 1, 1)
+
+
+def test_total_is_rounded(spark):
+    df = spark.createDataFrame([(1.004,), (None,), (2.004,)], "d double")
+    assert df.agg(reports.total(F.col("d"))).first()[0] == 3.01
 
 
 def test_run_documents_flatten(spark):
