@@ -86,7 +86,7 @@ def intake_packages(spark: SparkSession, listing: DataFrame, root: str, session:
         lines.select("table_name", F.concat_ws("/", "package", "member").alias("file"), F.col("line_no").alias("pos"),
                      "line", "host", paths.basename(F.col("package")).alias("package"),
                      F.col("upload_id").alias("upload"), "error"),
-        store, f"{work}/lines", sample, run=session)
+        store, f"{work}/lines", sample, run=session, numbered=True)
 
     unread = spark.read.parquet(f"{work}/lines").where("error is not null").select(
         F.col("file").alias("_file"), F.col("error").alias("_unread")).distinct()

@@ -79,11 +79,12 @@ def fields(records: DataFrame, *keep: str, record: str = "record") -> DataFrame:
 # --- vote --------------------------------------------------------------------------
 
 
-def first_values(classified: DataFrame, by: list[str], pos: str, n: int, kind: str = "kind") -> DataFrame:
-    """The first n non-null values of each column. The rank limit runs before the shuffle
-    too, so a table with a third of all rows sends at most n rows per task and column."""
-    w = Window.partitionBy(*by, F.col(kind).isNull()).orderBy(pos)
-    return classified.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= n).drop("_rank")
+def first_values(values: DataFrame, by: list[str], pos: str, n: int, missing: Column) -> DataFrame:
+    """The first n non-null values of each column (and the first n nulls, so that a column
+    without values stays known). The rank limit runs before the shuffle too, so a table with
+    a third of all rows sends at most n rows per task and column."""
+    w = Window.partitionBy(*by, missing).orderBy(pos)
+    return values.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= n).drop("_rank")
 
 
 def majority(classified: DataFrame, by: list[str], pos: str, kind: str = "kind") -> DataFrame:
@@ -110,18 +111,21 @@ def majority(classified: DataFrame, by: list[str], pos: str, kind: str = "kind")
 def vote(records: DataFrame, by: list[str], pos: str = "pos", sample: int | None = 100) -> DataFrame:
     """(by..., key, kind, votes, samples) from VARIANT records; `sample=None` votes over
     every value."""
-    classified = classify(fields(records, *by, pos), "value").drop("value")
     keys = [*by, "key"]
-    if sample is not None:
-        classified = first_values(classified, keys, pos, sample)
-    return majority(classified, keys, pos)
+    values = fields(records, *by, pos)
+    if sample is not None:  # before the values are classified
+        values = first_values(values, keys, pos, sample, F.is_variant_null("value"))
+    return majority(classify(values, "value").drop("value"), keys, pos)
 
 
-def head_lines(lines: DataFrame, by: list[str], pos: str, n: int | None) -> DataFrame:
-    """The first n lines of each file; all lines when n is None. The limit also runs in the
-    scanning tasks."""
+def head_lines(lines: DataFrame, by: list[str], pos: str, n: int | None, numbered: bool = False) -> DataFrame:
+    """The first n lines of each file; all lines when n is None. Where `pos` is the line
+    number, counted from 1, that is a filter the scan can apply; otherwise a rank, whose
+    limit also runs in the scanning tasks."""
     if n is None:
         return lines
+    if numbered:
+        return lines.where(F.col(pos) <= n)
     w = Window.partitionBy(*by).orderBy(pos)
     return lines.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= n).drop("_rank")
 

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # A key counts as hot above this share of the rows, so there are at most 1/share hot keys.
 HOT_SHARE = 0.01
@@ -51,9 +52,17 @@ def lookup_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
     return salted_join(left, right, keys, how)
 
 
+def _own_salt(df: DataFrame, keys: list[str]) -> Column:
+    """A salt from the row's other columns. It depends on nothing but the row, so a task that
+    is run again after a lost executor sends every row where it went before."""
+    rest = [f.name for f in df.schema.fields
+            if f.name not in keys and not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    return F.pmod(F.xxhash64(*rest), F.lit(SALTS)).cast("int") if rest else F.lit(0)
+
+
 def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     hot = F.broadcast(hot_keys(left, keys).withColumn("_hot", F.lit(True)))
-    turn = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
+    turn = _own_salt(left, keys)
     # rows with a null key match nothing; they are spread as well
     spread = F.col("_hot") | reduce(Column.__or__, [F.col(k).isNull() for k in keys])
     salted = left.join(hot, keys, "left").withColumn("_salt", F.when(spread, turn).otherwise(0)).drop("_hot")
@@ -63,27 +72,38 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
 
 
 def nearest_before(left: DataFrame, right: DataFrame, key: str, ts: str, window_seconds: int,
-                   payload: list[str]) -> DataFrame:
+                   payload: list[str], block_seconds: int | None = None) -> DataFrame:
     """For each left row, the count of right rows of the same key within the window ending
     at the left row, and the payload of the latest of them.
 
-    Rows are grouped by key and time bucket of one window length, so a hot key is spread
-    over its buckets; a right row is needed only in its own bucket and the next one. No
-    pairs are emitted.
+    No pairs are formed: a right row counts +1 at its time and -1 after the window, so the
+    count at a left row is a running sum. Sums per time block carry from block to block (one
+    small row each), and inside a block the rows are summed in order. A hot key is thereby
+    spread over its blocks, and every frame grows by one row per step.
     """
-    bucket = F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(window_seconds * 1_000_000)).cast("bigint")
+    width = (block_seconds or max(1, window_seconds // 128)) * 1_000_000
+    span = window_seconds * 1_000_000
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    probe = left.withColumn("_bucket", bucket).withColumn("_us", micros).withColumn("_probe", F.lit(1))
-    build = right.select(key, micros.alias("_us"), *[F.col(p).alias(f"_r_{p}") for p in payload],
-                         F.explode(F.array(bucket, bucket + 1)).alias("_bucket")).withColumn("_probe", F.lit(0))
-    both = probe.unionByName(build, allowMissingColumns=True)
-    span = (
-        Window.partitionBy(key, "_bucket")
-        .orderBy("_us")
-        .rangeBetween(-window_seconds * 1_000_000, Window.currentRow)
-    )
-    latest = F.max(F.when(F.col("_probe") == 0, F.struct("_us", *[f"_r_{p}" for p in payload]))).over(span)
-    out = both.withColumn("_latest", latest).withColumn("near_count", F.sum(1 - F.col("_probe")).over(span))
-    out = out.where("_probe = 1")
-    cols = [*left.columns, F.col("near_count").cast("bigint").alias("near_count")]
-    return out.select(*cols, *[F.col("_latest")[f"_r_{p}"].alias(f"near_{p}") for p in payload])
+    build = right.select(key, micros.alias("_us"), *[F.col(p).alias(f"_r_{p}") for p in payload])
+    names = [f"_r_{p}" for p in payload]
+    begin = build.select(key, "_us", F.lit(0).alias("_turn"), F.lit(1).alias("_step"), *names)
+    expire = build.select(key, (F.col("_us") + span).alias("_us"), F.lit(2).alias("_turn"), F.lit(-1).alias("_step"))
+    probe = left.select("*", micros.alias("_us"), F.lit(1).alias("_turn"), F.lit(0).alias("_step"))
+    rows = probe.unionByName(begin, allowMissingColumns=True).unionByName(expire, allowMissingColumns=True)
+    rows = rows.withColumn("_block", F.floor(F.col("_us") / width).cast("bigint"))
+    seen = F.when(F.col("_turn") == 0, F.struct("_us", *names))
+
+    earlier = Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.groupBy(key, "_block").agg(F.sum("_step").alias("_sum"), F.max(seen).alias("_last"))
+    bases = blocks.select(key, "_block", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_base"),
+                          F.max("_last").over(earlier).alias("_base_last"))
+    so_far = Window.partitionBy(key, "_block").orderBy("_us", "_turn", *names).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    inside = rows.withColumn("_count", F.sum("_step").over(so_far)).withColumn(
+        "_near", F.last(seen, ignorenulls=True).over(so_far)).where("_turn = 1")
+    out = inside.join(bases, [key, "_block"], "left")
+    near = F.coalesce("_near", "_base_last")
+    near = F.when(near["_us"] >= F.col("_us") - span, near)
+    return out.select(*[F.col(c) for c in left.columns],
+                      (F.col("_base") + F.col("_count")).cast("bigint").alias("near_count"),
+                      *[near[f"_r_{p}"].alias(f"near_{p}") for p in payload])

@@ -114,7 +114,7 @@ _MEMBER = """CASE doc_id % 12
  WHEN 2 THEN concat('results/', doc_id, '.jsonl')
  WHEN 3 THEN concat('uploads/', source, '/', doc_id, '.json')
  WHEN 4 THEN concat('results/', source, '/')
- WHEN 5 THEN 'Windows.KapeFiles.Targets%2FUploads.json'
+ WHEN 5 THEN 'Windows.Collected%2FUploads.json'
  WHEN 6 THEN 'uploads/ntfs/%5C%5C.%5CC%3A/$MFT'
  WHEN 7 THEN 'uploads/auto/C%3A/Windows/System32/config/SAM'
  WHEN 8 THEN 'uploads/auto/C%3A/Windows/System32/config/SOFTWARE'

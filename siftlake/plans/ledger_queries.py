@@ -37,7 +37,7 @@ def package_name_filter(spark, sf):
     return packages.unique_packages(named)
 
 
-RULES = rules.IgnoreRules(["Windows.KapeFiles.Targets%2FUploads.json", "1?.json"], ["uploads/src1*", "results/*5*"])
+RULES = rules.IgnoreRules(["Windows.Collected%2FUploads.json", "1?.json"], ["uploads/src1*", "results/*5*"])
 
 
 @query("FLT-01 FN-09 FN-01", f"""
@@ -45,13 +45,13 @@ RULES = rules.IgnoreRules(["Windows.KapeFiles.Targets%2FUploads.json", "1?.json"
  d AS (SELECT *, CASE WHEN ends_with(member, '/') THEN 'directory'
    WHEN NOT (ends_with(member, '.json') OR ends_with(member, '.jsonl')) THEN 'not_json'
    WHEN size = 0 THEN 'empty'
-   WHEN basename = 'Windows.KapeFiles.Targets%2FUploads.json' THEN 'name_rule'
+   WHEN basename = 'Windows.Collected%2FUploads.json' THEN 'name_rule'
    WHEN regexp_full_match(basename, '1.[.]json') THEN 'name_rule'
    WHEN member LIKE 'uploads/src1%' THEN 'path_rule' WHEN member LIKE 'results/%5%' THEN 'path_rule' END AS reason
    FROM m)
  SELECT doc_id, package, member, basename, reason IS NOT NULL AS ignored_upload, reason AS ignored_reason,
    CASE reason WHEN 'name_rule' THEN CASE WHEN starts_with(basename, '1') THEN '1?.json'
-       ELSE 'Windows.KapeFiles.Targets%2FUploads.json' END
+       ELSE 'Windows.Collected%2FUploads.json' END
      WHEN 'path_rule' THEN CASE WHEN starts_with(member, 'uploads/src1') THEN 'uploads/src1*' ELSE 'results/*5*' END
    END AS ignored_pattern FROM d""")
 def ignore_decisions(spark, sf):

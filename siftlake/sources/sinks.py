@@ -121,14 +121,14 @@ def typed_records(parsed: DataFrame, voted: list[FieldType], host: Column, packa
 
 
 def ingest(lines: DataFrame, tables: ArtifactTables, raw_path: str, sample: int | None = 1000,
-           parallel: int = 4, run: str | None = None) -> DataFrame:
+           parallel: int = 4, run: str | None = None, numbered: bool = False) -> DataFrame:
     """Lines (table_name, file, pos, line, host, package, upload) to artifact tables; returns
     one outcome row per table.
 
     Lines are landed once, partitioned by table, so that each load reads only its own
     partition. One job votes on the columns of all tables; as when files are loaded one by
     one, the first file that has a column gives its type. The loop is over artifact types,
-    never over packages.
+    never over packages. `numbered` says that `pos` is the line number in the file.
     """
     spark = lines.sparkSession
     held = F.trim("line") != ""
@@ -136,7 +136,7 @@ def ingest(lines: DataFrame, tables: ArtifactTables, raw_path: str, sample: int
         held = held | F.col("error").isNotNull()
     lines.where(held).write.mode("overwrite").partitionBy("table_name").parquet(raw_path)
     landed = records.parsed(spark.read.schema(lines.schema).parquet(raw_path)).where("record is not null")
-    head = schema.head_lines(landed, ["table_name", "file"], "pos", sample)
+    head = schema.head_lines(landed, ["table_name", "file"], "pos", sample, numbered)
     per_file = schema.vote(head, ["table_name", "file"], "pos", sample)
     voted: dict[str, list[FieldType]] = {}
     for row in schema.first_file_types(per_file, ["table_name"], "file").orderBy("table_name", "key").collect():

@@ -9,6 +9,7 @@ from siftlake.artifacts.system import role_label
 from siftlake.functions import text
 from siftlake.operators.rules import matches
 
+# Fixed value: results that say what kind of machine a client is.
 ENROLMENT = "Generic.Client.Info/WindowsInfo|Generic.Client.Info/BasicInformation"
 
 

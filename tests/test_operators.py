@@ -76,6 +76,17 @@ def test_salted_join_equals_join(spark, how):
     assert key(salted) == key(plain)
 
 
+def test_a_hot_key_is_spread_over_tasks(spark):
+    left = spark.range(30000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"), "id")
+    right = spark.range(30000).select(F.col("id").alias("k"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sizes = [r["count"] for r in skew.salted_join(left, right, ["k"]).groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sum(sizes) == 30000 and max(sizes) < 30000 / 8 * 1.5
+
+
 def test_hot_keys_are_bounded(spark):
     df = spark.range(1000).select((F.col("id") % 1000).alias("k"))
     assert skew.hot_keys(df, ["k"]).count() == 0
@@ -94,14 +105,15 @@ def test_large_lookup_is_salted_small_is_left_to_catalyst(spark, tmp_path):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-def test_nearest_before_brute_force(spark):
+@pytest.mark.parametrize("block", [None, 7, 1000])
+def test_nearest_before_brute_force(spark, block):
     rnd = random.Random(1)
     rows = [(i, rnd.choice("ab"), rnd.randrange(0, 5000), rnd.random() < 0.4) for i in range(400)]
     df = spark.createDataFrame(rows, "id int, host string, s int, probe boolean").withColumn(
         "ts", F.timestamp_seconds("s"))
     got = {r["id"]: (r["near_count"], r["near_id"]) for r in skew.nearest_before(
         df.where("probe").select("id", "host", "ts"), df.where("not probe").select("id", "host", "ts"),
-        "host", "ts", 300, ["id"]).collect()}
+        "host", "ts", 300, ["id"], block).collect()}
     for i, host, s, probe in rows:
         if probe:
             near = [(t, j) for j, h, t, p in rows if not p and h == host and s - 300 <= t <= s]
