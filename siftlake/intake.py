@@ -7,6 +7,7 @@ running a session again replaces its own rows.
 
 from __future__ import annotations
 
+import time
 from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -61,8 +62,12 @@ def eligible(listing: DataFrame, root: str, session: str, use_ledger: bool = Tru
 def intake_packages(spark: SparkSession, listing: DataFrame, root: str, session: str,
                     ignore: rules.IgnoreRules | None = None, prefix: str = "", sample: int | None = 1000,
                     registry_hosts: DataFrame | None = None, now: datetime | None = None,
-                    use_ledger: bool = True, tasks: int | None = None) -> DataFrame:
-    """Process packages (package, size, source) and return the upload rows of the run."""
+                    use_ledger: bool = True, tasks: int | None = None, password: str | None = None) -> DataFrame:
+    """Process packages (package, size, source) and return the upload rows of the run.
+
+    Below `root`: `tables`, `ledgers` (summary, uploads, logs), `snapshots`, the status ledger
+    and the work tables of the session.
+    """
     started, work = _now(now), f"{root}/_work/{session}"
     todo = eligible(listing.select("package", "size", "source"), root, session, use_ledger)
     runs = _store(todo.withColumn("upload_id", text.run_id(F.col("package"), F.lit(session))), f"{work}/runs")
@@ -70,8 +75,8 @@ def intake_packages(spark: SparkSession, listing: DataFrame, root: str, session:
     entry = entry.withColumn("package", paths.basename(F.col("package")))
     _write_status(ledger.status_entry(entry, F.lit("processing"), F.lit(None), started), root, session, "start", 1)
 
-    members = _store(packages.member_inventory(runs, tasks), f"{work}/members")
-    hosts = packages.package_hosts(packages.client_infos(runs, tasks), registry_hosts)
+    members = _store(packages.member_inventory(runs, tasks, password), f"{work}/members")
+    hosts = packages.package_hosts(packages.client_infos(runs, tasks, password), registry_hosts)
     facts = packages.has_raw_evidence(members).join(
         members.where("error is not null").groupBy("package").agg(F.first("error").alias("package_error")), "package", "left")
     known = _store(lookup_join(lookup_join(runs, hosts, ["package"]), facts, ["package"]), f"{work}/known")
@@ -80,7 +85,7 @@ def intake_packages(spark: SparkSession, listing: DataFrame, root: str, session:
     named = decided.withColumn("table_name", paths.table_name(F.col("member"), prefix))
     tagged = lookup_join(named, known.select("package", "host", "upload_id"), ["package"], "inner")
     kept = tagged.where("not ignored_upload")
-    lines = packages.member_lines(kept, tasks, carry=("table_name", "host", "upload_id"))
+    lines = packages.member_lines(kept, tasks, carry=("table_name", "host", "upload_id"), password=password)
     store = sinks.ArtifactTables(spark, f"{root}/tables", prefix)
     loaded = sinks.ingest(
         lines.select("table_name", F.concat_ws("/", "package", "member").alias("file"), F.col("line_no").alias("pos"),
@@ -107,7 +112,17 @@ def intake_packages(spark: SparkSession, listing: DataFrame, root: str, session:
         F.col("size").alias("zipfile_size"), F.lit(session).alias("sessionid"), F.col("upload_id").alias("uploadid"),
         F.col("source").alias("source_name"), started.alias("starttime_script"), "is_encrypted",
         F.col("host").alias("hostname"))
-    _store(ledger.shaped(summary, ledger.SUMMARY), f"{root}/ledgers/summary/run={session}")
+    summary = _store(ledger.shaped(summary, ledger.SUMMARY), f"{root}/ledgers/summary/run={session}")
+    by = ["uploadid", "zipfile"]
+    failed = known.where("package_error is not null").select(
+        F.col("upload_id").alias("uploadid"), paths.basename(F.col("package")).alias("zipfile"),
+        F.col("package_error").alias("_message"))
+    partly = uploads.where("upload_error is not null").select(
+        *by, F.concat_ws(": ", "location_in_zip", "upload_error").alias("_message"))
+    _store(sinks.log_rows(failed.unionByName(partly), started, F.lit("ERROR"), F.col("_message"), by),
+           f"{root}/ledgers/logs/run={session}")
+    documents = sinks.snapshot_documents(summary, "summary").unionByName(sinks.snapshot_documents(uploads, "uploads"))
+    sinks.write_snapshots(documents, f"{root}/snapshots", time.time_ns())
     done = known.withColumns({"session": F.lit(session), "started_at": started}).withColumn(
         "package", paths.basename(F.col("package")))
     state = F.when(F.col("package_error").isNull(), "finished").otherwise("failed")
@@ -128,7 +143,7 @@ def intake_folder(spark: SparkSession, folder: str, root: str, session: str, rec
         document = spark.read.option("wholetext", True).text(info).select(F.get_json_object("value", "$.os_info.fqdn"))
         host = document.first()[0] or ""
     kept = lines.where(~decision["ignored"]).select(
-        paths.table_name(paths.url_decode(F.col("file")), prefix).alias("table_name"), "file", "pos", "line",
+        paths.table_name(F.col("file"), prefix).alias("table_name"), "file", "pos", "line",
         F.lit(host).alias("host"), F.lit(name).alias("package"),
         text.run_id(F.lit(name), F.lit(session)).alias("upload"))
     store = sinks.ArtifactTables(spark, f"{root}/tables", prefix)

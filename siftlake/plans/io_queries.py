@@ -130,7 +130,7 @@ def byte_split_files(spark, sf):
         F.col("source").alias("file"), F.col("doc_id").alias("line_no"), line.alias("line"))
     sizes = docs.select("file", "line_no", splitting.line_bytes(F.col("line")).alias("size"))
     last = docs.agg(F.max("line_no")).first()[0]
-    parts = splitting.greedy_parts(sizes, 50_000, max_file_blocks=last // 256 + 1, block=256)
+    parts = splitting.greedy_parts(sizes, 50_000, max_file_blocks=last // 1024 + 1, block=1024)
     splitting.write_parts(docs.join(parts.drop("size"), ["file", "line_no"]), out)
     back = spark.read.schema("value string, file string, part bigint").text(out)
     return back.groupBy("file", "part").agg(

@@ -276,7 +276,7 @@ _TARGET = 20_000
  SELECT file, line_no, size, part FROM g""")
 def byte_split(spark, sf):
     lines = _LINES.df(spark, sf)
-    block = 256
+    block = 1024
     last = lines.agg(F.max("line_no")).first()[0]
     return splitting.greedy_parts(lines, _TARGET, max_file_blocks=last // block + 1, block=block)
 

@@ -101,8 +101,9 @@ def stream_confirm(spark, sf):
 
 
 @query("STM-05 ART-12", f"""
- SELECT DISTINCT user_id AS client_id, CASE WHEN user_id % 4 = 0 THEN 'Linux' WHEN user_id % 4 = 1 THEN 'Workstation'
-   WHEN user_id % 4 = 2 THEN 'Server' END AS label FROM {REC.sql} WHERE user_id % 4 <> 3 AND artifact <> 'view'""")
+ SELECT user_id AS client_id, CASE WHEN user_id % 4 = 0 THEN 'Linux' WHEN user_id % 4 = 1 THEN 'Workstation'
+   WHEN user_id % 4 = 2 THEN 'Server' END AS label, {stamp_sql('min(ts)')} AS first_seen
+ FROM {REC.sql} WHERE user_id % 4 <> 3 AND artifact <> 'view' GROUP BY user_id""")
 def stream_labels(spark, sf):
     out = scratch_path(spark, "labels")
     u = F.col("user_id") % 4
@@ -116,8 +117,10 @@ def stream_labels(spark, sf):
     def write(batch, batch_id):
         batch.write.mode("overwrite").parquet(discovery.batch_folder(f"{out}/rows", batch_id))
 
-    _run(discovery.start(reactions.labels(done, "ts"), write, f"{out}/checkpoint"))
-    return discovery.read_batches(spark, f"{out}/rows", "client_id bigint, label string").drop("batch").distinct()
+    _run(discovery.start(reactions.labels(done, "ts"), write, f"{out}/checkpoint", mode="update"))
+    rows = discovery.read_batches(spark, f"{out}/rows", "client_id bigint, label string, first_seen timestamp")
+    return rows.groupBy("client_id", "label").agg(F.min("first_seen").alias("t")).select(
+        "client_id", "label", stamp("t", "first_seen"))
 
 
 @query("STM-06 JN-10 FN-22", f"""

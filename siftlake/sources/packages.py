@@ -12,6 +12,7 @@ import json
 import zipfile
 from collections.abc import Iterator
 from functools import reduce
+from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,6 +31,7 @@ NESTED_MARK = "data.zip"
 CLIENT_INFO = "client_info.json"
 RAW_EVIDENCE_PREFIX = "uploads/"
 LINES_PER_BATCH = 20_000
+BYTES_PER_BATCH = 32 << 20
 
 
 # --- listing -------------------------------------------------------------------
@@ -81,120 +83,139 @@ def filter_names(listing: DataFrame, path: str, prefix: str = "", suffix: str =
 # --- archives, inside tasks ------------------------------------------------------
 
 
+def _columns(ddl: str) -> list[str]:
+    return [c.split()[0] for c in ddl.split(", ")]
+
+
 def _open_uri(uri: str):
+    """Random access to a file of any store; names in a listing are not percent-encoded."""
     from pyarrow import fs
 
-    if "://" not in uri:
-        uri = "file://" + uri.removeprefix("file:")
-    system, inner = fs.FileSystem.from_uri(uri)
+    scheme, _, path = uri.partition(":") if ":" in uri.split("/", 1)[0] else ("file", "", uri)
+    path = path if path.startswith("//") else "//" + path
+    system, inner = fs.FileSystem.from_uri(f"{scheme}:{quote(path)}")
     return system.open_input_file(inner)
 
 
-def _open_archive(package: str, content: bytes | None) -> zipfile.ZipFile:
-    return zipfile.ZipFile(io.BytesIO(content) if content is not None else _open_uri(package))
+def _open_archive(package: str, content: bytes | None, password: bytes | None) -> zipfile.ZipFile:
+    archive = zipfile.ZipFile(io.BytesIO(content) if content is not None else _open_uri(package))
+    archive.setpassword(password)
+    return archive
 
 
-def _resolve_nested(outer: zipfile.ZipFile) -> tuple[zipfile.ZipFile, str | None]:
+def _resolve_nested(outer: zipfile.ZipFile, password: bytes | None) -> tuple[zipfile.ZipFile, str | None]:
     """The inner archive and its name when one is present and readable."""
     for info in outer.infolist():
-        if NESTED_MARK in info.filename and not info.flag_bits & 0x1:
+        if NESTED_MARK in info.filename:
             try:
-                return zipfile.ZipFile(outer.open(info)), info.filename
+                inner = zipfile.ZipFile(outer.open(info))
             except (zipfile.BadZipFile, RuntimeError, NotImplementedError):
                 break
+            inner.setpassword(password)
+            return inner, info.filename
     return outer, None
 
 
-def _contents(batch: pd.DataFrame) -> list:
-    return list(batch["content"]) if "content" in batch else [None] * len(batch)
+def _rows(batch: pd.DataFrame) -> Iterator[tuple[str, bytes | None]]:
+    contents = batch["content"] if "content" in batch else [None] * len(batch)
+    return zip(batch["package"], contents)
 
 
-def _inventory(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = [c.split()[0] for c in MEMBER_SCHEMA.split(", ")]
-    for batch in batches:
-        for package, content in zip(batch["package"], _contents(batch)):
-            rows = []
-            try:
-                with _open_archive(package, content) as outer:
-                    archive, container = _resolve_nested(outer)
-                    for m in archive.infolist():
-                        rows.append((package, m.filename, m.file_size, m.compress_size, m.is_dir(),
-                                     bool(m.flag_bits & 0x1), container, None))
-            except Exception as exc:  # one bad package becomes an error row, the job goes on
-                rows = [(package, None, None, None, None, None, None, f"{type(exc).__name__}: {exc}")]
-            yield pd.DataFrame(rows, columns=names)
+def _problem(exc: Exception) -> str:
+    return f"{type(exc).__name__}: {exc}"
+
+
+def _inventory(password: bytes | None):
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for package, content in _rows(batch):
+                rows = []
+                try:
+                    with _open_archive(package, content, password) as outer:
+                        archive, container = _resolve_nested(outer, password)
+                        for m in archive.infolist():
+                            rows.append((package, m.filename, m.file_size, m.compress_size, m.is_dir(),
+                                         bool(m.flag_bits & 0x1), container, None))
+                except Exception as exc:  # one bad package becomes an error row, the job goes on
+                    rows = [(package, None, None, None, None, None, None, _problem(exc))]
+                yield pd.DataFrame(rows, columns=_columns(MEMBER_SCHEMA))
+
+    return read
 
 
 def _member_lines(package: str, archive: zipfile.ZipFile, members: list[str]) -> Iterator[pd.DataFrame]:
-    names = [c.split()[0] for c in LINE_SCHEMA.split(", ")]
-    rows = []
+    """Batches are bounded by lines and bytes, whatever the size of a member."""
+    rows, held = [], 0
     for member in members:
         try:
             with archive.open(member) as stream:
                 for number, raw in enumerate(stream, start=1):
                     line = raw.rstrip(b"\r\n").decode("utf-8", errors="replace")
                     rows.append((package, member, number, line, None))
-                    if len(rows) >= LINES_PER_BATCH:
-                        yield pd.DataFrame(rows, columns=names)
-                        rows = []
+                    held += len(raw)
+                    if len(rows) >= LINES_PER_BATCH or held >= BYTES_PER_BATCH:
+                        yield pd.DataFrame(rows, columns=_columns(LINE_SCHEMA))
+                        rows, held = [], 0
         except Exception as exc:
-            rows.append((package, member, None, None, f"{type(exc).__name__}: {exc}"))
+            rows.append((package, member, None, None, _problem(exc)))
     if rows:
-        yield pd.DataFrame(rows, columns=names)
+        yield pd.DataFrame(rows, columns=_columns(LINE_SCHEMA))
 
 
-def _lines_of_members(carry: list[str]):
+def _lines_of_members(carry: list[str], password: bytes | None):
     """Columns named in `carry` are the same for all lines of a member and travel along."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for package, part in batch.groupby("package", sort=False):
                 try:
-                    with _open_archive(package, None) as outer:
-                        archive, _ = _resolve_nested(outer)
+                    with _open_archive(package, None, password) as outer:
+                        archive, _ = _resolve_nested(outer, password)
                         for row in part.itertuples(index=False):
                             for lines in _member_lines(package, archive, [row.member]):
                                 yield lines.assign(**{c: getattr(row, c) for c in carry})
                 except Exception as exc:
-                    failed = part[["package", "member", *carry]].assign(
-                        line_no=None, line=None, error=f"{type(exc).__name__}: {exc}")
-                    yield failed[["package", "member", "line_no", "line", "error", *carry]]
+                    failed = part[["package", "member", *carry]].assign(line_no=None, line=None, error=_problem(exc))
+                    yield failed[[*_columns(LINE_SCHEMA), *carry]]
 
     return read
 
 
-def _lines_of_packages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for package, content in zip(batch["package"], _contents(batch)):
-            try:
-                with _open_archive(package, content) as outer:
-                    archive, _ = _resolve_nested(outer)
-                    wanted = [m.filename for m in archive.infolist()
-                              if m.filename.endswith((".json", ".jsonl")) and m.file_size > 0]
-                    yield from _member_lines(package, archive, wanted)
-            except Exception as exc:
-                yield pd.DataFrame(
-                    [(package, None, None, None, f"{type(exc).__name__}: {exc}")],
-                    columns=["package", "member", "line_no", "line", "error"],
-                )
-
-
-def _client_infos(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = []
-        for package, content in zip(batch["package"], _contents(batch)):
-            document = error = None
-            try:
-                with _open_archive(package, content) as outer:
-                    for archive in dict.fromkeys((_resolve_nested(outer)[0], outer)):
-                        if document is None and CLIENT_INFO in archive.namelist():
-                            text = archive.read(CLIENT_INFO).decode("utf-8-sig")
-                            json.loads(text)
-                            document = text
-            except Exception as exc:
-                error = f"{type(exc).__name__}: {exc}"
-            rows.append((package, document, error))
-        yield pd.DataFrame(rows, columns=["package", "document", "error"])
+def _lines_of_packages(password: bytes | None):
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for package, content in _rows(batch):
+                try:
+                    with _open_archive(package, content, password) as outer:
+                        archive, _ = _resolve_nested(outer, password)
+                        wanted = [m.filename for m in archive.infolist()
+                                  if m.filename.endswith((".json", ".jsonl")) and m.file_size > 0]
+                        yield from _member_lines(package, archive, wanted)
+                except Exception as exc:
+                    yield pd.DataFrame([(package, None, None, None, _problem(exc))], columns=_columns(LINE_SCHEMA))
+
+    return read
+
+
+def _client_infos(password: bytes | None):
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for package, content in _rows(batch):
+                document = error = None
+                try:
+                    with _open_archive(package, content, password) as outer:
+                        for archive in dict.fromkeys((_resolve_nested(outer, password)[0], outer)):
+                            if document is None and CLIENT_INFO in archive.namelist():
+                                text = archive.read(CLIENT_INFO).decode("utf-8-sig")
+                                json.loads(text)
+                                document = text
+                except Exception as exc:
+                    error = _problem(exc)
+                rows.append((package, document, error))
+            yield pd.DataFrame(rows, columns=_columns(INFO_SCHEMA))
+
+    return read
 
 
 # --- operators -------------------------------------------------------------------
@@ -212,17 +233,21 @@ def _archive_rows(packages: DataFrame) -> DataFrame:
     return packages.select(*cols)
 
 
-def member_inventory(packages: DataFrame, tasks: int | None = None) -> DataFrame:
+def _secret(password: str | None) -> bytes | None:
+    return password.encode() if password else None
+
+
+def member_inventory(packages: DataFrame, tasks: int | None = None, password: str | None = None) -> DataFrame:
     """One row per member of each package; an inner archive replaces the outer listing.
     `packages` has `package` (a URI), and `content` only when the bytes are at hand."""
     rows = _archive_rows(packages)
     if "content" not in rows.columns:
         rows = _spread(rows, tasks, "package")
-    return rows.mapInPandas(_inventory, MEMBER_SCHEMA)
+    return rows.mapInPandas(_inventory(_secret(password)), MEMBER_SCHEMA)
 
 
 def member_lines(members: DataFrame, tasks: int | None = None, carry: tuple[str, ...] = (),
-                 target_bytes: int = 1 << 30) -> DataFrame:
+                 target_bytes: int = 1 << 30, password: str | None = None) -> DataFrame:
     """Lines of the listed members, with the text columns of `carry` (host, upload id, ...)
     repeated on each line. They are joined to members, so lines are never shuffled for it.
     Work is spread by member, not by package.
@@ -243,22 +268,23 @@ def member_lines(members: DataFrame, tasks: int | None = None, carry: tuple[str,
         spread = _spread(placed, tasks, "table_name", "_slot")
     else:
         spread = _spread(rows, tasks, "package", "member")
-    return spread.select("package", "member", *carry).mapInPandas(_lines_of_members(list(carry)), schema)
+    return spread.select("package", "member", *carry).mapInPandas(
+        _lines_of_members(list(carry), _secret(password)), schema)
 
 
-def package_lines(packages: DataFrame, tasks: int | None = None) -> DataFrame:
+def package_lines(packages: DataFrame, tasks: int | None = None, password: str | None = None) -> DataFrame:
     """Lines of every JSON member, one pass per package (small packages, or given bytes)."""
     rows = _archive_rows(packages)
     if "content" not in rows.columns:
         rows = _spread(rows, tasks, "package")
-    return rows.mapInPandas(_lines_of_packages, LINE_SCHEMA)
+    return rows.mapInPandas(_lines_of_packages(_secret(password)), LINE_SCHEMA)
 
 
-def client_infos(packages: DataFrame, tasks: int | None = None) -> DataFrame:
+def client_infos(packages: DataFrame, tasks: int | None = None, password: str | None = None) -> DataFrame:
     rows = _archive_rows(packages)
     if "content" not in rows.columns:
         rows = _spread(rows, tasks, "package")
-    return rows.mapInPandas(_client_infos, INFO_SCHEMA)
+    return rows.mapInPandas(_client_infos(_secret(password)), INFO_SCHEMA)
 
 
 def host_name(document: Column, registry_host: Column | None = None) -> Column:

@@ -7,6 +7,8 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftlake.functions import paths
+
 LINEAGE = ["src_host", "src_package", "src_upload"]
 
 
@@ -16,7 +18,7 @@ def read_jsonl(spark: SparkSession, path: str | list[str], recursive: bool = Fal
     one file: block start in the file, then the running row number of its task."""
     reader = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", recursive)
     lines = reader.text(path).select(
-        F.col("_metadata.file_path").alias("file"),
+        paths.url_decode(F.col("_metadata.file_path")).alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.col("_metadata.file_size").alias("file_size"),
         F.col("value").alias("line"),

@@ -13,13 +13,13 @@ from siftlake.operators.rules import matches
 ENROLMENT = "Generic.Client.Info/WindowsInfo|Generic.Client.Info/BasicInformation"
 
 
-def labels(completions: DataFrame, ts: str, window: str = "1 hour") -> DataFrame:
-    """(client_id, label) of completed enrolment collections, once per client within the
-    window. Setting a label again is harmless, so later repeats may pass."""
+def labels(completions: DataFrame, ts: str) -> DataFrame:
+    """(client_id, label, first_seen) of completed enrolment collections, for update mode.
+    Repeats of a client are combined before the shuffle, and the state holds one row per
+    client. Setting a label again is harmless, so an earlier time may update its row."""
     enrolled = completions.where(F.exists("artifacts_with_results", lambda a: matches(a, ENROLMENT)))
     labelled = enrolled.withColumn("label", role_label(F.col("os"), F.col("domain_role"))).where("label is not null")
-    once = labelled.withWatermark(ts, window).dropDuplicatesWithinWatermark(["client_id", "label"])
-    return once.select("client_id", "label")
+    return labelled.groupBy("client_id", "label").agg(F.min(ts).alias("first_seen"))
 
 
 def exports(completions: DataFrame, ts: str, artifact_regex: str = ".", per_flow_folder: bool = False) -> DataFrame:

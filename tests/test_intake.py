@@ -40,9 +40,16 @@ def test_packages_to_tables_and_ledgers(spark, listing, tmp_path):
     assert {r["zipfile_basename"]: (r["hostname"], r["is_encrypted"]) for r in summary} == {
         "a.zip": ("alpha", False), "b.ZIP": ("beta.corp", False), "c.zip": ("", None)}
 
+    logs = spark.read.parquet(f"{root}/ledgers/logs").collect()
+    assert [(r["zipfile"], r["level"]) for r in logs] == [("c.zip", "ERROR")]
+    snapshots = sinks.read_snapshots(spark, f"{root}/snapshots")
+    assert snapshots.where("section = 'summary'").count() == 3
+    assert snapshots.where("section = 'uploads'").count() == len(uploads)
+
     # the same session again replaces its rows; another session finds nothing to do
     run(spark, listing, root, "s1")
     assert tables.read("t_Artifact_One").count() == 2 and spark.read.parquet(f"{root}/ledgers/uploads").count() == len(uploads)
+    assert sinks.read_snapshots(spark, f"{root}/snapshots").count() == snapshots.count()
 
 
 def test_gate_between_sessions(spark, listing, tmp_path):

@@ -19,6 +19,45 @@ def make_zip(members, nested=False):
     return make_zip({"metadata.json": "{}", "inner/data.zip": data.getvalue()})
 
 
+def encrypted(data, password):
+    """The members of a stored zip, with the traditional encryption."""
+    crc = [0] * 256
+    for n in range(256):
+        c = n
+        for _ in range(8):
+            c = (c >> 1) ^ 0xEDB88320 if c & 1 else c >> 1
+        crc[n] = c
+    keys = [0x12345678, 0x23456789, 0x34567890]
+
+    def update(byte):
+        keys[0] = (keys[0] >> 8) ^ crc[(keys[0] ^ byte) & 255]
+        keys[1] = ((keys[1] + (keys[0] & 255)) * 134775813 + 1) & 0xFFFFFFFF
+        keys[2] = (keys[2] >> 8) ^ crc[(keys[2] ^ (keys[1] >> 24)) & 255]
+
+    for b in password:
+        update(b)
+    out = bytearray()
+    for b in data:
+        k = keys[2] | 2
+        out.append(b ^ (((k * (k ^ 1)) >> 8) & 255))
+        update(b)
+    return bytes(out)
+
+
+def make_encrypted_zip(name, content, password):
+    """One stored member; local header, directory and end record by hand."""
+    import binascii
+    import struct
+
+    check = binascii.crc32(content)
+    body = encrypted(b"\0" * 11 + bytes([check >> 24]) + content, password)
+    common = struct.pack("<HHHHHIIIHH", 20, 1, 0, 0, 33, check, len(body), len(content), len(name), 0)
+    local = b"PK\3\4" + common + name
+    central = b"PK\1\2" + struct.pack("<H", 20) + common + struct.pack("<HHHII", 0, 0, 0, 0, 0) + name
+    start = len(local) + len(body)
+    return local + body + central + b"PK\5\6" + struct.pack("<HHHHIIH", 0, 0, 1, 1, len(central), start, 0)
+
+
 def jsonl(*rows):
     return "".join(json.dumps(r) + "\n" for r in rows)
 
@@ -95,6 +134,24 @@ def test_member_lines_to_tables(spark, found, tmp_path):
     assert store.read("t_Artifact_Two").select("b", "src_host", "src_upload").first() == ("é", "h", "id1")
 
 
+def test_password(spark, tmp_path):
+    (tmp_path / "my 100%2F.zip").write_bytes(make_encrypted_zip(b"results/a.json", b'{"a": 1}\n', b"secret"))
+    found = packages.list_packages(spark, str(tmp_path)).select(F.col("path").alias("package"))
+    members = packages.member_inventory(found)
+    assert members.first()["encrypted"] is True
+    assert packages.has_raw_evidence(members).first()["is_encrypted"] is True
+    assert packages.member_lines(members, password="secret").first()["line"] == '{"a": 1}'
+    for given in [None, "wrong"]:
+        row = packages.member_lines(members, password=given).first()
+        assert row["line"] is None and row["error"]
+
+
+def test_batches_are_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(packages, "BYTES_PER_BATCH", 50)
+    archive = zipfile.ZipFile(io.BytesIO(make_zip({"a.json": jsonl(*[{"x": "y" * 30}] * 7)})))
+    assert [len(b) for b in packages._member_lines("p", archive, ["a.json"])] == [2, 2, 2, 1]
+
+
 def test_package_lines_equal_member_lines(spark, found):
     members = packages.member_inventory(found).where("size > 0 and (member like '%.json' or member like '%.jsonl')")
     one = {tuple(r) for r in packages.member_lines(members).collect()}

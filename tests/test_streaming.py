@@ -93,11 +93,14 @@ def test_labels_once_per_client(spark, tmp_path):
                                             ("c2", minutes(i), ["Other"], "linux", ""),
                                             ("c3", minutes(i), info, "linux", "Member Server")], schema, f"f{i}")
     out = reactions.labels(stream(spark, str(tmp_path / "in"), schema), "ts")
-    query = out.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).option(
-        "path", str(tmp_path / "out")).trigger(availableNow=True).start()
-    query.awaitTermination()
-    rows = spark.read.parquet(str(tmp_path / "out")).collect()
-    assert sorted(tuple(r) for r in rows) == [("c1", "Server"), ("c3", "Linux")]
+
+    def keep(batch, batch_id):
+        batch.write.mode("overwrite").parquet(discovery.batch_folder(str(tmp_path / "out"), batch_id))
+
+    discovery.start(out, keep, str(tmp_path / "c"), mode="update").awaitTermination()
+    rows = discovery.read_batches(spark, str(tmp_path / "out"), "client_id string, label string, first_seen timestamp")
+    assert {(r["client_id"], r["label"]) for r in rows.collect()} == {("c1", "Server"), ("c3", "Linux")}
+    assert rows.agg(F.min("first_seen")).first()[0] == minutes(0)
 
 
 def test_counters(spark, tmp_path):
