@@ -7,14 +7,15 @@ running a session again replaces its own rows.
 
 from __future__ import annotations
 
+import re
 import time
 from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlake.functions import paths, text
-from siftlake.operators import ledger, rules
+from siftlake.functions import documents, paths, text
+from siftlake.operators import ledger, numbering, rules
 from siftlake.operators.skew import lookup_join
 from siftlake.session import path_exists
 from siftlake.sources import packages, records, sinks
@@ -59,6 +60,52 @@ def eligible(listing: DataFrame, root: str, session: str, use_ledger: bool = Tru
     return joined.where(open_).select(*listing.columns)
 
 
+def _checked(session: str) -> str:
+    if not re.fullmatch(paths.ID_PATTERN, session):
+        raise ValueError(f"session must match {paths.ID_PATTERN}: {session!r}")
+    return session
+
+
+def _entries(packages_: DataFrame, session: str, status: str | Column, at: Column) -> DataFrame:
+    """Status rows of packages; the ledger knows them by file name."""
+    named = packages_.withColumns({"package": paths.basename(F.col("package")), "session": F.lit(session), "started_at": at})
+    return ledger.status_entry(named, F.lit(status) if isinstance(status, str) else status, F.lit(None), at)
+
+
+def queue_packages(spark: SparkSession, listing: DataFrame, root: str, session: str, threshold: int,
+                   per_batch: int = 20, now: datetime | None = None) -> DataFrame:
+    """Discovered packages (package, size, source) to work messages (batch_kind, batch_no,
+    message). Unknown packages enter the ledger as `new`, packed ones become `queued`."""
+    at, work = _now(now), f"{root}/_work/{_checked(session)}"
+    found = listing.select("package", "size", "source")
+    known = current_status(spark, root, before=session)
+    if known is None:
+        fresh = found
+    else:
+        names = found.withColumn("_name", paths.basename(F.col("package")))
+        fresh = ledger.new_packages(names, known.select(F.col("package").alias("_name")), "_name").select(*found.columns)
+    todo = _store(eligible(found, root, session), f"{work}/todo")
+    _write_status(_entries(fresh, session, "new", at), root, session, "new", 0)
+    batches = numbering.pack_batches(todo, ["source", "package"], threshold, per_batch)
+    item = F.struct(F.col("package").alias("triagepackage"), F.col("source").alias("source_name"))
+    messages = batches.groupBy("batch_kind", "batch_no").agg(  # at most per_batch items each
+        documents.encode_message(F.sort_array(F.collect_list(item))).alias("message"))
+    messages = _store(messages, f"{work}/messages")
+    _write_status(_entries(todo, session, "queued", at), root, session, "queued", 1)
+    return messages
+
+
+def take_messages(messages: DataFrame, root: str, session: str, now: datetime | None = None) -> DataFrame:
+    """Messages to packages (package, size, source) for `intake_packages`; they become
+    `unqueued`. The size is not part of a message."""
+    items = messages.select(F.inline(documents.decode_message(F.col("message"))))
+    taken = items.select(F.col("triagepackage").alias("package"), F.lit(None).cast("bigint").alias("size"),
+                         F.col("source_name").alias("source"))
+    taken = _store(taken.where("package is not null"), f"{root}/_work/{_checked(session)}/taken")
+    _write_status(_entries(taken, session, "unqueued", _now(now)), root, session, "unqueued", 2)
+    return taken
+
+
 def intake_packages(spark: SparkSession, listing: DataFrame, root: str, session: str,
                     ignore: rules.IgnoreRules | None = None, prefix: str = "", sample: int | None = 1000,
                     registry_hosts: DataFrame | None = None, now: datetime | None = None,
@@ -68,12 +115,10 @@ def intake_packages(spark: SparkSession, listing: DataFrame, root: str, session:
     Below `root`: `tables`, `ledgers` (summary, uploads, logs), `snapshots`, the status ledger
     and the work tables of the session.
     """
-    started, work = _now(now), f"{root}/_work/{session}"
+    started, work = _now(now), f"{root}/_work/{_checked(session)}"
     todo = eligible(listing.select("package", "size", "source"), root, session, use_ledger)
     runs = _store(todo.withColumn("upload_id", text.run_id(F.col("package"), F.lit(session))), f"{work}/runs")
-    entry = runs.withColumns({"session": F.lit(session), "started_at": started})
-    entry = entry.withColumn("package", paths.basename(F.col("package")))
-    _write_status(ledger.status_entry(entry, F.lit("processing"), F.lit(None), started), root, session, "start", 1)
+    _write_status(_entries(runs, session, "processing", started), root, session, "start", 3)
 
     members = _store(packages.member_inventory(runs, tasks, password), f"{work}/members")
     hosts = packages.package_hosts(packages.client_infos(runs, tasks, password), registry_hosts)
@@ -123,10 +168,8 @@ def intake_packages(spark: SparkSession, listing: DataFrame, root: str, session:
            f"{root}/ledgers/logs/run={session}")
     documents = sinks.snapshot_documents(summary, "summary").unionByName(sinks.snapshot_documents(uploads, "uploads"))
     sinks.write_snapshots(documents, f"{root}/snapshots", time.time_ns())
-    done = known.withColumns({"session": F.lit(session), "started_at": started}).withColumn(
-        "package", paths.basename(F.col("package")))
     state = F.when(F.col("package_error").isNull(), "finished").otherwise("failed")
-    _write_status(ledger.status_entry(done, state, F.lit(None), _now(now)), root, session, "end", 2)
+    _write_status(_entries(known, session, state, _now(now)), root, session, "end", 4)
     return uploads
 
 
@@ -142,6 +185,7 @@ def intake_folder(spark: SparkSession, folder: str, root: str, session: str, rec
     if path_exists(spark, info):  # one small document
         document = spark.read.option("wholetext", True).text(info).select(F.get_json_object("value", "$.os_info.fqdn"))
         host = document.first()[0] or ""
+    _checked(session)
     kept = lines.where(~decision["ignored"]).select(
         paths.table_name(F.col("file"), prefix).alias("table_name"), "file", "pos", "line",
         F.lit(host).alias("host"), F.lit(name).alias("package"),

@@ -11,7 +11,7 @@ from siftlake.functions import binary, documents, paths
 from siftlake.operators.rules import matches
 from siftlake.operators.skew import lookup_join, one_per_key
 from siftlake.plans.base import MEM, REC, USR_SQL, query, stamp, stamp_sql, table, usr
-from siftlake.session import scratch_path
+from siftlake.session import scratch_path, spread
 
 _USER_ONCE = f"(SELECT sid, min(name) AS name FROM {USR_SQL} GROUP BY sid)"
 
@@ -76,7 +76,7 @@ def usn_changes(spark, sf):
    {stamp_sql('ts')} AS bam_time FROM {REC.sql} LEFT JOIN {_USER_ONCE} u ON u.sid = concat('S-1-5-21-', user_id)
  WHERE event_id % 5 <> 0""")
 def bam_executions(spark, sf):
-    values = REC.df(spark, sf).select(
+    values = REC.df(spark, sf, wide=True).select(
         F.concat(F.lit("S-1-5-21-"), "user_id").alias("sid"),
         F.concat("artifact", "event_id", F.lit(".exe")).alias("binary"),
         binary.pack_le(binary.filetime_ticks(_ts()), 8).alias("value"),
@@ -96,7 +96,7 @@ def userassist(spark, sf):
     zeros = F.lit(b"\x00" * 52)
     blob = F.concat(F.lit(b"\x00" * 4), binary.pack_le(F.col("event_id"), 4), zeros,
                     binary.pack_le(binary.filetime_ticks(_ts()), 8))
-    values = REC.df(spark, sf).select(key.alias("key_path"), blob.alias("value"), F.col("host").alias("username"))
+    values = REC.df(spark, sf, wide=True).select(key.alias("key_path"), blob.alias("value"), F.col("host").alias("username"))
     out = execution.user_assist(values, user_filter="HOST-[1-5]", execution_time_after="2024-01-10")
     return out.select("name", "user", stamp("last_execution"), "last_execution_ts", "executions")
 
@@ -111,7 +111,7 @@ def userassist(spark, sf):
    CASE WHEN vec_id % 9 = 0 THEN NULL ELSE entries END AS entries, concat('user', label) AS username
  FROM embeddings JOIN m USING (vec_id) WHERE vec_id % 9 = 0 OR regexp_matches(entries, 'DOC', 'i')""")
 def recent_docs(spark, sf):
-    emb = table(spark, sf, "embeddings").select(
+    emb = spread(table(spark, sf, "embeddings")).select(
         F.concat(F.lit("hive-"), "vec_id").alias("hive"), F.concat(F.lit(".t"), "label").alias("type"), "vec_id",
         F.concat(F.lit("user"), "label").alias("username"), F.lit("S-1-5-21-7").alias("sid"), F.lit("k").alias("key"),
         F.lit("2024-01-05").cast("timestamp").alias("mtime"), F.lit("BINARY").alias("data_type"),
@@ -133,7 +133,7 @@ def recent_docs(spark, sf):
 
 
 def _sam_values(spark, sf):
-    c = table(spark, sf, "customer")
+    c = spread(table(spark, sf, "customer"))
     ticks = lambda days: binary.pack_le(F.lit(133480000000000000) + F.col("c_custkey") * days * 864000000000, 8)
     gap = lambda n: F.lit(b"\x00" * n)
     f = F.concat(gap(8), ticks(1), gap(8), ticks(2), gap(8), ticks(3), binary.pack_le(F.col("c_custkey"), 4), gap(4),

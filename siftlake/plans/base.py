@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftlake.session import spread
+
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 
@@ -43,8 +45,10 @@ class View:
     source: str
     columns: dict[str, str]
 
-    def df(self, spark: SparkSession, sf: str) -> DataFrame:
-        return table(spark, sf, self.source).selectExpr(*[f"{e} AS {n}" for n, e in self.columns.items()])
+    def df(self, spark: SparkSession, sf: str, wide: bool = False) -> DataFrame:
+        """`wide` is for queries with much work per row."""
+        rows = table(spark, sf, self.source)
+        return (spread(rows) if wide else rows).selectExpr(*[f"{e} AS {n}" for n, e in self.columns.items()])
 
     @property
     def sql(self) -> str:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from siftlake.artifacts.system import ACCOUNT_TYPES, FLAG_NAMES
 from siftlake.functions import binary, documents, paths, text, times
 from siftlake.plans.base import PKG, REC, query, stamp, stamp_sql, table
+from siftlake.session import spread
 
 
 @query("FN-10 FN-11 FN-12", f"""
@@ -14,7 +15,7 @@ from siftlake.plans.base import PKG, REC, query, stamp, stamp_sql, table
    event_id * 7 AS u32, -event_id - 1 AS i64 FROM events""")
 def filetime_decode(spark, sf):
     ticks = binary.filetime_ticks(F.col("ts").cast("timestamp"))
-    raw = table(spark, sf, "events").select(
+    raw = spread(table(spark, sf, "events").select("event_id", "ts")).select(
         "event_id",
         F.concat(F.lit(b"\x00" * 4), binary.pack_le(ticks, 8), binary.pack_le(F.col("event_id") * 7, 4),
                  binary.pack_le(-F.col("event_id") - 1, 8)).alias("blob"))
@@ -80,7 +81,7 @@ _ROT_SQL = ("translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz
 def rot13_names(spark, sf):
     part = table(spark, sf, "part").select(
         F.concat(F.lit("p-"), "p_partkey").alias("id"), binary.rot13(F.col("p_name")).alias("rotated"))
-    docs = table(spark, sf, "documents").select(
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text")).select(
         F.concat(F.lit("d-"), "doc_id").alias("id"), F.md5(binary.rot13(F.col("text"))).alias("rotated"))
     return part.unionByName(docs)
 
@@ -188,7 +189,7 @@ def nested_objects(spark, sf):
                               F.struct(F.when(F.col("event_id") % 2 == 0, "Primary Domain Controller").alias(
                                   "DomainRole")).alias("Computer Info")))
     doc = F.col("doc")
-    return table(spark, sf, "events").select("event_id", info.alias("doc")).select(
+    return spread(table(spark, sf, "events")).select("event_id", info.alias("doc")).select(
         "event_id", documents.nested(doc, "os_info", "fqdn").alias("fqdn"),
         documents.nested(doc, "props", "k").cast("bigint").alias("k"),
         documents.nested(doc, "Computer Info", "DomainRole").alias("role"))
@@ -200,7 +201,7 @@ def nested_objects(spark, sf):
 def number_lists(spark, sf):
     blob = F.concat(binary.pack_le(F.col("user_id"), 4), F.lit(b"\xff\xff\xff\xff"),
                     binary.pack_le(F.col("event_id"), 4), F.lit(b"\xff\xff\xff\xff"))
-    blobs = REC.df(spark, sf).select("event_id", blob.alias("b"))
+    blobs = REC.df(spark, sf, wide=True).select("event_id", blob.alias("b"))
     rows = blobs.select("event_id", binary.uint32_list(F.col("b"), drop=4294967295).alias("n"))
     entries = F.transform("n", lambda v: F.when(v == 3, F.lit("")).otherwise(F.concat(F.lit("v"), v.cast("string"))))
     return rows.select("event_id", F.concat_ws(",", F.transform("n", lambda v: v.cast("string"))).alias("numbers"),

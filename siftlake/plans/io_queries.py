@@ -177,7 +177,7 @@ def _runs(spark, sf):
                          else F.lit(None).cast(f.dataType).alias(f.name) for f in ledger.SUMMARY.fields])
     empty = [F.array().cast(t).alias(n) for n, t in [
         ("postprocessing", ledger.RUN["postprocessing"].dataType), ("logs", ledger.RUN["logs"].dataType)]]
-    return UPL.df(spark, sf).select(summary.alias("summary"), F.array(upload).alias("uploads"), *empty)
+    return UPL.df(spark, sf, wide=True).select(summary.alias("summary"), F.array(upload).alias("uploads"), *empty)
 
 
 @query("SNK-02 PRJ-02", f"""

@@ -9,6 +9,7 @@ from siftlake.operators import ledger, numbering, rules, splitting
 from siftlake.operators.skew import lookup_join
 from siftlake.plans.base import (MEM, PKG, POST_SQL, REC, UPL, View, lit_ntz, post, query, stamp, stamp_sql,
                                  table)
+from siftlake.session import spread
 from siftlake.sources import packages
 
 NOW = "1998-01-01 00:15:00"
@@ -320,7 +321,7 @@ def summary_rows(spark, sf):
 def run_details(spark, sf):
     from siftlake.operators import reports
 
-    rows = post(spark, sf)
+    rows = spread(post(spark, sf))
     item = F.struct(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name)
                       for f in ledger.POSTPROCESSING.fields])
     # the nested form of a run, one artifact per document here, flattened again

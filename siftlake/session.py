@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Used only where the cluster names no shared folder (unit tests).
 _FALLBACK_CHECKPOINT_DIR = "/tmp/siftlake-checkpoints"
@@ -45,6 +45,14 @@ def scratch_path(spark: SparkSession, purpose: str) -> str:
     return f"{checkpoint_base(spark).rstrip('/')}/siftlake/{purpose}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give expensive per-row work all cores when its input has fewer splits than that, for
+    instance one file with one row group. Any larger input is returned as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df if splits >= cores else df.repartition(cores)
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)

@@ -65,6 +65,36 @@ def test_gate_between_sessions(spark, listing, tmp_path):
     assert [r["package"].rsplit("/", 1)[1] for r in intake.eligible(listing, root, "s2").collect()] == ["c.zip"]
 
 
+def test_queue_to_tables(spark, listing, tmp_path):
+    from siftlake.streaming.status import state_of, status_times
+
+    root, at = str(tmp_path / "lake"), lambda m: NOW + datetime.timedelta(minutes=m)
+    large = listing.agg(F.max("size")).first()[0]
+    messages = intake.queue_packages(spark, listing, root, "w1", threshold=large, now=at(0))
+    assert sorted(r["batch_kind"] for r in messages.collect()) == ["large", "small"]
+    assert intake.eligible(listing, root, "x").count() == 0  # queued
+    assert intake.queue_packages(spark, listing, root, "w2", threshold=large, now=at(1)).count() == 0
+    taken = intake.take_messages(messages, root, "c1", now=at(2))
+    assert taken.count() == 3 and intake.eligible(taken, root, "x").count() == 3
+    run(spark, taken, root, "p1", now=at(3))
+    events = spark.read.schema(intake.STATUS).option("recursiveFileLookup", True).parquet(f"{root}/_status")
+    assert set(events.groupBy("status").count().collect()) == {
+        ("new", 3), ("queued", 3), ("unqueued", 3), ("processing", 3), ("finished", 2), ("failed", 1)}
+    # `new` and `queued` share a time, `processing` and the end as well: order by rank
+    assert {r["package"]: (r["status"], r["illegal"]) for r in state_of(status_times(events)).collect()} == {
+        "a.zip": ("finished", False), "b.ZIP": ("finished", False), "c.zip": ("failed", False)}
+    with pytest.raises(ValueError):
+        intake.take_messages(messages, root, "no/slash")
+
+
+def test_host_filter_reaches_the_scan(spark, listing, tmp_path):
+    root = str(tmp_path / "lake")
+    run(spark, listing, root, "s1")
+    rows = sinks.ArtifactTables(spark, f"{root}/tables", "t_").read("t_Artifact_One").where("src_host = 'alpha'").select("a")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(src_host,alpha)" in plan and "ReadSchema: struct<a:bigint,src_host:string>" in plan
+
+
 def test_folder(spark, tmp_path):
     folder = tmp_path / "host one"
     (folder / "sub").mkdir(parents=True)
