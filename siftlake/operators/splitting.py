@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from siftlake.operators.numbering import BLOCK, running_sum
 from siftlake.session import ensure_checkpoint_dir
 
-FAN_IN = 64
+FAN_IN = 8  # a summary holds at most the lines of one part, so eight of them fit a task
 _NODE = "file string, node bigint, total bigint, bounds binary, rooms binary, cuts binary"
 _FULL = -(1 << 62)  # room before the first line: it always opens part 1
 
@@ -48,9 +48,12 @@ class _Step:
         return cls(ends[-1], ends, rooms, cuts).limited(target)
 
     def limited(self, target: int) -> "_Step":
-        """Room never exceeds the target: later steps cannot be reached."""
-        keep = int(np.searchsorted(self.bounds, target, side="right")) + 1
-        return _Step(self.total, self.bounds[:keep], self.rooms[:keep], self.cuts[:keep])
+        """Room never exceeds the target, so later steps cannot be reached; neighbouring steps
+        with one result become one."""
+        reach = int(np.searchsorted(self.bounds, target, side="right")) + 1
+        bounds, rooms, cuts = self.bounds[:reach], self.rooms[:reach], self.cuts[:reach]
+        differs = np.append((rooms[1:] != rooms[:-1]) | (cuts[1:] != cuts[:-1]), True)
+        return _Step(self.total, bounds[differs], rooms[differs], cuts[differs])
 
     def apply(self, room: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.searchsorted(self.bounds, room, side="right")
