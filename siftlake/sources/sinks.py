@@ -14,7 +14,7 @@ from siftlake.functions import paths
 from siftlake.operators import ledger, schema
 from siftlake.operators.schema import FieldType
 from siftlake.operators.skew import lookup_join
-from siftlake.session import path_exists
+from siftlake.session import case_sensitive, path_exists
 from siftlake.sources import records
 
 CATALOG_SCHEMA = "table_name string, column_name string, column_type string, position int, version bigint"
@@ -104,6 +104,9 @@ class ArtifactTables:
         current = self.columns(table)
         if current is None:
             raise ValueError(f"no table {table}")
+        twins = len(current.names) - len({n.lower() for n in current.names})
+        if twins and self.spark.conf.get("spark.sql.caseSensitive") != "true":
+            raise ValueError(f"{table} has columns that differ only in case: set spark.sql.caseSensitive to true")
         rows = self.spark.read.schema(current).option("basePath", self.path(table)).parquet(self.path(table))
         return rows.select(*[F.col(f"`{n}`") for n in current.names])
 
@@ -148,7 +151,7 @@ def ingest(lines: DataFrame, tables: ArtifactTables, raw_path: str, sample: int
         typed = typed_records(own, voted[name], F.col("host"), F.col("package"), F.col("upload"))
         return tables.append(typed, name, targets[name], run)
 
-    with ThreadPoolExecutor(parallel) as pool:  # loads of different tables are independent jobs
+    with case_sensitive(spark), ThreadPoolExecutor(parallel) as pool:  # loads of different tables are independent jobs
         return tables.results(list(pool.map(load, voted)))
 
 

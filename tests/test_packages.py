@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftlake.operators import rules
+from siftlake.session import case_sensitive
 from siftlake.sources import packages, records, sinks
 
 
@@ -209,3 +210,18 @@ def test_snapshots_keep_the_newest_version(spark, tmp_path):
     sinks.write_snapshots(make([("a", "finished")]), path, 2)
     got = {r["upload_id"]: json.loads(r["document"])["state"] for r in sinks.read_snapshots(spark, path).collect()}
     assert got == {"a": "finished", "b": "uploading"}
+
+
+def test_names_differing_in_case_are_two_columns(spark, tmp_path):
+    store = sinks.ArtifactTables(spark, str(tmp_path / "t"))
+    rows = [("T", "f1", 1, '{"Name": 1, "name": "x"}'), ("T", "f2", 1, '{"NAME": true}')]
+    lines = spark.createDataFrame(rows, "table_name string, file string, pos bigint, line string").selectExpr(
+        "*", "'h' AS host", "'p' AS package", "'u' AS upload")
+    assert sinks.ingest(lines, store, str(tmp_path / "raw"), run="r").first()["error"] is None
+    with pytest.raises(ValueError, match="caseSensitive"):
+        store.read("T")
+    with case_sensitive(spark):
+        got = {tuple(r)[:3] for r in store.read("T").collect()}
+        assert store.read("T").columns[:3] == ["NAME", "Name", "name"]
+    assert got == {(None, 1, "x"), (True, None, None)}
+    assert spark.conf.get("spark.sql.caseSensitive") == "false"

@@ -90,3 +90,9 @@ def test_first_file_gives_the_type(spark):
                                "table_name string, file string, key string, kind string")
     out = schema.first_file_types(df, ["table_name"], "file").collect()
     assert {r["key"]: r["kind"] for r in out} == {"a": "long", "b": "bool"}
+
+
+def test_dynamic_values_stay_json(spark):
+    df = records.parsed(records.from_memory(spark, [{"x": {"b": [1, "t"]}}, {"x": [1, 2]}, {"x": "s"}, {"x": 1.5}]))
+    out = df.orderBy("pos").select(schema.typed_value(F.col("record"), schema.FieldType("x", "dynamic")).alias("x"))
+    assert [r["x"] for r in out.collect()] == ['{"b":[1,"t"]}', "[1,2]", "s", "1.5"]
