@@ -140,8 +140,8 @@ def intake_packages(spark: SparkSession, listing: DataFrame, root: str, session:
 
     unread = spark.read.parquet(f"{work}/lines").where("error is not null").select(
         F.col("file").alias("_file"), F.col("error").alias("_unread")).distinct()
-    outcome = F.broadcast(loaded.select("table_name", F.col("initiated").alias("_loaded"), F.col("error").alias("_load_error")))
-    rows = tagged.withColumn("_file", F.concat_ws("/", "package", "member")).join(outcome, "table_name", "left")
+    outcome = loaded.select("table_name", F.col("initiated").alias("_loaded"), F.col("error").alias("_load_error"))
+    rows = lookup_join(tagged.withColumn("_file", F.concat_ws("/", "package", "member")), outcome, ["table_name"])
     rows = lookup_join(rows, unread, ["_file"])
     error = F.coalesce("_unread", "_load_error")
     uploads = rows.select(

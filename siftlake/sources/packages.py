@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftlake.functions import paths
+from siftlake.operators.skew import lookup_join
 
 MEMBER_SCHEMA = (
     "package string, member string, size bigint, compressed_size bigint, is_dir boolean, "
@@ -261,10 +262,9 @@ def member_lines(members: DataFrame, tasks: int | None = None, carry: tuple[str,
     schema = LINE_SCHEMA + "".join(f", {c} string" for c in carry)
     if "table_name" in carry and "size" in rows.columns:
         shares = rows.groupBy("table_name").agg(F.ceil(F.sum("size") / target_bytes).alias("_share"))
-        shares = F.broadcast(shares)  # one row per artifact type
         share = F.greatest(F.col("_share"), F.lit(1)).cast("bigint")
         slot = F.pmod(F.xxhash64("package", "member"), share)
-        placed = rows.join(shares, "table_name").withColumn("_slot", slot)
+        placed = lookup_join(rows, shares, ["table_name"], "inner").withColumn("_slot", slot)
         spread = _spread(placed, tasks, "table_name", "_slot")
     else:
         spread = _spread(rows, tasks, "package", "member")
