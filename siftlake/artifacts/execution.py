@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from siftlake.artifacts.common import is_binary, lineage, timestamp
 from siftlake.artifacts.registry import Parameter, artifact
 from siftlake.functions import binary, times
-from siftlake.operators.rules import matches
+from siftlake.operators.rules import any_matches, matches
 from siftlake.operators.skew import lookup_join, one_per_key
 
 
@@ -25,7 +25,7 @@ def usn(journal: DataFrame, file_name_regex=".", path_regex=".", mft_id_regex=".
         & matches(F.col("mft_id").cast("string"), mft_id_regex)
         & matches(F.col("parent_mft_id").cast("string"), parent_mft_id_regex)
         & times.within(F.col("timestamp"), timestamp(date_after), timestamp(date_before))
-        & F.exists("links", lambda link: matches(link, path_regex))
+        & any_matches(F.col("links"), path_regex)
     )
     return keep.select(
         F.col("timestamp"),

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from siftlake.functions import paths
 
 
+NO_FILTER = ("", ".", ".*")
+
+
 @dataclass(frozen=True)
 class IgnoreRules:
     """Name globs are tested on the file name, path globs on the whole member path."""
@@ -65,10 +68,20 @@ def with_ignore_decision(members: DataFrame, rules: IgnoreRules, member: str = "
 
 
 def matches(value: Column, pattern: str) -> Column:
-    """Case-insensitive regular expression search; `.` alone keeps every non-empty value."""
+    """Case-insensitive regular expression search. The default filter `.` means no filter, so
+    it also keeps rows without a value."""
+    if pattern in NO_FILTER:
+        return F.lit(True)
     return value.rlike("(?i)" + pattern)
 
 
+def any_matches(values: Column, pattern: str) -> Column:
+    """The same over a list: some element matches; without a filter an empty list is kept."""
+    if pattern in NO_FILTER:
+        return F.lit(True)
+    return F.exists(values, lambda value: matches(value, pattern))
+
+
 def contains_text(query: str, *columns: Column) -> Column:
     """Case-insensitive substring search in any of the columns; an empty query keeps all."""
     if not query:

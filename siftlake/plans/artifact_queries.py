@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from siftlake import artifacts
 from siftlake.artifacts import execution, system, userhives
 from siftlake.functions import binary, documents, paths
-from siftlake.operators.rules import matches
+from siftlake.operators.rules import any_matches
 from siftlake.operators.skew import lookup_join, one_per_key
 from siftlake.plans.base import MEM, REC, USR_SQL, query, stamp, stamp_sql, table, usr
 from siftlake.session import scratch_path, spread
@@ -328,7 +328,7 @@ def flow_exports(spark, sf):
     from siftlake.functions import text
 
     flows = REC.df(spark, sf).withColumn("artifacts_with_results", F.array("artifact", F.lit("Generic.Info")))
-    done = flows.where(F.exists("artifacts_with_results", lambda a: matches(a, "CLICK"))).withColumn(
+    done = flows.where(any_matches(F.col("artifacts_with_results"), "CLICK")).withColumn(
         "sid", F.concat(F.lit("S-1-5-21-"), "user_id"))
     named = lookup_join(done, one_per_key(usr(spark, sf), ["sid"], F.col("name")), ["sid"], "inner")
     return named.select("event_id", text.flow_export_name(

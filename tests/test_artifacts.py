@@ -112,3 +112,33 @@ def test_time_limit(spark, tmp_path):
     start = time.time()
     row = artifacts.collect(spark, [("Slow", {})], {"numbers": spark.range(1)}, str(tmp_path / "o"), time_limit=2).first()
     assert row["success"] is False and time.time() - start < 15
+
+
+def test_remote_desktop_users_without_a_name(spark):
+    import datetime
+
+    t = datetime.datetime(2024, 1, 5)
+    base = r"Software\Microsoft\Terminal Server Client"
+    rows = [("S-1", None, r"C:\Users\ann\NTUSER.DAT", base + r"\Servers\srv1", "UsernameHint", b"adm", t, "SZ"),
+            ("S-1", None, r"C:\Users\ann\NTUSER.DAT", base + r"\Servers\srv1", "CertHash", b"\x01\xff", t, "BINARY"),
+            ("S-1", None, r"C:\Users\ann\NTUSER.DAT", base + r"\Default", "MRU1", b"two", t, "SZ"),
+            ("S-1", None, r"C:\Users\ann\NTUSER.DAT", base + r"\Default", "MRU0", b"one", t, "SZ"),
+            ("S-1", None, r"C:\Users\ann\NTUSER.DAT", base + r"\Default", "MRU0", b"old", t - datetime.timedelta(1), "SZ")]
+    values = spark.createDataFrame([(*r[:5], bytearray(r[5]), *r[6:]) for r in rows],
+                                   "sid string, username string, hive string, key string, key_name string, "
+                                   "value binary, mtime timestamp, data_type string")
+    server = userhives.rdp_servers(values).collect()
+    assert [(r["username"], r["server"], r["username_hint"], r["cert_hash"]) for r in server] == [("ann", "srv1", "adm", "01ff")]
+    assert [(r["username"], r["mru"]) for r in userhives.rdp_mru(values).collect()] == [("ann", ["one", "two"])]
+    assert userhives.rdp_servers(values, user_regex="bob").count() == 0
+
+
+def test_usn_defaults_keep_every_row(spark):
+    journal = spark.createDataFrame([("C:", "2024-01-05", None, "/a", [], 5, None)],
+                                    "drive string, t string, filename string, os_path string, links array<string>, "
+                                    "mft_id bigint, parent_mft_id bigint").select(
+        "*", F.col("t").cast("timestamp").alias("timestamp"), *[F.lit(1).alias(c) for c in [
+            "reason", "sequence", "parent_sequence", "file_attributes", "source_info", "usn"]])
+    assert execution.usn(journal).first()["os_path"] == "C:/a"
+    assert execution.usn(journal, path_regex="a").count() == 0
+    assert execution.usn(journal, date_before="2024-01-05").count() == 0

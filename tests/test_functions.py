@@ -149,6 +149,8 @@ def test_messages(one):
 
 def test_regex_search_ignores_case(one):
     assert one(rules.matches(F.lit("Terminal"), "MIN")) == (True,)
+    nothing = F.lit(None).cast("string")
+    assert one(rules.matches(nothing, "."), rules.matches(F.lit(""), "x"), rules.matches(nothing, "x")) == (True, False, None)
 
 
 def test_safe_ids(one):
