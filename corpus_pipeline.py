@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siftlake.llm import mixing, quality_rules, token_files
+from siftlake.llm import decontamination, mixing, near_dup, quality_rules, token_files
 from siftlake.llm.common import read, shared_path
 
 TOKENIZER = "word_bpe_49k.json"
@@ -16,6 +16,16 @@ def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.accepted_documents(docs)
 
 
+def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates (five-word shingles, similarity 0.8) stays."""
+    return near_dup.distinct_documents(docs, k=5, percent=80)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontamination.clean_documents(docs, read(spark, sf_dir, "benchmark"))
+
+
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's target asks for: not at all, once or twice."""
     return mixing.mixed_documents(docs)
@@ -26,7 +36,8 @@ def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return token_files.token_output(docs, public_tokenizers.path(TOKENIZER))
 
 
-STAGES = [("quality_rules", rules_stage), ("mix_sources", mix_stage), ("token_files", token_stage)]
+STAGES = [("quality_rules", rules_stage), ("near_duplicates", near_dup_stage),
+          ("decontamination", decontamination_stage), ("mix_sources", mix_stage), ("token_files", token_stage)]
 
 #: SQL has no tokenizer; tests hold the pipeline against a plain version on a small table.
 ORACLE_SQL = None

@@ -132,7 +132,8 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, k: int = 5, percent
     """
     errors = radius // blocks
     items = stored(benchmark_items(benchmark, k))
-    windows = item_windows(documents, items, row_limit).where("size(grams) > 0").withColumn("mark", simhash("grams"))
+    windows = stored(item_windows(documents, items, row_limit).where("size(grams) > 0"))
+    windows = stored(windows.withColumn("mark", simhash("grams")))
     index = stored(items.select("item", "length", "gram", "fingerprint").distinct().select(
         "item", "length", "fingerprint", _blocks("fingerprint", errors, blocks)))
     sizes = index.agg(F.count("*").alias("n")).first()["n"], items.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
@@ -142,7 +143,8 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, k: int = 5, percent
         (F.col("block") == _first_block("mark", "fingerprint", errors, blocks)) & (F.expr("bit_count(mark ^ fingerprint)") <= radius))
     lists = items.select("item", "item_id", "part", F.col("grams").alias("item_grams"))
     lists = F.broadcast(lists) if sizes[0] <= row_limit and sizes[1] <= BROADCAST_WORDS else lists
-    checked = near.join(lists, "item").withColumn("common", _common("grams", "item_grams")).withColumn(
+    # Compared once and stored: filters on the figures would otherwise compare again for each use.
+    checked = stored(near.join(lists, "item").withColumn("common", _common("grams", "item_grams"))).withColumn(
         "all", F.size("grams") + F.size("item_grams") - F.col("common"))
     hits = checked.where(F.col("common") * 100 >= F.col("all") * percent).withColumn("similarity", F.col("common") / F.col("all"))
     best = hits.groupBy("doc_id", "text_key", "item_id", "part").agg(

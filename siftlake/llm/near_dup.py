@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftlake.llm.common import WordHashes, byte_texts, shingle_set, stored
@@ -218,3 +218,14 @@ def near_duplicates(documents: DataFrame, k: int = 4, percent: int = 80) -> Data
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id"))
     return found.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def distinct_documents(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """One document of each group of near-duplicates, with all its columns: the one with the
+    smallest doc_id. Of rows that repeat a doc_id and its text one stays."""
+    kept = near_duplicates(documents, k, percent).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_kept_id")).distinct()
+    rows = documents.select(F.struct("*").alias("row"), F.col("doc_id").cast("bigint").alias("_id"), F.xxhash64(F.col("text").cast("string")).alias("_text"))
+    first = Window.partitionBy("_id", "_text").orderBy("_id")
+    named = rows.where("_id IS NOT NULL").join(kept, F.col("_id") == F.col("_kept_id"), "left_semi").withColumn(
+        "_copy", F.row_number().over(first)).where("_copy = 1")
+    return named.select("row").union(rows.where("_id IS NULL").select("row")).select("row.*")
