@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siftlake.llm import decontamination, mixing, near_dup, quality_rules, token_files
+from siftlake.llm import (compression_classifier, decontamination, license_scan, mixing, near_dup, quality_rules,
+                          token_files)
 from siftlake.llm.common import read
 
 QUERIES = {}
@@ -58,11 +59,21 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+@query
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(read(spark, sf_dir, "documents"))
+
+
 @query
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_output(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query
+def op7_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compression_classifier.quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 @query
 def op8_contaminated(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
