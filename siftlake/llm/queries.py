@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from siftlake.llm import (compression_classifier, decontamination, license_scan, mixing, near_dup, quality_rules,
-                          token_files)
+                          token_counts, token_files, url_filter)
 from siftlake.llm.common import read
 
 QUERIES = {}
@@ -54,6 +54,11 @@ FROM judged
 """
 
 
+@query
+def op2_url_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(read(spark, sf_dir, "pages"))
+
+
 @query
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(read(spark, sf_dir, "documents"))
@@ -64,6 +69,12 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(read(spark, sf_dir, "documents"))
 
 
+@query
+def op5_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.section_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
+                                       public_tokenizers.PATTERN)
+
+
 @query
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_output(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
