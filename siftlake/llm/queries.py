@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siftlake.llm import (compression_classifier, decontamination, license_scan, mixing, near_dup, quality_rules,
-                          token_counts, token_files, url_filter)
+from siftlake.llm import (compression_classifier, decontamination, language_model, license_scan, mixing, near_dup,
+                          quality_rules, token_counts, token_files, url_filter)
 from siftlake.llm.common import read
 
 QUERIES = {}
@@ -97,6 +97,11 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op9_mix_sources"] = r"""
+
+
+@query
+def op10_language_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.language_scores(read(spark, sf_dir, "documents"))
 WITH docs AS (SELECT doc_id, source,
     len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t-\r]+'), lambda w: w <> ''))::BIGINT AS size,
     ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 10))::BIGINT AS hash FROM documents),
