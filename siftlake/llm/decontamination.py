@@ -31,7 +31,7 @@ BROADCAST_WORDS = 4_000_000
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), NO_WORD), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), NO_WORD), "")
 
 
 def shingles(words: str, k: int) -> Column:
@@ -98,26 +98,51 @@ def benchmark_items(benchmark: DataFrame, k: int) -> DataFrame:
         "item_id", "part", "length", "gram", "grams", "fingerprint", F.xxhash64("length", "grams").alias("item"))
 
 
-def item_windows(documents: DataFrame, items: DataFrame, row_limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Windows of documents that start at a shingle of an item of the window's size.
+def anchors(documents: DataFrame, items: DataFrame, row_limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Where shingles of items stand: doc_id, text_key, and for each document its (gram, length, at).
 
-    The best window for an item may be taken to start at a shared shingle: moving its start to the
-    first one it holds loses none, and near the end of a text it stops at the last full window. A
-    text shorter than the item is one window.
+    The place is exploded and the hash made from it in one projection that drops the words, so a
+    row of a place holds two numbers beside the key and never the text.
     """
     starts = stored(items.select("gram", "length", F.explode("grams").alias("hash")).distinct())
     few = starts.count() <= row_limit
     texts = documents.select("doc_id", F.xxhash64(F.col("text").cast("string")).alias("text_key"), words_of(F.col("text")).alias("words"))
     out = None
     for row in starts.select("gram").distinct().sort("gram").collect():  # at most k sizes
-        wanted = starts.where(F.col("gram") == row["gram"]).select("hash", "length")
-        placed = texts.select("doc_id", "text_key", "words", F.posexplode(shingles("words", row["gram"])).alias("at", "hash"))
-        found = placed.join(F.broadcast(wanted) if few else wanted, "hash")
-        start = F.greatest(F.lit(0), F.least("at", F.size("words") - F.col("length")))
-        cut = found.select("doc_id", "text_key", "length", start.alias("start"), F.slice("words", start + 1, F.col("length")).alias("window"))
-        grams = cut.select("doc_id", "text_key", "length", "start", shingles("window", row["gram"]).alias("grams"))
-        out = grams if out is None else out.union(grams)
-    return out
+        gram = row["gram"]
+        wanted = starts.where(F.col("gram") == gram).select("hash", "length", "gram")
+        last = F.size("words") - gram
+        placed = texts.where(last >= 0).select("doc_id", "text_key", "words", F.explode(F.sequence(F.lit(0), last)).alias("at"))
+        hashed = placed.select("doc_id", "text_key", "at", F.xxhash64(*[F.col("words")[F.col("at") + j] for j in range(gram)]).alias("hash"))
+        found = hashed.join(F.broadcast(wanted) if few else wanted, "hash").select("doc_id", "text_key", "gram", "length", "at")
+        out = found if out is None else out.union(found)
+    if out is None:
+        return documents.sparkSession.createDataFrame([], "doc_id long, text_key long, places array<struct<gram:int,length:int,at:int>>")
+    return stored(out.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("gram", "length", "at")).alias("places")))
+
+
+def item_windows(documents: DataFrame, items: DataFrame, k: int, row_limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Windows of documents that start at a shingle of an item of the window's size: doc_id,
+    text_key, length, start and the window's shingles.
+
+    The best window for an item may be taken to start at a shared shingle: moving its start to the
+    first one it holds loses none, and near the end of a text it stops at the last full window. A
+    text shorter than the item is one window. Only documents with such places are read again.
+    """
+    found = anchors(documents, items, row_limit)
+    places = found.agg(F.coalesce(F.sum(F.size("places")), F.lit(0))).first()[0]
+    side = found.select(F.col("doc_id").alias("place_id"), F.col("text_key").alias("place_key"), "places")
+    side = F.broadcast(side) if places <= row_limit else side
+    texts = documents.select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("text_key"))
+    held = texts.join(side, (F.col("text_key") == F.col("place_key")) & F.col("doc_id").eqNullSafe(F.col("place_id"))).select(
+        "doc_id", "text_key", words_of(F.col("text")).alias("words"), "places")
+    cut = held.select("doc_id", "text_key", F.expr("""
+        transform(array_distinct(transform(places, p -> named_struct('gram', p.gram, 'length', p.length,
+            'start', greatest(0, least(p.at, size(words) - p.length))))),
+          p -> named_struct('gram', p.gram, 'length', p.length, 'start', p.start, 'window', slice(words, p.start + 1, p.length)))
+        """).alias("windows")).select("doc_id", "text_key", F.inline("windows"))
+    grams = F.coalesce(*[F.when(F.col("gram") == g, shingles("window", g)) for g in range(1, k + 1)])
+    return cut.select("doc_id", "text_key", "length", "start", grams.alias("grams"))
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame, k: int = 5, percent: int = 80, radius: int = RADIUS,
@@ -132,7 +157,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, k: int = 5, percent
     """
     errors = radius // blocks
     items = stored(benchmark_items(benchmark, k))
-    windows = stored(item_windows(documents, items, row_limit).where("size(grams) > 0"))
+    windows = stored(item_windows(documents, items, k, row_limit)).where("size(grams) > 0")
     windows = stored(windows.withColumn("mark", simhash("grams")))
     index = stored(items.select("item", "length", "gram", "fingerprint").distinct().select(
         "item", "length", "fingerprint", _blocks("fingerprint", errors, blocks)))
