@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +23,9 @@ from pyspark.sql import functions as F
 from siftlake.llm.common import shared_path
 
 #: Entries of a word cache before it starts anew.
-CACHE_ENTRIES = 400_000
-WORD_END = b".,;:!?"
+CACHE_ENTRIES = 1_000_000
+#: Words that are encoded together.
+BLOCK_WORDS = 100_000
 
 
 class WordEncoder:
@@ -37,39 +39,65 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.dtype = dtype
         self.words: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
-    def _split(self, word: bytes) -> tuple[str, str]:
-        text = word.decode()
-        body = text.rstrip(".,;:!?")
-        if body and body != text and body[-1].isalpha():
-            return (body.lower() if body.isascii() else body), text[len(body):]
-        return (text.lower() if text.isascii() else text), ""
-
     def learn(self, words: set[bytes]) -> None:
-        """Encode what the caches lack, in one call."""
-        if len(self.words) + len(words) > CACHE_ENTRIES:
-            self.words.clear()
-        if len(self.pieces) > CACHE_ENTRIES:
-            self.pieces.clear()
-        split = {w: self._split(w) for w in words if w not in self.words}
-        lacking = sorted({p for parts in split.values() for p in parts if p} - self.pieces.keys())
-        for piece, got in zip(lacking, self.tokenizer.encode_batch_fast(lacking, add_special_tokens=False)):
+        """Encode words that are not in the cache; what is new in all of them in one call."""
+        order, bodies, ends = list(words), [], []
+        for text in map(bytes.decode, order):
+            body = text.rstrip(".,;:!?")
+            end = ""
+            if body != text:
+                if body and body[-1].isalpha():
+                    end = text[len(body):]
+                else:
+                    body = text
+            if body.isascii():
+                body = body.lower()
+            bodies.append(body)
+            ends.append(end)
+        lacking = set(bodies).union(ends).difference(self.pieces)
+        others = []
+        for piece in lacking:
+            if piece.isascii() and piece.isalpha():  # as the normalizer and splitter leave it
+                self.pieces[piece] = np.array([t.id for t in self.model.tokenize(piece)], self.dtype).tobytes()
+            else:
+                others.append(piece)
+        for piece, got in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False)):
             self.pieces[piece] = np.array(got.ids, self.dtype).tobytes()
-        for word, (body, end) in split.items():
-            self.words[word] = self.pieces[body] + (self.pieces[end] if end else b"")
-
-    def encode(self, text: bytes) -> bytes:
-        words = text.split()
-        for start in range(0, len(words), CACHE_ENTRIES // 4):  # a longer text may hold more words than the cache
-            block = words[start:start + CACHE_ENTRIES // 4]
-            try:
-                yield b"".join(map(self.words.__getitem__, block))
-            except KeyError:
-                self.learn(set(block))
-                yield b"".join(map(self.words.__getitem__, block))
+        ids = self.pieces.__getitem__
+        self.words.update(zip(order, map(bytes.__add__, map(ids, bodies), map(ids, ends))))
+
+    def encode(self, lists: list[list[bytes]]) -> list[bytes]:
+        """The ids of lists of words."""
+        distinct = set(chain.from_iterable(lists))
+        missing = distinct.difference(self.words)
+        if missing:
+            if len(self.words) + len(missing) > CACHE_ENTRIES:
+                self.words.clear()
+                missing = distinct
+            if len(self.pieces) > CACHE_ENTRIES:
+                self.pieces.clear()
+            self.learn(missing)
+        return [b"".join(map(self.words.__getitem__, words)) for words in lists]
+
+    def encode_texts(self, texts: Iterator[bytes]) -> Iterator[tuple[bytes, bool]]:
+        """The ids of whole texts in turn, in pieces of bounded size, and whether the text ends
+        with the piece. Several texts are encoded together, long ones in blocks of words."""
+        lists, ends, held = [], [], 0
+        for text in texts:
+            words = text.split()
+            for start in range(0, max(1, len(words)), BLOCK_WORDS):
+                lists.append(words[start:start + BLOCK_WORDS])
+                ends.append(start + BLOCK_WORDS >= len(words))
+                held += len(lists[-1])
+                if held >= BLOCK_WORDS:
+                    yield from zip(self.encode(lists), ends)
+                    lists, ends, held = [], [], 0
+        yield from zip(self.encode(lists), ends)
 
 
 _ENCODERS: dict[tuple[str, str], WordEncoder] = {}
@@ -96,13 +124,11 @@ def _write_shard(folder: str, path: str, end_id: int, dtype: str):
         for batch in batches:
             texts, ids = batch.column("text"), batch.column("doc_id")
             offsets = []
-            for text in texts.cast(pa.binary()):
-                for part in code.encode(text.as_py() or b""):
-                    files["bin"].write(part)
-                    at += len(part) // width
-                files["bin"].write(end)
-                at += 1
-                offsets.append(at)
+            for part, ended in code.encode_texts(t.as_py() or b"" for t in texts.cast(pa.binary())):
+                files["bin"].write(part + end if ended else part)
+                at += len(part) // width + ended
+                if ended:
+                    offsets.append(at)
             files["idx"].write(np.array(offsets, "<u8").tobytes())
             files["doc"].write(ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
             nulls += ids.null_count
