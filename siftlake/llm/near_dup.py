@@ -21,10 +21,10 @@ from siftlake.llm.common import WordHashes, byte_texts, shingle_set, stored
 
 SYMBOLS = 32
 CHUNK = 4
-#: Candidates further apart than this are not verified: at 0.8 that has probability 1e-9.
-MAX_DISTANCE = 20
-#: Rounds of comparing every bucket with one of its members, before the rest is compared in full.
-STAR_ROUNDS = 4
+#: Candidates further apart than this are not verified: at 0.8 that has probability 2e-6.
+MAX_DISTANCE = 18
+#: Ids of documents (8 bytes) that are broadcast at most.
+BROADCAST_ROWS = 1_000_000
 _SEEDS = np.random.default_rng(20240229).integers(1, 1 << 63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BLOCK = 8192
 
@@ -84,85 +84,90 @@ def components(links: DataFrame) -> DataFrame:
     Each round hooks every node to its smallest neighbour, follows hooks two steps and replaces
     nodes by what they hang on, until no link between different nodes is left. A chain shrinks by
     a factor of four each round, a star needs two. Tables stay distributed; the driver sees one
-    count a round.
+    row a round.
     """
-    edges = stored(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    edges = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     labels = edges.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct()
-    while edges.take(1):
-        hook = edges.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("up"))
-        hook = stored(hook)
+    left = True
+    while left:
+        direct = edges.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("up"))
+        hook, above = direct, direct.select(F.col("node").alias("up"), F.col("up").alias("top"))
         for _ in range(2):
-            above = hook.select(F.col("node").alias("up"), F.col("up").alias("top"))
             hook = hook.join(above, "up", "left").select("node", F.coalesce("top", "up").alias("up"))
         hook = stored(hook)
-        to = hook.select(F.col("node").alias("label"), "up")
-        labels = stored(labels.join(to, "label", "left").select("node", F.coalesce("up", "label").alias("label")))
+        labels = labels.join(hook.select(F.col("node").alias("label"), "up"), "label", "left").select("node", F.coalesce("up", "label").alias("label"))
         ends = [hook.select(F.col("node").alias(c), F.col("up").alias(f"up_{c}")) for c in ("a", "b")]
         edges = stored(edges.join(ends[0], "a").join(ends[1], "b").where("up_a <> up_b").select(
             F.col("up_a").alias("a"), F.col("up_b").alias("b")).distinct())
-    return labels
-
-
-class _Verifier:
-    """Confirms candidate pairs on full sets, whose words are read anew for classes in a pair."""
-
-    def __init__(self, documents: DataFrame, classes: DataFrame, k: int, percent: int):
-        self.documents, self.classes, self.k, self.percent = documents, classes, k, percent
-
-    def near(self, pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) that size and signature distance leave possible."""
-        for c in ("a", "b"):
-            side = self.classes.select(F.col("class").alias(c), F.col("n").alias(f"n_{c}"), F.col("signature").alias(f"s_{c}"))
-            pairs = pairs.join(side, c)
-        apart = F.size(F.filter(F.zip_with("s_a", "s_b", lambda x, y: x != y), lambda x: x))
-        sizes = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * self.percent
-        return pairs.where(sizes & (apart <= MAX_DISTANCE)).select("a", "b").distinct()
-
-    def links(self, pairs: DataFrame) -> DataFrame:
-        pairs = stored(self.near(pairs))
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        texts = self.documents.join(wanted, "doc_id", "left_semi")
-        sets = stored(texts.mapInArrow(_sets(self.k), "class long, shingles array<long>"))
-        for c in ("a", "b"):
-            pairs = pairs.join(sets.select(F.col("class").alias(c), F.col("shingles").alias(f"set_{c}")), c)
-        common = F.size(F.array_intersect("set_a", "set_b"))
-        union = F.size("set_a") + F.size("set_b") - common
-        return stored(pairs.where(common * 100 >= union * self.percent).select("a", "b").distinct())
+        left = bool(edges.take(1))
+    return stored(labels)
 
 
 def _pairs(left: Column | str, right: Column | str) -> list[Column]:
     return [F.least(left, right).alias("a"), F.greatest(left, right).alias("b")]
 
 
-def _other_pairs(buckets: DataFrame) -> DataFrame:
-    """Pairs of members of one bucket (key, class, label) that have different labels.
+def _confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links among candidate pairs (a, b): those that size and signature distance leave possible
+    are compared on their full sets."""
+    for c in ("a", "b"):
+        side = classes.select(F.col("class").alias(c), F.col("n").alias(f"n_{c}"), F.col("signature").alias(f"s_{c}"))
+        pairs = pairs.join(side, c)
+    apart = F.size(F.filter(F.zip_with("s_a", "s_b", lambda x, y: x != y), lambda x: x))
+    sizes = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
+    near = stored(pairs.where(sizes & (apart <= MAX_DISTANCE)).select("a", "b").distinct())
+    for c in ("a", "b"):
+        near = near.join(sets.select(F.col("class").alias(c), F.col("shingles").alias(f"set_{c}")), c)
+    common = F.size(F.array_intersect("set_a", "set_b"))
+    union = F.size("set_a") + F.size("set_b") - common
+    return stored(near.where(common * 100 >= union * percent).select("a", "b").distinct())
 
-    Labels that meet in a bucket are paired first, and only then their members, so members of one
-    label, such as a large family of copies, are never held against each other.
-    """
-    mixed = buckets.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    rest = stored(buckets.join(mixed, "key"))
-    meets = rest.select("key", "label").distinct()
-    both = meets.select("key", F.col("label").alias("l1")).join(meets.select("key", F.col("label").alias("l2")), "key").where("l1 < l2")
-    one = rest.select("key", F.col("label").alias("l1"), F.col("class").alias("c1")).join(both, ["key", "l1"])
-    two = rest.select("key", F.col("label").alias("l2"), F.col("class").alias("c2"))
-    return one.join(two, ["key", "l2"]).select(*_pairs("c1", "c2")).distinct()
+
+def _mixed(buckets: DataFrame, by: list[str]) -> DataFrame:
+    """The rows of buckets whose members have different labels."""
+    return buckets.join(buckets.groupBy(*by).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select(*by), by)
 
 
-def _pairs_left(buckets: DataFrame) -> int:
-    """How many pairs of members with different labels all buckets have together."""
-    by_label = buckets.groupBy("key", "label").agg(F.count("*").cast("double").alias("n"))
-    by_key = by_label.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
-    return int(by_key.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2), F.lit(0.0))).first()[0])
+def _least_common(n: Column, m: Column, percent: int) -> Column:
+    """How many shingles sets of n and m must share to have `percent` in common."""
+    return F.ceil((n + m) * percent / (100 + percent))
 
 
-def class_links(documents: DataFrame, sketch: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+def _other_pairs(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of members of one bucket (key, class, label) that have different labels and may be
+    similar.
+
+    A set of n shingles of which `own` are in no other member of a mixed bucket shares at most
+    n - own with any partner. Members for which that is too little even for the smallest partner
+    of their bucket go before pairs are made, so documents that have a passage in common, or
+    copies that have drifted too far, are not held against each other. Of what is left, labels
+    are paired first and only then their members, so members of one label never meet.
+    """
+    rest = stored(_mixed(buckets, ["key"]))
+    shingles = sets.join(rest.select("class").distinct(), "class", "left_semi").select(
+        "class", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    shared = shingles.groupBy("shingle").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("shingle")
+    most = stored(shingles.join(shared, "shingle").groupBy("class", "n").agg(F.count("*").alias("most")))
+    sized = rest.join(most, "class")
+    least = sized.groupBy("key").agg(F.min("n").alias("least"))
+    smallest = F.greatest("least", F.ceil(F.col("n") * percent / 100))
+    able = sized.join(least, "key").where(F.col("most") >= _least_common(F.col("n"), smallest, percent))
+    able = stored(_mixed(able.select("key", "class", "label", "n", "most"), ["key"]))
+    meets = able.select("key", "label").distinct()
+    both = meets.withColumnRenamed("label", "l1").join(meets.withColumnRenamed("label", "l2"), "key").where("l1 < l2")
+    one = able.select("key", *[F.col(c).alias(f"{c}1") for c in ("class", "n", "most")], F.col("label").alias("l1")).join(both, ["key", "l1"])
+    two = able.select("key", *[F.col(c).alias(f"{c}2") for c in ("class", "n", "most")], F.col("label").alias("l2"))
+    possible = F.least("most1", "most2") >= _least_common(F.col("n1"), F.col("n2"), percent)
+    return one.join(two, ["key", "l2"]).where(possible).select(*_pairs("class1", "class2")).distinct()
+
+
+def class_links(documents: DataFrame, sketch: DataFrame, k: int, percent: int, row_limit: int = BROADCAST_ROWS) -> tuple[DataFrame, DataFrame]:
     """Components of the classes of equal sets: (digest, class) and (node, label).
 
     Buckets are first compared with one member each, the one that shares most buckets with
-    others, which joins a family of copies by as many pairs as it has members. Whatever then still
-    has different labels in a bucket is compared pair by pair, so every pair that meets in a
-    bucket is either confirmed or refuted on full sets, or already linked through others.
+    others, which joins a family of copies by as many pairs as it has members. Members that then
+    still have different labels in a bucket are compared pair by pair where they can be similar,
+    so every pair that meets in a bucket is confirmed or refuted, or already linked by others.
     """
     rows = sketch.where("digest IS NOT NULL AND doc_id IS NOT NULL")
     members = stored(rows.groupBy("digest").agg(F.min("doc_id").alias("class"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature")))
@@ -174,27 +179,28 @@ def class_links(documents: DataFrame, sketch: DataFrame, k: int, percent: int) -
     keyed = classes.select("class", F.explode(bucket_keys(F.col("signature"))).alias("key")).distinct()
     sizes = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     live = stored(keyed.join(sizes, "key"))
-    weight = live.groupBy("class").agg(F.sum("size").alias("weight"))
-    verifier = _Verifier(documents, classes, k, percent)
-    links, allowed = stored(same_id), 8 * live.count()
-    buckets = live.select("key", "class").withColumn("label", F.col("class"))
-    labels, tested = None, None
-    for turn in range(STAR_ROUNDS):
-        ranked = buckets.join(weight, "class").withColumn("weight", F.col("weight") if turn == 0 else F.xxhash64(F.lit(turn), "class"))
-        centre = ranked.groupBy("key").agg(F.max(F.struct("weight", "class", "label")).alias("centre"))
-        pairs = buckets.join(centre, "key").where("label <> centre.label").select(*_pairs("class", "centre.class")).distinct()
-        pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
-        tested = pairs if tested is None else stored(tested.union(pairs))
-        links = stored(links.union(verifier.links(pairs)))
-        labels = components(links)
-        named = labels.select(F.col("node").alias("class"), F.col("label"))
-        buckets = stored(live.select("key", "class").join(named, "class", "left").select("key", "class", F.coalesce("label", "class").alias("label")))
-        if _pairs_left(buckets) <= allowed:
-            break
-    rest = _other_pairs(buckets).join(tested, ["a", "b"], "left_anti")
-    more = verifier.links(rest)
+    weight = stored(live.groupBy("class").agg(F.sum("size").alias("weight")))
+    wanted = weight.select(F.col("class").alias("doc_id"))
+    texts = documents.join(F.broadcast(wanted) if wanted.count() <= row_limit else wanted, "doc_id", "left_semi")
+    sets = stored(texts.mapInArrow(_sets(k), "class long, shingles array<long>"))
+
+    ranked = live.select("key", "class").join(weight, "class")
+    centre = ranked.groupBy("key").agg(F.max(F.struct("weight", "class")).alias("centre"))
+    first = stored(live.join(centre, "key").where("class <> centre.class").select(*_pairs("class", "centre.class")).distinct())
+    links = _confirmed(first, classes, sets, percent).union(same_id)
+    labels = components(links)
+    known = labels.select(F.col("node").alias("class"), "label")
+    buckets = live.select("key", "class").join(known, "class", "left").select("key", "class", F.coalesce("label", "class").alias("label"))
+    rest = _other_pairs(buckets, sets, percent).join(first, ["a", "b"], "left_anti")
+    more = _confirmed(rest, classes, sets, percent)
     if more.take(1):
-        labels = components(links.union(more))
+        # Only the labels still have to be joined: a link between members is one between labels.
+        for c in ("a", "b"):
+            more = more.join(labels.select(F.col("node").alias(c), F.col("label").alias(f"l_{c}")), c, "left")
+        upper = components(more.select(F.coalesce("l_a", "a").alias("a"), F.coalesce("l_b", "b").alias("b")))
+        everything = labels.unionByName(upper.select("node", F.col("node").alias("label"))).groupBy("node").agg(F.min("label").alias("label"))
+        labels = stored(everything.join(upper.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left").select(
+            "node", F.coalesce("top", "label").alias("label")))
     return members.select("digest", "class"), labels
 
 
