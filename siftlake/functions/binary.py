@@ -53,14 +53,15 @@ def uint64(blob: Column, offset: int = 0) -> Column:
 
 
 def filetime(ticks: Column) -> Column:
-    """Windows file time (BIGINT, 100 ns since 1601) as a timestamp, rounded down to micros."""
-    shifted = ticks - FILETIME_UNIX_TICKS
+    """Windows file time (BIGINT, 100 ns since 1601) as a timestamp, rounded down to micros; null
+    where the ticks are out of range."""
+    shifted = F.try_subtract(ticks, F.lit(FILETIME_UNIX_TICKS))
     return F.timestamp_micros(F.call_function("div", shifted - F.pmod(shifted, F.lit(10)), F.lit(10)))
 
 
 def filetime_words(high: Column, low: Column) -> Column:
     """File time from two 32-bit words; null when the high word is missing or zero."""
-    return F.when(F.coalesce(high, F.lit(0)) != 0, filetime(high * WORD + low))
+    return F.when(F.coalesce(high, F.lit(0)) != 0, filetime(F.try_add(F.try_multiply(high, F.lit(WORD)), low)))
 
 
 def flag_names(flags: Column, names: list[str]) -> Column:
@@ -77,13 +78,24 @@ def choice(value: Column, choices: dict[int, str]) -> Column:
     return out
 
 
+def _decoded(blob: Column) -> Column:
+    """UTF-16LE text; null for an odd length or a surrogate without its other half. In the hex
+    digits of a unit the third and fourth are those of its high byte."""
+    digits = F.hex(blob)
+    broken = digits.rlike("^(?:....)*?..D[89AB](?!..D[C-F])") | digits.rlike("^(?:(?:....)*?..(?:[0-9A-CEF].|D[0-7C-F]))?..D[C-F]")
+    return F.when((F.length(blob) % 2 == 0) & ~broken, F.decode(blob, "UTF-16LE"))
+
+
 def utf16(blob: Column, offset: Column | int, length: Column | int) -> Column:
-    return F.decode(slice_bytes(blob, offset, length), "UTF-16LE")
+    return _decoded(slice_bytes(blob, offset, length))
 
 
 def utf16_cstring(blob: Column) -> Column:
-    """UTF-16 text from the start of the blob up to the first NUL."""
-    return F.substring_index(F.decode(blob, "UTF-16LE"), "\x00", 1)
+    """UTF-16 text from the start of the blob up to the first NUL; what follows may be anything."""
+    end = F.regexp_instr(F.hex(blob), F.lit("^(?:....)*?0000"))
+    units = F.length(F.regexp_extract(F.hex(blob), "^((?:....)*?)0000", 1))
+    whole = F.when(end > 0, F.substring(blob, F.lit(1), (units / 2).cast("int"))).otherwise(blob)
+    return _decoded(whole)
 
 
 def uint32_list(blob: Column, drop: int | None = None) -> Column:

@@ -10,8 +10,9 @@ MESSAGE = f"struct<triagepackages:array<{ITEM}>,triagepackage:string,source_name
 
 
 def decode_message(message: Column) -> Column:
-    """Work items of a base64 message, from the list form or the older single form."""
-    doc = F.from_json(F.unbase64(message).cast("string"), MESSAGE)
+    """Work items of a base64 message, from the list form or the older single form. Text that is
+    not such a message gives one item without a package."""
+    doc = F.from_json(F.try_to_binary(message, F.lit("base64")).cast("string"), MESSAGE)
     single = F.array(F.struct(doc.triagepackage.alias("triagepackage"), doc.source_name.alias("source_name")))
     return F.coalesce(doc.triagepackages, single)
 

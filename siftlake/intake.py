@@ -7,6 +7,7 @@ running a session again replaces its own rows.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import time
 from datetime import UTC, datetime
@@ -34,7 +35,7 @@ def _store(df: DataFrame, path: str) -> DataFrame:
 
 
 def current_status(spark: SparkSession, root: str, before: str | None = None) -> DataFrame | None:
-    """Newest status per package, optionally without the entries of one session."""
+    """Newest status per package, optionally without the entries of one run."""
     if not path_exists(spark, f"{root}/_status"):
         return None
     rows = spark.read.schema(f"{STATUS}, run string").option("basePath", f"{root}/_status").parquet(f"{root}/_status")
@@ -43,20 +44,29 @@ def current_status(spark: SparkSession, root: str, before: str | None = None) ->
     return ledger.latest(rows.drop("run"), order=("updated_at", "seq"))
 
 
-def _write_status(entries: DataFrame, root: str, session: str, step: str, seq: int) -> None:
-    entries.withColumn("seq", F.lit(seq)).write.mode("overwrite").parquet(f"{root}/_status/run={session}/{step}")
+def _write_status(entries: DataFrame, root: str, run: str, step: str, seq: int) -> None:
+    entries.withColumn("seq", F.lit(seq)).write.mode("overwrite").parquet(f"{root}/_status/run={run}/{step}")
 
 
-def eligible(listing: DataFrame, root: str, session: str, use_ledger: bool = True) -> DataFrame:
-    """Packages of the listing to process: unknown ones, and known ones that are new or were
-    queued again."""
-    known = current_status(listing.sparkSession, root, before=session) if use_ledger else None
+def _failures(spark: SparkSession, root: str, before: str) -> DataFrame:
+    rows = spark.read.schema(f"{STATUS}, run string").option("basePath", f"{root}/_status").parquet(f"{root}/_status")
+    failed = (F.col("run") != before) & (F.col("status") == "failed")
+    return rows.where(failed).groupBy(F.col("package").alias("_name")).agg(F.count("*").alias("_failures"))
+
+
+def eligible(listing: DataFrame, root: str, run: str, use_ledger: bool = True, max_retry: int = 0) -> DataFrame:
+    """Packages of the listing to process: unknown ones, known ones that are new or were queued
+    again, and failed ones that have failed at most `max_retry` times."""
+    known = current_status(listing.sparkSession, root, before=run) if use_ledger else None
     if known is None:
         return listing
     # the ledger knows packages by file name, the listing by address
     names = known.select(F.col("package").alias("_name"), "status")
     joined = lookup_join(listing.withColumn("_name", paths.basename(F.col("package"))), names, ["_name"])
     open_ = F.col("status").isNull() | F.col("status").isin(ledger.ELIGIBLE)
+    if max_retry:
+        joined = lookup_join(joined, _failures(listing.sparkSession, root, run), ["_name"])
+        open_ = open_ | ((F.col("status") == "failed") & (F.coalesce("_failures", F.lit(0)) <= max_retry))
     return joined.where(open_).select(*listing.columns)
 
 
@@ -66,6 +76,15 @@ def _checked(session: str) -> str:
     return session
 
 
+def run_key(inputs: DataFrame, session: str, column: str = "package") -> str:
+    """Folder name of a run: the session and a digest of the set of its inputs. A session may be
+    called for one message after another, and each call keeps its own rows; only a repeat with
+    the same inputs replaces what it had written."""
+    hashed = inputs.select(F.xxhash64(F.lit(1), column).alias("a"), F.xxhash64(F.lit(2), column).alias("b")).distinct()
+    row = hashed.agg(F.count("*"), F.bit_xor("a"), F.bit_xor("b"), F.sum(F.col("a").cast("decimal(20,0)"))).first()
+    return f"{_checked(session)}-{hashlib.sha256(repr(tuple(row)).encode()).hexdigest()[:16]}"
+
+
 def _entries(packages_: DataFrame, session: str, status: str | Column, at: Column) -> DataFrame:
     """Status rows of packages; the ledger knows them by file name."""
     named = packages_.withColumns({"package": paths.basename(F.col("package")), "session": F.lit(session), "started_at": at})
@@ -76,49 +95,57 @@ def queue_packages(spark: SparkSession, listing: DataFrame, root: str, session:
                    per_batch: int = 20, now: datetime | None = None) -> DataFrame:
     """Discovered packages (package, size, source) to work messages (batch_kind, batch_no,
     message). Unknown packages enter the ledger as `new`, packed ones become `queued`."""
-    at, work = _now(now), f"{root}/_work/{_checked(session)}"
     found = listing.select("package", "size", "source")
-    known = current_status(spark, root, before=session)
+    run = run_key(found, session)
+    at, work = _now(now), f"{root}/_work/{run}"
+    known = current_status(spark, root, before=run)
     if known is None:
         fresh = found
     else:
         names = found.withColumn("_name", paths.basename(F.col("package")))
         fresh = ledger.new_packages(names, known.select(F.col("package").alias("_name")), "_name").select(*found.columns)
-    todo = _store(eligible(found, root, session), f"{work}/todo")
-    _write_status(_entries(fresh, session, "new", at), root, session, "new", 0)
+    todo = _store(eligible(found, root, run), f"{work}/todo")
+    _write_status(_entries(fresh, session, "new", at), root, run, "new", 0)
     batches = numbering.pack_batches(todo, ["source", "package"], threshold, per_batch)
     item = F.struct(F.col("package").alias("triagepackage"), F.col("source").alias("source_name"))
     messages = batches.groupBy("batch_kind", "batch_no").agg(  # at most per_batch items each
         documents.encode_message(F.sort_array(F.collect_list(item))).alias("message"))
     messages = _store(messages, f"{work}/messages")
-    _write_status(_entries(todo, session, "queued", at), root, session, "queued", 1)
+    _write_status(_entries(todo, session, "queued", at), root, run, "queued", 1)
     return messages
 
 
 def take_messages(messages: DataFrame, root: str, session: str, now: datetime | None = None) -> DataFrame:
     """Messages to packages (package, size, source) for `intake_packages`; they become
-    `unqueued`. The size is not part of a message."""
-    items = messages.select(F.inline(documents.decode_message(F.col("message"))))
+    `unqueued`. The size is not part of a message. Messages that name no package are kept below
+    `rejects/messages`."""
+    run = run_key(messages, session, "message")
+    decoded = messages.withColumn("_items", documents.decode_message(F.col("message")))
+    named = F.exists("_items", lambda item: item["triagepackage"].isNotNull())
+    _store(decoded.where(~F.coalesce(named, F.lit(False))).select("message"), f"{root}/rejects/messages/run={run}")
+    items = decoded.select(F.inline("_items"))
     taken = items.select(F.col("triagepackage").alias("package"), F.lit(None).cast("bigint").alias("size"),
                          F.col("source_name").alias("source"))
-    taken = _store(taken.where("package is not null"), f"{root}/_work/{_checked(session)}/taken")
-    _write_status(_entries(taken, session, "unqueued", _now(now)), root, session, "unqueued", 2)
+    taken = _store(taken.where("package is not null"), f"{root}/_work/{run}/taken")
+    _write_status(_entries(taken, session, "unqueued", _now(now)), root, run, "unqueued", 2)
     return taken
 
 
 def intake_packages(spark: SparkSession, listing: DataFrame, root: str, session: str,
-                    ignore: rules.IgnoreRules | None = None, prefix: str = "", sample: int | None = 1000,
+                    ignore: rules.IgnoreRules | None = None, prefix: str = "", sample: int | None = None,
                     registry_hosts: DataFrame | None = None, now: datetime | None = None,
-                    use_ledger: bool = True, tasks: int | None = None, password: str | None = None) -> DataFrame:
+                    use_ledger: bool = True, tasks: int | None = None, password: str | None = None,
+                    max_retry: int = 0) -> DataFrame:
     """Process packages (package, size, source) and return the upload rows of the run.
 
-    Below `root`: `tables`, `ledgers` (summary, uploads, logs), `snapshots`, the status ledger
-    and the work tables of the session.
+    Below `root`: `tables`, `rejects` (lines that are no JSON record), `ledgers` (summary,
+    uploads, logs), `snapshots`, the status ledger and the work tables of the run.
     """
-    started, work = _now(now), f"{root}/_work/{_checked(session)}"
-    todo = eligible(listing.select("package", "size", "source"), root, session, use_ledger)
+    run = run_key(listing, session)
+    started, work = _now(now), f"{root}/_work/{run}"
+    todo = eligible(listing.select("package", "size", "source"), root, run, use_ledger, max_retry)
     runs = _store(todo.withColumn("upload_id", text.run_id(F.col("package"), F.lit(session))), f"{work}/runs")
-    _write_status(_entries(runs, session, "processing", started), root, session, "start", 3)
+    _write_status(_entries(runs, session, "processing", started), root, run, "start", 3)
 
     members = _store(packages.member_inventory(runs, tasks, password), f"{work}/members")
     hosts = packages.package_hosts(packages.client_infos(runs, tasks, password), registry_hosts)
@@ -136,7 +163,7 @@ def intake_packages(spark: SparkSession, listing: DataFrame, root: str, session:
         lines.select("table_name", F.concat_ws("/", "package", "member").alias("file"), F.col("line_no").alias("pos"),
                      "line", "host", paths.basename(F.col("package")).alias("package"),
                      F.col("upload_id").alias("upload"), "error"),
-        store, f"{work}/lines", sample, run=session, numbered=True)
+        store, f"{work}/lines", sample, run=run, numbered=True, rejects=f"{root}/rejects/lines")
 
     unread = spark.read.parquet(f"{work}/lines").where("error is not null").select(
         F.col("file").alias("_file"), F.col("error").alias("_unread")).distinct()
@@ -150,14 +177,14 @@ def intake_packages(spark: SparkSession, listing: DataFrame, root: str, session:
         (~F.col("ignored_upload") & error.isNull() & F.coalesce("_loaded", F.lit(False))).alias("upload_initiated"),
         F.when(~F.col("ignored_upload"), error).alias("upload_error"), "ignored_upload", "ignored_reason", "ignored_pattern")
     uploads = ledger.shaped(uploads, ledger.UPLOAD, lead=("uploadid", "zipfile"))
-    uploads = _store(uploads, f"{root}/ledgers/uploads/run={session}")
+    uploads = _store(uploads, f"{root}/ledgers/uploads/run={run}")
 
     summary = known.select(
         paths.basename(F.col("package")).alias("zipfile_basename"), F.col("package").alias("zipfile_fullpath"),
         F.col("size").alias("zipfile_size"), F.lit(session).alias("sessionid"), F.col("upload_id").alias("uploadid"),
         F.col("source").alias("source_name"), started.alias("starttime_script"), "is_encrypted",
         F.col("host").alias("hostname"))
-    summary = _store(ledger.shaped(summary, ledger.SUMMARY), f"{root}/ledgers/summary/run={session}")
+    summary = _store(ledger.shaped(summary, ledger.SUMMARY), f"{root}/ledgers/summary/run={run}")
     by = ["uploadid", "zipfile"]
     failed = known.where("package_error is not null").select(
         F.col("upload_id").alias("uploadid"), paths.basename(F.col("package")).alias("zipfile"),
@@ -165,16 +192,16 @@ def intake_packages(spark: SparkSession, listing: DataFrame, root: str, session:
     partly = uploads.where("upload_error is not null").select(
         *by, F.concat_ws(": ", "location_in_zip", "upload_error").alias("_message"))
     _store(sinks.log_rows(failed.unionByName(partly), started, F.lit("ERROR"), F.col("_message"), by),
-           f"{root}/ledgers/logs/run={session}")
+           f"{root}/ledgers/logs/run={run}")
     documents = sinks.snapshot_documents(summary, "summary").unionByName(sinks.snapshot_documents(uploads, "uploads"))
     sinks.write_snapshots(documents, f"{root}/snapshots", time.time_ns())
     state = F.when(F.col("package_error").isNull(), "finished").otherwise("failed")
-    _write_status(_entries(known, session, state, _now(now)), root, session, "end", 4)
+    _write_status(_entries(known, session, state, _now(now)), root, run, "end", 4)
     return uploads
 
 
 def intake_folder(spark: SparkSession, folder: str, root: str, session: str, recursive: bool = False,
-                  ignore: rules.IgnoreRules | None = None, prefix: str = "", sample: int | None = 1000) -> DataFrame:
+                  ignore: rules.IgnoreRules | None = None, prefix: str = "", sample: int | None = None) -> DataFrame:
     """Load the `.jsonl` files of a folder, tagged with the host of its client information
     and the folder name; returns one outcome row per table."""
     lines = records.read_jsonl(spark, folder, recursive)
@@ -185,10 +212,10 @@ def intake_folder(spark: SparkSession, folder: str, root: str, session: str, rec
     if path_exists(spark, info):  # one small document
         document = spark.read.option("wholetext", True).text(info).select(F.get_json_object("value", "$.os_info.fqdn"))
         host = document.first()[0] or ""
-    _checked(session)
+    run = run_key(spark.createDataFrame([(folder.rstrip("/"),)], "package string"), session)
     kept = lines.where(~decision["ignored"]).select(
         paths.table_name(F.col("file"), prefix).alias("table_name"), "file", "pos", "line",
         F.lit(host).alias("host"), F.lit(name).alias("package"),
         text.run_id(F.lit(name), F.lit(session)).alias("upload"))
     store = sinks.ArtifactTables(spark, f"{root}/tables", prefix)
-    return sinks.ingest(kept, store, f"{root}/_work/{session}/lines", sample, run=session)
+    return sinks.ingest(kept, store, f"{root}/_work/{run}/lines", sample, run=run, rejects=f"{root}/rejects/lines")

@@ -156,7 +156,7 @@ def typed_value(record: Column, field: FieldType) -> Column:
     micros = F.when(number < MILLIS_FROM, number * 1_000_000).otherwise(number * 1_000)
     text = F.trim(F.try_variant_get(record, path, "string"))
     numeric = F.when(number.between(EPOCH_MIN, EPOCH_MAX), F.timestamp_micros(micros.cast("bigint")))
-    return F.coalesce(numeric, F.when(times.is_iso_datetime(text), text.try_cast("timestamp")))
+    return F.coalesce(numeric, times.iso_timestamp(text))
 
 
 def typed_columns(record: Column, schema: list[FieldType]) -> list[Column]:

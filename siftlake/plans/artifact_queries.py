@@ -10,8 +10,8 @@ from siftlake.artifacts import execution, system, userhives
 from siftlake.functions import binary, documents, paths
 from siftlake.operators.rules import any_matches
 from siftlake.operators.skew import lookup_join, one_per_key
-from siftlake.plans.base import MEM, REC, USR_SQL, query, stamp, stamp_sql, table, usr
-from siftlake.session import scratch_path, spread
+from siftlake.plans.base import MEM, REC, USR_SQL, query, spread_scan, stamp, stamp_sql, table, usr
+from siftlake.session import scratch_path
 
 _USER_ONCE = f"(SELECT sid, min(name) AS name FROM {USR_SQL} GROUP BY sid)"
 
@@ -111,7 +111,7 @@ def userassist(spark, sf):
    CASE WHEN vec_id % 9 = 0 THEN NULL ELSE entries END AS entries, concat('user', label) AS username
  FROM embeddings JOIN m USING (vec_id) WHERE vec_id % 9 = 0 OR regexp_matches(entries, 'DOC', 'i')""")
 def recent_docs(spark, sf):
-    emb = spread(table(spark, sf, "embeddings")).select(
+    emb = spread_scan(table(spark, sf, "embeddings")).select(
         F.concat(F.lit("hive-"), "vec_id").alias("hive"), F.concat(F.lit(".t"), "label").alias("type"), "vec_id",
         F.concat(F.lit("user"), "label").alias("username"), F.lit("S-1-5-21-7").alias("sid"), F.lit("k").alias("key"),
         F.lit("2024-01-05").cast("timestamp").alias("mtime"), F.lit("BINARY").alias("data_type"),
@@ -133,7 +133,7 @@ def recent_docs(spark, sf):
 
 
 def _sam_values(spark, sf):
-    c = spread(table(spark, sf, "customer"))
+    c = spread_scan(table(spark, sf, "customer"))
     ticks = lambda days: binary.pack_le(F.lit(133480000000000000) + F.col("c_custkey") * days * 864000000000, 8)
     gap = lambda n: F.lit(b"\x00" * n)
     f = F.concat(gap(8), ticks(1), gap(8), ticks(2), gap(8), ticks(3), binary.pack_le(F.col("c_custkey"), 4), gap(4),

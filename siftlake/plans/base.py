@@ -8,8 +8,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftlake.session import spread
-
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 
@@ -38,6 +36,13 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread_scan(rows: DataFrame) -> DataFrame:
+    """A raw scan over so many tasks as `siftlake.scan.tasks` asks for. Unset, which is right for
+    tables of many row groups, the scan stays as it is; a bench over tables of one row group sets it."""
+    tasks = rows.sparkSession.conf.get("siftlake.scan.tasks", None)
+    return rows.repartition(int(tasks)) if tasks else rows
+
+
 @dataclass(frozen=True)
 class View:
     """Columns over one table as expressions that Spark and ANSI SQL read alike."""
@@ -48,7 +53,7 @@ class View:
     def df(self, spark: SparkSession, sf: str, wide: bool = False) -> DataFrame:
         """`wide` is for queries with much work per row."""
         rows = table(spark, sf, self.source)
-        return (spread(rows) if wide else rows).selectExpr(*[f"{e} AS {n}" for n, e in self.columns.items()])
+        return (spread_scan(rows) if wide else rows).selectExpr(*[f"{e} AS {n}" for n, e in self.columns.items()])
 
     @property
     def sql(self) -> str:

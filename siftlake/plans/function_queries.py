@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 
 from siftlake.artifacts.system import ACCOUNT_TYPES, FLAG_NAMES
 from siftlake.functions import binary, documents, paths, text, times
-from siftlake.plans.base import PKG, REC, query, stamp, stamp_sql, table
-from siftlake.session import spread
+from siftlake.plans.base import PKG, REC, query, spread_scan, stamp, stamp_sql, table
 
 
 @query("FN-10 FN-11 FN-12", f"""
@@ -15,7 +14,7 @@ from siftlake.session import spread
    event_id * 7 AS u32, -event_id - 1 AS i64 FROM events""")
 def filetime_decode(spark, sf):
     ticks = binary.filetime_ticks(F.col("ts").cast("timestamp"))
-    raw = spread(table(spark, sf, "events").select("event_id", "ts")).select(
+    raw = spread_scan(table(spark, sf, "events").select("event_id", "ts")).select(
         "event_id",
         F.concat(F.lit(b"\x00" * 4), binary.pack_le(ticks, 8), binary.pack_le(F.col("event_id") * 7, 4),
                  binary.pack_le(-F.col("event_id") - 1, 8)).alias("blob"))
@@ -81,7 +80,7 @@ _ROT_SQL = ("translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz
 def rot13_names(spark, sf):
     part = table(spark, sf, "part").select(
         F.concat(F.lit("p-"), "p_partkey").alias("id"), binary.rot13(F.col("p_name")).alias("rotated"))
-    docs = spread(table(spark, sf, "documents").select("doc_id", "text")).select(
+    docs = spread_scan(table(spark, sf, "documents").select("doc_id", "text")).select(
         F.concat(F.lit("d-"), "doc_id").alias("id"), F.md5(binary.rot13(F.col("text"))).alias("rotated"))
     return part.unionByName(docs)
 
@@ -189,7 +188,7 @@ def nested_objects(spark, sf):
                               F.struct(F.when(F.col("event_id") % 2 == 0, "Primary Domain Controller").alias(
                                   "DomainRole")).alias("Computer Info")))
     doc = F.col("doc")
-    return spread(table(spark, sf, "events")).select("event_id", info.alias("doc")).select(
+    return spread_scan(table(spark, sf, "events")).select("event_id", info.alias("doc")).select(
         "event_id", documents.nested(doc, "os_info", "fqdn").alias("fqdn"),
         documents.nested(doc, "props", "k").cast("bigint").alias("k"),
         documents.nested(doc, "Computer Info", "DomainRole").alias("role"))

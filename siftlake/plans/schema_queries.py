@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 
 from siftlake.functions import paths, text, times
 from siftlake.operators import reports, schema
-from siftlake.plans.base import REC, query, stamp, stamp_sql, table
-from siftlake.session import spread
+from siftlake.plans.base import REC, query, spread_scan, stamp, stamp_sql, table
 from siftlake.sources import records
 
 # A field whose type changes from record to record, to make the vote a real one.
@@ -37,7 +36,7 @@ _VOTE_SQL = """
 
 
 def _event_records(spark, sf):
-    lines = spread(table(spark, sf, "events")).selectExpr("event_type AS artifact", "event_id AS pos", f"{_LINE} AS line")
+    lines = spread_scan(table(spark, sf, "events")).selectExpr("event_type AS artifact", "event_id AS pos", f"{_LINE} AS line")
     return records.parsed(lines)
 
 
@@ -109,7 +108,7 @@ def sanitize_names(spark, sf):
     pages = table(spark, sf, "pages").select(
         F.concat(F.lit("page-"), "page_id").alias("id"), paths.sanitize_name(F.col("url")).alias("clean"),
         paths.table_name(F.col("url"), "ev_").alias("table_name"))
-    docs = spread(table(spark, sf, "documents").select("doc_id", "text", "source")).select(
+    docs = spread_scan(table(spark, sf, "documents").select("doc_id", "text", "source")).select(
         F.concat(F.lit("doc-"), "doc_id").alias("id"), F.md5(paths.sanitize_name(F.col("text"))).alias("clean"),
         paths.table_name(F.concat("source", F.lit(".jsonl")), "ev_").alias("table_name"))
     return part.unionByName(pages).unionByName(docs)

@@ -6,10 +6,7 @@ import os
 import uuid
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
-
-# Used only where the cluster names no shared folder (unit tests).
-_FALLBACK_CHECKPOINT_DIR = "/tmp/siftlake-checkpoints"
+from pyspark.sql import SparkSession
 
 RECOMMENDED = {
     "spark.sql.session.timeZone": "UTC",
@@ -31,9 +28,11 @@ def build_session(master: str | None = None, app: str = "siftlake", **conf: str)
 
 
 def checkpoint_base(spark: SparkSession) -> str:
-    """The shared folder of the cluster; our own only where none is set."""
+    """The folder that all machines share."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return base or _FALLBACK_CHECKPOINT_DIR
+    if not base:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return base
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -46,14 +45,6 @@ def scratch_path(spark: SparkSession, purpose: str) -> str:
     return f"{checkpoint_base(spark).rstrip('/')}/siftlake/{purpose}-{uuid.uuid4().hex}"
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give expensive per-row work all cores when its input has fewer splits than that, for
-    instance one file with one row group. Any larger input is returned as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
-    return df if splits >= cores else df.repartition(cores)
-
-
 def path_exists(spark: SparkSession, path: str) -> bool:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)

@@ -105,13 +105,14 @@ def _open_archive(package: str, content: bytes | None, password: bytes | None) -
 
 
 def _resolve_nested(outer: zipfile.ZipFile, password: bytes | None) -> tuple[zipfile.ZipFile, str | None]:
-    """The inner archive and its name when one is present and readable."""
+    """The inner archive and its name when one is present. One that does not open is the
+    package's error: its evidence is inside."""
     for info in outer.infolist():
         if NESTED_MARK in info.filename:
             try:
                 inner = zipfile.ZipFile(outer.open(info))
-            except (zipfile.BadZipFile, RuntimeError, NotImplementedError):
-                break
+            except (zipfile.BadZipFile, RuntimeError, NotImplementedError) as exc:
+                raise zipfile.BadZipFile(f"{info.filename} does not open: {exc}") from exc
             inner.setpassword(password)
             return inner, info.filename
     return outer, None

@@ -19,6 +19,7 @@ from siftlake.sources import records
 
 CATALOG_SCHEMA = "table_name string, column_name string, column_type string, position int, version bigint"
 UPLOAD_RESULT = "table_name string, rows bigint, initiated boolean, duration_in_sec double, error string"
+REJECTED = "table_name string, rejected bigint"
 
 
 class ArtifactTables:
@@ -123,24 +124,43 @@ def typed_records(parsed: DataFrame, voted: list[FieldType], host: Column, packa
         host.alias(records.LINEAGE[0]), package.alias(records.LINEAGE[1]), upload.alias(records.LINEAGE[2]))
 
 
-def ingest(lines: DataFrame, tables: ArtifactTables, raw_path: str, sample: int | None = 1000,
-           parallel: int = 4, run: str | None = None, numbered: bool = False) -> DataFrame:
+def _column_types(landed: DataFrame, sample: int | None, numbered: bool) -> DataFrame:
+    """(table_name, file, key, kind) of every column that any line has. A sample may decide the
+    type of a column that it holds; columns beyond it are voted on with all their values."""
+    by = ["table_name", "file"]
+    if sample is None:
+        return schema.vote(landed, by, "pos", None)
+    voted = schema.vote(schema.head_lines(landed, by, "pos", sample, numbered), by, "pos", sample)
+    values = schema.fields(landed, *by, "pos").join(voted.select(*by, "key"), [*by, "key"], "left_anti")
+    return voted.unionByName(schema.majority(schema.classify(values, "value").drop("value"), [*by, "key"], "pos"))
+
+
+def ingest(lines: DataFrame, tables: ArtifactTables, raw_path: str, sample: int | None = None,
+           parallel: int = 4, run: str | None = None, numbered: bool = False, rejects: str | None = None) -> DataFrame:
     """Lines (table_name, file, pos, line, host, package, upload) to artifact tables; returns
     one outcome row per table.
 
     Lines are landed once, partitioned by table, so that each load reads only its own
     partition. One job votes on the columns of all tables; as when files are loaded one by
     one, the first file that has a column gives its type. The loop is over artifact types,
-    never over packages. `numbered` says that `pos` is the line number in the file.
+    never over packages. `numbered` says that `pos` is the line number in the file. Columns are
+    found over all lines; lines that are no JSON object are counted as `rejected` and written
+    below `rejects`, one folder a run.
     """
     spark = lines.sparkSession
     held = F.trim("line") != ""
     if "error" in lines.columns:  # members that could not be read stay visible in the landed rows
         held = held | F.col("error").isNotNull()
     lines.where(held).write.mode("overwrite").partitionBy("table_name").parquet(raw_path)
-    landed = records.parsed(spark.read.schema(lines.schema).parquet(raw_path)).where("record is not null")
-    head = schema.head_lines(landed, ["table_name", "file"], "pos", sample, numbered)
-    per_file = schema.vote(head, ["table_name", "file"], "pos", sample)
+    read = records.parsed(spark.read.schema(lines.schema).parquet(raw_path))
+    is_record = F.coalesce(F.schema_of_variant("record").startswith("OBJECT"), F.lit(False))
+    landed = read.where(is_record)
+    bad = read.where(~is_record & F.col("line").isNotNull())
+    kept = [c for c in ("table_name", "file", "pos", "line", "host", "package", "upload") if c in lines.columns]
+    if rejects:
+        bad.select(*kept).write.mode("overwrite").parquet(f"{rejects}/run={run or uuid.uuid4().hex}")
+    refused = {r["table_name"]: r["count"] for r in bad.groupBy("table_name").count().collect()}  # one row a table
+    per_file = _column_types(landed, sample, numbered)
     voted: dict[str, list[FieldType]] = {}
     for row in schema.first_file_types(per_file, ["table_name"], "file").orderBy("table_name", "key").collect():
         voted.setdefault(row["table_name"], []).append(FieldType(row["key"], row["kind"]))
@@ -152,7 +172,10 @@ def ingest(lines: DataFrame, tables: ArtifactTables, raw_path: str, sample: int
         return tables.append(typed, name, targets[name], run)
 
     with case_sensitive(spark), ThreadPoolExecutor(parallel) as pool:  # loads of different tables are independent jobs
-        return tables.results(list(pool.map(load, voted)))
+        outcomes = list(pool.map(load, voted))
+    outcomes += [(name, 0, False, 0.0, "no line is a JSON object") for name in sorted(refused.keys() - voted.keys())]
+    counts = spark.createDataFrame(list(refused.items()), REJECTED)
+    return tables.results(outcomes).join(counts, "table_name", "left").fillna(0, ["rejected"])
 
 
 # --- ledgers, snapshots, exports ------------------------------------------------------------
