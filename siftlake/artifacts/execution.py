@@ -62,7 +62,9 @@ def bam(values: DataFrame, users: DataFrame, user_regex=".") -> DataFrame:
 ])
 def user_assist(values: DataFrame, user_filter="", execution_time_after=None) -> DataFrame:
     """Programs started from the shell: decoded name, run count and last run, in time order."""
-    encoded = F.regexp_extract("key_path", r'^.+Count\\"?(.+?)"?$', 1)
+    # The encoded name follows the last `Count` key, in quotes or not.
+    tail = F.substring_index("key_path", "Count\\", -1)
+    encoded = F.when(F.col("key_path").contains("Count\\"), F.regexp_replace(tail, '^"|"$', "")).otherwise("")
     last = binary.filetime(binary.int64(F.col("value"), 60))
     out = values.select(
         "key_path",

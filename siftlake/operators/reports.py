@@ -11,8 +11,8 @@ from siftlake.operators.ledger import IN_PROGRESS
 # Durations are summed as decimals, so that a total does not depend on the order of the rows.
 SECONDS = "decimal(28,9)"
 
-# Fixed value: the text of a completion message (package, artifacts, uploads).
-NOTIFICATION = "%s finished.Postprocessed %d artifacts. Upload in total %d json files."
+# Package, number of artifacts run on it, number of files uploaded.
+NOTIFICATION = "Package %s is done: %d artifacts run, %d result files uploaded"
 
 
 def seconds_sum(value: Column) -> Column:

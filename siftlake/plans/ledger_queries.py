@@ -108,9 +108,9 @@ _KNOWN = f"(SELECT package, status FROM {PKG.sql} WHERE orderkey % 2 = 0)"
 def processing_gate(spark, sf):
     listing = PKG.df(spark, sf).select("package")
     known = PKG.df(spark, sf).where("orderkey % 2 = 0").select("package", "status")
-    new = ledger.new_packages(listing, known).withColumns({"is_new": F.lit(True), "process": F.lit(False)})
-    old = ledger.processing_gate(known.select("package"), known).withColumn("is_new", F.lit(False))
-    return new.unionByName(old)
+    new = ledger.new_packages(listing, known).select("package", F.lit(True).alias("_new"))
+    gated = ledger.processing_gate(listing, known)
+    return lookup_join(gated, new, ["package"]).select("package", F.coalesce("_new", F.lit(False)).alias("is_new"), "process")
 
 
 @query("FLT-11 FLT-12 FLT-13", f"""

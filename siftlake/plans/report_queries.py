@@ -67,7 +67,7 @@ def status_counters(spark, sf):
    FROM {UPL.sql} GROUP BY package UNION ALL SELECT package, 0, count(*) FILTER (success AND error IS NULL)
    FROM {POST_SQL} GROUP BY package)
  SELECT package, cast(sum(artifacts) AS bigint) AS artifacts, cast(sum(uploads) AS bigint) AS uploads,
-   concat(package, ' finished.Postprocessed ', sum(artifacts), ' artifacts. Upload in total ', sum(uploads), ' json files.') AS message FROM u GROUP BY package""")
+   concat('Package ', package, ' is done: ', sum(artifacts), ' artifacts run, ', sum(uploads), ' result files uploaded') AS message FROM u GROUP BY package""")
 def notification_counts(spark, sf):
     return reports.notifications(UPL.df(spark, sf), post(spark, sf))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siftlake.functions import text
+from siftlake.operators.ledger import STATUSES
 from siftlake.plans.base import PKG, REC, lit_ntz, query, stamp, stamp_sql
 from siftlake.session import scratch_path
 from siftlake.streaming import discovery, reactions, status
@@ -14,7 +15,17 @@ _STATUS_EVENTS = f"""
  UNION ALL SELECT package, 'processing', started_at + INTERVAL 1 MINUTE FROM {PKG.sql} WHERE orderkey % 2 = 0
  UNION ALL SELECT package, 'uploading', started_at + INTERVAL 2 MINUTE FROM {PKG.sql} WHERE orderkey % 4 = 0
  UNION ALL SELECT package, 'finished', started_at + INTERVAL 3 MINUTE FROM {PKG.sql} WHERE orderkey % 8 = 0
- UNION ALL SELECT package, 'downloading', started_at + INTERVAL 4 MINUTE FROM {PKG.sql} WHERE orderkey % 16 = 0"""
+ UNION ALL SELECT package, 'downloading', started_at + INTERVAL 4 MINUTE FROM {PKG.sql} WHERE orderkey % 16 = 0
+ UNION ALL SELECT package, 'failed', started_at + INTERVAL 5 MINUTE FROM {PKG.sql} WHERE orderkey % 6 = 0
+ UNION ALL SELECT package, 'unqueued', started_at + INTERVAL 6 MINUTE FROM {PKG.sql} WHERE orderkey % 6 = 0
+ UNION ALL SELECT package, 'processing', started_at + INTERVAL 50 MINUTE FROM {PKG.sql} WHERE orderkey % 12 = 0"""
+_STATUS_STATE = f"""
+ WITH e AS ({_STATUS_EVENTS}),
+ r AS (SELECT *, list_position({STATUSES}, status) AS rank FROM e),
+ m AS (SELECT *, lag(status) OVER w AS before, lag(rank) OVER w AS rank_before FROM r WINDOW w AS (PARTITION BY package ORDER BY t, rank)),
+ s AS (SELECT package, arg_max(status, t) AS status, max(t) FILTER (before IS NULL OR before <> status) AS entered, count(*) AS events,
+   coalesce(bool_or(before <> status AND status <> 'unqueued'
+     AND (rank < rank_before OR before IN ('failed', 'downloadfailed', 'finished'))), FALSE) AS illegal FROM m GROUP BY package)"""
 
 
 def _stream(spark, sf, view, *columns):
@@ -57,28 +68,30 @@ def stream_processing(spark, sf):
         spark, f"{out}/runs", "package string, upload_id string, error string, status string").drop("batch")
 
 
-@query("STM-03", f"""
- WITH e AS ({_STATUS_EVENTS})
- SELECT package, arg_max(status, t) AS status, {stamp_sql('max(t)')} AS entered_at, count(*) AS events,
-   bool_or(status = 'downloading') AS illegal FROM e GROUP BY package""")
-def stream_status(spark, sf):
-    out = scratch_path(spark, "status")
+def _status_changes(spark, sf):
     pkg = _stream(spark, sf, PKG, "package", "orderkey", "started_at")
-    steps = [("new", 1, 0), ("processing", 2, 1), ("uploading", 4, 2), ("finished", 8, 3), ("downloading", 16, 4)]
+    steps = [("new", 1, 0), ("processing", 2, 1), ("uploading", 4, 2), ("finished", 8, 3), ("downloading", 16, 4),
+             ("failed", 6, 5), ("unqueued", 6, 6), ("processing", 12, 50)]
     events = F.filter(F.array(*[
         F.struct((F.col("orderkey") % n == 0).alias("on"), F.lit(s).alias("status"),
                  (F.col("started_at").cast("timestamp") + F.make_dt_interval(mins=F.lit(m))).alias("updated_at"))
         for s, n, m in steps]), lambda s: s["on"])
-    changes = pkg.select("package", F.inline(events)).drop("on")
-    _run(status.follow_status(changes, f"{out}/seen", f"{out}/checkpoint"))
+    return pkg.select("package", F.inline(events)).drop("on")
+
+
+@query("STM-03", f"""{_STATUS_STATE}
+ SELECT package, status, {stamp_sql('entered')} AS entered_at, events, illegal FROM s""")
+def stream_status(spark, sf):
+    out = scratch_path(spark, "status")
+    _run(status.follow_status(_status_changes(spark, sf), f"{out}/seen", f"{out}/checkpoint"))
     return status.current(spark, f"{out}/seen").withColumn("entered_at", stamp("entered_at"))
 
 
 @query("STM-04", f"""
  WITH e AS (SELECT *, event_id - 1 AS prev FROM {REC.sql}),
- m AS (SELECT least(max(ts) FILTER (artifact = 'signup'), max(ts) FILTER (artifact <> 'signup')) AS mark FROM e),
+ m AS (SELECT least(max(ts) FILTER (artifact = 'signup'), max(ts) FILTER (artifact <> 'signup')) - INTERVAL 10 MINUTE AS mark FROM e),
  j AS (SELECT f.event_id AS upload_id, f.ts AS finished_at, v.ts AS visible_at FROM e f
-   LEFT JOIN e v ON v.prev = f.event_id AND v.artifact <> 'signup' AND v.ts >= f.ts AND v.ts <= f.ts + INTERVAL 30 MINUTE
+   LEFT JOIN e v ON v.prev = f.event_id AND v.artifact <> 'signup' AND v.ts >= f.ts - INTERVAL 1 DAY AND v.ts <= f.ts + INTERVAL 30 MINUTE
    WHERE f.artifact = 'signup')
  SELECT upload_id, {stamp_sql('finished_at')} AS finished_at,
    CASE WHEN visible_at IS NOT NULL THEN 'confirmed' ELSE 'timeout' END AS confirmation FROM j, m
@@ -89,7 +102,7 @@ def stream_confirm(spark, sf):
         "ts", F.col("ts").cast("timestamp"))
     finished = rec().where("artifact = 'signup'").selectExpr("event_id AS upload_id", "ts AS finished_at")
     visible = rec().where("artifact <> 'signup'").selectExpr("event_id - 1 AS upload_id", "ts AS visible_at")
-    stream = status.confirmations(finished, visible)
+    stream = status.confirmations(finished, visible, "10 minutes")
 
     def write(batch, batch_id):
         batch.write.mode("overwrite").parquet(discovery.batch_folder(f"{out}/rows", batch_id))
@@ -139,12 +152,13 @@ def stream_exports(spark, sf):
     return spark.read.schema("client_id bigint, flow_id string, export_name string").parquet(f"{out}/rows")
 
 
-@query("STM-07 AG-04", f"SELECT status, count(*) AS packages FROM {PKG.sql} GROUP BY status")
+@query("STM-07 AG-04", f"""{_STATUS_STATE}
+ SELECT status, count(*) AS packages, max(epoch(TIMESTAMP '2026-01-01') - epoch(entered))::BIGINT AS longest_seconds FROM s GROUP BY status""")
 def stream_counters(spark, sf):
     out = scratch_path(spark, "counters")
-    entries = _stream(spark, sf, PKG, "status")
-    _run(status.follow_counters(entries, f"{out}/counts", f"{out}/checkpoint"))
-    return status.latest_batch(spark, f"{out}/counts", "status string, packages bigint")
+    now = F.lit("2026-01-01").cast("timestamp")
+    _run(status.follow_counters(_status_changes(spark, sf), out, f"{out}/checkpoint", now=now))
+    return status.latest_batch(spark, f"{out}/counts", "status string, packages bigint, longest_seconds bigint")
 
 
 @query("STM-08 STM-03", f"""

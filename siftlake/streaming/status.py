@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -11,62 +11,60 @@ from siftlake.streaming.discovery import batch_folder, read_batches, start
 
 REQUEUED = "unqueued"
 ENDED = ["failed", "downloadfailed", "finished"]
-SEEN = "package string, status string, first_seen timestamp, last_seen timestamp, events bigint"
-
-
-def status_times(events: DataFrame) -> DataFrame:
-    """First and last time of each status of a package. At most one row per package and
-    status, in a stream and in a batch alike, however many events a package has."""
-    return events.groupBy("package", "status").agg(
-        F.min("updated_at").alias("first_seen"), F.max("updated_at").alias("last_seen"), F.count("*").alias("events"))
+SEEN = "package string, status string, updated_at timestamp"
 
 
 def _rank(status: Column) -> Column:
     return F.array_position(F.array(*[F.lit(s) for s in STATUSES]), status)
 
 
-def state_of(times: DataFrame) -> DataFrame:
-    """Current state, time of entry, and whether a status was entered out of order. Going
-    back is legal only when a package is queued again, and an ended run only restarts so."""
-    seen = times.groupBy("package").agg(
-        F.max(F.struct("last_seen", _rank(F.col("status")).alias("rank"), "status", "first_seen")).alias("_now"),
-        F.sum("events").cast("bigint").alias("events"),
-        # bounded by the number of statuses
-        F.sort_array(F.collect_list(F.struct("first_seen", _rank(F.col("status")).alias("rank"), "status"))).alias("_s"))
-    pairs = F.arrays_zip(F.slice("_s", 1, F.size("_s") - 1).alias("a"), F.slice("_s", 2, F.size("_s")).alias("b"))
-    wrong = F.exists(pairs, lambda p: (p["b"]["status"] != REQUEUED) & (
-        (p["b"]["rank"] < p["a"]["rank"]) | p["a"]["status"].isin(ENDED)))
-    illegal = F.when(F.size("_s") > 1, wrong).otherwise(False)
-    return seen.select(
-        "package", F.col("_now.status").alias("status"), F.col("_now.first_seen").alias("entered_at"), "events",
-        illegal.alias("illegal"))
+def state_of(events: DataFrame) -> DataFrame:
+    """Current state, when it was entered, number of events, and whether a status was ever
+    entered out of order. Going back is legal only when a package is queued again, and an ended
+    run only restarts so. Each transition counts, also into a status that was left before."""
+    order = Window.partitionBy("package").orderBy("updated_at", "rank")
+    moves = events.select("package", "status", "updated_at").distinct().withColumn("rank", _rank(F.col("status"))).withColumns(
+        {"before": F.lag("status").over(order), "rank_before": F.lag("rank").over(order)})
+    entered = F.col("before").isNull() | (F.col("before") != F.col("status"))
+    wrong = (F.col("before") != F.col("status")) & (F.col("status") != REQUEUED) & (
+        (F.col("rank") < F.col("rank_before")) | F.col("before").isin(ENDED))
+    return moves.groupBy("package").agg(
+        F.max_by("status", F.struct("updated_at", "rank")).alias("status"),
+        F.max(F.when(entered, F.col("updated_at"))).alias("entered_at"),
+        F.count("*").alias("events"),
+        F.coalesce(F.bool_or(wrong), F.lit(False)).alias("illegal"))
 
 
 def follow_status(events: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """Keeps the status times of all packages; the state store holds one small row per
-    package and status. Changed rows are written per batch, `current` reads them."""
+    """Keeps the transitions of all packages, one folder per batch; `current` reads them."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(batch_folder(path, batch_id))
+        batch.select("package", "status", "updated_at").distinct().write.mode("overwrite").parquet(batch_folder(path, batch_id))
 
-    return start(status_times(events), write, checkpoint, mode="update", every=every)
+    return start(events, write, checkpoint, every=every)
 
 
 def current(spark: SparkSession, path: str) -> DataFrame:
-    rows = read_batches(spark, path, SEEN)
-    merged = rows.groupBy("package", "status").agg(
-        F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.max("events").alias("events"))
-    return state_of(merged)
+    return state_of(read_batches(spark, path, SEEN))
+
+
+def counters(state: DataFrame, now: Column) -> DataFrame:
+    """Packages by current status, and the longest time that one has been in it."""
+    waiting = F.unix_timestamp(now.cast("timestamp")) - F.unix_timestamp("entered_at")
+    return state.groupBy("status").agg(F.count("*").alias("packages"), F.max(waiting).alias("longest_seconds"))
 
 
-def follow_counters(entries: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """Live count per status; each batch leaves the whole small result."""
+def follow_counters(events: DataFrame, path: str, checkpoint: str, every: str | None = None,
+                    now: Column | None = None) -> StreamingQuery:
+    """Live counters over the current status of each package; each batch leaves the whole small
+    result below `counts`."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.coalesce(1).write.mode("overwrite").parquet(batch_folder(path, batch_id))
+        batch.select("package", "status", "updated_at").distinct().write.mode("overwrite").parquet(batch_folder(f"{path}/seen", batch_id))
+        counts = counters(current(batch.sparkSession, f"{path}/seen"), F.current_timestamp() if now is None else now)
+        counts.coalesce(1).write.mode("overwrite").parquet(batch_folder(f"{path}/counts", batch_id))
 
-    counts = entries.groupBy("status").agg(F.count("*").alias("packages"))
-    return start(counts, write, checkpoint, mode="complete", every=every)
+    return start(events, write, checkpoint, every=every)
 
 
 def latest_batch(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -74,15 +72,17 @@ def latest_batch(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return rows.where(F.col("batch") == rows.agg(F.max("batch")).scalar()).drop("batch")
 
 
-def confirmations(finished: DataFrame, visible: DataFrame, timeout: str = "30 minutes",
-                  delay: str = "0 seconds") -> DataFrame:
+def confirmations(finished: DataFrame, visible: DataFrame, delay: str, timeout: str = "30 minutes",
+                  early: str = "1 day") -> DataFrame:
     """finished(upload_id, finished_at) with visible(upload_id, visible_at): confirmed when the
-    id shows up within the timeout, timeout once the watermark has passed it. State is kept
-    only for the length of the timeout."""
+    id shows up, up to the timeout after the finish or, as data may be visible before the run
+    ends, up to `early` before it; timeout once the watermark has passed the limit. Rows that
+    are later than `delay` are dropped, so it has to cover the delay of the sources. State is
+    kept for the length of both limits."""
     runs = finished.withWatermark("finished_at", delay).alias("f")
     ids = visible.withWatermark("visible_at", delay).alias("v")
-    condition = F.expr(
-        f"f.upload_id = v.upload_id AND v.visible_at >= f.finished_at AND v.visible_at <= f.finished_at + INTERVAL {timeout}")
+    condition = F.expr(f"f.upload_id = v.upload_id AND v.visible_at >= f.finished_at - INTERVAL {early} "
+                       f"AND v.visible_at <= f.finished_at + INTERVAL {timeout}")
     joined = runs.join(ids, condition, "leftOuter")
     state = F.when(F.col("v.upload_id").isNotNull(), "confirmed").otherwise("timeout")
     return joined.select("f.upload_id", "f.finished_at", "v.visible_at", state.alias("confirmation"))

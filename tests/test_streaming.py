@@ -52,15 +52,15 @@ def test_status_does_not_depend_on_the_batches(spark, tmp_path, cuts):
     got = {r["package"]: (r["status"], r["entered_at"], r["illegal"]) for r in status.current(spark, str(tmp_path / "seen")).collect()}
     assert got == {"a": ("finished", minutes(9), False), "b": ("unqueued", minutes(3), False),
                    "c": ("processing", minutes(2), True), "d": ("uploading", minutes(1), False)}
-    batch = status.state_of(status.status_times(spark.createDataFrame(rows, EVENTS)))
+    batch = status.state_of(spark.createDataFrame(rows, EVENTS))
     assert {r["package"]: (r["status"], r["entered_at"], r["illegal"]) for r in batch.collect()} == got
 
 
 def test_confirmation_times_out(spark, tmp_path):
     fin, vis = "upload_id string, finished_at timestamp", "upload_id string, visible_at timestamp"
-    write(spark, str(tmp_path / "f"), [("a", minutes(0)), ("b", minutes(0)), ("c", minutes(50)), ("x", minutes(100))], fin, "f1")
-    write(spark, str(tmp_path / "v"), [("a", minutes(30)), ("b", minutes(31)), ("y", minutes(70))], vis, "v1")
-    joined = status.confirmations(stream(spark, str(tmp_path / "f"), fin), stream(spark, str(tmp_path / "v"), vis))
+    write(spark, str(tmp_path / "f"), [("a", minutes(0)), ("b", minutes(0)), ("c", minutes(50)), ("x", minutes(100)), ("e", minutes(5))], fin, "f1")
+    write(spark, str(tmp_path / "v"), [("a", minutes(30)), ("b", minutes(31)), ("y", minutes(70)), ("e", minutes(4))], vis, "v1")
+    joined = status.confirmations(stream(spark, str(tmp_path / "f"), fin), stream(spark, str(tmp_path / "v"), vis), "0 seconds")
 
     def keep(batch, batch_id):
         batch.write.mode("overwrite").parquet(discovery.batch_folder(str(tmp_path / "out"), batch_id))
@@ -68,7 +68,8 @@ def test_confirmation_times_out(spark, tmp_path):
     discovery.start(joined, keep, str(tmp_path / "check")).awaitTermination()
     rows = discovery.read_batches(spark, str(tmp_path / "out"), f"{fin}, visible_at timestamp, confirmation string")
     # c and x are still within their time
-    assert {r["upload_id"]: r["confirmation"] for r in rows.collect()} == {"a": "confirmed", "b": "timeout"}
+    assert {r["upload_id"]: r["confirmation"] for r in rows.collect()} == {
+        "a": "confirmed", "b": "timeout", "e": "confirmed"}  # an id may be there before the run ends
 
 
 def test_processing_isolates_failures_and_repeats_cleanly(spark, tmp_path):
@@ -106,6 +107,16 @@ def test_labels_once_per_client(spark, tmp_path):
 def test_counters(spark, tmp_path):
     for i in range(3):
         write(spark, str(tmp_path / "in"), [("p", "new", minutes(i)), ("q", "failed", minutes(i))], EVENTS, f"f{i}")
-    status.follow_counters(stream(spark, str(tmp_path / "in"), EVENTS), str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
-    got = status.latest_batch(spark, str(tmp_path / "out"), "status string, packages bigint").collect()
-    assert {r["status"]: r["packages"] for r in got} == {"new": 3, "failed": 3}
+    write(spark, str(tmp_path / "in"), [("p", "processing", minutes(9))], EVENTS, "f9")
+    status.follow_counters(stream(spark, str(tmp_path / "in"), EVENTS), str(tmp_path / "out"), str(tmp_path / "c"),
+                           now=F.lit(minutes(10))).awaitTermination()
+    got = status.latest_batch(spark, str(tmp_path / "out/counts"), "status string, packages bigint, longest_seconds bigint").collect()
+    assert {r["status"]: (r["packages"], r["longest_seconds"]) for r in got} == {"processing": (1, 60), "failed": (1, 600)}
+
+
+def test_a_status_entered_again(spark):
+    rows = [("a", "new", minutes(0)), ("a", "processing", minutes(1)), ("a", "failed", minutes(2)), ("a", "unqueued", minutes(3)),
+            ("a", "processing", minutes(50)), ("a", "processing", minutes(51)),
+            ("b", "finished", minutes(1)), ("b", "processing", minutes(2)), ("b", "finished", minutes(3))]
+    got = {r["package"]: (r["status"], r["entered_at"], r["illegal"]) for r in status.state_of(spark.createDataFrame(rows, EVENTS)).collect()}
+    assert got == {"a": ("processing", minutes(50), False), "b": ("finished", minutes(3), True)}
