@@ -19,9 +19,9 @@ from siftlake.llm.common import stored
 
 #: Lower-cased words are runs of digits, letters a to z and everything beyond ASCII.
 NO_WORD = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
-#: At similarity 0.8 two fingerprints differ by 9.7 bits on average; more than 21 has probability 5e-5.
-RADIUS = 21
-BLOCKS = 11
+#: At similarity 0.8 two fingerprints differ by 9.7 bits on average; more than 25 has probability 1e-6.
+RADIUS = 25
+BLOCKS = 13
 #: Longer items are looked for in parts of this size; a lane of the SimHash counts to 32767.
 MAX_WINDOW = 8192
 #: Item tables with at most so many rows are broadcast; a row is a few numbers.
