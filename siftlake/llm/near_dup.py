@@ -25,6 +25,8 @@ CHUNK = 4
 MAX_DISTANCE = 18
 #: Ids of documents (8 bytes) that are broadcast at most.
 BROADCAST_ROWS = 1_000_000
+#: Members of a centre that are compared with all others first.
+SOME = 64
 _SEEDS = np.random.default_rng(20240229).integers(1, 1 << 63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BLOCK = 8192
 
@@ -107,25 +109,14 @@ def _pairs(left: Column | str, right: Column | str) -> list[Column]:
     return [F.least(left, right).alias("a"), F.greatest(left, right).alias("b")]
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links among candidate pairs (a, b): those that size and signature distance leave possible
-    are compared on their full sets."""
-    for c in ("a", "b"):
-        side = classes.select(F.col("class").alias(c), F.col("n").alias(f"n_{c}"), F.col("signature").alias(f"s_{c}"))
-        pairs = pairs.join(side, c)
-    apart = F.size(F.filter(F.zip_with("s_a", "s_b", lambda x, y: x != y), lambda x: x))
-    sizes = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
-    near = stored(pairs.where(sizes & (apart <= MAX_DISTANCE)).select("a", "b").distinct())
-    for c in ("a", "b"):
-        near = near.join(sets.select(F.col("class").alias(c), F.col("shingles").alias(f"set_{c}")), c)
-    common = F.size(F.array_intersect("set_a", "set_b"))
-    union = F.size("set_a") + F.size("set_b") - common
-    return stored(near.where(common * 100 >= union * percent).select("a", "b").distinct())
+def _with_sets(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
+    for c in columns:
+        pairs = pairs.join(sets.select(F.col("class").alias(c), F.col("shingles").alias(f"set_{c}")), c)
+    return pairs
 
 
-def _mixed(buckets: DataFrame, by: list[str]) -> DataFrame:
-    """The rows of buckets whose members have different labels."""
-    return buckets.join(buckets.groupBy(*by).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select(*by), by)
+def _similar(n: Column, m: Column, common: Column, percent: int) -> Column:
+    return common * 100 >= (n + m - common) * percent
 
 
 def _least_common(n: Column, m: Column, percent: int) -> Column:
@@ -133,47 +124,102 @@ def _least_common(n: Column, m: Column, percent: int) -> Column:
     return F.ceil((n + m) * percent / (100 + percent))
 
 
-def _other_pairs(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs of members of one bucket (key, class, label) that have different labels and may be
-    similar.
+def _near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose signatures are within the distance."""
+    for c in ("a", "b"):
+        pairs = pairs.join(classes.select(F.col("class").alias(c), F.col("signature").alias(f"s_{c}")), c)
+    apart = F.size(F.filter(F.zip_with("s_a", "s_b", lambda x, y: x != y), lambda x: x))
+    return stored(pairs.where(apart <= MAX_DISTANCE).select("a", "b"))
 
-    A set of n shingles of which `own` are in no other member of a mixed bucket shares at most
-    n - own with any partner. Members for which that is too little even for the smallest partner
-    of their bucket go before pairs are made, so documents that have a passage in common, or
-    copies that have drifted too far, are not held against each other. Of what is left, labels
-    are paired first and only then their members, so members of one label never meet.
-    """
-    rest = stored(_mixed(buckets, ["key"]))
-    shingles = sets.join(rest.select("class").distinct(), "class", "left_semi").select(
-        "class", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
-    shared = shingles.groupBy("shingle").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("shingle")
-    most = stored(shingles.join(shared, "shingle").groupBy("class", "n").agg(F.count("*").alias("most")))
-    sized = rest.join(most, "class")
-    least = sized.groupBy("key").agg(F.min("n").alias("least"))
+
+def _mixed(members: DataFrame) -> DataFrame:
+    """Members of centres that have members with different labels."""
+    both = members.groupBy("centre").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("centre")
+    return members.join(both, "centre")
+
+
+def _best_of_others(members: DataFrame, column: str) -> DataFrame:
+    """Adds the largest value of a column among the members of the centre with another label."""
+    by_label = members.groupBy("centre", "label").agg(F.max(column).alias("best"))
+    top = by_label.groupBy("centre").agg(F.max(F.struct("best", "label")).alias("top"))
+    second = by_label.join(top, "centre").groupBy("centre", "top").agg(F.max(F.when(F.col("label") != F.col("top.label"), F.col("best"))).alias("second"))
+    other = F.when(F.col("label") == F.col("top.label"), F.col("second")).otherwise(F.col("top.best"))
+    return members.join(second, "centre").withColumn(f"{column}_other", other).drop("top", "second")
+
+
+def _prune(sized: DataFrame, percent: int) -> DataFrame:
+    """Members that may be similar to a member with another label, as far as `inner` and `outer` say."""
+    offered = _best_of_others(_best_of_others(sized, "inner"), "outer").join(sized.groupBy("centre").agg(F.min("n").alias("least")), "centre")
     smallest = F.greatest("least", F.ceil(F.col("n") * percent / 100))
-    able = sized.join(least, "key").where(F.col("most") >= _least_common(F.col("n"), smallest, percent))
-    able = stored(_mixed(able.select("key", "class", "label", "n", "most"), ["key"]))
-    meets = able.select("key", "label").distinct()
-    both = meets.withColumnRenamed("label", "l1").join(meets.withColumnRenamed("label", "l2"), "key").where("l1 < l2")
-    one = able.select("key", *[F.col(c).alias(f"{c}1") for c in ("class", "n", "most")], F.col("label").alias("l1")).join(both, ["key", "l1"])
-    two = able.select("key", *[F.col(c).alias(f"{c}2") for c in ("class", "n", "most")], F.col("label").alias("l2"))
-    possible = F.least("most1", "most2") >= _least_common(F.col("n1"), F.col("n2"), percent)
-    return one.join(two, ["key", "l2"]).where(possible).select(*_pairs("class1", "class2")).distinct()
+    most = F.least("inner", "inner_other") + F.least("outer", "outer_other")
+    able = offered.where(most >= _least_common(F.col("n"), smallest, percent))
+    return stored(_mixed(able.select("centre", "class", "label", "n", "inner", "outer")))
+
+
+def _able(members: DataFrame, percent: int) -> DataFrame:
+    """Members of one centre (centre, class, label, n, inner, extra) that may be similar to one
+    with another label. `inner` is how many shingles a member shares with the centre, `extra` are
+    its other ones.
+
+    Two members share at most the smaller of their `inner` and, outside the centre, the smaller
+    of their `outer`: how many of their extra shingles a member with another label has as well.
+    Documents that have a passage in common, or copies that have drifted too far, are so told
+    apart by two numbers and not held against each other.
+    """
+    rest = stored(_mixed(members))
+    extras = rest.select("centre", "class", "label", F.explode("extra").alias("shingle"))
+    shared = extras.groupBy("centre", "shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("centre", "shingle")
+    outer = extras.join(shared, ["centre", "shingle"]).groupBy("centre", "class").agg(F.count("*").cast("int").alias("outer"))
+    return _prune(stored(rest.drop("extra").join(outer, ["centre", "class"], "left").fillna(0, ["outer"])), percent)
+
+
+def _able_pairs(left: DataFrame | None, right: DataFrame, percent: int) -> DataFrame:
+    """Pairs of members of one centre with different labels that the numbers leave possible; all
+    pairs of `right` where there is no `left`."""
+    one, two = (rows.select("centre", *[F.col(c).alias(f"{c}{side}") for c in ("class", "label", "n", "inner", "outer")])
+                for side, rows in ((1, right if left is None else left), (2, right)))
+    common = F.least("inner1", "inner2") + F.least("outer1", "outer2")
+    apart = F.col("label1") < F.col("label2") if left is None else F.col("label1") != F.col("label2")
+    possible = apart & (common >= _least_common(F.col("n1"), F.col("n2"), percent))
+    return one.join(two, "centre").where(possible).select(*_pairs("class1", "class2")).distinct()
+
+
+def _some(members: DataFrame) -> DataFrame:
+    """At most SOME members of each centre, chosen by their hash."""
+    order = Window.partitionBy("centre").orderBy(F.xxhash64("class"), "class")
+    return members.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= SOME).drop("turn")
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after more links: a link between members is one between their labels."""
+    for c in ("a", "b"):
+        links = links.join(labels.select(F.col("node").alias(c), F.col("label").alias(f"l_{c}")), c, "left")
+    ends = links.select(F.coalesce("l_a", "a").alias("a"), F.coalesce("l_b", "b").alias("b")).where("a <> b")
+    upper = components(ends)
+    everything = labels.unionByName(upper.select("node", F.col("node").alias("label"))).groupBy("node").agg(F.min("label").alias("label"))
+    return stored(everything.join(upper.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left").select(
+        "node", F.coalesce("top", "label").alias("label")))
+
+
+def _named(members: DataFrame, labels: DataFrame) -> DataFrame:
+    known = labels.select(F.col("node").alias("class"), "label")
+    return members.drop("label").join(known, "class", "left").withColumn("label", F.coalesce("label", "class"))
 
 
 def class_links(documents: DataFrame, sketch: DataFrame, k: int, percent: int, row_limit: int = BROADCAST_ROWS) -> tuple[DataFrame, DataFrame]:
     """Components of the classes of equal sets: (digest, class) and (node, label).
 
-    Buckets are first compared with one member each, the one that shares most buckets with
-    others, which joins a family of copies by as many pairs as it has members. Members that then
-    still have different labels in a bucket are compared pair by pair where they can be similar,
-    so every pair that meets in a bucket is confirmed or refuted, or already linked by others.
+    Every bucket is first compared with its centre, the member that shares most buckets with
+    others, which joins a family of copies by as many pairs as it has members. Members of buckets
+    with the same centre that still have different labels are compared pair by pair where they
+    can be similar, so every pair that meets in a bucket is confirmed or refuted, or already
+    linked by others.
     """
     rows = sketch.where("digest IS NOT NULL AND doc_id IS NOT NULL")
-    members = stored(rows.groupBy("digest").agg(F.min("doc_id").alias("class"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature")))
-    classes = members.select("class", "n", "signature")
+    groups = stored(rows.groupBy("digest").agg(F.min("doc_id").alias("class"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature")))
+    classes = groups.select("class", "n", "signature")
     # Rows that share a doc_id are one document, whatever their texts.
-    named = rows.select("doc_id", "digest").join(members.select("digest", "class"), "digest").select("doc_id", "class").distinct()
+    named = rows.select("doc_id", "digest").join(groups.select("digest", "class"), "digest").select("doc_id", "class").distinct()
     several = named.groupBy("doc_id").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a < b").select("doc_id", "a")
     same_id = named.join(several, "doc_id").where("class <> a").select("a", F.col("class").alias("b"))
     keyed = classes.select("class", F.explode(bucket_keys(F.col("signature"))).alias("key")).distinct()
@@ -185,23 +231,27 @@ def class_links(documents: DataFrame, sketch: DataFrame, k: int, percent: int, r
     sets = stored(texts.mapInArrow(_sets(k), "class long, shingles array<long>"))
 
     ranked = live.select("key", "class").join(weight, "class")
-    centre = ranked.groupBy("key").agg(F.max(F.struct("weight", "class")).alias("centre"))
-    first = stored(live.join(centre, "key").where("class <> centre.class").select(*_pairs("class", "centre.class")).distinct())
-    links = _confirmed(first, classes, sets, percent).union(same_id)
+    centre = ranked.groupBy("key").agg(F.max(F.struct("weight", "class")).alias("best")).select("key", F.col("best.class").alias("centre"))
+    placed = live.select("key", "class").join(centre, "key").where("class <> centre").select("class", "centre").distinct()
+    compared = stored(_with_sets(placed, sets, "class", "centre").select(
+        "class", "centre", F.size("set_class").alias("n"), F.size("set_centre").alias("n_centre"),
+        F.size(F.array_intersect("set_class", "set_centre")).alias("inner"), F.array_except("set_class", "set_centre").alias("extra")))
+    first = compared.where(_similar(F.col("n"), F.col("n_centre"), F.col("inner"), percent)).select(*_pairs("class", "centre"))
+    links = stored(first.union(same_id).distinct())
     labels = components(links)
-    known = labels.select(F.col("node").alias("class"), "label")
-    buckets = live.select("key", "class").join(known, "class", "left").select("key", "class", F.coalesce("label", "class").alias("label"))
-    rest = _other_pairs(buckets, sets, percent).join(first, ["a", "b"], "left_anti")
-    more = _confirmed(rest, classes, sets, percent)
-    if more.take(1):
-        # Only the labels still have to be joined: a link between members is one between labels.
-        for c in ("a", "b"):
-            more = more.join(labels.select(F.col("node").alias(c), F.col("label").alias(f"l_{c}")), c, "left")
-        upper = components(more.select(F.coalesce("l_a", "a").alias("a"), F.coalesce("l_b", "b").alias("b")))
-        everything = labels.unionByName(upper.select("node", F.col("node").alias("label"))).groupBy("node").agg(F.min("label").alias("label"))
-        labels = stored(everything.join(upper.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left").select(
-            "node", F.coalesce("top", "label").alias("label")))
-    return members.select("digest", "class"), labels
+    able = _able(_named(compared.drop("n_centre"), labels), percent)
+    done = compared.select(*_pairs("class", "centre"))
+    # First a few members against all with other labels: links join families, and what has one
+    # label needs no pairs. Then all that still have different labels.
+    for left in (_some(able), None):
+        candidates = _able_pairs(left, able, percent).join(done, ["a", "b"], "left_anti")
+        pairs = _with_sets(_near(candidates, classes), sets, "a", "b")
+        common = F.size(F.array_intersect("set_a", "set_b"))
+        more = stored(pairs.where(_similar(F.size("set_a"), F.size("set_b"), common, percent)).select("a", "b").distinct())
+        if more.take(1):
+            labels = _merged(labels, more)
+            able = _prune(stored(_named(able, labels)), percent) if left is not None else able
+    return groups.select("digest", "class"), labels
 
 
 def near_duplicates(documents: DataFrame, k: int = 4, percent: int = 80) -> DataFrame:
