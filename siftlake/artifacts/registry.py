@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siftlake.operators.ledger import POSTPROCESSING
 
@@ -89,13 +90,19 @@ def add_to_list(lists: dict[str, list[str]], name: str, category: str = "default
     return {**lists, category: [*lists.get(category, []), f"{name}()"]}
 
 
+def _bytes_below(spark: SparkSession, path: str) -> int:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(target).getLength()
+
+
 def collect(spark: SparkSession, calls: list[tuple[str, dict]], tables: dict[str, DataFrame], out: str,
             fmt: str = "parquet", time_limit: int = DEFAULT_TIME_LIMIT) -> DataFrame:
-    """Run artifacts by name, each to `out`/<name>, and return the outcome ledger. A failing
-    or overlong artifact becomes a failed row; the others still run."""
+    """Run artifacts by name, each to `out`/<name>, and return the outcome ledger (`size` in
+    bytes) with the number of `rows`. A failing or overlong artifact becomes a failed row; the
+    others still run."""
     outcomes = []
     for name, args in calls:
-        started, error, counted, path = time.time(), None, None, f"{out}/{name.replace('/', '_')}"
+        started, error, size, rows, path = time.time(), None, None, None, f"{out}/{name.replace('/', '_')}"
         group = f"artifact-{name}-{started}"
         timer = threading.Timer(time_limit, spark.sparkContext.cancelJobGroup, [group])
         timer.daemon = True
@@ -105,12 +112,12 @@ def collect(spark: SparkSession, calls: list[tuple[str, dict]], tables: dict[str
             seen = Observation(group)
             result = get(name)(tables, **args).observe(seen, F.count(F.lit(1)).alias("rows"))
             result.write.mode("overwrite").format(fmt).save(path)
-            counted = seen.get["rows"]
+            size, rows = _bytes_below(spark, path), seen.get["rows"]
         except Exception as exc:
             error = f"{type(exc).__name__}: {str(exc).splitlines()[0] if str(exc) else ''}"
         finally:
             timer.cancel()
             spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
-        outcomes.append((path, path.rsplit("/", 1)[-1], name, f"{name}({args})", counted, error is None,
-                         time.time() - started, error, None, None, 0 if error is None else 1, None))
-    return spark.createDataFrame(outcomes, POSTPROCESSING)
+        outcomes.append((path, path.rsplit("/", 1)[-1], name, f"{name}({args})", size, error is None,
+                         time.time() - started, error, None, None, 0 if error is None else 1, None, rows))
+    return spark.createDataFrame(outcomes, T.StructType([*POSTPROCESSING.fields, T.StructField("rows", T.LongType())]))

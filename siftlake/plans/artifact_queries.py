@@ -343,7 +343,7 @@ def artifact_registry(spark, sf):
     tables = {"interface_values": _interface_values(spark, sf), "sam_values": _sam_values(spark, sf)}
     calls = [("Interfaces", {}), ("SAM", {}), ("Bam", {"no_such_parameter": 1})]
     outcomes = artifacts.collect(spark, calls, tables, scratch_path(spark, "artifacts"))
-    return outcomes.select("artifact", F.col("size").alias("rows"), "success")
+    return outcomes.select("artifact", "rows", "success")
 
 
 @query("JS-03 UD-02 FN-02", """

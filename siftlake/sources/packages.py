@@ -11,6 +11,7 @@ import io
 import json
 import zipfile
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 from urllib.parse import quote
 
@@ -28,9 +29,15 @@ MEMBER_SCHEMA = (
 LINE_SCHEMA = "package string, member string, line_no bigint, line string, error string"
 INFO_SCHEMA = "package string, document string, error string"
 
+# Names inside a package.
 NESTED_MARK = "data.zip"
 CLIENT_INFO = "client_info.json"
 RAW_EVIDENCE_PREFIX = "uploads/"
+# Stores that archives are opened from directly; the names Hadoop has for some of them; and
+# those that only Hadoop's own client opens.
+DIRECT_STORES = ("file", "s3", "gs", "gcs", "abfs", "abfss", "hdfs", "viewfs")
+STORE_ALIASES = {"s3a": "s3", "s3n": "s3"}
+HADOOP_STORES = ("wasb", "wasbs", "sftp", "ftp", "adl", "o3fs", "ofs")
 LINES_PER_BATCH = 20_000
 BYTES_PER_BATCH = 32 << 20
 
@@ -60,8 +67,10 @@ def unique_packages(listing: DataFrame) -> DataFrame:
 
 
 def list_sources(spark: SparkSession, sources: dict[str, str]) -> DataFrame:
-    """One listing over many stores. `sources` maps a source tag to a path of any
-    file system known to Spark."""
+    """One listing over many stores. `sources` maps a source tag to a path. A store that its
+    packages could not be opened from later is refused here."""
+    for path in sources.values():
+        store_of(path)
     return union_sources({tag: list_packages(spark, path) for tag, path in sources.items()})
 
 
@@ -88,20 +97,37 @@ def _columns(ddl: str) -> list[str]:
     return [c.split()[0] for c in ddl.split(", ")]
 
 
+def store_of(uri: str) -> tuple[str, str, str]:
+    """How a file is opened: "direct" or "hadoop", the scheme to use, and the rest of its
+    address. A scheme that neither way knows is an error."""
+    scheme, _, path = uri.partition(":") if ":" in uri.split("/", 1)[0] else ("file", "", uri)
+    path = path if path.startswith("//") else "//" + path
+    scheme = STORE_ALIASES.get(scheme.lower(), scheme.lower())
+    if scheme in DIRECT_STORES:
+        return "direct", scheme, path
+    if scheme in HADOOP_STORES:
+        return "hadoop", scheme, path
+    raise ValueError(f"packages cannot be opened from {scheme}: ({uri})")
+
+
 def _open_uri(uri: str):
     """Random access to a file of any store; names in a listing are not percent-encoded."""
     from pyarrow import fs
 
-    scheme, _, path = uri.partition(":") if ":" in uri.split("/", 1)[0] else ("file", "", uri)
-    path = path if path.startswith("//") else "//" + path
-    system, inner = fs.FileSystem.from_uri(f"{scheme}:{quote(path)}")
-    return system.open_input_file(inner)
+    way, scheme, path = store_of(uri)
+    if way == "direct":
+        system, inner = fs.FileSystem.from_uri(f"{scheme}:{quote(path)}")
+        return system.open_input_file(inner)
+    authority, _, inner = path.removeprefix("//").partition("/")
+    return fs.HadoopFileSystem(f"{scheme}://{authority}").open_input_file("/" + inner)
 
 
-def _open_archive(package: str, content: bytes | None, password: bytes | None) -> zipfile.ZipFile:
-    archive = zipfile.ZipFile(io.BytesIO(content) if content is not None else _open_uri(package))
-    archive.setpassword(password)
-    return archive
+@contextmanager
+def _open_archive(package: str, content: bytes | None, password: bytes | None) -> Iterator[zipfile.ZipFile]:
+    """The archive; it and its file are closed at the end."""
+    with (io.BytesIO(content) if content is not None else _open_uri(package)) as file, zipfile.ZipFile(file) as archive:
+        archive.setpassword(password)
+        yield archive
 
 
 def _resolve_nested(outer: zipfile.ZipFile, password: bytes | None) -> tuple[zipfile.ZipFile, str | None]:

@@ -181,11 +181,16 @@ def ingest(lines: DataFrame, tables: ArtifactTables, raw_path: str, sample: int
 # --- ledgers, snapshots, exports ------------------------------------------------------------
 
 
-def write_run_ledgers(runs: DataFrame, root: str) -> None:
-    """Append the summary, upload and post-processing rows of finished runs."""
-    ledger.flatten_summary(runs).write.mode("append").parquet(f"{root}/summary")
+def write_run_ledgers(runs: DataFrame, root: str, run: str | None = None) -> None:
+    """Write the summary, upload and post-processing rows of finished runs. The runs are stored
+    once and flattened from there; all of it is in folders of this call, which a repeat under the
+    same `run` replaces."""
+    run = run or uuid.uuid4().hex
+    runs.write.mode("overwrite").parquet(f"{root}/_runs/run={run}")
+    stored = runs.sparkSession.read.schema(runs.schema).parquet(f"{root}/_runs/run={run}")
+    ledger.flatten_summary(stored).write.mode("overwrite").parquet(f"{root}/summary/run={run}")
     for section in ("uploads", "postprocessing", "logs"):
-        ledger.flatten(runs, section).write.mode("append").parquet(f"{root}/{section}")
+        ledger.flatten(stored, section).write.mode("overwrite").parquet(f"{root}/{section}/run={run}")
 
 
 def snapshot_documents(df: DataFrame, section: str, upload_id: str = "uploadid") -> DataFrame:

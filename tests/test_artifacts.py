@@ -95,7 +95,8 @@ def test_registry(spark, tmp_path):
     tables = {"numbers": spark.range(7)}
     rows = {r["artifact"]: r for r in artifacts.collect(
         spark, [("Fails", {}), ("Mine", {"factor": 3})], tables, str(tmp_path / "o")).collect()}
-    assert (rows["Mine"]["success"], rows["Mine"]["size"], rows["Mine"]["returncode"]) == (True, 7, 0)
+    assert (rows["Mine"]["success"], rows["Mine"]["rows"], rows["Mine"]["returncode"]) == (True, 7, 0)
+    assert rows["Mine"]["size"] > 100  # bytes written
     assert rows["Fails"]["success"] is False and rows["Fails"]["error"]
     assert spark.read.parquet(rows["Mine"]["fullpath"]).agg(F.max("x")).first()[0] == 18
 

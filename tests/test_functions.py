@@ -156,3 +156,46 @@ def test_regex_search_ignores_case(one):
 def test_safe_ids(one):
     assert one(*[rules.safe_id(F.lit(v).cast("string")) for v in ["id1.a_b-c", "a b", "", None]]) == (
         True, False, False, False)
+
+
+def test_every_accepted_time_has_a_value(spark):
+    from siftlake.functions import times
+
+    utc = lambda *parts: datetime.datetime(*parts)
+    cases = {"20240101": utc(2024, 1, 1), "2024-W01-1": utc(2024, 1, 1), "2024W527": utc(2024, 12, 29), "2021-W01": utc(2021, 1, 4),
+             "2024-01-01_10:00:00": utc(2024, 1, 1, 10), "20240101T101530.1234567Z": utc(2024, 1, 1, 10, 15, 30, 123456),
+             "2024-01-01T10:00:00+02:00": utc(2024, 1, 1, 8), "2024-01-01 00-0130": utc(2024, 1, 1, 1, 30),
+             "2024-01-01T10,": None, "2024-02-30": None, "2024-01-01T10:15:30,5+00:00:30": utc(2024, 1, 1, 10, 15, 0, 500000),
+             "2024-01-01T23:59:59+23:59": utc(2024, 1, 1, 0, 0, 59), "2021-W54": None, "": None}
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    got = {r["t"]: r["v"] for r in df.select("t", times.iso_timestamp(F.col("t")).cast("timestamp_ntz").alias("v")).collect()}
+    assert got == cases
+
+
+def test_bad_binary_values_are_null(spark):
+    rows = [(bytes.fromhex("0000000000000080"), 4294967295), (bytes.fromhex("00803ed5deb19d01"), 27111902), (b"\x00", None)]
+    df = spark.createDataFrame(rows, "b binary, high long")
+    got = df.select(binary.filetime(binary.int64(F.col("b"))).isNull().alias("x"),
+                    binary.filetime_words(F.col("high"), F.lit(4294967295)).isNull().alias("y")).collect()
+    assert [tuple(r) for r in got] == [(True, True), (False, False), (True, True)]
+
+
+def test_broken_utf16_is_null(spark):
+    encode = lambda s: s.encode("utf-16-le", "surrogatepass")
+    texts = ["plain", "\U0001f600 pair", "", "\ud800", "\udc00x", "x\ud83d", "a\ud83d\ude00\ude00", "\ud83d\ud83d\ude00", "\u00d8\ud7ff\ue000"]
+    rows = [(i, encode(t)) for i, t in enumerate(texts)] + [(90, b"abc"), (91, encode("name") + b"\x00\x00" + b"\x00\xd8"), (92, encode("y" * 50_000))]
+    df = spark.createDataFrame(rows, "i int, b binary")
+    got = {r["i"]: (r["t"], r["c"]) for r in df.select("i", binary.utf16(F.col("b"), 0, F.length("b")).alias("t"),
+                                                       binary.utf16_cstring(F.col("b")).alias("c")).collect()}
+    for i in (0, 1, 2, 8):
+        assert got[i] == (texts[i], texts[i])
+    assert all(got[i][0] is None for i in (3, 4, 5, 6, 7, 90))
+    assert got[91][1] == "name" and got[92][0] == "y" * 50_000
+
+
+def test_bad_messages_are_items_without_a_package(spark):
+    from siftlake.functions import documents
+
+    rows = [("not base64 !",), ("bm8ganNvbg==",), (None,), ("eyJ0cmlhZ2VwYWNrYWdlIjogInAuemlwIiwgInNvdXJjZV9uYW1lIjogInMifQ==",)]
+    df = spark.createDataFrame(rows, "m string").select(F.inline_outer(documents.decode_message(F.col("m"))))
+    assert sorted(str(r["triagepackage"]) for r in df.collect()) == ["None", "None", "None", "p.zip"]

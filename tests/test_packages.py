@@ -225,3 +225,11 @@ def test_names_differing_in_case_are_two_columns(spark, tmp_path):
         assert store.read("T").columns[:3] == ["NAME", "Name", "name"]
     assert got == {(None, 1, "x"), (True, None, None)}
     assert spark.conf.get("spark.sql.caseSensitive") == "false"
+
+
+def test_stores_that_packages_open_from():
+    assert packages.store_of("/a/b c.zip") == ("direct", "file", "///a/b c.zip")
+    assert packages.store_of("s3a://bucket/x.zip") == ("direct", "s3", "//bucket/x.zip")
+    assert packages.store_of("wasbs://c@account.example/x.zip")[0] == "hadoop"
+    with pytest.raises(ValueError):
+        packages.store_of("gopher://x/y.zip")
