@@ -66,7 +66,7 @@ def test_gate_between_sessions(spark, listing, tmp_path):
 
 
 def test_queue_to_tables(spark, listing, tmp_path):
-    from siftlake.streaming.status import state_of, status_times
+    from siftlake.streaming.status import state_of
 
     root, at = str(tmp_path / "lake"), lambda m: NOW + datetime.timedelta(minutes=m)
     large = listing.agg(F.max("size")).first()[0]
@@ -81,7 +81,7 @@ def test_queue_to_tables(spark, listing, tmp_path):
     assert set(events.groupBy("status").count().collect()) == {
         ("new", 3), ("queued", 3), ("unqueued", 3), ("processing", 3), ("finished", 2), ("failed", 1)}
     # `new` and `queued` share a time, `processing` and the end as well: order by rank
-    assert {r["package"]: (r["status"], r["illegal"]) for r in state_of(status_times(events)).collect()} == {
+    assert {r["package"]: (r["status"], r["illegal"]) for r in state_of(events).collect()} == {
         "a.zip": ("finished", False), "b.ZIP": ("finished", False), "c.zip": ("failed", False)}
     with pytest.raises(ValueError):
         intake.take_messages(messages, root, "no/slash")
@@ -110,3 +110,51 @@ def test_folder(spark, tmp_path):
     assert {r["table_name"]: r["rows"] for r in both} == {"A": 1, "B": 1}
     row = sinks.ArtifactTables(spark, f"{root}/tables").read("B").first()
     assert (row["y"].date(), row["src_host"], row["src_package"]) == (datetime.date(2024, 1, 5), "f.corp", "host one")
+
+
+def test_calls_of_one_session_keep_their_rows(spark, listing, tmp_path):
+    root = str(tmp_path / "lake")
+    name = F.element_at(F.split("package", "/"), -1)
+    for package in ("a.zip", "b.ZIP", "a.zip"):  # the third repeats the first
+        run(spark, listing.where(name == package), root, "s1", use_ledger=False)
+    tables = sinks.ArtifactTables(spark, f"{root}/tables", "t_")
+    assert tables.read("t_Artifact_One").count() == 2 and tables.read("t_Artifact_Two").count() >= 1
+    assert {r["package"]: r["status"] for r in intake.current_status(spark, root).collect()} == {"a.zip": "finished", "b.ZIP": "finished"}
+    assert spark.read.parquet(f"{root}/ledgers/summary").count() == 2
+
+
+def test_nothing_of_a_package_is_lost(spark, tmp_path):
+    lines = [{"n": i} for i in range(1100)]
+    lines[1050]["late"] = "20240101"
+    body = jsonl(*lines[:600]) + "{broken\n" + "[1, 2]\n" + jsonl(*lines[600:])
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "good.zip").write_bytes(make_zip({"results/Long.jsonl": body, "results/Bad.json": "no json at all"}))
+    (folder / "inner.zip").write_bytes(make_zip({"data.zip": b"this is no archive", "results/X.json": jsonl({"a": 1})}))
+    listing = packages.list_packages(spark, str(folder)).select(F.col("path").alias("package"), "size", F.lit("blob").alias("source"))
+    root = str(tmp_path / "lake")
+    uploads = {r["location_in_zip"]: r for r in intake.intake_packages(spark, listing, root, "s1", prefix="t_", tasks=2).collect()}
+    table = sinks.ArtifactTables(spark, f"{root}/tables", "t_").read("t_Long")
+    assert table.count() == 1100
+    assert [r["late"] for r in table.where("late is not null").collect()] == [datetime.datetime(2024, 1, 1)]
+    rejects = spark.read.parquet(f"{root}/rejects/lines").collect()
+    assert sorted((r["file"].rsplit("/", 1)[1], r["pos"], r["line"]) for r in rejects) == [
+        ("Bad.json", 1, "no json at all"), ("Long.jsonl", 601, "{broken"), ("Long.jsonl", 602, "[1, 2]")]
+    assert uploads["results/Bad.json"]["upload_initiated"] is False and uploads["results/Bad.json"]["upload_error"]
+    assert {r["package"]: r["status"] for r in intake.current_status(spark, root).collect()} == {"good.zip": "finished", "inner.zip": "failed"}
+    logs = spark.read.parquet(f"{root}/ledgers/logs").collect()
+    assert any("data.zip does not open" in r["message"] for r in logs)
+
+
+def test_failed_packages_are_tried_again_up_to_a_limit(spark, listing, tmp_path):
+    root = str(tmp_path / "lake")
+    run(spark, listing, root, "s1")
+    names = lambda n: [r["package"].rsplit("/", 1)[1] for r in intake.eligible(listing, root, "s9", max_retry=n).collect()]
+    assert names(0) == [] and names(1) == ["c.zip"]
+
+
+def test_bad_messages_are_kept(spark, tmp_path):
+    messages = spark.createDataFrame([("not a message",)], "message string")
+    root = str(tmp_path / "lake")
+    assert intake.take_messages(messages, root, "c1").count() == 0
+    assert [r["message"] for r in spark.read.parquet(f"{root}/rejects/messages").collect()] == ["not a message"]
