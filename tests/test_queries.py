@@ -15,7 +15,7 @@ def con():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", list(contract.queries()))
+@pytest.mark.parametrize("name", list(catalogue.queries()))
 def test_query(spark, con, name):
     df = contract.queries()[name](spark, SF)
     assert name in ORACLES
