@@ -91,6 +91,33 @@ def op8_contaminated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("text_key")
 
 
+ORACLE["op8_contaminated"] = r"""
+WITH doc_words AS (SELECT doc_id, md5(coalesce(text, '')) AS version,
+    list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS ws FROM documents),
+docs AS (SELECT DISTINCT doc_id, version, ws, len(ws) AS n FROM doc_words),
+item_words AS (SELECT item_id,
+    list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS ws FROM benchmark),
+items AS (SELECT item_id, ws, len(ws) AS size, least(5, len(ws)) AS k FROM item_words WHERE len(ws) > 0),
+item_grams AS (SELECT item_id, size, k, array_to_string(ws[pos:pos + k - 1], ' ') AS gram
+  FROM (SELECT *, unnest(range(1, size - k + 2)) AS pos FROM items)),
+sizes AS (SELECT DISTINCT k FROM items),
+doc_grams AS (SELECT doc_id, version, n, k, pos, array_to_string(ws[pos:pos + k - 1], ' ') AS gram
+  FROM (SELECT *, unnest(range(1, n - k + 2)) AS pos FROM docs, sizes)),
+starts AS (SELECT DISTINCT doc_id, version, n, item_id, size, i.k, greatest(0, least(pos - 1, n - size)) AS st
+  FROM doc_grams d JOIN (SELECT DISTINCT item_id, size, k, gram FROM item_grams) i ON d.k = i.k AND d.gram = i.gram),
+held AS (SELECT s.doc_id, s.version, s.item_id, s.size, s.k, s.st, d.gram, count(*) AS times
+  FROM starts s JOIN doc_grams d ON s.doc_id IS NOT DISTINCT FROM d.doc_id AND s.version = d.version AND s.k = d.k
+    AND d.pos > s.st AND d.pos <= s.st + s.size - s.k + 1 GROUP BY ALL),
+wanted AS (SELECT item_id, gram, count(*) AS times FROM item_grams GROUP BY ALL),
+sums AS (SELECT h.doc_id, h.version, h.item_id, size, k, st, sum(h.times) AS windows, sum(least(h.times, coalesce(w.times, 0))) AS common
+  FROM held h LEFT JOIN wanted w ON h.item_id IS NOT DISTINCT FROM w.item_id AND h.gram = w.gram GROUP BY ALL),
+hits AS (SELECT *, common / (windows + size - k + 1 - common) AS similarity FROM sums
+  WHERE common * 100 >= (windows + size - k + 1 - common) * 80)
+SELECT doc_id, item_id, 0::INTEGER AS part, similarity::DOUBLE AS similarity, st::INTEGER AS "start", (windows + 4)::INTEGER AS n_words
+FROM hits QUALIFY row_number() OVER (PARTITION BY doc_id, version, item_id ORDER BY similarity DESC, st) = 1
+"""
+
+
 @query
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read(spark, sf_dir, "documents"))
