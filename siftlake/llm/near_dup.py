@@ -21,8 +21,6 @@ from siftlake.llm.common import WordHashes, byte_texts, shingle_set, stored
 
 SYMBOLS = 32
 CHUNK = 4
-#: Candidates further apart than this are not verified: at 0.8 that has probability 2e-6.
-MAX_DISTANCE = 18
 #: Ids of documents (8 bytes) that are broadcast at most.
 BROADCAST_ROWS = 1_000_000
 #: Members of a centre that are compared with all others first.
@@ -124,14 +122,6 @@ def _least_common(n: Column, m: Column, percent: int) -> Column:
     return F.ceil((n + m) * percent / (100 + percent))
 
 
-def _near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose signatures are within the distance."""
-    for c in ("a", "b"):
-        pairs = pairs.join(classes.select(F.col("class").alias(c), F.col("signature").alias(f"s_{c}")), c)
-    apart = F.size(F.filter(F.zip_with("s_a", "s_b", lambda x, y: x != y), lambda x: x))
-    return stored(pairs.where(apart <= MAX_DISTANCE).select("a", "b"))
-
-
 def _mixed(members: DataFrame) -> DataFrame:
     """Members of centres that have members with different labels."""
     both = members.groupBy("centre").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("centre")
@@ -216,13 +206,12 @@ def class_links(documents: DataFrame, sketch: DataFrame, k: int, percent: int, r
     linked by others.
     """
     rows = sketch.where("digest IS NOT NULL AND doc_id IS NOT NULL")
-    groups = stored(rows.groupBy("digest").agg(F.min("doc_id").alias("class"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature")))
-    classes = groups.select("class", "n", "signature")
+    groups = stored(rows.groupBy("digest").agg(F.min("doc_id").alias("class"), F.first("signature").alias("signature")))
     # Rows that share a doc_id are one document, whatever their texts.
     named = rows.select("doc_id", "digest").join(groups.select("digest", "class"), "digest").select("doc_id", "class").distinct()
     several = named.groupBy("doc_id").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a < b").select("doc_id", "a")
     same_id = named.join(several, "doc_id").where("class <> a").select("a", F.col("class").alias("b"))
-    keyed = classes.select("class", F.explode(bucket_keys(F.col("signature"))).alias("key")).distinct()
+    keyed = groups.select("class", F.explode(bucket_keys(F.col("signature"))).alias("key")).distinct()
     sizes = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     live = stored(keyed.join(sizes, "key"))
     weight = stored(live.groupBy("class").agg(F.sum("size").alias("weight")))
@@ -245,7 +234,7 @@ def class_links(documents: DataFrame, sketch: DataFrame, k: int, percent: int, r
     # label needs no pairs. Then all that still have different labels.
     for left in (_some(able), None):
         candidates = _able_pairs(left, able, percent).join(done, ["a", "b"], "left_anti")
-        pairs = _with_sets(_near(candidates, classes), sets, "a", "b")
+        pairs = _with_sets(candidates, sets, "a", "b")
         common = F.size(F.array_intersect("set_a", "set_b"))
         more = stored(pairs.where(_similar(F.size("set_a"), F.size("set_b"), common, percent)).select("a", "b").distinct())
         if more.take(1):
