@@ -5,14 +5,15 @@ has similarity 0 to all of them, so windows start where a shingle of some item o
 stands. Windows and items get a 64-bit SimHash; fingerprints within the radius agree, up to
 radius // blocks bits, in one of the blocks (pigeonhole), so an index of the items by block, block
 value and size, with these few errors enumerated, yields all of them. Candidates within the radius
-are verified by their exact weighted similarity.
+are verified by their exact weighted similarity. Windows of long items are not written out: what
+each shares with the item is summed from where its shingles come in and go out.
 """
 
 from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftlake.llm.common import stored
@@ -22,7 +23,7 @@ NO_WORD = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 #: At similarity 0.8 two fingerprints differ by 9.7 bits on average; more than 25 has probability 1e-6.
 RADIUS = 25
 BLOCKS = 13
-#: Longer items are looked for in parts of this size; a lane of the SimHash counts to 32767.
+#: Longer items are compared as a whole without a fingerprint, and reported in parts of this size.
 MAX_WINDOW = 8192
 #: Item tables with at most so many rows are broadcast; a row is a few numbers.
 BROADCAST_ROWS = 1_000_000
@@ -87,15 +88,13 @@ def _common(left: str, right: str) -> Column:
 
 
 def benchmark_items(benchmark: DataFrame, k: int) -> DataFrame:
-    """Items as they are looked for: item_id, part, length in words, gram size, grams, fingerprint.
+    """Items as they are looked for: item_id, length in words, gram size, grams, fingerprint (if not long).
     Items without words cannot be found and are left out."""
-    words = benchmark.select("item_id", words_of(F.col("text")).alias("all_words"))
-    parts = words.where("size(all_words) > 0").select(
-        "item_id", F.posexplode(F.expr(f"transform(sequence(0, size(all_words) - 1, {MAX_WINDOW}), s -> slice(all_words, s + 1, {MAX_WINDOW}))")).alias("part", "words"))
-    sized = parts.withColumn("length", F.size("words")).withColumn("gram", F.least(F.lit(k), F.col("length")))
+    words = benchmark.select("item_id", words_of(F.col("text")).alias("words")).where("size(words) > 0")
+    sized = words.withColumn("length", F.size("words")).withColumn("gram", F.least(F.lit(k), F.col("length")))
     grams = F.coalesce(*[F.when(F.col("gram") == g, shingles("words", g)) for g in range(1, k + 1)])
-    return sized.withColumn("grams", grams).withColumn("fingerprint", simhash("grams")).select(
-        "item_id", "part", "length", "gram", "grams", "fingerprint", F.xxhash64("length", "grams").alias("item"))
+    return sized.withColumn("grams", grams).withColumn("fingerprint", F.when(F.col("length") <= MAX_WINDOW, simhash("grams"))).select(
+        "item_id", "length", "gram", "grams", "fingerprint", F.xxhash64("length", "grams").alias("item"))
 
 
 def anchors(documents: DataFrame, items: DataFrame, row_limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -145,18 +144,57 @@ def item_windows(documents: DataFrame, items: DataFrame, k: int, row_limit: int
     return cut.select("doc_id", "text_key", "length", "start", grams.alias("grams"))
 
 
+def long_hits(documents: DataFrame, items: DataFrame, k: int, percent: int, row_limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Best window of each document and long item: doc_id, text_key, item_id, length, similarity, start, n_words.
+
+    Of the places of a shingle that an item holds m times, one counts in a window if it is in it
+    and the m-th place before it is not. So it counts for one run of starts, and a running sum over
+    where these runs begin and end gives the common weight of every window. Rows are as many as
+    places of shingles of the item in the document, not windows times their length.
+    """
+    grams = stored(items.select("item", "length", F.size("grams").alias("item_size"), F.explode("grams").alias("hash")).groupBy(
+        "item", "length", "item_size", "hash").agg(F.count("*").cast("int").alias("times")))
+    wanted = F.broadcast(grams) if grams.count() <= row_limit else grams
+    texts = documents.select("doc_id", F.xxhash64(F.col("text").cast("string")).alias("text_key"), words_of(F.col("text")).alias("words")).where(
+        F.size("words") >= k)
+    placed = texts.select("doc_id", "text_key", "words", F.explode(F.sequence(F.lit(0), F.size("words") - k)).alias("at"))
+    hashed = placed.select("doc_id", "text_key", "at", F.size("words").alias("n"), F.xxhash64(*[F.col("words")[F.col("at") + j] for j in range(k)]).alias("hash"))
+    pair = ["doc_id", "text_key", "item", "n", "length", "item_size"]
+    places = hashed.join(wanted, "hash").groupBy(*pair, "hash", "times").agg(F.sort_array(F.collect_set("at")).alias("places"))
+    each = places.select(*pair, "times", "places", F.posexplode("places").alias("i", "at"))
+    last = F.greatest(F.lit(0), F.col("n") - F.col("length"))
+    size = F.least(F.col("n"), F.col("length")) - (k - 1)
+    before = F.when(F.col("i") >= F.col("times"), F.expr("places[i - times]")).otherwise(-1)
+    runs = each.withColumn("last", last).withColumn("first", F.greatest(F.lit(0), F.col("at") - size + 1, before + 1)).withColumn(
+        "start", F.least("at", "last"))
+    # A place is where a window may start, and where a run may begin or end behind it.
+    events = runs.select(*pair, F.expr("""inline(array(named_struct('at', start, 'change', 0, 'window', true),
+        named_struct('at', first, 'change', if(first <= start, 1, 0), 'window', false),
+        named_struct('at', start + 1, 'change', if(first <= start, -1, 0), 'window', false)))"""))
+    sums = events.groupBy(*pair, "at").agg(F.sum("change").alias("change"), F.max("window").alias("window"))
+    common = F.sum("change").over(Window.partitionBy(*pair).orderBy("at"))
+    whole = size + F.col("item_size") - F.col("common")
+    hits = sums.withColumn("common", common).where("window").where(F.col("common") * 100 >= whole * percent).withColumn("similarity", F.col("common") / whole)
+    best = hits.groupBy(*pair).agg(F.min(F.struct((-F.col("similarity")).alias("s"), F.col("at").alias("start"))).alias("best"))
+    named = best.join(items.select("item", "item_id"), "item")
+    return named.select("doc_id", "text_key", "item_id", "length", (-F.col("best.s")).alias("similarity"), F.col("best.start").alias("start"),
+                        F.least("n", "length").alias("n_words"))
+
+
 def contaminated(documents: DataFrame, benchmark: DataFrame, k: int = 5, percent: int = 80, radius: int = RADIUS,
                  blocks: int = BLOCKS, row_limit: int = BROADCAST_ROWS) -> DataFrame:
     """Benchmark items that stand in a document: doc_id, text_key, item_id, part, similarity, start, n_words.
 
-    One row for a document, item and part (0 but for items over MAX_WINDOW words): the first word
-    of the best window and its weighted similarity, the weight of common shingles over that of all,
-    if it is `percent` or more. An item of fewer than k words is one shingle of its own size. Null
+    One row for a document and item: the first word of the best window and its weighted similarity,
+    the weight of common shingles over that of all, if it is `percent` or more. Part 0 is this
+    window; an item over MAX_WINDOW words, compared as a whole like any other, has a row for each
+    further MAX_WINDOW words as well, with the word where they start. An item of fewer than k words is one shingle of its own size. Null
     and empty texts and items hold nothing; a null doc_id or item_id stays null in the result; rows
     that repeat a document (doc_id and text) give one result. Empty tables give no rows.
     """
     errors = radius // blocks
-    items = stored(benchmark_items(benchmark, k))
+    every = stored(benchmark_items(benchmark, k))
+    items, long = every.where(F.col("length") <= MAX_WINDOW), every.where(F.col("length") > MAX_WINDOW)
     windows = stored(item_windows(documents, items, k, row_limit)).where("size(grams) > 0")
     windows = stored(windows.withColumn("mark", simhash("grams")))
     index = stored(items.select("item", "length", "gram", "fingerprint").distinct().select(
@@ -166,15 +204,22 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, k: int = 5, percent
     probes = windows.select("doc_id", "text_key", "length", "start", "grams", "mark", _blocks("mark", 0, blocks))
     near = probes.join(index, ["length", "block", "value"]).where(
         (F.col("block") == _first_block("mark", "fingerprint", errors, blocks)) & (F.expr("bit_count(mark ^ fingerprint)") <= radius))
-    lists = items.select("item", "item_id", "part", F.col("grams").alias("item_grams"))
+    lists = items.select("item", "item_id", F.col("grams").alias("item_grams"))
     lists = F.broadcast(lists) if sizes[0] <= row_limit and sizes[1] <= BROADCAST_WORDS else lists
     # Compared once and stored: filters on the figures would otherwise compare again for each use.
     checked = stored(near.join(lists, "item").withColumn("common", _common("grams", "item_grams"))).withColumn(
         "all", F.size("grams") + F.size("item_grams") - F.col("common"))
     hits = checked.where(F.col("common") * 100 >= F.col("all") * percent).withColumn("similarity", F.col("common") / F.col("all"))
-    best = hits.groupBy("doc_id", "text_key", "item_id", "part").agg(
+    best = hits.groupBy("doc_id", "text_key", "item_id").agg(
         F.min(F.struct((-F.col("similarity")).alias("s"), "start", (F.size("grams") + k - 1).alias("n_words"))).alias("best"))
-    return best.select("doc_id", "text_key", "item_id", "part", (-F.col("best.s")).alias("similarity"), "best.start", "best.n_words")
+    found = best.select("doc_id", "text_key", "item_id", F.lit(0).alias("part"), (-F.col("best.s")).alias("similarity"), "best.start", "best.n_words")
+    if long.isEmpty():
+        return found
+    parts = F.posexplode(F.sequence(F.lit(0), F.col("length") - 1, F.lit(MAX_WINDOW))).alias("part", "offset")
+    whole = long_hits(documents, long, k, percent, row_limit).groupBy("doc_id", "text_key", "item_id").agg(
+        F.min(F.struct((-F.col("similarity")).alias("s"), "start", "n_words", "length")).alias("best")).select("doc_id", "text_key", "item_id", "best.*")
+    return found.unionByName(whole.select("doc_id", "text_key", "item_id", (-F.col("s")).alias("similarity"), "start", "n_words", "length").select(
+        "*", parts).where(F.col("offset") < F.col("n_words")).select("doc_id", "text_key", "item_id", "part", "similarity", (F.col("start") + F.col("offset")).alias("start"), "n_words"))
 
 
 def clean_documents(documents: DataFrame, benchmark: DataFrame, row_limit: int = BROADCAST_ROWS, **settings) -> DataFrame:

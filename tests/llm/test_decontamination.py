@@ -125,3 +125,22 @@ def test_no_python_in_the_plan(documents, benchmark):
     docs, items = corpus(4)
     plan = D.contaminated(documents(docs), benchmark(items))._jdf.queryExecution().toString()
     assert not any(name in plan for name in ("Python", "Pandas", "ArrowEval", "Cartesian"))
+
+
+def test_an_item_over_the_window_is_judged_as_a_whole(documents, benchmark):
+    long = [f"p{i}" for i in range(D.MAX_WINDOW + 1)]
+    texts = ["x y z " + " ".join(long), f"one {long[-1]} stands here", " ".join(long[:2000]), " ".join(long[:2000] + ["odd"] + long[2000:])]
+    rows = D.contaminated(documents([(i, t, "s") for i, t in enumerate(texts)]), benchmark([(7, " ".join(long))])).where("part = 0").collect()
+    n = len(long) - 4
+    assert {(r["doc_id"], r["start"], r["n_words"]): r["similarity"] for r in rows} == {
+        (0, 3, n + 4): 1.0, (3, 0, n + 4): pytest.approx((n - 5) / (n + 5), abs=1e-3)}
+
+
+@pytest.mark.parametrize("row_limit", [D.BROADCAST_ROWS, 0])
+def test_long_items_found_equal_all_windows(documents, benchmark, monkeypatch, row_limit):
+    monkeypatch.setattr(D, "MAX_WINDOW", 12)
+    docs, items = corpus(5)
+    rows = D.contaminated(documents(docs), benchmark(items), row_limit=row_limit).where("part = 0").collect()
+    got = {(r["doc_id"], r["item_id"]): (pytest.approx(r["similarity"]), r["start"]) for r in rows}
+    assert len(rows) == len(got)
+    assert got == plain(docs, items)
