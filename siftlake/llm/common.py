@@ -95,3 +95,14 @@ def stored(df: DataFrame) -> DataFrame:
     """Run a plan once and cut its lineage in the shared folder."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Run a plan once and read it back from a table in the shared folder.
+
+    Unlike a checkpoint the table has a true size, so plans that use it again and again (loops)
+    are not sized by the product of all their sides.
+    """
+    path = shared_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from siftlake.llm import (compression_classifier, decontamination, language_model, license_scan, mixing, near_dup,
+from siftlake.llm import (collocations, compression_classifier, decontamination, language_model, license_scan, mixing, near_dup,
                           quality_rules, token_counts, token_files, url_filter)
 from siftlake.llm.common import read
 
@@ -172,3 +172,33 @@ LEFT JOIN edges e ON d.source IS NOT DISTINCT FROM e.source
 @query
 def op10_language_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.language_scores(read(spark, sf_dir, "documents"))
+
+
+@query
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
+ORACLE["op13_collocations"] = r"""
+WITH docs AS (SELECT coalesce(lang, 'und') AS lang,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+pieces AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\n-\r]')) AS piece FROM docs),
+word_lists AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda w: w <> '') AS ws FROM pieces),
+sizes AS (SELECT unnest([1, 2, 3, 4, 5]) AS m),
+places AS (SELECT lang, ws, m, unnest(range(1, len(ws) - m + 2)) AS pos FROM word_lists, sizes WHERE len(ws) >= m),
+counts AS (SELECT lang, m, ws[pos:pos + m - 1] AS phrase, count(*) AS f FROM places GROUP BY ALL HAVING count(*) >= 100),
+totals AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM word_lists GROUP BY lang),
+candidates AS (SELECT lang, m, phrase, f AS a FROM counts WHERE m > 1),
+cuts AS (SELECT *, unnest(range(1, m)) AS k FROM candidates),
+scored AS (SELECT c.lang, c.m, c.phrase, a, n, k, x.f AS l, y.f AS r, (1000::HUGEINT * a * n) // (x.f::HUGEINT * y.f) AS score
+  FROM cuts c JOIN totals USING (lang) JOIN counts x ON x.lang = c.lang AND x.phrase = c.phrase[1:k]
+  JOIN counts y ON y.lang = c.lang AND y.phrase = c.phrase[k + 1:c.m]),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+starts AS (SELECT lang, phrase, a, m, unnest(range(1, m)) AS pos FROM candidates WHERE m > 2),
+inner_parts AS (SELECT lang, a, m, phrase, pos, unnest(range(pos + 1, m + 1)) AS till FROM starts),
+around AS (SELECT lang, phrase[pos:till] AS phrase, max(a) AS longer FROM inner_parts WHERE till - pos + 1 < m GROUP BY ALL),
+remaining AS (SELECT b.*, array_to_string(b.phrase, ' ') AS said FROM best b LEFT JOIN around o ON o.lang = b.lang AND o.phrase = b.phrase
+  WHERE longer IS NULL OR 100 * longer < 100 * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, said) AS rank FROM remaining)
+SELECT lang, rank, said AS phrase, a, l, r, n, score::BIGINT AS score FROM ranked WHERE rank <= 2000
+"""
