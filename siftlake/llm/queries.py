@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from siftlake.llm import (collocations, compression_classifier, decontamination, language_model, license_scan, mixing, near_dup,
-                          quality_rules, token_counts, token_files, url_filter)
+from siftlake.llm import (collocations, compression_classifier, decontamination, language_model, lexical_search, license_scan, mixing, near_dup,
+                          quality_rules, token_counts, token_files, url_filter, vector_search)
 from siftlake.llm.common import read
 
 QUERIES = {}
@@ -174,6 +175,44 @@ def op10_language_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.language_scores(read(spark, sf_dir, "documents"))
 
 
+@query
+def op11_top_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+ORACLE["op11_top_vectors"] = r"""
+WITH whole AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (SELECT q.vec_id AS query_id, c.vec_id, max(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])))::BIGINT AS score
+  FROM whole q JOIN whole c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id GROUP BY ALL)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scores) WHERE rank <= 5
+"""
+
+
+@query
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.lexical_search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+ORACLE["op12_lexical_search"] = r"""
+WITH doc_terms AS (SELECT row_number() OVER () AS row_id, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda t: t <> '') AS ts FROM documents),
+stats AS (SELECT count(*) AS n_docs, sum(len(ts))::BIGINT AS n_terms FROM doc_terms WHERE len(ts) > 0),
+item_terms AS (SELECT DISTINCT item_id, unnest(list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda t: t <> '')) AS term FROM benchmark),
+tfs AS (SELECT row_id, doc_id, n, term, count(*) AS tf FROM (SELECT row_id, doc_id, len(ts) AS n, unnest(ts) AS term FROM doc_terms)
+  WHERE term IN (SELECT term FROM item_terms) GROUP BY ALL),
+dfs AS (SELECT term, count(*) AS df FROM tfs GROUP BY term),
+weights AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM dfs, stats),
+scores AS (SELECT item_id, row_id, doc_id,
+    sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM item_terms JOIN weights USING (term) JOIN tfs USING (term), stats GROUP BY ALL)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scores WHERE score > 0) WHERE rank <= 10
+"""
+
+
 @query
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(read(spark, sf_dir, "documents"))
