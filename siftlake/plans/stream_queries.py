@@ -83,8 +83,8 @@ def _status_changes(spark, sf):
  SELECT package, status, {stamp_sql('entered')} AS entered_at, events, illegal FROM s""")
 def stream_status(spark, sf):
     out = scratch_path(spark, "status")
-    _run(status.follow_status(_status_changes(spark, sf), f"{out}/seen", f"{out}/checkpoint"))
-    return status.current(spark, f"{out}/seen").withColumn("entered_at", stamp("entered_at"))
+    _run(status.follow_status(_status_changes(spark, sf), out, f"{out}/checkpoint"))
+    return status.current(spark, out).withColumn("entered_at", stamp("entered_at"))
 
 
 @query("STM-04", f"""
@@ -102,7 +102,7 @@ def stream_confirm(spark, sf):
         "ts", F.col("ts").cast("timestamp"))
     finished = rec().where("artifact = 'signup'").selectExpr("event_id AS upload_id", "ts AS finished_at")
     visible = rec().where("artifact <> 'signup'").selectExpr("event_id - 1 AS upload_id", "ts AS visible_at")
-    stream = status.confirmations(finished, visible, "10 minutes")
+    stream = status.confirmations(finished, visible, "10 minutes", early="1 day")
 
     def write(batch, batch_id):
         batch.write.mode("overwrite").parquet(discovery.batch_folder(f"{out}/rows", batch_id))
@@ -113,6 +113,23 @@ def stream_confirm(spark, sf):
     return rows.select("upload_id", stamp("finished_at"), "confirmation")
 
 
+@query("STM-04 JN-02 AG-08", f"""
+ WITH f AS (SELECT event_id AS upload_id, ts AS finished_at FROM {REC.sql} WHERE artifact = 'signup'),
+ v AS (SELECT DISTINCT event_id - 1 AS upload_id FROM {REC.sql} WHERE artifact <> 'signup'),
+ c AS (SELECT max(finished_at) AS clock FROM f)
+ SELECT concat('id', f.upload_id) AS upload_id, {stamp_sql('finished_at')} AS finished_at, CASE WHEN v.upload_id IS NOT NULL THEN 'confirmed'
+   WHEN finished_at < clock - INTERVAL 30 MINUTE THEN 'timeout' ELSE 'pending' END AS confirmation
+ FROM f LEFT JOIN v USING (upload_id), c""")
+def stream_confirm_pending(spark, sf):
+    out = scratch_path(spark, "pending")
+    finished = _stream(spark, sf, REC, "event_id", "artifact", "ts").where("artifact = 'signup'").select(
+        F.concat(F.lit("id"), "event_id").alias("upload_id"), F.col("ts").cast("timestamp").alias("finished_at"))
+    visible = lambda spark: REC.df(spark, sf).where("artifact <> 'signup'").select(
+        F.concat(F.lit("id"), F.col("event_id") - 1).alias("upload_id"))
+    _run(status.follow_confirmations(finished, visible, out, f"{out}/checkpoint"))
+    return status.decided(spark, out).withColumn("finished_at", stamp("finished_at"))
+
+
 @query("STM-05 ART-12", f"""
  SELECT user_id AS client_id, CASE WHEN user_id % 4 = 0 THEN 'Linux' WHEN user_id % 4 = 1 THEN 'Workstation'
    WHEN user_id % 4 = 2 THEN 'Server' END AS label, {stamp_sql('min(ts)')} AS first_seen
@@ -157,8 +174,8 @@ def stream_exports(spark, sf):
 def stream_counters(spark, sf):
     out = scratch_path(spark, "counters")
     now = F.lit("2026-01-01").cast("timestamp")
-    _run(status.follow_counters(_status_changes(spark, sf), out, f"{out}/checkpoint", now=now))
-    return status.latest_batch(spark, f"{out}/counts", "status string, packages bigint, longest_seconds bigint")
+    _run(status.follow_status(_status_changes(spark, sf), out, f"{out}/checkpoint"))
+    return status.current_counters(spark, out, now)
 
 
 @query("STM-08 STM-03", f"""
@@ -171,5 +188,5 @@ def stream_retry(spark, sf):
     failed = base().select("package", F.lit("failed").alias("status"), "updated_at")
     retried = base().where("orderkey % 3 = 0").select(
         "package", F.lit("unqueued").alias("status"), F.lit("2030-01-01").cast("timestamp").alias("updated_at"))
-    _run(status.follow_status(failed.union(retried), f"{out}/seen", f"{out}/checkpoint"))
-    return status.current(spark, f"{out}/seen").select("package", "status", "illegal")
+    _run(status.follow_status(failed.union(retried), out, f"{out}/checkpoint"))
+    return status.current(spark, out).select("package", "status", "illegal")

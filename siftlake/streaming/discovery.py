@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from siftlake.operators import ledger
 from siftlake.session import path_exists
+from siftlake.streaming import generations
 
 MINUTE = "1 minute"
 MAX_KEYS = 10_000  # a batch up to this size is broadcast to the ledger
@@ -67,7 +68,7 @@ def discover(listing: DataFrame, path: str, checkpoint: str, now: Column | None
         keys = found.select("package")
         if found.count() <= MAX_KEYS:  # then the whole ledger is only scanned, not shuffled
             keys = F.broadcast(keys)
-        known = read_batches(spark, path, ENTRY).where(F.col("batch") != batch_id)
+        known = generations.read(spark, path, ENTRY).where(F.col("batch") != batch_id)
         fresh = ledger.new_packages(found, known.join(keys, "package", "left_semi"))
         stamp = now if now is not None else F.current_timestamp()
         entries = ledger.status_entry(fresh, F.lit("new"), F.lit(None), stamp)
