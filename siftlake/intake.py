@@ -91,6 +91,12 @@ def _entries(packages_: DataFrame, session: str, status: str | Column, at: Colum
     return ledger.status_entry(named, F.lit(status) if isinstance(status, str) else status, F.lit(None), at)
 
 
+def mark(packages_: DataFrame, root: str, session: str, status: str, now: datetime | None = None) -> None:
+    """Enters a status of packages (package, size, source) outside of a run."""
+    run = f"{run_key(packages_, session)}-{status}"
+    _write_status(_entries(packages_.select("package", "size", "source"), session, status, _now(now)), root, run, status, 2)
+
+
 def queue_packages(spark: SparkSession, listing: DataFrame, root: str, session: str, threshold: int,
                    per_batch: int = 20, now: datetime | None = None) -> DataFrame:
     """Discovered packages (package, size, source) to work messages (batch_kind, batch_no,
@@ -159,13 +165,12 @@ def intake_packages(spark: SparkSession, listing: DataFrame, root: str, session:
     kept = tagged.where("not ignored_upload")
     lines = packages.member_lines(kept, tasks, carry=("table_name", "host", "upload_id"), password=password)
     store = sinks.ArtifactTables(spark, f"{root}/tables", prefix)
-    loaded = sinks.ingest(
-        lines.select("table_name", F.concat_ws("/", "package", "member").alias("file"), F.col("line_no").alias("pos"),
-                     "line", "host", paths.basename(F.col("package")).alias("package"),
-                     F.col("upload_id").alias("upload"), "error"),
-        store, f"{work}/lines", sample, run=run, numbered=True, rejects=f"{root}/rejects/lines")
+    landing = lines.select("table_name", F.concat_ws("/", "package", "member").alias("file"), F.col("line_no").alias("pos"),
+                           "line", "host", paths.basename(F.col("package")).alias("package"), F.col("upload_id").alias("upload"), "error")
+    loaded = sinks.ingest(landing, store, f"{work}/lines", sample, run=run, numbered=True, rejects=f"{root}/rejects/lines")
 
-    unread = spark.read.parquet(f"{work}/lines").where("error is not null").select(
+    # With the schema: no package may have had a line.
+    unread = spark.read.schema(landing.schema).parquet(f"{work}/lines").where("error is not null").select(
         F.col("file").alias("_file"), F.col("error").alias("_unread")).distinct()
     outcome = loaded.select("table_name", F.col("initiated").alias("_loaded"), F.col("error").alias("_load_error"))
     rows = lookup_join(tagged.withColumn("_file", F.concat_ws("/", "package", "member")), outcome, ["table_name"])

@@ -7,7 +7,7 @@ import importlib
 from siftlake.plans.base import QUERIES
 
 _MODULES = ["schema_queries", "ledger_queries", "report_queries", "function_queries", "artifact_queries",
-            "stream_queries", "io_queries"]
+            "stream_queries", "io_queries", "folder_queries"]
 for _name in _MODULES:
     importlib.import_module(f"siftlake.plans.{_name}")
 

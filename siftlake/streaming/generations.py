@@ -31,9 +31,13 @@ def _numbers(spark: SparkSession, path: str) -> list[int]:
     return sorted(int(n.removeprefix("batch=")) for n in names if n.startswith("batch="))
 
 
+def newest_complete(spark: SparkSession, path: str) -> int | None:
+    """The last of the `batch=` folders whose write has been committed."""
+    return next((n for n in reversed(_numbers(spark, path)) if path_exists(spark, f"{path}/batch={n}/{COMMITTED}")), None)
+
+
 def newest_generation(spark: SparkSession, path: str) -> int | None:
-    numbers = _numbers(spark, f"{path}/{GENERATIONS}")
-    return next((n for n in reversed(numbers) if path_exists(spark, f"{path}/{GENERATIONS}/batch={n}/{COMMITTED}")), None)
+    return newest_complete(spark, f"{path}/{GENERATIONS}")
 
 
 def read(spark: SparkSession, path: str, schema: str, till: int | None = None) -> DataFrame:
