@@ -8,18 +8,22 @@ from pyspark.sql import functions as F
 from siftlake.llm.common import stored, word_count
 
 #: The hash of a document has LEVELS digits of DIGIT_BITS bits; one histogram fixes one digit.
-LEVELS = 4
+LEVELS = 6
 DIGIT_BITS = 10
+#: Digits of the id's hash; the others are of the text and tell apart rows that share an id or have none.
+ID_LEVELS = 4
 BUCKETS = 1 << DIGIT_BITS
 #: Per-source rows hold a 64-bit key and a few numbers; up to so many (8 MB) they are broadcast.
 BROADCAST_SOURCES = 100_000
 SALTS = 32
 
 
-def document_hash(doc_id: Column) -> Column:
-    """40 bits of the MD5 of the id as text; a null id counts as empty."""
-    hex_digits = LEVELS * DIGIT_BITS // 4
-    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, hex_digits), 16, 10).cast("bigint")
+def document_hash(doc_id: Column, text: Column) -> Column:
+    """40 bits of the MD5 of the id as text (a null id counts as empty), then 20 bits of the text's hash."""
+    hex_digits = ID_LEVELS * DIGIT_BITS // 4
+    of_id = F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, hex_digits), 16, 10).cast("bigint")
+    rest = (LEVELS - ID_LEVELS) * DIGIT_BITS
+    return F.shiftleft(of_id, rest) + F.xxhash64(text).bitwiseAND(F.lit((1 << rest) - 1))
 
 
 def source_targets(sizes: DataFrame, weights: list[float], share: float, most: float) -> DataFrame:
@@ -66,7 +70,7 @@ def _keyed(documents: DataFrame) -> DataFrame:
     """The rows as one column, with the numbers that decide them beside it."""
     source = F.col("source").cast("string")
     return documents.select(
-        F.struct("*").alias("row"), source.alias("source"), document_hash(F.col("doc_id")).alias("hash"),
+        F.struct("*").alias("row"), source.alias("source"), document_hash(F.col("doc_id"), F.col("text").cast("string")).alias("hash"),
         F.xxhash64(source.isNull(), source).alias("key"))
 
 
@@ -122,9 +126,10 @@ def mix_sources(documents: DataFrame, weights: tuple[float, ...] = (3, 1, 2), sh
     rests lie higher, so a larger share keeps what a smaller one took. Nothing is sorted: a level
     is one partial aggregate and a running sum over at most 1024 buckets a source.
 
-    Nulls: a null text has size 0, a null source is a source, a null id hashes as empty. Rows that
-    repeat a doc_id within a source share a hash and are taken together; so are other ties. The
-    last bucket is taken if that comes closer to the target. An empty table gives no rows.
+    Nulls: a null text has size 0, a null source is a source, a null id hashes as empty. Rows of a
+    source that share a doc_id, or have none, are told apart by their texts; those with one text
+    as well share a hash and are taken together. The last such group is taken if that comes
+    closer to the target. An empty table gives no rows.
     """
     sizes_of, per_source, few = _plan(documents, weights, share, most, broadcast_sources)
     out = _with_source(sizes_of, per_source, ["source_size", "target", "copies", "threshold"], few)
@@ -134,7 +139,8 @@ def mix_sources(documents: DataFrame, weights: tuple[float, ...] = (3, 1, 2), sh
 def mixed_documents(documents: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0,
                     broadcast_sources: int = BROADCAST_SOURCES) -> DataFrame:
     """The documents themselves, each as often as the mix takes it, with all their columns. The
-    same thresholds as in `mix_sources`; texts are not shuffled."""
+    same thresholds as in `mix_sources`, and the same results for nulls, ties, repeated rows and
+    empty tables; texts are not shuffled."""
     _, per_source, few = _plan(documents, weights, share, most, broadcast_sources)
     out = _with_source(_keyed(documents).drop("source"), per_source, ["copies", "threshold"], few)
     return out.select("row", _copies().alias("n")).where("n > 0").withColumn(

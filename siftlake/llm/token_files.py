@@ -9,6 +9,7 @@ the whole sequence is the sum of the shards before it, so no file needs to know
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -28,16 +29,38 @@ CACHE_ENTRIES = 1_000_000
 BLOCK_WORDS = 100_000
 
 
-class WordEncoder:
-    """Ids of whole texts for a tokenizer whose pieces never cross white space.
+# The settings of a tokenizer that lower-cases and cuts texts at white space, between
+# letters and between punctuation and letters.
+BY_WORDS = {
+    "normalizer": {"type": "Sequence", "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+         "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+}
+
+
+def encodes_by_words(path: str) -> bool:
+    """Whether a text's ids are those of its words, one after another: the settings above, and no
+    added token that holds or takes up white space."""
+    with open(path, encoding="utf-8") as file:
+        settings = json.load(file)
+    added = settings.get("added_tokens") or []
+    plain = all(len(t["content"].split()) == 1 and not (t["lstrip"] or t["rstrip"] or t["single_word"]) for t in added)
+    return plain and all(settings.get(key) == value for key, value in BY_WORDS.items())
 
-    Such a tokenizer gives a text the ids of its words, one after another, so each distinct
-    word is encoded once. A word that ends in punctuation after a letter is two pieces.
+
+class WordEncoder:
+    """Ids of whole texts. A tokenizer whose pieces never cross white space gives a text the ids
+    of its words, so each distinct word is encoded once, and a word that ends in punctuation after
+    an ASCII letter as two pieces. Any other tokenizer encodes every text as it stands.
     """
 
     def __init__(self, path: str, dtype: str):
         from tokenizers import Tokenizer
 
+        self.by_words = encodes_by_words(path)
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.dtype = dtype
@@ -51,7 +74,7 @@ class WordEncoder:
             body = text.rstrip(".,;:!?")
             end = ""
             if body != text:
-                if body and body[-1].isalpha():
+                if body and body[-1].isascii() and body[-1].isalpha():  # others may end in a mark once lower-cased
                     end = text[len(body):]
                 else:
                     body = text
@@ -87,6 +110,10 @@ class WordEncoder:
     def encode_texts(self, texts: Iterator[bytes]) -> Iterator[tuple[bytes, bool]]:
         """The ids of whole texts in turn, in pieces of bounded size, and whether the text ends
         with the piece. Several texts are encoded together, long ones in blocks of words."""
+        if not self.by_words:
+            for text in texts:
+                yield np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, self.dtype).tobytes(), True
+            return
         lists, ends, held = [], [], 0
         for text in texts:
             words = text.split()
@@ -149,13 +176,15 @@ def write_token_files(documents: DataFrame, folder: str, tokenizer_path: str, en
 
     Documents are range-partitioned, so shards follow each other and no task sees more than its
     range. Each attempt writes its own draft and moves it into place when complete; the manifest
-    is committed by Spark and names the finished shards. Rows that repeat a doc_id stand beside
-    each other, in the order of their texts. An empty table gives an empty manifest or empty shards.
+    is committed by Spark and names the finished shards. Rows that repeat a doc_id (or have none,
+    which come first) stand beside each other, in the order of their texts' hashes. An empty table gives an empty manifest or empty shards.
     """
     store, root = pafs.FileSystem.from_uri(folder)
     store.create_dir(root, recursive=True)
     rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # Rows without id, or with one that many share, are ranges of their texts' hashes.
+    rows = rows.withColumn("text_hash", F.xxhash64("text"))
+    ordered = rows.repartitionByRange("doc_id", "text_hash").sortWithinPartitions("doc_id", "text_hash", "text").drop("text_hash")
     ordered.mapInArrow(_write_shard(folder, tokenizer_path, end_id, dtype),
                        "shard int, docs long, nulls long, tokens long").write.parquet(f"{folder}/manifest")
 

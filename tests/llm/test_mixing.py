@@ -99,3 +99,12 @@ def test_empty_and_wordless_tables(documents):
 def test_no_python_in_the_plan(documents):
     plan = M.mix_sources(documents(rows_of(20)))._jdf.queryExecution().toString()
     assert not any(name in plan for name in ("Python", "Pandas", "Arrow", "Cartesian"))
+
+
+def test_rows_without_id_are_told_apart(documents):
+    """A third of the rows have no id: the target is met within one document all the same."""
+    rows = [(None if i % 3 == 0 else i, f"{i} " + "w " * (i % 9), "one" if i % 2 else "two") for i in range(1500)]
+    got = M.mix_sources(documents(rows), share=0.72).collect()
+    for size in {r["source_size"] for r in got}:
+        own = [r for r in got if r["source_size"] == size]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= max(r["size"] for r in own)

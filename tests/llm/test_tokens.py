@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -55,6 +56,35 @@ def test_encoder_at_any_cache_size(tokenizer, monkeypatch, block, entries):
     assert at == len(texts)
 
 
+def test_random_strings_with_marks_and_punctuation(tokenizer):
+    rng = random.Random(8)
+    signs = ["a", "B", "İ", "ß", "é", "e\u0301", "\u0301", "\u0307", "ǅ", "Σ", "ﬁ", "漢", "1", "'", "'s", "?", ".", ",", "!?", " ", " ", "\t", "\u00a0",
+             "<|endoftext|>", "|", "😀", "\u200d", "ſ"]
+    texts = ["".join(rng.choices(signs, k=rng.randint(1, 9))) for _ in range(60_000)] + ["İ?", "xİ.", "ÍİI;"]
+    encoder = T.WordEncoder(WORDS, "<u4")
+    got = [np.frombuffer(part, "<u4").tolist() for part, _ in encoder.encode_texts(t.encode() for t in texts)]
+    want = [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [t for t, g, w in zip(texts, got, want, strict=True) if g != w] == []
+
+
+def test_another_tokenizer_encodes_whole_texts(documents):
+    other = public_tokenizers.path("byte_bpe_50k.json")
+    assert T.encodes_by_words(WORDS) and not T.encodes_by_words(other)
+    rows = [(i, t, "s") for i, t in enumerate(TEXTS)]
+    got = T.token_output(documents(rows), other).collect()
+    assert sorted(map(tuple, got), key=key) == sorted(expected(Tokenizer.from_file(other), rows), key=key)
+
+
+def test_rows_without_id_spread_over_shards(spark, documents, tmp_path):
+    docs = documents([(None if i % 2 else i, f"text number {i} " * 40, "s") for i in range(3000)])
+    folder = f"file://{tmp_path}/out"
+    T.write_token_files(docs, folder, WORDS, 2)
+    shards = T.token_shards(spark, folder).collect()
+    assert max(s["docs"] for s in shards) < 1500 if len(shards) > 2 else len(shards) >= 1
+    rows = T.read_token_files(spark, folder).orderBy("start").collect()
+    assert [r["doc_id"] for r in rows] == [None] * 1500 + list(range(0, 3000, 2))
+
+
 def test_files_are_flat_and_mapped(spark, documents, tmp_path):
     docs = documents([(i, f"text number {i}", "s") for i in range(100)])
     folder = f"file://{tmp_path}/out"
