@@ -22,6 +22,9 @@ TYPES = {
 }
 EPOCH_MIN, EPOCH_MAX = 1_000_000_000, 20_000_000_000_000
 MILLIS_FROM = 100_000_000_000
+#: What `classify` says of integers that 64 bits do not hold. They vote as integers; a table keeps
+#: a column that has one as text, which holds every digit.
+WIDE = "wide"
 
 
 @dataclass(frozen=True)
@@ -55,7 +58,7 @@ def classify(df: DataFrame, value: str, kind: str = "kind") -> DataFrame:
               .otherwise("string"))
         .when(token == "BOOLEAN", "bool")
         .when(token.startswith("OBJECT<") | token.startswith("ARRAY<"), "dynamic")
-        .when(big_int, "long")
+        .when(big_int, WIDE)
         .when(token.rlike("^(DECIMAL|DOUBLE|FLOAT)"), _float_kind(F.try_variant_get(v, "$", "double")))
         .when(token.rlike("^(TIMESTAMP|DATE)"), "datetime")
         .otherwise("string")
@@ -87,35 +90,40 @@ def first_values(values: DataFrame, by: list[str], pos: str, n: int, missing: Co
     return values.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= n).drop("_rank")
 
 
-def majority(classified: DataFrame, by: list[str], pos: str, kind: str = "kind") -> DataFrame:
+def majority(classified: DataFrame, by: list[str], pos: str, kind: str = "kind", whole: bool = False) -> DataFrame:
     """Most common type per column; a tie goes to the type seen first, a column without
-    values is string. Two partial aggregations, records never travel."""
-    counts = classified.groupBy(*by, kind).agg(F.count("*").alias("_n"), F.min(pos).alias("_first"))
+    values is string. With `whole` a column of integers that do not all fit 64 bits is string
+    too. Two partial aggregations, records never travel."""
+    wide = F.col(kind) == WIDE
+    counts = classified.withColumn("_wide", wide).withColumn(kind, F.when(wide, "long").otherwise(F.col(kind))).groupBy(*by, kind).agg(
+        F.count("*").alias("_n"), F.min(pos).alias("_first"), F.bool_or("_wide").alias("_wide"))
     voted = F.col(kind).isNotNull()
     # ties: larger count first, then the smaller first position
     best = counts.groupBy(*by).agg(
         F.max(F.when(voted, F.col("_n"))).alias("votes"),
         F.sum(F.when(voted, F.col("_n")).otherwise(0)).alias("samples"),
         F.collect_list(F.when(voted, F.struct("_n", "_first", kind))).alias("_kinds"),
+        F.coalesce(F.bool_or("_wide"), F.lit(False)).alias("_wide"),
     )
     leaders = F.filter("_kinds", lambda k: k["_n"] == F.col("votes"))
     winner = F.array_sort(leaders, lambda a, b: F.when(a["_first"] < b["_first"], -1).otherwise(1))
+    first = F.coalesce(F.get(winner, F.lit(0))[kind], F.lit("string"))
     return best.select(
         *by,
-        F.coalesce(F.get(winner, F.lit(0))[kind], F.lit("string")).alias("kind"),
+        F.when((first == "long") & F.col("_wide") & F.lit(whole), "string").otherwise(first).alias("kind"),
         F.coalesce("votes", F.lit(0)).cast("bigint").alias("votes"),
         F.col("samples").cast("bigint").alias("samples"),
     )
 
 
-def vote(records: DataFrame, by: list[str], pos: str = "pos", sample: int | None = 100) -> DataFrame:
+def vote(records: DataFrame, by: list[str], pos: str = "pos", sample: int | None = 100, whole: bool = False) -> DataFrame:
     """(by..., key, kind, votes, samples) from VARIANT records; `sample=None` votes over
-    every value."""
+    every value; `whole` as in `majority`."""
     keys = [*by, "key"]
     values = fields(records, *by, pos)
     if sample is not None:  # before the values are classified
         values = first_values(values, keys, pos, sample, F.is_variant_null("value"))
-    return majority(classify(values, "value").drop("value"), keys, pos)
+    return majority(classify(values, "value").drop("value"), keys, pos, whole=whole)
 
 
 def head_lines(lines: DataFrame, by: list[str], pos: str, n: int | None, numbered: bool = False) -> DataFrame:

@@ -129,10 +129,10 @@ def _column_types(landed: DataFrame, sample: int | None, numbered: bool) -> Data
     type of a column that it holds; columns beyond it are voted on with all their values."""
     by = ["table_name", "file"]
     if sample is None:
-        return schema.vote(landed, by, "pos", None)
-    voted = schema.vote(schema.head_lines(landed, by, "pos", sample, numbered), by, "pos", sample)
+        return schema.vote(landed, by, "pos", None, whole=True)
+    voted = schema.vote(schema.head_lines(landed, by, "pos", sample, numbered), by, "pos", sample, whole=True)
     values = schema.fields(landed, *by, "pos").join(voted.select(*by, "key"), [*by, "key"], "left_anti")
-    return voted.unionByName(schema.majority(schema.classify(values, "value").drop("value"), [*by, "key"], "pos"))
+    return voted.unionByName(schema.majority(schema.classify(values, "value").drop("value"), [*by, "key"], "pos", whole=True))
 
 
 def ingest(lines: DataFrame, tables: ArtifactTables, raw_path: str, sample: int | None = None,

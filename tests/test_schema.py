@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftlake.operators import schema
-from siftlake.sources import records
+from siftlake.sources import records, sinks
 
 
 def voted(spark, rows, sample=100):
@@ -96,3 +96,15 @@ def test_dynamic_values_stay_json(spark):
     df = records.parsed(records.from_memory(spark, [{"x": {"b": [1, "t"]}}, {"x": [1, 2]}, {"x": "s"}, {"x": 1.5}]))
     out = df.orderBy("pos").select(schema.typed_value(F.col("record"), schema.FieldType("x", "dynamic")).alias("x"))
     assert [r["x"] for r in out.collect()] == ['{"b":[1,"t"]}', "[1,2]", "s", "1.5"]
+
+
+def test_integers_beyond_64_bits_keep_their_digits(spark, tmp_path):
+    store = sinks.ArtifactTables(spark, str(tmp_path / "tables"))
+    values = ["1", "9223372036854775807", "9223372036854775808", "-9223372036854775809", "18446744073709551615", "99999999999999999999999999999999999999"]
+    rows = [("t", "f", i, '{"big": %s, "small": %d, "mixed": %s}' % (v, i, '"x"' if i else v), "h", "p", "u") for i, v in enumerate(values)]
+    lines = spark.createDataFrame(rows, "table_name string, file string, pos long, line string, host string, package string, upload string")
+    sinks.ingest(lines, store, str(tmp_path / "raw"))
+    got = store.read("t")
+    assert dict(got.dtypes)["big"] == "string" and dict(got.dtypes)["small"] == "bigint"
+    assert sorted(r["big"] for r in got.collect()) == sorted(values)
+    assert sorted(r["mixed"] for r in got.collect()) == ["1"] + ["x"] * 5
