@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftlake.llm.common import WordHashes, byte_texts, shingle_set, stored
+from siftlake.llm.common import WordHashes, byte_texts, shingle_set, written
 
 SYMBOLS = 32
 CHUNK = 4
@@ -78,29 +78,40 @@ def bucket_keys(signature: Column) -> Column:
         lambda i: F.xxhash64(i, F.filter(F.slice(signature, i - i % CHUNK + 1, CHUNK), lambda s, j: j != i % CHUNK)))
 
 
+def _roots(hooks: DataFrame) -> DataFrame:
+    """Follows `hooks` (node, up) to the end, twice as far with each step: node, up."""
+    while True:
+        above = hooks.select(F.col("node").alias("up"), F.col("up").alias("top"))
+        jumped = written(hooks.join(above, "up").select("node", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved")))
+        hooks = jumped.select("node", "up")
+        if not jumped.where("moved").take(1):
+            return hooks
+
+
 def components(links: DataFrame) -> DataFrame:
     """Label each node of `links` (a, b) with the smallest node it can reach: node, label.
 
-    Each round hooks every node to its smallest neighbour, follows hooks two steps and replaces
-    nodes by what they hang on, until no link between different nodes is left. A chain shrinks by
-    a factor of four each round, a star needs two. Tables stay distributed; the driver sees one
-    row a round.
+    Each round hooks every node to its lowest neighbour, if that is lower than itself, follows
+    the hooks to their ends and replaces nodes by these, until no link between different nodes
+    is left. Odd rounds take the lower id, which ends stars and chains in id order at once; even
+    rounds a hash drawn anew, by which at least half of the nodes of any graph are expected to
+    hook. Tables stay distributed and are written each round; the driver sees one row.
+    No links give no labels.
     """
-    edges = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    labels = edges.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct()
-    left = True
-    while left:
-        direct = edges.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("up"))
-        hook, above = direct, direct.select(F.col("node").alias("up"), F.col("up").alias("top"))
-        for _ in range(2):
-            hook = hook.join(above, "up", "left").select("node", F.coalesce("top", "up").alias("up"))
-        hook = stored(hook)
-        labels = labels.join(hook.select(F.col("node").alias("label"), "up"), "label", "left").select("node", F.coalesce("up", "label").alias("label"))
-        ends = [hook.select(F.col("node").alias(c), F.col("up").alias(f"up_{c}")) for c in ("a", "b")]
-        edges = stored(edges.join(ends[0], "a").join(ends[1], "b").where("up_a <> up_b").select(
+    edges = written(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
+    labels = written(links.select(F.col("a").alias("node")).union(links.select("b")).distinct().withColumn("label", F.col("node")))
+    turn = 0
+    while edges.take(1):
+        turn += 1
+        height = [F.col(c) if turn % 2 else F.xxhash64(c, F.lit(turn)) for c in ("a", "b")]
+        lowest = edges.groupBy("a").agg(F.min(F.struct(height[1].alias("height"), F.col("b").alias("node"))).alias("low"))
+        roots = _roots(written(lowest.select(F.col("a").alias("node"), F.when(F.col("low.height") < height[0], F.col("low.node")).otherwise(F.col("a")).alias("up"))))
+        labels = written(labels.join(roots.select(F.col("node").alias("label"), "up"), "label", "left").select("node", F.coalesce("up", "label").alias("label")))
+        ends = [roots.select(F.col("node").alias(c), F.col("up").alias(f"up_{c}")) for c in ("a", "b")]
+        edges = written(edges.join(ends[0], "a").join(ends[1], "b").where("up_a <> up_b").select(
             F.col("up_a").alias("a"), F.col("up_b").alias("b")).distinct())
-        left = bool(edges.take(1))
-    return stored(labels)
+    least = labels.groupBy("label").agg(F.min("node").alias("least"))
+    return written(labels.join(least, "label").select("node", F.col("least").alias("label")))
 
 
 def _pairs(left: Column | str, right: Column | str) -> list[Column]:
@@ -143,7 +154,7 @@ def _prune(sized: DataFrame, percent: int) -> DataFrame:
     smallest = F.greatest("least", F.ceil(F.col("n") * percent / 100))
     most = F.least("inner", "inner_other") + F.least("outer", "outer_other")
     able = offered.where(most >= _least_common(F.col("n"), smallest, percent))
-    return stored(_mixed(able.select("centre", "class", "label", "n", "inner", "outer")))
+    return written(_mixed(able.select("centre", "class", "label", "n", "inner", "outer")))
 
 
 def _able(members: DataFrame, percent: int) -> DataFrame:
@@ -156,11 +167,11 @@ def _able(members: DataFrame, percent: int) -> DataFrame:
     Documents that have a passage in common, or copies that have drifted too far, are so told
     apart by two numbers and not held against each other.
     """
-    rest = stored(_mixed(members))
+    rest = written(_mixed(members))
     extras = rest.select("centre", "class", "label", F.explode("extra").alias("shingle"))
     shared = extras.groupBy("centre", "shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("centre", "shingle")
     outer = extras.join(shared, ["centre", "shingle"]).groupBy("centre", "class").agg(F.count("*").cast("int").alias("outer"))
-    return _prune(stored(rest.drop("extra").join(outer, ["centre", "class"], "left").fillna(0, ["outer"])), percent)
+    return _prune(written(rest.drop("extra").join(outer, ["centre", "class"], "left").fillna(0, ["outer"])), percent)
 
 
 def _able_pairs(left: DataFrame | None, right: DataFrame, percent: int) -> DataFrame:
@@ -187,7 +198,7 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     ends = links.select(F.coalesce("l_a", "a").alias("a"), F.coalesce("l_b", "b").alias("b")).where("a <> b")
     upper = components(ends)
     everything = labels.unionByName(upper.select("node", F.col("node").alias("label"))).groupBy("node").agg(F.min("label").alias("label"))
-    return stored(everything.join(upper.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left").select(
+    return written(everything.join(upper.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left").select(
         "node", F.coalesce("top", "label").alias("label")))
 
 
@@ -206,27 +217,27 @@ def class_links(documents: DataFrame, sketch: DataFrame, k: int, percent: int, r
     linked by others.
     """
     rows = sketch.where("digest IS NOT NULL AND doc_id IS NOT NULL")
-    groups = stored(rows.groupBy("digest").agg(F.min("doc_id").alias("class"), F.first("signature").alias("signature")))
+    groups = written(rows.groupBy("digest").agg(F.min("doc_id").alias("class"), F.first("signature").alias("signature")))
     # Rows that share a doc_id are one document, whatever their texts.
     named = rows.select("doc_id", "digest").join(groups.select("digest", "class"), "digest").select("doc_id", "class").distinct()
     several = named.groupBy("doc_id").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a < b").select("doc_id", "a")
     same_id = named.join(several, "doc_id").where("class <> a").select("a", F.col("class").alias("b"))
     keyed = groups.select("class", F.explode(bucket_keys(F.col("signature"))).alias("key")).distinct()
     sizes = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    live = stored(keyed.join(sizes, "key"))
-    weight = stored(live.groupBy("class").agg(F.sum("size").alias("weight")))
+    live = written(keyed.join(sizes, "key"))
+    weight = written(live.groupBy("class").agg(F.sum("size").alias("weight")))
     wanted = weight.select(F.col("class").alias("doc_id"))
     texts = documents.join(F.broadcast(wanted) if wanted.count() <= row_limit else wanted, "doc_id", "left_semi")
-    sets = stored(texts.mapInArrow(_sets(k), "class long, shingles array<long>"))
+    sets = written(texts.mapInArrow(_sets(k), "class long, shingles array<long>"))
 
     ranked = live.select("key", "class").join(weight, "class")
     centre = ranked.groupBy("key").agg(F.max(F.struct("weight", "class")).alias("best")).select("key", F.col("best.class").alias("centre"))
     placed = live.select("key", "class").join(centre, "key").where("class <> centre").select("class", "centre").distinct()
-    compared = stored(_with_sets(placed, sets, "class", "centre").select(
+    compared = written(_with_sets(placed, sets, "class", "centre").select(
         "class", "centre", F.size("set_class").alias("n"), F.size("set_centre").alias("n_centre"),
         F.size(F.array_intersect("set_class", "set_centre")).alias("inner"), F.array_except("set_class", "set_centre").alias("extra")))
     first = compared.where(_similar(F.col("n"), F.col("n_centre"), F.col("inner"), percent)).select(*_pairs("class", "centre"))
-    links = stored(first.union(same_id).distinct())
+    links = written(first.union(same_id).distinct())
     labels = components(links)
     able = _able(_named(compared.drop("n_centre"), labels), percent)
     done = compared.select(*_pairs("class", "centre"))
@@ -236,10 +247,10 @@ def class_links(documents: DataFrame, sketch: DataFrame, k: int, percent: int, r
         candidates = _able_pairs(left, able, percent).join(done, ["a", "b"], "left_anti")
         pairs = _with_sets(candidates, sets, "a", "b")
         common = F.size(F.array_intersect("set_a", "set_b"))
-        more = stored(pairs.where(_similar(F.size("set_a"), F.size("set_b"), common, percent)).select("a", "b").distinct())
+        more = written(pairs.where(_similar(F.size("set_a"), F.size("set_b"), common, percent)).select("a", "b").distinct())
         if more.take(1):
             labels = _merged(labels, more)
-            able = _prune(stored(_named(able, labels)), percent) if left is not None else able
+            able = _prune(written(_named(able, labels)), percent) if left is not None else able
     return groups.select("digest", "class"), labels
 
 
@@ -253,7 +264,7 @@ def near_duplicates(documents: DataFrame, k: int = 4, percent: int = 80) -> Data
     empty table gives no rows. Equal sets are one class, so copies cost nothing beyond their row.
     """
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketch = stored(docs.mapInArrow(_sketch(k), "doc_id long, n_shingles long, digest binary, signature array<int>"))
+    sketch = written(docs.mapInArrow(_sketch(k), "doc_id long, n_shingles long, digest binary, signature array<int>"))
     members, labels = class_links(docs, sketch, k, percent)
     named = members.join(labels.select(F.col("node").alias("class"), "label"), "class", "left").select(
         "digest", F.coalesce("label", "class").alias("label"))

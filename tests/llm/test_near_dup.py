@@ -100,3 +100,15 @@ def test_one_document_of_each_group_stays(documents):
 def test_empty_table(documents):
     assert N.near_duplicates(documents([])).count() == 0
     assert N.distinct_documents(documents([])).count() == 0
+
+
+def test_a_long_chain_in_id_order_takes_few_rounds(spark, monkeypatch):
+    rounds = []
+    roots = N._roots
+    monkeypatch.setattr(N, "_roots", lambda hooks: rounds.append(1) or roots(hooks))
+    df = spark.range(1000).selectExpr("id AS a", "id + 1 AS b")
+    got = N.components(df).groupBy("label").count().collect()
+    assert [tuple(r) for r in got] == [(0, 1001)] and len(rounds) <= 12
+    mixed = spark.range(1000).selectExpr("(id * 7919) % 1009 AS a", "((id + 1) * 7919) % 1009 AS b")
+    assert N.components(mixed).groupBy("label").count().count() == 1 and len(rounds) <= 24
+    assert N.components(df.where("a < 0")).count() == 0
