@@ -153,15 +153,18 @@ def intake_packages(spark: SparkSession, listing: DataFrame, root: str, session:
     runs = _store(todo.withColumn("upload_id", text.run_id(F.col("package"), F.lit(session))), f"{work}/runs")
     _write_status(_entries(runs, session, "processing", started), root, run, "start", 3)
 
-    members = _store(packages.member_inventory(runs, tasks, password), f"{work}/members")
-    hosts = packages.package_hosts(packages.client_infos(runs, tasks, password), registry_hosts)
+    inner = _store(packages.unpack_inner(runs, f"{work}/inner", tasks, password), f"{work}/unpacked")
+    opened = lookup_join(runs.select("package"), inner, ["package"])
+    members = _store(packages.member_inventory(opened, tasks, password), f"{work}/members")
+    hosts = packages.package_hosts(packages.client_infos(opened, tasks, password), registry_hosts)
     facts = packages.has_raw_evidence(members).join(
         members.where("error is not null").groupBy("package").agg(F.first("error").alias("package_error")), "package", "left")
-    known = _store(lookup_join(lookup_join(runs, hosts, ["package"]), facts, ["package"]), f"{work}/known")
+    known = lookup_join(lookup_join(lookup_join(runs, hosts, ["package"]), facts, ["package"]), inner, ["package"])
+    known = _store(known, f"{work}/known")
 
     decided = rules.with_ignore_decision(members.where("member is not null"), ignore or rules.IgnoreRules())
     named = decided.withColumn("table_name", paths.table_name(F.col("member"), prefix))
-    tagged = lookup_join(named, known.select("package", "host", "upload_id"), ["package"], "inner")
+    tagged = lookup_join(named, known.select("package", "host", "upload_id", *packages.UNPACKED), ["package"], "inner")
     kept = tagged.where("not ignored_upload")
     lines = packages.member_lines(kept, tasks, carry=("table_name", "host", "upload_id"), password=password)
     store = sinks.ArtifactTables(spark, f"{root}/tables", prefix)

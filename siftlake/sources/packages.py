@@ -7,8 +7,10 @@ one large package are spread over many tasks.
 
 from __future__ import annotations
 
+import hashlib
 import io
 import json
+import struct
 import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -28,6 +30,8 @@ MEMBER_SCHEMA = (
 )
 LINE_SCHEMA = "package string, member string, line_no bigint, line string, error string"
 INFO_SCHEMA = "package string, document string, error string"
+UNPACKED_SCHEMA = "package string, unpacked string, unpacked_name string"
+UNPACKED = ("unpacked", "unpacked_name")
 
 # Names inside a package.
 NESTED_MARK = "data.zip"
@@ -38,6 +42,9 @@ RAW_EVIDENCE_PREFIX = "uploads/"
 DIRECT_STORES = ("file", "s3", "gs", "gcs", "abfs", "abfss", "hdfs", "viewfs")
 STORE_ALIASES = {"s3a": "s3", "s3n": "s3"}
 HADOOP_STORES = ("wasb", "wasbs", "sftp", "ftp", "adl", "o3fs", "ofs")
+# Fixed value: bytes of the header in front of a member, without its name and extra field.
+LOCAL_HEADER = 30
+READ_BYTES = 1 << 20
 LINES_PER_BATCH = 20_000
 BYTES_PER_BATCH = 32 << 20
 
@@ -130,23 +137,123 @@ def _open_archive(package: str, content: bytes | None, password: bytes | None) -
         yield archive
 
 
+class _Part(io.RawIOBase):
+    """A range of bytes of a file as a file of its own."""
+
+    def __init__(self, file, start: int, size: int):
+        self.file, self.start, self.size, self.at = file, start, size, 0
+
+    def readable(self) -> bool:
+        return True
+
+    def seekable(self) -> bool:
+        return True
+
+    def seek(self, offset: int, whence: int = io.SEEK_SET) -> int:
+        base = {io.SEEK_SET: 0, io.SEEK_CUR: self.at, io.SEEK_END: self.size}[whence]
+        self.at = max(0, base + offset)
+        return self.at
+
+    def readinto(self, buffer) -> int:
+        wanted = max(0, min(len(buffer), self.size - self.at))
+        self.file.seek(self.start + self.at)
+        data = self.file.read(wanted) if wanted else b""
+        buffer[:len(data)] = data
+        self.at += len(data)
+        return len(data)
+
+
+def _stored_part(outer: zipfile.ZipFile, info: zipfile.ZipInfo) -> io.BufferedReader:
+    """The bytes of an uncompressed member where they stand: behind its local header, whose last
+    two fields are the lengths of the name and the extra field that follow."""
+    outer.fp.seek(info.header_offset)
+    header = outer.fp.read(LOCAL_HEADER)
+    name, extra = struct.unpack("<HH", header[-4:])
+    return io.BufferedReader(_Part(outer.fp, info.header_offset + LOCAL_HEADER + name + extra, info.file_size), READ_BYTES)
+
+
+def _inner_member(outer: zipfile.ZipFile) -> zipfile.ZipInfo | None:
+    return next((info for info in outer.infolist() if NESTED_MARK in info.filename), None)
+
+
+def _in_place(info: zipfile.ZipInfo) -> bool:
+    """Whether a member can be read where it stands: neither compressed nor encrypted."""
+    return info.compress_type == zipfile.ZIP_STORED and not info.flag_bits & 0x1
+
+
 def _resolve_nested(outer: zipfile.ZipFile, password: bytes | None) -> tuple[zipfile.ZipFile, str | None]:
-    """The inner archive and its name when one is present. One that does not open is the
-    package's error: its evidence is inside."""
-    for info in outer.infolist():
-        if NESTED_MARK in info.filename:
+    """The inner archive and its name when one is present; a stored one is read in place, so a
+    task reads only the ranges of its members. One that does not open is the package's error:
+    its evidence is inside."""
+    info = _inner_member(outer)
+    if info is None:
+        return outer, None
+    try:
+        inner = zipfile.ZipFile(_stored_part(outer, info) if _in_place(info) else outer.open(info))
+    except (zipfile.BadZipFile, RuntimeError, NotImplementedError, struct.error) as exc:
+        raise zipfile.BadZipFile(f"{info.filename} does not open: {exc}") from exc
+    inner.setpassword(password)
+    return inner, info.filename
+
+
+@contextmanager
+def _evidence(package: str, content: bytes | None, inner: tuple[str, str] | None,
+              password: bytes | None) -> Iterator[tuple[zipfile.ZipFile, str | None]]:
+    """The archive that holds the evidence and, for an inner one, its name. `inner` is where
+    `unpack_inner` has left it, and its name."""
+    if inner is not None:
+        with _open_uri(inner[0]) as file:
             try:
-                inner = zipfile.ZipFile(outer.open(info))
-            except (zipfile.BadZipFile, RuntimeError, NotImplementedError) as exc:
-                raise zipfile.BadZipFile(f"{info.filename} does not open: {exc}") from exc
-            inner.setpassword(password)
-            return inner, info.filename
-    return outer, None
+                archive = zipfile.ZipFile(file)
+            except (zipfile.BadZipFile, OSError, ValueError) as exc:  # a file too short for a directory
+                raise zipfile.BadZipFile(f"{inner[1]} does not open: {exc}") from exc
+            archive.setpassword(password)
+            yield archive, inner[1]
+    else:
+        with _open_archive(package, content, password) as outer:
+            yield _resolve_nested(outer, password)
 
 
-def _rows(batch: pd.DataFrame) -> Iterator[tuple[str, bytes | None]]:
-    contents = batch["content"] if "content" in batch else [None] * len(batch)
-    return zip(batch["package"], contents)
+def _rows(batch: pd.DataFrame) -> Iterator[tuple[str, bytes | None, tuple[str, str] | None]]:
+    nothing = [None] * len(batch)
+    contents = batch["content"] if "content" in batch else nothing
+    unpacked = zip(batch["unpacked"], batch["unpacked_name"]) if "unpacked" in batch else zip(nothing, nothing)
+    return ((package, content, inner if inner[0] is not None else None)
+            for package, content, inner in zip(batch["package"], contents, unpacked))
+
+
+def _unpacked(folder: str, password: bytes | None):
+    """Writes compressed inner archives below a folder, in pieces of bounded size. Each attempt
+    has a draft of its own, which is moved into place when it is whole."""
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        _, scheme, path = store_of(folder)
+        system, base = fs.FileSystem.from_uri(f"{scheme}:{quote(path)}")
+        system.create_dir(base, recursive=True)
+        for batch in batches:
+            rows = []
+            for package, content, _ in _rows(batch):
+                place = name = None
+                try:
+                    with _open_archive(package, content, password) as outer:
+                        info = _inner_member(outer)
+                        if info is not None and not _in_place(info):
+                            key = hashlib.sha256(package.encode()).hexdigest()
+                            draft = f"{base}/_{TaskContext.get().taskAttemptId()}-{key}"
+                            with outer.open(info) as source, system.open_output_stream(draft) as out:
+                                while piece := source.read(READ_BYTES):
+                                    out.write(piece)
+                            system.move(draft, f"{base}/{key}.zip")
+                            place, name = f"{folder}/{key}.zip", info.filename
+                except Exception:  # readers of the package meet the same fault and report it
+                    place = name = None
+                rows.append((package, place, name))
+            yield pd.DataFrame(rows, columns=_columns(UNPACKED_SCHEMA))
+
+    return write
 
 
 def _problem(exc: Exception) -> str:
@@ -156,11 +263,10 @@ def _problem(exc: Exception) -> str:
 def _inventory(password: bytes | None):
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for package, content in _rows(batch):
+            for package, content, inner in _rows(batch):
                 rows = []
                 try:
-                    with _open_archive(package, content, password) as outer:
-                        archive, container = _resolve_nested(outer, password)
+                    with _evidence(package, content, inner, password) as (archive, container):
                         for m in archive.infolist():
                             rows.append((package, m.filename, m.file_size, m.compress_size, m.is_dir(),
                                          bool(m.flag_bits & 0x1), container, None))
@@ -197,8 +303,8 @@ def _lines_of_members(carry: list[str], password: bytes | None):
         for batch in batches:
             for package, part in batch.groupby("package", sort=False):
                 try:
-                    with _open_archive(package, None, password) as outer:
-                        archive, _ = _resolve_nested(outer, password)
+                    _, _, inner = next(_rows(part))
+                    with _evidence(package, None, inner, password) as (archive, _):
                         for row in part.itertuples(index=False):
                             for lines in _member_lines(package, archive, [row.member]):
                                 yield lines.assign(**{c: getattr(row, c) for c in carry})
@@ -212,10 +318,9 @@ def _lines_of_members(carry: list[str], password: bytes | None):
 def _lines_of_packages(password: bytes | None):
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for package, content in _rows(batch):
+            for package, content, inner in _rows(batch):
                 try:
-                    with _open_archive(package, content, password) as outer:
-                        archive, _ = _resolve_nested(outer, password)
+                    with _evidence(package, content, inner, password) as (archive, _):
                         wanted = [m.filename for m in archive.infolist()
                                   if m.filename.endswith((".json", ".jsonl")) and m.file_size > 0]
                         yield from _member_lines(package, archive, wanted)
@@ -225,19 +330,26 @@ def _lines_of_packages(password: bytes | None):
     return read
 
 
+def _info_document(archive: zipfile.ZipFile) -> str | None:
+    if CLIENT_INFO not in archive.namelist():
+        return None
+    text = archive.read(CLIENT_INFO).decode("utf-8-sig")
+    json.loads(text)
+    return text
+
+
 def _client_infos(password: bytes | None):
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for package, content in _rows(batch):
+            for package, content, inner in _rows(batch):
                 document = error = None
                 try:
-                    with _open_archive(package, content, password) as outer:
-                        for archive in dict.fromkeys((_resolve_nested(outer, password)[0], outer)):
-                            if document is None and CLIENT_INFO in archive.namelist():
-                                text = archive.read(CLIENT_INFO).decode("utf-8-sig")
-                                json.loads(text)
-                                document = text
+                    with _evidence(package, content, inner, password) as (archive, container):
+                        document = _info_document(archive)
+                    if document is None and container is not None:
+                        with _open_archive(package, content, password) as outer:
+                            document = _info_document(outer)
                 except Exception as exc:
                     error = _problem(exc)
                 rows.append((package, document, error))
@@ -257,14 +369,24 @@ def _spread(df: DataFrame, tasks: int | None, *keys: str) -> DataFrame:
 
 
 def _archive_rows(packages: DataFrame) -> DataFrame:
-    cols = ["package"] + (["content"] if "content" in packages.columns else [])
-    return packages.select(*cols)
+    return packages.select("package", *[c for c in ("content", *UNPACKED) if c in packages.columns])
 
 
 def _secret(password: str | None) -> bytes | None:
     return password.encode() if password else None
 
 
+def unpack_inner(packages: DataFrame, folder: str, tasks: int | None = None, password: str | None = None) -> DataFrame:
+    """Decompresses each compressed inner archive once, to a file below `folder`, which all
+    machines share: (package, unpacked, unpacked_name), null for packages that have none. Joined
+    to packages or members, readers open that file, however many tasks they are. Inner archives
+    that are only stored stay where they are, since ranges of them can be read in place."""
+    rows = _archive_rows(packages.drop(*UNPACKED))
+    if "content" not in rows.columns:
+        rows = _spread(rows, tasks, "package")
+    return rows.mapInPandas(_unpacked(folder.rstrip("/"), _secret(password)), UNPACKED_SCHEMA)
+
+
 def member_inventory(packages: DataFrame, tasks: int | None = None, password: str | None = None) -> DataFrame:
     """One row per member of each package; an inner archive replaces the outer listing.
     `packages` has `package` (a URI), and `content` only when the bytes are at hand."""
@@ -285,7 +407,7 @@ def member_lines(members: DataFrame, tasks: int | None = None, carry: tuple[str,
     writes few files.
     """
     rows = members.where("member is not null").select(
-        "package", "member", *(["size"] if "size" in members.columns else []), *carry)
+        "package", "member", *[c for c in ("size", *UNPACKED) if c in members.columns], *carry)
     schema = LINE_SCHEMA + "".join(f", {c} string" for c in carry)
     if "table_name" in carry and "size" in rows.columns:
         shares = rows.groupBy("table_name").agg(F.ceil(F.sum("size") / target_bytes).alias("_share"))
@@ -295,7 +417,7 @@ def member_lines(members: DataFrame, tasks: int | None = None, carry: tuple[str,
         spread = _spread(placed, tasks, "table_name", "_slot")
     else:
         spread = _spread(rows, tasks, "package", "member")
-    return spread.select("package", "member", *carry).mapInPandas(
+    return spread.select("package", "member", *[c for c in UNPACKED if c in spread.columns], *carry).mapInPandas(
         _lines_of_members(list(carry), _secret(password)), schema)
 
 

@@ -1,5 +1,6 @@
 import io
 import json
+import random
 import zipfile
 
 import pytest
@@ -233,3 +234,81 @@ def test_stores_that_packages_open_from():
     assert packages.store_of("wasbs://c@account.example/x.zip")[0] == "hadoop"
     with pytest.raises(ValueError):
         packages.store_of("gopher://x/y.zip")
+
+
+def nested_zip(members, method):
+    """A package whose evidence is an inner archive, stored or compressed."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", method) as z:
+        z.writestr("metadata.json", "{}")
+        z.writestr("deep/data.zip", make_zip(members))
+    return out.getvalue()
+
+
+MEMBERS = {"client_info.json": '{"hostname": "gamma"}', **{f"results/t{i}.jsonl": jsonl(*[{"i": i, "pad": f"{i}-{n}" * 50} for n in range(200)]) for i in range(20)}}
+
+
+@pytest.mark.parametrize("method, unpacked", [(zipfile.ZIP_STORED, False), (zipfile.ZIP_DEFLATED, True)])
+def test_inner_archives_are_unpacked_once_or_read_in_place(spark, tmp_path, method, unpacked):
+    path = tmp_path / "in" / "p a%20.zip"
+    path.parent.mkdir()
+    path.write_bytes(nested_zip(MEMBERS, method))
+    plain = tmp_path / "in" / "plain.zip"
+    plain.write_bytes(make_zip({"results/x.jsonl": jsonl({"x": 1})}))
+    broken = tmp_path / "in" / "broken.zip"
+    broken.write_bytes(nested_zip(MEMBERS, method).replace(b"PK\x01\x02", b"PK\x09\x09"))
+    rows = spark.createDataFrame([(f"file://{p}",) for p in (path, plain, broken)], "package string")
+    where = packages.unpack_inner(rows, str(tmp_path / "inner dir"), tasks=2)
+    found = {r["package"].rsplit("/", 1)[1]: (r["unpacked"] is not None, r["unpacked_name"]) for r in where.collect()}
+    assert found["p a%20.zip"] == (unpacked, "deep/data.zip" if unpacked else None)
+    assert found["plain.zip"] == found["broken.zip"] == (False, None)
+    opened = rows.join(where, "package", "left")
+    stored = str(tmp_path / "opened")
+    opened.write.parquet(stored)
+    opened = spark.read.parquet(stored)
+    assert len(list((tmp_path / "inner dir").glob("*"))) == int(unpacked)
+    members = packages.member_inventory(opened, tasks=2)
+    assert {(r["member"], r["container"]) for r in members.where("container is not null").collect()} == {(m, "deep/data.zip") for m in MEMBERS}
+    hosts = {r["host"] for r in packages.package_hosts(packages.client_infos(opened)).collect()}
+    assert hosts == {"gamma", ""}
+    kept = members.where("member like 'results/%'").join(opened, "package")
+    lines = {(r["member"], r["line_no"], r["line"]) for r in packages.member_lines(kept, tasks=9).collect()}
+    assert len(lines) == 20 * 200 + 1
+    if unpacked:  # the package itself is not opened for its lines
+        path.unlink()
+        stored = str(tmp_path / "kept")
+        spark.createDataFrame([(f"file://{path}", "results/t3.jsonl", *opened.where("unpacked is not null").select("unpacked", "unpacked_name").first())],
+                              "package string, member string, unpacked string, unpacked_name string").write.parquet(stored)
+        again = packages.member_lines(spark.read.parquet(stored), tasks=4)
+        assert again.where("error is null").count() == 200
+
+
+def test_a_stored_inner_archive_is_read_by_ranges():
+    class Counting(io.BytesIO):
+        seen = 0
+
+        def read(self, n=-1):
+            data = super().read(n)
+            Counting.seen += len(data)
+            return data
+
+    rng = random.Random(1)
+    big = {f"m{i}.jsonl": "".join(chr(rng.randrange(32, 120)) for _ in range(300_000)) for i in range(30)}
+    data = nested_zip(big, zipfile.ZIP_STORED)
+    with zipfile.ZipFile(Counting(data)) as outer:
+        inner, name = packages._resolve_nested(outer, None)
+        assert name == "deep/data.zip" and inner.read("m29.jsonl").decode() == big["m29.jsonl"]
+    assert Counting.seen < len(data) / 2
+
+
+def test_a_package_with_a_compressed_inner_archive_is_taken_in(spark, tmp_path):
+    from siftlake import intake
+
+    path = tmp_path / "p.zip"
+    path.write_bytes(nested_zip({"client_info.json": '{"hostname": "g"}', "results/t.jsonl": jsonl({"n": 1}, {"n": 2})}, zipfile.ZIP_DEFLATED))
+    listing = spark.createDataFrame([(f"file://{path}", 1, "disk")], "package string, size long, source string")
+    uploads = intake.intake_packages(spark, listing, str(tmp_path / "root"), "s", ignore=rules.IgnoreRules(paths=["client_info.json"]))
+    assert {(r["location_in_zip"], r["upload_initiated"]) for r in uploads.collect()} == {("client_info.json", False), ("results/t.jsonl", True)}
+    rows = sinks.ArtifactTables(spark, str(tmp_path / "root/tables")).read("t").collect()
+    assert sorted((r["n"], r["src_host"]) for r in rows) == [(1, "g"), (2, "g")]
+    assert len(list((tmp_path / "root/_work").glob("*/inner/*.zip"))) == 1
