@@ -1,14 +1,16 @@
 """Collocations: phrases counted in depth-truncated suffix subtrees, built group by group.
 
 Every word occurrence starts a suffix, cut after DEPTH words. The suffixes are partitioned
-vertically by their first words: prefixes that hold more suffixes than one group may are extended
-by a word until they fit, and prefixes are dealt into groups whose size follows from a memory
-budget. A group is one task's work, independent of all others: its suffixes are sorted, which
-lays out the subtree of each prefix, and the total below a node is the count of its phrase.
+vertically by their first words: prefixes that hold more suffixes than a share of a group are
+extended by a word, and prefixes are dealt into groups whose number follows from a memory budget.
+A group is one task's work, independent of all others: its suffixes are sorted, which lays out
+the subtree of each prefix, and the total below a node is the count of its phrase. Suffixes
+travel as one packed block per task and group.
 
-A phrase is no more frequent than its parts. So suffixes end before a word that is rarer than
-the threshold, and between two words whose pair is; both tests go through bitmaps of a fixed
-size, which let some others pass but none fail.
+A phrase is no more frequent than its parts. So subtrees grow in rounds, pairs and triples first,
+then the deeper levels below frequent triples: suffixes end before a word, a pair or a triple
+that is rarer than the threshold. These tests go through bitmaps of a fixed size, which let some
+others pass but none fail.
 
 Words stand as 64-bit hashes while they are counted. The hash is checked over the whole
 vocabulary, and another seed is taken where two words share one, so counts are exact.
@@ -28,17 +30,16 @@ from pyspark.sql import functions as F
 from siftlake.llm.common import CACHE_WORDS, written
 
 DEPTH = 5
+#: Depth of the first round of subtrees; the second one goes on to DEPTH.
+FIRST_DEPTH = 3
 #: Suffixes (distinct in their task) that one group holds about.
 GROUP_SUFFIXES = 1_000_000
 #: A prefix with more than this share of a group is extended by a word.
 PREFIX_SHARE = 8
 #: Word occurrences a task gathers before it counts them.
-GATHERED = 2_000_000
+GATHERED = 4_000_000
 #: Bits of the bitmaps of frequent words and pairs, whatever their number.
 BITS = 1 << 24
-#: Rows of prefixes (about 50 bytes each) that are broadcast at most; beyond, the join is salted.
-BROADCAST_ROWS = 200_000
-SALTS = 32
 _PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 _AS_WORDS = bytes.maketrans(_PIECE_ENDS, b" " * len(_PIECE_ENDS))
 _AS_STOPS = bytes.maketrans(_PIECE_ENDS, b"." * len(_PIECE_ENDS))
@@ -77,7 +78,7 @@ def _words(seed: int):
             coded = np.fromiter((codes.code(w) for w in found), np.uint64, len(found))
             yield pa.RecordBatch.from_arrays([
                 pa.array([lang] * len(found), pa.binary()).cast(pa.string()), pa.array(list(found), pa.binary()).cast(pa.string()),
-                pa.array(coded.view(np.int64)), packed(coded[:, None], np.ones(len(found), np.int64)), pa.array(list(found.values()), pa.int64())],
+                pa.array(coded.view(np.int64)), packed(coded[:, None]), pa.array(list(found.values()), pa.int64())],
                 schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,11 +135,16 @@ class Bitmap:
         return (self.words[place >> 6] >> (place & 63) & 1).astype(bool)
 
 
-def _starts(codes: np.ndarray, words: Bitmap) -> tuple[np.ndarray, np.ndarray]:
-    """For each place but the last, whether it and the next are frequent words of one piece, and
-    the key of that pair."""
+def _runs(codes: np.ndarray, words: Bitmap, longer: list[Bitmap]) -> np.ndarray:
+    """For each place, whether the frequent words there and next to it are one phrase that passes
+    all tests: as many words as there are bitmaps of `longer` and one more."""
     fine = words.has(codes) & (codes != 0)
-    return fine[:-1] & fine[1:], _pair_keys(codes[:-1], codes[1:])
+    keys = codes
+    for more, bitmap in enumerate(longer, 1):
+        keys = _pair_keys(keys[:-1], codes[more:])
+        fine = fine[:-1] & fine[1:]
+        fine[fine] = bitmap.has(keys[fine])
+    return fine
 
 
 def _pairs(seed: int, words: Bitmap):
@@ -146,87 +152,113 @@ def _pairs(seed: int, words: Bitmap):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for codes in _code_runs(batches, seed):
-            both, keys = _starts(codes, words)
-            found, counts = np.unique(keys[both], return_counts=True)
+            fine = _runs(codes, words, [])
+            found, counts = np.unique(_pair_keys(codes[:-1], codes[1:])[fine[:-1] & fine[1:]], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(counts.astype(np.int64))], schema=schema)
 
     return run
 
 
-def packed(rows: np.ndarray, lengths: np.ndarray) -> pa.Array:
-    """The first codes of each row, as many as its length says, as one binary value."""
-    data = rows[np.arange(rows.shape[1]) < lengths[:, None]].astype("<u8").tobytes()
-    offsets = np.concatenate([[0], np.cumsum(lengths * 8)]).astype(np.int64)
-    return pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data)]).cast(pa.binary())
+def packed(rows: np.ndarray) -> pa.Array:
+    """Rows of codes as binary values, 8 bytes a word."""
+    width, data = 8 * rows.shape[1], np.ascontiguousarray(rows, "<u8").tobytes()
+    offsets = (np.arange(len(rows) + 1, dtype=np.int64) * width).tobytes()
+    return pa.Array.from_buffers(pa.large_binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).cast(pa.binary())
 
 
-def unpacked(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """Inverse of `packed`: rows of DEPTH codes, filled up with 0, and their lengths."""
-    values = column.cast(pa.large_binary()).combine_chunks()
-    values = values.chunk(0) if isinstance(values, pa.ChunkedArray) else values
-    offsets = np.frombuffer(values.buffers()[1], np.int64, len(values) + 1, values.offset * 8)
-    lengths = np.diff(offsets) // 8
-    data = np.frombuffer(values.buffers()[2], "<u8", int(offsets[-1] - offsets[0]) // 8, int(offsets[0])) if len(values) else []
-    rows = np.zeros((len(values), DEPTH), np.uint64)
-    rows[np.arange(DEPTH) < lengths[:, None]] = data
-    return rows, lengths
+def unpacked(values: list[bytes], words: int) -> np.ndarray:
+    return np.frombuffer(b"".join(values), "<u8").reshape(-1, words)
 
 
-def _suffixes(seed: int, words: Bitmap, pairs: Bitmap):
-    schema = pa.schema([("suffix", pa.binary()), ("f", pa.int64())])
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys of phrases of FIRST_DEPTH words, with their counts."""
+    for batch in batches:
+        key = _prefix_keys(unpacked(batch.column("phrase").to_pylist(), FIRST_DEPTH))[-1]
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column("a")], ["key", "f"])
+
+
+def _suffixes(seed: int, words: Bitmap, longer: list[Bitmap], heavy: list[Bitmap], groups: int, least_words: int, depth: int):
+    """Suffixes of `least_words` to `depth` words, equal ones of a stretch of text counted: one
+    block for each group and number of words by which its prefixes were dealt."""
+    schema = pa.schema([("group", pa.int32()), ("prefix_words", pa.int32()), ("suffixes", pa.binary()), ("counts", pa.binary())])
+
+    def found(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places where a suffix begins, as rows of codes filled up with 0, and how many each stands for."""
+        fine = np.concatenate([_runs(codes, words, longer), np.zeros(depth + len(longer), bool)])
+        begins = fine[:len(codes)].copy()
+        for further in range(least_words - 1 - len(longer)):
+            begins &= fine[further + 1:further + 1 + len(codes)]
+        at = np.flatnonzero(begins)
+        rows, going = np.zeros((len(at), depth), np.uint64), np.ones(len(at), bool)
+        for d in range(depth):
+            if d > len(longer):  # the first words belong to the phrase at the place itself
+                going = going & fine[at + d - len(longer)]
+            rows[going, d] = codes[at[going] + d]
+        rows = rows[np.argsort(_prefix_keys(rows)[-1], kind="stable")]
+        # Equal rows stand together; different rows with one key are never merged.
+        new = np.ones(len(rows), bool)
+        new[1:] = (rows[1:] != rows[:-1]).any(axis=1)
+        return rows[new], np.diff(np.append(np.flatnonzero(new), len(rows)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for codes in _code_runs(batches, seed):
-            both, keys = _starts(codes, words)
-            both[both] = pairs.has(keys[both])
-            at = np.flatnonzero(both)
-            if not len(at):
+            rows, counts = found(codes)
+            if not len(rows):
                 continue
-            both = np.concatenate([both, np.zeros(DEPTH, bool)])
-            codes = np.concatenate([codes, np.zeros(DEPTH, np.uint64)])
-            rows = np.zeros((len(at), DEPTH), np.uint64)
-            going, lengths = np.ones(len(at), bool), np.ones(len(at), np.int64)
-            rows[:, 0] = codes[at]
-            for d in range(1, DEPTH):
-                going &= both[at + d - 1]
-                rows[going, d] = codes[at + d][going]
-                lengths += going
-            key = rows[:, 0].copy()
-            for d in range(1, DEPTH):
-                key = _pair_keys(key, rows[:, d])
-            order = np.argsort(key, kind="stable")
-            rows, lengths = rows[order], lengths[order]
-            # Equal rows stand together; different rows with one key are never merged.
-            new = np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)])
-            counts = np.diff(np.append(np.flatnonzero(new), len(rows)))
-            yield pa.RecordBatch.from_arrays([packed(rows[new], lengths[new]), pa.array(counts.astype(np.int64))], schema=schema)
+            keys = _prefix_keys(rows)
+            prefix, chosen = np.ones(len(rows), np.int64), keys[0].copy()
+            extends = np.ones(len(rows), bool)
+            for d, bitmap in enumerate(heavy, 1):
+                extends[extends] = bitmap.has(keys[d - 1][extends])
+                prefix[extends] = d + 1 if d < len(heavy) else depth
+                chosen[extends] = keys[d if d < len(heavy) else depth - 1][extends]
+            group = ((chosen ^ (chosen >> np.uint64(32))) * _MIX >> np.uint64(33)).astype(np.int64) % groups
+            order = np.lexsort((prefix, group))
+            group, prefix, rows, counts = group[order], prefix[order], rows[order], counts[order]
+            new = np.flatnonzero(np.append(True, (group[1:] != group[:-1]) | (prefix[1:] != prefix[:-1])))
+            blocks = [(rows[a:b].astype("<u8").tobytes(), counts[a:b].astype("<i8").tobytes()) for a, b in zip(new, [*new[1:], len(rows)], strict=True)]
+            yield pa.RecordBatch.from_arrays([
+                pa.array(group[new], pa.int32()), pa.array(prefix[new], pa.int32()),
+                pa.array([b[0] for b in blocks], pa.binary()), pa.array([b[1] for b in blocks], pa.binary())], schema=schema)
 
     return run
 
 
-def _subtrees(least: int):
-    """Counts of all nodes of a group's subtrees, from the totals of the leaves below them.
+def _prefix_keys(rows: np.ndarray) -> list[np.ndarray]:
+    """Keys of the first word, the first two and so on, as `_runs` makes them."""
+    keys = [rows[:, 0]]
+    for d in range(1, rows.shape[1]):
+        keys.append(_pair_keys(keys[-1], rows[:, d]))
+    return keys
+
+
+def _subtrees(least: int, least_words: int, depth: int):
+    """Counts of the nodes of a group's subtrees, from the totals of the leaves below them.
 
     Nodes above the prefix that chose the group go on in other groups: these keep any count.
     """
     schema = pa.schema([("phrase", pa.binary()), ("a", pa.int64())])
 
     def run(group: pa.Table) -> pa.Table:
-        rows, lengths = unpacked(group["suffix"])
-        counts, fixed = group["f"].to_numpy(), group["prefix_words"].to_numpy()
+        blocks = group["counts"].to_pylist()
+        counts = np.frombuffer(b"".join(blocks), "<i8")
+        fixed = np.repeat(group["prefix_words"].to_numpy(), [len(b) // 8 for b in blocks])
+        rows = unpacked(group["suffixes"].to_pylist(), depth)
         order = np.lexsort(rows.T[::-1])
-        rows, lengths, counts, fixed = rows[order], lengths[order], counts[order], fixed[order]
+        rows, counts, fixed = rows[order], counts[order], fixed[order]
+        lengths = (rows != 0).sum(axis=1)
         phrases, totals = [], []
-        new = np.zeros(len(rows), bool)
-        new[:1] = True
+        new = np.ones(len(rows), bool)
         new[1:] = rows[1:, 0] != rows[:-1, 0]
-        for d in range(2, DEPTH + 1):
+        for d in range(2, depth + 1):
             new[1:] |= rows[1:, d - 1] != rows[:-1, d - 1]
+            if d < least_words:
+                continue
             first = np.flatnonzero(new)
             total = np.add.reduceat(counts, first)
             # Rows that end above this depth are filled up with 0 and are no node of it.
             node = (lengths[first] >= d) & ((total >= least) | (fixed[first] > d))
-            phrases.append(packed(rows[first[node]], np.full(int(node.sum()), d)))
+            phrases.append(packed(rows[first[node], :d]))
             totals.append(total[node])
         return pa.Table.from_arrays([pa.concat_arrays(phrases), pa.array(np.concatenate(totals).astype(np.int64))], schema=schema)
 
@@ -237,39 +269,7 @@ def _first(phrase: Column | str, words: Column | int) -> Column:
     return F.substring(phrase, F.lit(1), F.lit(8) * words)
 
 
-def _partitioned(suffixes: DataFrame, group_suffixes: int, row_limit: int) -> DataFrame:
-    """Adds the group of each suffix and the length of the prefix that chose it."""
-    spark = suffixes.sparkSession
-    total = suffixes.count()
-    groups = max(1, -(-total // group_suffixes))
-    most = max(1, group_suffixes // PREFIX_SHARE)
-    open_rows = suffixes.withColumn("prefix_words", F.lit(1)).withColumn("prefix", _first("suffix", 1))
-    extended = [open_rows]
-    heavy = written(open_rows.groupBy("prefix").count().where(F.col("count") > most).select("prefix"))
-    for words in range(2, DEPTH):
-        if not heavy.take(1):
-            break
-        longer = _first("suffix", words)
-        salt = spark.range(SALTS).select(F.col("id").cast("int").alias("salt"))
-        # Few rows by construction: each stands for more than `most` suffixes.
-        named = heavy.select(F.col("prefix").alias("heavy"))
-        rows = extended[-1]
-        if heavy.count() <= row_limit:
-            marked = rows.join(F.broadcast(named), rows["prefix"] == named["heavy"], "left")
-        else:
-            named = named.join(F.broadcast(salt))
-            salted = rows.withColumn("salt", F.pmod(F.xxhash64("suffix"), F.lit(SALTS)).cast("int"))
-            marked = salted.join(named, (salted["prefix"] == named["heavy"]) & (salted["salt"] == named["salt"]), "left").drop(salted["salt"]).drop(named["salt"])
-        deeper = F.col("heavy").isNotNull()
-        marked = marked.withColumn("prefix_words", F.when(deeper, words).otherwise(F.col("prefix_words"))).withColumn(
-            "prefix", F.when(deeper, longer).otherwise(F.col("prefix"))).drop("heavy")
-        extended.append(marked)
-        heavy = written(marked.where(F.col("prefix_words") == words).groupBy("prefix").count().where(F.col("count") > most).select("prefix"))
-    return extended[-1].withColumn("group", F.pmod(F.xxhash64("prefix"), F.lit(groups)).cast("int")).drop("prefix")
-
-
-def phrase_counts(documents: DataFrame, least: int = 100, group_suffixes: int = GROUP_SUFFIXES,
-                  row_limit: int = BROADCAST_ROWS) -> tuple[DataFrame, DataFrame]:
+def phrase_counts(documents: DataFrame, least: int = 100, group_suffixes: int = GROUP_SUFFIXES) -> tuple[DataFrame, DataFrame]:
     """(lang, word, f, code, part) of all words, and (phrase, a) of all phrases of 2 to DEPTH words found
     `least` times or more, as the codes of their words."""
     docs = documents.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
@@ -282,16 +282,30 @@ def phrase_counts(documents: DataFrame, least: int = 100, group_suffixes: int =
             break
         seed += 1
     frequent = Bitmap(words.where(F.col("f") >= least), "code")
-    paired = docs.mapInArrow(_pairs(seed, frequent), "pair long, f long").groupBy("pair").agg(F.sum("f").alias("f"))
-    pairs = Bitmap(paired.where(F.col("f") >= least), "pair")
-    suffixes = written(docs.mapInArrow(_suffixes(seed, frequent, pairs), "suffix binary, f long"))
-    grouped = _partitioned(suffixes, group_suffixes, row_limit)
-    nodes = grouped.groupBy("group").applyInArrow(_subtrees(least), "phrase binary, a long")
-    return words, written(nodes.groupBy("phrase").agg(F.sum("a").alias("a")).where(F.col("a") >= least))
+    pairs = written(docs.mapInArrow(_pairs(seed, frequent), "pair long, f long").groupBy("pair").agg(F.sum("f").alias("f")).where(F.col("f") >= least))
+    most = max(1, group_suffixes // PREFIX_SHARE)
+    longer = [Bitmap(pairs, "pair")]
+    heavy = [Bitmap(words.where(F.col("f") > most), "code"), Bitmap(pairs.where(F.col("f") > most), "pair")]
+
+    def counted(suffixes: int, least_words: int, depth: int) -> DataFrame:
+        groups = max(1, -(-suffixes // group_suffixes))
+        blocks = docs.mapInArrow(_suffixes(seed, frequent, longer, heavy, groups, least_words, depth),
+                                 "group int, prefix_words int, suffixes binary, counts binary")
+        nodes = blocks.repartition(groups, "group").groupBy("group").applyInArrow(_subtrees(least, least_words, depth), "phrase binary, a long")
+        return written(nodes.groupBy("phrase").agg(F.sum("a").alias("a")).where(F.col("a") >= least))
+
+    def total(counts: DataFrame) -> int:
+        return counts.agg(F.coalesce(F.sum("f"), F.lit(0))).first()[0]
+
+    short = counted(total(pairs), 2, FIRST_DEPTH)
+    triples = written(short.where(F.length("phrase") == 8 * FIRST_DEPTH).mapInArrow(_keys, "key long, f long"))
+    longer.append(Bitmap(triples, "key"))
+    heavy.append(Bitmap(triples.where(F.col("f") > most), "key"))
+    return words, short.unionByName(counted(total(triples), FIRST_DEPTH + 1, DEPTH))
 
 
 def collocations(documents: DataFrame, least: int = 100, most: int = 2000, percent: int = 100,
-                 group_suffixes: int = GROUP_SUFFIXES, row_limit: int = BROADCAST_ROWS) -> DataFrame:
+                 group_suffixes: int = GROUP_SUFFIXES) -> DataFrame:
     """The best-scored phrases of each language: lang, rank, phrase, a, l, r, n, score.
 
     Texts are cut at `.,;:!?` and line ends into pieces, pieces at spaces and tabs into words;
@@ -305,7 +319,7 @@ def collocations(documents: DataFrame, least: int = 100, most: int = 2000, perce
     count as often as they stand there. An empty table, or one without frequent phrases, gives no
     rows. Other columns are ignored.
     """
-    words, phrases = phrase_counts(documents, least, group_suffixes, row_limit)
+    words, phrases = phrase_counts(documents, least, group_suffixes)
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
     known = words.where(F.col("f") >= least).select("part", "f", "lang", "word")
     n_words = F.length("phrase") / 8

@@ -79,11 +79,11 @@ def test_equals_the_definition(spark, texts, least, most, percent):
     assert df.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
 
 
-@pytest.mark.parametrize("row_limit", [10**6, 0])
-def test_small_groups_extend_hot_prefixes(spark, texts, row_limit, monkeypatch):
-    """A budget of 40 suffixes a group: prefixes of two, three and four words, by both joins."""
+@pytest.mark.parametrize("budget", [40, 400])
+def test_small_groups_extend_hot_prefixes(spark, texts, budget, monkeypatch):
+    """A budget of 40 suffixes a group: prefixes of one, two, three and all words."""
     monkeypatch.setattr(module, "GATHERED", 500)
-    assert found(collocations(frame(spark, texts), 3, group_suffixes=40, row_limit=row_limit)) == plain(texts, 3)
+    assert found(collocations(frame(spark, texts), 3, group_suffixes=budget)) == plain(texts, 3)
 
 
 def test_repeated_rows_count_as_often(spark):
@@ -120,9 +120,6 @@ def test_words_with_one_hash_get_another_seed(spark, texts, monkeypatch):
 
 
 def test_packing_is_a_round_trip():
-    rng = np.random.default_rng(1)
-    lengths = rng.integers(0, 6, 50)
-    rows = rng.integers(1, 1 << 63, (50, 5), dtype=np.uint64) * (np.arange(5) < lengths[:, None]).astype(np.uint64)
-    got, sizes = unpacked(pa.chunked_array([packed(rows, lengths).slice(0, 20), packed(rows, lengths).slice(20)]))
-    assert (got == rows).all() and (sizes == lengths).all()
-    assert unpacked(pa.chunked_array([], pa.binary()))[0].shape == (0, 5)
+    rows = np.random.default_rng(1).integers(1, 1 << 63, (50, 3), dtype=np.uint64)
+    assert (unpacked(packed(rows).to_pylist(), 3) == rows).all()
+    assert unpacked([], 3).shape == (0, 3)
