@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import time
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +20,10 @@ from siftlake.session import case_sensitive, path_exists
 from siftlake.sources import records
 
 CATALOG_SCHEMA = "table_name string, column_name string, column_type string, position int, version bigint"
+#: How often a load tries to add its columns, and waits for an unfinished version before it takes it over.
+COMMIT_TRIES = 100
+CLOSING_TRIES = 20
+CLOSING_WAIT = 0.5
 UPLOAD_RESULT = "table_name string, rows bigint, initiated boolean, duration_in_sec double, error string"
 REJECTED = "table_name string, rejected bigint"
 
@@ -25,9 +31,12 @@ REJECTED = "table_name string, rejected bigint"
 class ArtifactTables:
     """One append-only Parquet table per artifact below `root`.
 
-    The catalog is an append-only table of (table, column, type, version). The first type a
-    column was given wins, so adding columns never rewrites data and reading never has to
-    merge file footers.
+    The catalog is a list of numbered versions, each a small file that adds columns (table,
+    column, type). The first type a column was given wins, so adding columns never rewrites data
+    and reading never has to merge file footers. A version is only ever created where none
+    stands, so of two loads that add columns at once one comes first, and the other reads its
+    version and merges again before it writes. The store has to refuse to create a file that
+    exists, as HDFS, local disks and conditional object writes do.
     """
 
     def __init__(self, spark: SparkSession, root: str, prefix: str = ""):
@@ -46,8 +55,53 @@ class ArtifactTables:
         return self.prefix + paths.sanitize_name_py(head if head else name)
 
     def _catalog(self) -> DataFrame | None:
+        """Rows of the complete versions: those with their closing row."""
         path = f"{self.root}/_catalog"
-        return self.spark.read.schema(CATALOG_SCHEMA).parquet(path) if path_exists(self.spark, path) else None
+        if not path_exists(self.spark, path):
+            return None
+        rows = self.spark.read.schema(CATALOG_SCHEMA).json(path)
+        closed = rows.where("table_name IS NULL AND position = -1").select("version")
+        return rows.where("table_name IS NOT NULL").join(F.broadcast(closed), "version", "left_semi")  # one row a version
+
+    def _last_version(self) -> int:
+        """The highest version that is there and whole; one that is not gets time to be closed."""
+        if not path_exists(self.spark, f"{self.root}/_catalog"):
+            return -1
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/_catalog")
+        store = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        numbers = [int(name[:-5]) for name in (f.getPath().getName() for f in store.listStatus(folder)) if name[:-5].isdigit()]
+        if not numbers:
+            return -1
+        for _ in range(CLOSING_TRIES):
+            rows = self.spark.read.schema(CATALOG_SCHEMA).json(self._version_path(max(numbers)))
+            if rows.where("table_name IS NULL AND position = -1").take(1):
+                return max(numbers)
+            time.sleep(CLOSING_WAIT)
+        return max(numbers) - 1  # its writer has died; the number is taken over
+
+    def _version_path(self, version: int) -> str:
+        return f"{self.root}/_catalog/{version:020d}.json"
+
+    def _commit(self, version: int, rows: list[tuple]) -> bool:
+        """Creates a version; False if another load was first."""
+        token = uuid.uuid4().hex
+        names = [c.split()[0] for c in CATALOG_SCHEMA.split(", ")]
+        lines = [json.dumps(dict(zip(names, row, strict=True))) for row in rows]
+        lines.append(json.dumps({"position": -1, "version": version, "column_name": token}))
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self._version_path(version))
+        store = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        unclosed = store.exists(path) and not self.spark.read.schema(CATALOG_SCHEMA).json(self._version_path(version)).where("position = -1").take(1)
+        try:
+            out = store.create(path, unclosed)
+        except Py4JJavaError as exc:
+            if "AlreadyExists" in exc.java_exception.getClass().getName() or store.exists(path):
+                return False
+            raise
+        out.write(bytearray("\n".join(lines).encode() + b"\n"))
+        out.close()
+        # Whoever takes over an unclosed version may have been followed by its writer, or by another.
+        last = self.spark.read.schema(CATALOG_SCHEMA).json(self._version_path(version)).where("position = -1").select("column_name").first()
+        return last is not None and last[0] == token
 
     def all_columns(self) -> dict[str, T.StructType]:
         """Current columns of every table. One small job over the catalog, whose rows are
@@ -73,18 +127,18 @@ class ArtifactTables:
         return self.all_columns().get(table)
 
     def evolve(self, incoming: dict[str, T.StructType]) -> dict[str, T.StructType]:
-        """Create tables or add their new columns; existing types stay. One append for all."""
-        existing = self.all_columns()
-        version, rows, merged = time.time_ns(), [], {}
-        for table, columns in incoming.items():
-            merged[table] = schema.merge_schema(existing.get(table), columns)
-            kinds = {f.name: f.dataType.simpleString() for f in merged[table].fields}
-            added = schema.new_columns(existing.get(table), columns)
-            rows += [(table, n, kinds[n], merged[table].names.index(n), version) for n in added]
-        if rows:
-            new = self.spark.createDataFrame(rows, CATALOG_SCHEMA).coalesce(1)
-            new.write.mode("append").parquet(f"{self.root}/_catalog")
-        return merged
+        """Create tables or add their new columns; existing types stay. One version for all."""
+        for _ in range(COMMIT_TRIES):
+            version = self._last_version() + 1
+            existing, rows, merged = self.all_columns(), [], {}
+            for table, columns in incoming.items():
+                merged[table] = schema.merge_schema(existing.get(table), columns)
+                kinds = {f.name: f.dataType.simpleString() for f in merged[table].fields}
+                added = schema.new_columns(existing.get(table), columns)
+                rows += [(table, n, kinds[n], merged[table].names.index(n), version) for n in added]
+            if not rows or self._commit(version, rows):
+                return merged
+        raise RuntimeError(f"{self.root}: {COMMIT_TRIES} other loads added columns first")
 
     def append(self, df: DataFrame, table: str, target: T.StructType | None = None,
                run: str | None = None) -> tuple:

@@ -1,3 +1,5 @@
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -108,3 +110,31 @@ def test_integers_beyond_64_bits_keep_their_digits(spark, tmp_path):
     assert dict(got.dtypes)["big"] == "string" and dict(got.dtypes)["small"] == "bigint"
     assert sorted(r["big"] for r in got.collect()) == sorted(values)
     assert sorted(r["mixed"] for r in got.collect()) == ["1"] + ["x"] * 5
+
+
+def test_loads_at_once_give_a_new_column_one_type(spark, tmp_path):
+    root = str(tmp_path / "tables")
+    kinds = [T.LongType(), T.StringType(), T.DoubleType(), T.BooleanType()]
+
+    def add(i):
+        columns = T.StructType([T.StructField("shared", kinds[i]), T.StructField(f"own{i}", kinds[i])])
+        return sinks.ArtifactTables(spark, root).evolve({"t": columns})["t"]
+
+    with ThreadPoolExecutor(4) as pool:
+        results = list(pool.map(add, range(4)))
+    assert len({r["shared"].dataType for r in results}) == 1
+    current = sinks.ArtifactTables(spark, root).columns("t")
+    assert current["shared"].dataType == results[0]["shared"].dataType
+    assert {f"own{i}": kinds[i] for i in range(4)} == {f.name: f.dataType for f in current.fields if f.name != "shared"}
+    assert sinks.ArtifactTables(spark, root)._last_version() == 3
+    assert add(0).names == current.names and sinks.ArtifactTables(spark, root)._last_version() == 3  # nothing new
+
+
+def test_a_version_whose_writer_died_is_taken_over(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "CLOSING_WAIT", 0.01)
+    store = sinks.ArtifactTables(spark, str(tmp_path / "tables"))
+    store.evolve({"t": T.StructType([T.StructField("a", T.LongType())])})
+    (tmp_path / "tables/_catalog" / f"{1:020d}.json").write_text('{"table_name": "t", "column_name": "half", "column_type": "bigint", "posi')
+    assert store.columns("t").names == ["a"]
+    assert store.evolve({"t": T.StructType([T.StructField("b", T.StringType())])})["t"].names == ["a", "b"]
+    assert store.columns("t").names == ["a", "b"]
