@@ -82,7 +82,8 @@ def _decoded(blob: Column) -> Column:
     """UTF-16LE text; null for an odd length or a surrogate without its other half. In the hex
     digits of a unit the third and fourth are those of its high byte."""
     digits = F.hex(blob)
-    broken = digits.rlike("^(?:....)*?..D[89AB](?!..D[C-F])") | digits.rlike("^(?:(?:....)*?..(?:[0-9A-CEF].|D[0-7C-F]))?..D[C-F]")
+    # Without a byte from D8 to DF there is no surrogate; only texts that may have one are looked at unit by unit.
+    broken = digits.rlike("D[89A-F]") & (digits.rlike("^(?:....)*?..D[89AB](?!..D[C-F])") | digits.rlike("^(?:(?:....)*?..(?:[0-9A-CEF].|D[0-7C-F]))?..D[C-F]"))
     return F.when((F.length(blob) % 2 == 0) & ~broken, F.decode(blob, "UTF-16LE"))
 
 
@@ -92,10 +93,14 @@ def utf16(blob: Column, offset: Column | int, length: Column | int) -> Column:
 
 def utf16_cstring(blob: Column) -> Column:
     """UTF-16 text from the start of the blob up to the first NUL; what follows may be anything."""
-    end = F.regexp_instr(F.hex(blob), F.lit("^(?:....)*?0000"))
-    units = F.length(F.regexp_extract(F.hex(blob), "^((?:....)*?)0000", 1))
-    whole = F.when(end > 0, F.substring(blob, F.lit(1), (units / 2).cast("int"))).otherwise(blob)
-    return _decoded(whole)
+    digits = F.hex(blob)
+    # Four zero digits may begin inside a unit; then the unit after that is the first that can be NUL.
+    zeros = F.instr(digits, "0000")
+    unit = (F.ceil((zeros - 1) / 4) * 4).cast("int")
+    before = F.length(F.regexp_extract(digits, "^((?:....)*?)0000", 1))
+    end = F.when(zeros == 0, F.lit(-1)).when(F.substring(digits, unit + 1, F.lit(4)) == "0000", unit).when(
+        F.regexp_instr(digits, F.lit("^(?:....)*?0000")) > 0, before).otherwise(F.lit(-1))
+    return _decoded(F.when(end >= 0, F.substring(blob, F.lit(1), (end / 2).cast("int"))).otherwise(blob))
 
 
 def uint32_list(blob: Column, drop: int | None = None) -> Column:

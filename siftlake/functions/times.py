@@ -18,6 +18,12 @@ ISO_PATTERN = (
     r"(?s)\A([0-9]{4})(?:-([0-9]{2})-([0-9]{2})|([0-9]{2})([0-9]{2})|-W([0-9]{2})(?:-([1-7]))?|W([0-9]{2})([1-7])?)"
     r"(?:[^0-9Z]" + _TIME + _ZONE + r"?)?\z"
 )
+# The usual form, which a cast reads as it stands: extended date, seconds with up to six digits, and
+# an offset within the casts' limit of 18 hours.
+_USUAL = (
+    r"\A(?!0000)[0-9]{4}-[0-9]{2}-[0-9]{2}"
+    r"(?:[T ](?:[01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9](?:\.[0-9]{1,6})?(?:Z|[+-](?:0[0-9]|1[0-7]):[0-5][0-9])?)?\z"
+)
 
 
 def is_iso_datetime(value: Column) -> Column:
@@ -31,7 +37,8 @@ def is_iso_datetime(value: Column) -> Column:
     weeks_in_year = F.weekofyear(F.concat(year, F.lit("-12-28")).try_cast("date"))
     valid = F.when(F.substring(s, 5, 2).contains("W"), week.between(1, 53) & (week <= weeks_in_year)).otherwise(
         date.try_cast("date").isNotNull())
-    return F.when(s.rlike(ISO_PATTERN), (year != "0000") & valid).otherwise(False)
+    usual = F.substring(s, 1, 10).try_cast("date").isNotNull()
+    return F.when(s.rlike(_USUAL), usual).when(s.rlike(ISO_PATTERN), (year != "0000") & valid).otherwise(False)
 
 
 _DATE = r"^(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{8}|[0-9]{4}-W[0-9]{2}(?:-[1-7])?|[0-9]{4}W[0-9]{2}[1-7]?)"
@@ -39,8 +46,8 @@ _CLOCK = r"([0-9]{2}):?([0-9]{2})?:?([0-9]{2})?(?:[.,]([0-9]+))?"
 
 
 def iso_timestamp(value: Column) -> Column:
-    """The time of every text that `is_iso_datetime` accepts, else null: the parts are cut out by
-    the same forms and put together as one that a cast knows. Without an offset the time is of
+    """The time of every text that `is_iso_datetime` accepts, else null: one of the usual form is
+    cast, of others the parts are cut out and put together as one that a cast knows. Without an offset the time is of
     the session's zone; digits beyond micros are cut off."""
     s = F.btrim(value, F.lit(" \t\n\r\f\x0b"))
     year, digits = F.substring(s, 1, 4), F.regexp_replace(F.regexp_extract(s, _DATE, 0), "-", "")
@@ -62,7 +69,7 @@ def iso_timestamp(value: Column) -> Column:
              for g in (1, 2, 3)]
     seconds = (shift[0] * 3600 + shift[1] * 60 + shift[2]) * F.when(zone.startswith("-"), -1).otherwise(1)
     utc = F.concat(local, F.lit("Z")).try_cast("timestamp") - F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))
-    return F.when(is_iso_datetime(value), F.when(zone == "", local.try_cast("timestamp")).otherwise(utc))
+    return F.when(s.rlike(_USUAL), s.try_cast("timestamp")).when(is_iso_datetime(value), F.when(zone == "", local.try_cast("timestamp")).otherwise(utc))
 
 
 def parse_time(value: Column) -> Column:

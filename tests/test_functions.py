@@ -1,4 +1,5 @@
 import datetime
+import random
 import struct
 
 import pytest
@@ -199,3 +200,44 @@ def test_bad_messages_are_items_without_a_package(spark):
     rows = [("not base64 !",), ("bm8ganNvbg==",), (None,), ("eyJ0cmlhZ2VwYWNrYWdlIjogInAuemlwIiwgInNvdXJjZV9uYW1lIjogInMifQ==",)]
     df = spark.createDataFrame(rows, "m string").select(F.inline_outer(documents.decode_message(F.col("m"))))
     assert sorted(str(r["triagepackage"]) for r in df.collect()) == ["None", "None", "None", "p.zip"]
+
+
+def test_usual_times_equal_those_put_together(spark, monkeypatch):
+    """The cast of the usual form gives what the parts give."""
+    rng = random.Random(4)
+    texts = []
+    for _ in range(4000):
+        date = f"{rng.choice([0, 1, 1582, 1970, 2024, 9999]):04d}-{rng.randint(0, 13):02d}-{rng.randint(0, 32):02d}"
+        clock = rng.choice(["", f"{rng.choice('T _')}{rng.randint(0, 24):02d}:{rng.randint(0, 60):02d}:{rng.randint(0, 60):02d}"])
+        digits = rng.choice(["", f".{'123456789'[:rng.randint(1, 9)]}"]) if clock else ""
+        zone = rng.choice(["", "Z", "+01:30", "-17:59", "+18:00", "+18:01", "-23:00", "+0100"]) if clock else ""
+        texts.append(rng.choice(["", " "]) + date + clock + digits + zone)
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    fast = df.select("t", times.is_iso_datetime(F.col("t")).alias("iso"), times.iso_timestamp(F.col("t")).cast("string").alias("at"))
+    monkeypatch.setattr(times, "_USUAL", r"\A(?!.)x")
+    slow = df.select("t", times.is_iso_datetime(F.col("t")).alias("iso"), times.iso_timestamp(F.col("t")).cast("string").alias("at"))
+    a, b = sorted(map(tuple, fast.collect()), key=str), sorted(map(tuple, slow.collect()), key=str)
+    assert a == b and sum(r[1] for r in a) > 500
+
+
+def test_utf16_against_python(spark):
+    rng = random.Random(5)
+    units = [0x41, 0x62, 0x100, 0x00D8, 0xD800, 0xDC00, 0xD83D, 0xDE00, 0x0D00, 0x000D, 0xE000, 0x1000, 0x0010, 0]
+    blobs = [struct.pack(f"<{n}H", *rng.choices(units[:rng.choice([4, 14])], k=n)) + rng.choice([b"", b"", b"x"]) for n in (rng.randint(0, 7) for _ in range(5000))]
+
+    def text(blob):
+        try:
+            return blob.decode("utf-16-le")
+        except UnicodeDecodeError:
+            return None
+
+    def to_nul(blob):
+        for i in range(0, len(blob) - 1, 2):
+            if blob[i:i + 2] == b"\0\0":
+                return text(blob[:i])
+        return text(blob)
+
+    df = spark.createDataFrame([(bytearray(b),) for b in blobs], "b binary")
+    rows = df.select("b", binary.utf16(F.col("b"), 0, F.length("b")).alias("whole"), binary.utf16_cstring(F.col("b")).alias("head")).collect()
+    assert [r["whole"] for r in rows] == [text(bytes(r["b"])) for r in rows]
+    assert [r["head"] for r in rows] == [to_nul(bytes(r["b"])) for r in rows]
