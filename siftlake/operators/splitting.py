@@ -23,6 +23,25 @@ _NODE = "file string, node bigint, total bigint, bounds binary, rooms binary, cu
 _FULL = -(1 << 62)  # room before the first line: it always opens part 1
 
 
+def _successors(sizes: np.ndarray, target: int) -> tuple[np.ndarray, np.ndarray]:
+    """Running sizes, and for each line the one that opens the next part if this one opens a part."""
+    ends = np.cumsum(sizes)
+    return ends, np.maximum(np.searchsorted(ends, ends - sizes + target, side="right"), np.arange(1, len(sizes) + 1))
+
+
+def _openings(sizes: np.ndarray, target: int, room: int) -> np.ndarray:
+    """The lines of a block that open a part, from the room that the block begins with. The
+    successors of the lines known so far are the next ones, each step as many again."""
+    ends, following = _successors(sizes, target)
+    n = len(sizes)
+    opening = np.searchsorted(ends, [room], side="right")
+    ahead = np.append(following, n)  # n stands for the end of the block
+    while opening[-1] < n:
+        opening = np.concatenate([opening, ahead[opening]])
+        ahead = ahead[ahead]
+    return opening[opening < n]
+
+
 class _Step:
     """Room in, room out. Below bounds[i] the result is rooms[i] with cuts[i] new parts; from
     the last bound on, everything fits and the room shrinks by `total`."""
@@ -32,20 +51,18 @@ class _Step:
 
     @classmethod
     def of_lines(cls, sizes: np.ndarray, target: int) -> "_Step":
-        ends = np.cumsum(sizes)
+        ends, following = _successors(sizes, target)
         n = len(sizes)
-        starts = ends - sizes
-        # the line that opens the part after a part opened at line i
-        following = np.maximum(np.searchsorted(ends, starts + target, side="right"), np.arange(1, n + 1))
-        rooms = np.empty(n, dtype=np.int64)
-        cuts = np.ones(n, dtype=np.int64)
-        for i in range(n - 1, -1, -1):
-            j = following[i]
-            if j >= n:
-                rooms[i] = target - (ends[-1] - starts[i])
-            else:
-                rooms[i], cuts[i] = rooms[j], cuts[j] + 1
-        return cls(ends[-1], ends, rooms, cuts).limited(target)
+        # Binary lifting: each step doubles how many parts ahead `last` looks, up to the block's last one.
+        last = np.where(following < n, following, np.arange(n))
+        cuts = (following < n).astype(np.int64)
+        while True:
+            further = last[last]
+            if (further == last).all():
+                break
+            cuts, last = cuts + cuts[last], further
+        rooms = target - (ends[-1] - (ends - sizes)[last])
+        return cls(ends[-1], ends, rooms, cuts + 1).limited(target)
 
     def limited(self, target: int) -> "_Step":
         """Room never exceeds the target, so later steps cannot be reached; neighbouring steps
@@ -117,13 +134,9 @@ def _numbered(target: int):
     def number(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("line_no")
         room, part = int(pdf["room_in"].iloc[0]), int(pdf["part_in"].iloc[0])
-        parts = []
-        for size in pdf["size"].to_numpy():
-            if size > room:
-                part, room = part + 1, target
-            room -= int(size)
-            parts.append(part)
-        return pd.DataFrame({"file": pdf["file"], "line_no": pdf["line_no"], "size": pdf["size"], "part": parts})
+        opens = np.zeros(len(pdf), np.int64)
+        opens[_openings(pdf["size"].to_numpy(dtype=np.int64), target, room)] = 1
+        return pd.DataFrame({"file": pdf["file"], "line_no": pdf["line_no"], "size": pdf["size"], "part": part + np.cumsum(opens)})
 
     return number
 

@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -196,3 +197,20 @@ def test_status_filter(spark):
     assert df.where(rules.has_status(F.col("status"), "new")).count() == 1
     assert df.where(rules.contains_text("hOS", F.col("package"), F.col("host"))).count() == 1
     assert df.where(rules.has_status(F.col("status"), "") & rules.contains_text("")).count() == 2
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_part_openings_equal_the_rule_line_by_line(seed):
+    rng = np.random.default_rng(seed)
+    target = int(rng.integers(1, 60))
+    sizes = rng.integers(1, rng.choice([3, 20, 90]), rng.integers(1, 200)).astype(np.int64)
+    for room in (splitting._FULL, -5, 0, target // 2, target):
+        want, left = [], room
+        for i, size in enumerate(sizes):
+            if size > left:
+                want.append(i)
+                left = target
+            left -= int(size)
+        assert splitting._openings(sizes, target, room).tolist() == want
+        out, cuts = splitting._Step.of_lines(sizes, target).apply(np.array([room]))
+        assert (int(out[0]), int(cuts[0])) == (left, len(want))
