@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftlake import artifacts, intake
-from siftlake.functions import documents, paths
+from siftlake.functions import documents, paths, times
 from siftlake.operators import rules, schema
 from siftlake.plans.base import query, stamp, stamp_sql, table
 from siftlake.session import scratch_path
@@ -177,6 +177,29 @@ def triggered_processing(spark, sf):
         "package", "status", "attempts", F.coalesce("failures", F.lit(0)).alias("failures"), F.coalesce("records", F.lit(0)).alias("records"))
 
 
+# --- layout ----------------------------------------------------------------------------------------
+
+
+@query("FLT-06 FLT-07 SNK-01", f"""
+ SELECT event_id, concat('host-', user_id % 20) AS src_host, {stamp_sql('ts')} AS ts, value FROM events, (SELECT min(ts) AS first FROM events) AS f
+ WHERE user_id % 20 = 7 AND ts >= first + INTERVAL 1 DAY AND ts < first + INTERVAL 20 DAY""")
+def clustered_filter(spark, sf):
+    """A table loaded in ranges of (host, time), and the question its layout is for."""
+    out = scratch_path(spark, "clustered")
+    store = sinks.ArtifactTables(spark, f"{out}/tables", "ev_", cluster=("src_host", "ts"))
+    events = table(spark, sf, "events")
+    line = F.to_json(F.struct("event_id", "value", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("ts")))
+    sinks.ingest(events.select(
+        F.lit("ev_all").alias("table_name"), F.lit("all").alias("file"), F.col("event_id").alias("pos"), line.alias("line"),
+        F.concat(F.lit("host-"), (F.col("user_id") % 20).cast("string")).alias("host"), F.lit("p.zip").alias("package"),
+        F.lit("id1").alias("upload")), store, f"{out}/raw")
+    first = events.agg(F.min("ts").cast("timestamp")).scalar()
+    day = lambda n: F.make_dt_interval(days=F.lit(n))
+    rows = store.read("ev_all").where(F.col("src_host") == "host-7").where(
+        times.time_range(F.col("ts"), first + day(1), first + day(20)))
+    return rows.select("event_id", "src_host", stamp("ts"), "value")
+
+
 # --- artifact lists ------------------------------------------------------------------------------
 
 _BRANDS = "SELECT p_brand, count(*) AS parts, min(p_partkey) AS first_part FROM part GROUP BY p_brand"

@@ -51,14 +51,23 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 
 @contextmanager
-def case_sensitive(spark: SparkSession):
-    """Column names that differ only in case are different columns of an artifact table."""
-    before = spark.conf.get("spark.sql.caseSensitive")
-    spark.conf.set("spark.sql.caseSensitive", "true")
+def _setting(spark: SparkSession, key: str, value: str):
+    before = spark.conf.get(key)
+    spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set("spark.sql.caseSensitive", before)
+        spark.conf.set(key, before)
+
+
+def case_sensitive(spark: SparkSession):
+    """Column names that differ only in case are different columns of an artifact table."""
+    return _setting(spark, "spark.sql.caseSensitive", "true")
+
+
+def timestamps_with_ranges(spark: SparkSession):
+    """Files keep times in a form that has a least and a greatest one, which scans skip by."""
+    return _setting(spark, "spark.sql.parquet.outputTimestampType", "TIMESTAMP_MICROS")
 
 
 def bench_cpus(default: int = 8) -> int:

@@ -138,3 +138,29 @@ def test_a_version_whose_writer_died_is_taken_over(spark, tmp_path, monkeypatch)
     assert store.columns("t").names == ["a"]
     assert store.evolve({"t": T.StructType([T.StructField("b", T.StringType())])})["t"].names == ["a", "b"]
     assert store.columns("t").names == ["a", "b"]
+
+
+def test_a_clustered_load_is_filtered_by_its_ranges(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "FILE_ROWS", 2000)
+    rows = spark.range(40_000).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("h"), F.col("id") % 50)).alias("src_host"),
+        F.timestamp_seconds(1_700_000_000 + (F.col("id") * 7919) % 40_000).alias("at"), F.col("id").alias("n"), F.rand(1).alias("pad")).repartition(9)
+    plain, clustered = (sinks.ArtifactTables(spark, str(tmp_path / name), cluster=keys) for name, keys in
+                        (("plain", ()), ("clustered", ("src_host", "at", "none"))))
+    for store in (plain, clustered):
+        assert store.append(rows, "t")[1:3] == (40_000, True)
+
+    def scanned(store):
+        """Rows that the scan has handed on, after its row groups were skipped."""
+        found = store.read("t").where("src_host = 'hot' AND at >= timestamp_seconds(1700010000) AND at < timestamp_seconds(1700011000)")
+        got = sorted(r["n"] for r in found.collect())
+        plan = found._jdf.queryExecution().executedPlan()
+        leaf = plan.collectLeaves().head()
+        return got, leaf.metrics().apply("numOutputRows").value()
+
+    slow, fast = scanned(plain), scanned(clustered)
+    assert slow[0] == fast[0] and len(fast[0]) > 300
+    assert slow[1] == 40_000 and fast[1] <= 3 * 2000
+    files = list((tmp_path / "clustered/t").glob("run=*/*.parquet"))
+    hosts = [spark.read.parquet(str(f)).select("src_host").distinct().count() for f in files]
+    assert len(files) >= 20 and sum(h == 1 for h in hosts) >= 5  # the hot host has files of its own
