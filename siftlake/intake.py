@@ -10,17 +10,22 @@ from __future__ import annotations
 import hashlib
 import re
 import time
+from collections.abc import Callable
 from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from siftlake.artifacts import registry
 from siftlake.functions import documents, paths, text
 from siftlake.operators import ledger, numbering, rules
 from siftlake.operators.skew import lookup_join
 from siftlake.session import path_exists
 from siftlake.sources import packages, records, sinks
 
+#: From the loaded tables to artifact calls (name, arguments) and the tables they read.
+Post = Callable[[sinks.ArtifactTables], tuple[list[tuple[str, dict]], dict[str, DataFrame]]]
 STATUS = ("package string, row_key string, upload_id string, status string, session string, source string, "
           "duration string, updated_at timestamp, started_at timestamp, host string, size bigint, seq int")
 
@@ -85,10 +90,11 @@ def run_key(inputs: DataFrame, session: str, column: str = "package") -> str:
     return f"{_checked(session)}-{hashlib.sha256(repr(tuple(row)).encode()).hexdigest()[:16]}"
 
 
-def _entries(packages_: DataFrame, session: str, status: str | Column, at: Column) -> DataFrame:
+def _entries(packages_: DataFrame, session: str, status: str | Column, at: Column, duration: Column | None = None) -> DataFrame:
     """Status rows of packages; the ledger knows them by file name."""
+    duration = F.lit(None) if duration is None else duration
     named = packages_.withColumns({"package": paths.basename(F.col("package")), "session": F.lit(session), "started_at": at})
-    return ledger.status_entry(named, F.lit(status) if isinstance(status, str) else status, F.lit(None), at)
+    return ledger.status_entry(named, F.lit(status) if isinstance(status, str) else status, duration, at)
 
 
 def mark(packages_: DataFrame, root: str, session: str, status: str, now: datetime | None = None) -> None:
@@ -137,17 +143,30 @@ def take_messages(messages: DataFrame, root: str, session: str, now: datetime |
     return taken
 
 
+def _post_rows(known: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """The outcome of each artifact for each package that could be read; `outcomes` has one row an artifact."""
+    done = [F.struct(*[F.lit(r[f.name]).cast(f.dataType).alias(f.name) for f in ledger.POSTPROCESSING.fields]) for r in outcomes.collect()]
+    by = known.where("package_error is null").select(F.col("upload_id").alias("uploadid"), paths.basename(F.col("package")).alias("zipfile"))
+    kind = T.ArrayType(ledger.POSTPROCESSING)
+    return by.select("uploadid", "zipfile", F.inline(F.array(*done).cast(kind)))
+
+
 def intake_packages(spark: SparkSession, listing: DataFrame, root: str, session: str,
                     ignore: rules.IgnoreRules | None = None, prefix: str = "", sample: int | None = None,
                     registry_hosts: DataFrame | None = None, now: datetime | None = None,
                     use_ledger: bool = True, tasks: int | None = None, password: str | None = None,
-                    max_retry: int = 0) -> DataFrame:
+                    max_retry: int = 0, post: Post | None = None) -> DataFrame:
     """Process packages (package, size, source) and return the upload rows of the run.
 
     Below `root`: `tables`, `rejects` (lines that are no JSON record), `ledgers` (summary,
-    uploads, logs), `snapshots`, the status ledger and the work tables of the run.
+    uploads, postprocessing, logs), `snapshots`, the status ledger and the work tables of the run.
+
+    With `post` artifacts run over the loaded tables: it gives the calls and their input tables.
+    Each runs once for all packages, below `artifacts`, and every package that was read gets its
+    outcome. All packages of a run are one job, so their durations are those of the run, and an
+    upload's are those of its table's load.
     """
-    run = run_key(listing, session)
+    run, begun = run_key(listing, session), time.time()
     started, work = _now(now), f"{root}/_work/{run}"
     todo = eligible(listing.select("package", "size", "source"), root, run, use_ledger, max_retry)
     runs = _store(todo.withColumn("upload_id", text.run_id(F.col("package"), F.lit(session))), f"{work}/runs")
@@ -170,12 +189,14 @@ def intake_packages(spark: SparkSession, listing: DataFrame, root: str, session:
     store = sinks.ArtifactTables(spark, f"{root}/tables", prefix)
     landing = lines.select("table_name", F.concat_ws("/", "package", "member").alias("file"), F.col("line_no").alias("pos"),
                            "line", "host", paths.basename(F.col("package")).alias("package"), F.col("upload_id").alias("upload"), "error")
+    load_begun = time.time()
     loaded = sinks.ingest(landing, store, f"{work}/lines", sample, run=run, numbered=True, rejects=f"{root}/rejects/lines")
 
     # With the schema: no package may have had a line.
     unread = spark.read.schema(landing.schema).parquet(f"{work}/lines").where("error is not null").select(
         F.col("file").alias("_file"), F.col("error").alias("_unread")).distinct()
-    outcome = loaded.select("table_name", F.col("initiated").alias("_loaded"), F.col("error").alias("_load_error"))
+    outcome = loaded.select("table_name", F.col("initiated").alias("_loaded"), F.col("error").alias("_load_error"),
+                             F.col("duration_in_sec").alias("_load_seconds"))
     rows = lookup_join(tagged.withColumn("_file", F.concat_ws("/", "package", "member")), outcome, ["table_name"])
     rows = lookup_join(rows, unread, ["_file"])
     error = F.coalesce("_unread", "_load_error")
@@ -183,15 +204,25 @@ def intake_packages(spark: SparkSession, listing: DataFrame, root: str, session:
         F.col("upload_id").alias("uploadid"), paths.basename(F.col("package")).alias("zipfile"),
         F.col("member").alias("location_in_zip"), "basename", "size",
         (~F.col("ignored_upload") & error.isNull() & F.coalesce("_loaded", F.lit(False))).alias("upload_initiated"),
+        F.when(F.col("_loaded"), F.lit(load_begun)).alias("upload_initiated_timestamp"),
+        F.when(F.col("_loaded"), F.col("_load_seconds")).alias("upload_duration_in_sec"),
         F.when(~F.col("ignored_upload"), error).alias("upload_error"), "ignored_upload", "ignored_reason", "ignored_pattern")
     uploads = ledger.shaped(uploads, ledger.UPLOAD, lead=("uploadid", "zipfile"))
     uploads = _store(uploads, f"{root}/ledgers/uploads/run={run}")
 
+    post_begun = F.lit(None).cast("timestamp")
+    if post is not None:
+        post_begun = _now(now)
+        _write_status(_entries(known.where("package_error is null"), session, "postprocessing", post_begun), root, run, "post", 4)
+        _store(_post_rows(known, registry.collect(spark, *post(store), f"{root}/artifacts/run={run}")),
+               f"{root}/ledgers/postprocessing/run={run}")
+
+    seconds = F.lit(time.time() - begun)
     summary = known.select(
         paths.basename(F.col("package")).alias("zipfile_basename"), F.col("package").alias("zipfile_fullpath"),
         F.col("size").alias("zipfile_size"), F.lit(session).alias("sessionid"), F.col("upload_id").alias("uploadid"),
         F.col("source").alias("source_name"), started.alias("starttime_script"), "is_encrypted",
-        F.col("host").alias("hostname"))
+        F.col("host").alias("hostname"), F.when(F.col("package_error").isNull(), post_begun).alias("started_postprocessing"), seconds.alias("duration_in_sec"))
     summary = _store(ledger.shaped(summary, ledger.SUMMARY), f"{root}/ledgers/summary/run={run}")
     by = ["uploadid", "zipfile"]
     failed = known.where("package_error is not null").select(
@@ -204,7 +235,7 @@ def intake_packages(spark: SparkSession, listing: DataFrame, root: str, session:
     documents = sinks.snapshot_documents(summary, "summary").unionByName(sinks.snapshot_documents(uploads, "uploads"))
     sinks.write_snapshots(documents, f"{root}/snapshots", time.time_ns())
     state = F.when(F.col("package_error").isNull(), "finished").otherwise("failed")
-    _write_status(_entries(known, session, state, _now(now)), root, run, "end", 4)
+    _write_status(_entries(known, session, state, _now(now), text.duration_hms(seconds)), root, run, "end", 5)
     return uploads
 
 

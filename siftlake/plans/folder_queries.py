@@ -113,7 +113,7 @@ _LOADED = f"""
 
 def _loaded(spark: SparkSession, root: str) -> DataFrame:
     store = sinks.ArtifactTables(spark, f"{root}/tables", prefix="tri_")
-    rows = schema.union_tables([store.read(name).withColumn("table_name", F.lit(name)) for name in sorted(store.all_columns())])
+    rows = schema.union_tables([store.read(name, columns).withColumn("table_name", F.lit(name)) for name, columns in sorted(store.all_columns().items())])
     return rows.select("table_name", "doc_id", F.md5("text").alias("digest"), "src_host", "src_package")
 
 
@@ -129,6 +129,38 @@ def package_intake(spark, sf):
     return _loaded(spark, f"{out}/root")
 
 
+@query("PRJ-03 SNK-02 AG-01 AG-10 UD-05 STM-03", f"""
+ WITH p AS (SELECT {_N} AS n, count(DISTINCT source) AS tables, count(*) AS docs FROM documents GROUP BY 1)
+ SELECT concat('pkg-', n, '.zip') AS package, CASE WHEN n % 7 <> 6 THEN 'finished' ELSE 'failed' END AS status, TRUE AS timed,
+   CASE WHEN n % 7 <> 6 THEN 1 ELSE 0 END::BIGINT AS succeeded, CASE WHEN n % 7 <> 6 THEN 1 ELSE 0 END::BIGINT AS failed,
+   CASE WHEN n % 7 <> 6 THEN tables ELSE 0 END::BIGINT AS uploads, n % 7 <> 6 AS postprocessed FROM p""")
+def intake_facts(spark, sf):
+    """Durations, upload times and post-processing rows that the intake writes of itself."""
+    out = scratch_path(spark, "facts")
+    root = f"{out}/root"
+    _archives(spark, sf, f"{out}/in")
+    artifacts.register("LongTexts", lambda rows, least=1000: rows.where(F.length("text") >= least), ["rows"],
+                       [artifacts.registry.Parameter("least", 1000, "int")])
+
+    def post(store):
+        rows = schema.union_tables([store.read(name, columns) for name, columns in sorted(store.all_columns().items())])
+        return [("LongTexts", {"least": 500}), ("LongTexts", {"no_such_parameter": 1})], {"rows": rows}
+
+    listing = _listing(spark, f"{out}/in").withColumnRenamed("path", "package")
+    ignore = rules.IgnoreRules(paths=["uploads/*", packages.CLIENT_INFO])
+    uploads = intake.intake_packages(spark, listing, root, "s1", ignore, "tri_", now=NOW, post=post)
+    ledgers = {name: spark.read.parquet(f"{root}/ledgers/{name}") for name in ("summary", "postprocessing")}
+    done = ledgers["postprocessing"].groupBy(F.col("zipfile").alias("package")).agg(
+        F.count_if(F.col("success")).alias("succeeded"), F.count_if(~F.col("success")).alias("failed"))
+    sent = uploads.where("upload_initiated AND upload_duration_in_sec >= 0 AND upload_initiated_timestamp > 0").groupBy(
+        F.col("zipfile").alias("package")).agg(F.count("*").alias("uploads"))
+    status = intake.current_status(spark, root).select("package", "status", F.col("duration").alias("shown"))
+    rows = ledgers["summary"].withColumnRenamed("zipfile_basename", "package").join(status, "package").join(done, "package", "left").join(sent, "package", "left")
+    return rows.select("package", "status", ((F.col("duration_in_sec") > 0) & F.col("shown").isNotNull()).alias("timed"),
+                       *[F.coalesce(c, F.lit(0)).alias(c) for c in ("succeeded", "failed", "uploads")],
+                       F.col("started_postprocessing").isNotNull().alias("postprocessed"))
+
+
 @query("SRC-08 SNK-01 SNK-07 FLT-01", f"""
  SELECT concat('ev_', event_type) AS table_name, event_id, value, {stamp_sql('ts')} AS ts, 'host-f' AS src_host, 'collected' AS src_package
  FROM events WHERE event_type <> 'error'""")
@@ -148,13 +180,13 @@ def folder_intake(spark, sf):
     made.unionByName(info).mapInPandas(_written(folder), "name string").count()
     intake.intake_folder(spark, folder, f"{out}/root", "s1", ignore=rules.IgnoreRules(paths=["*error.jsonl"]), prefix="ev_")
     store = sinks.ArtifactTables(spark, f"{out}/root/tables", prefix="ev_")
-    rows = schema.union_tables([store.read(name).withColumn("table_name", F.lit(name)) for name in sorted(store.all_columns())])
+    rows = schema.union_tables([store.read(name, columns).withColumn("table_name", F.lit(name)) for name, columns in sorted(store.all_columns().items())])
     return rows.select("table_name", "event_id", "value", stamp("ts"), "src_host", "src_package")
 
 
 @query("STM-01 STM-02 SRC-05 SRC-06 FLT-04", f"""
  SELECT DISTINCT concat('pkg-', {_N}, '.zip') AS package, CASE WHEN {_READABLE} THEN 'finished' ELSE 'failed' END AS status,
-   CASE WHEN {_READABLE} THEN 1 ELSE 3 END AS attempts, CASE WHEN {_READABLE} THEN 0 ELSE 3 END AS failures,
+   CASE WHEN {_READABLE} THEN 1 ELSE 3 END AS attempts, cast(CASE WHEN {_READABLE} THEN 0 ELSE 3 END AS bigint) AS failures,
    CASE WHEN {_READABLE} THEN count(*) OVER (PARTITION BY {_N}) ELSE 0 END AS records
  FROM documents""")
 def triggered_processing(spark, sf):

@@ -9,7 +9,7 @@ import uuid
 from concurrent.futures import ThreadPoolExecutor
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -63,14 +63,16 @@ class ArtifactTables:
         head, dot, _ = name.rpartition(".")
         return self.prefix + paths.sanitize_name_py(head if head else name)
 
-    def _catalog(self) -> DataFrame | None:
-        """Rows of the complete versions: those with their closing row."""
+    def _catalog(self) -> list[Row]:
+        """Rows of the complete versions, those with their closing row. They are columns of
+        tables, not records."""
         path = f"{self.root}/_catalog"
         if not path_exists(self.spark, path):
-            return None
-        rows = self.spark.read.schema(CATALOG_SCHEMA).json(path)
-        closed = rows.where("table_name IS NULL AND position = -1").select("version")
-        return rows.where("table_name IS NOT NULL").join(F.broadcast(closed), "version", "left_semi")  # one row a version
+            return []
+        rows = self.spark.read.schema(CATALOG_SCHEMA).json(path).collect()
+        closed = {r["version"] for r in rows if r["table_name"] is None and r["position"] == -1}
+        return sorted((r for r in rows if r["table_name"] is not None and r["version"] in closed),
+                      key=lambda r: (r["table_name"], r["version"], r["position"]))
 
     def _last_version(self) -> int:
         """The highest version that is there and whole; one that is not gets time to be closed."""
@@ -122,23 +124,12 @@ class ArtifactTables:
         return last is not None and last[0] == token
 
     def all_columns(self) -> dict[str, T.StructType]:
-        """Current columns of every table. One small job over the catalog, whose rows are
-        columns, not records."""
-        catalog = self._catalog()
-        if catalog is None:
-            return {}
-        first = F.struct("version", "position")
-        rows = (
-            catalog.groupBy("table_name", "column_name")
-            .agg(F.min_by("column_type", first).alias("column_type"), F.min(first).alias("_at"))
-            .orderBy("table_name", "_at")
-            .collect()
-        )
-        tables: dict[str, list[T.StructField]] = {}
-        for r in rows:
+        """Current columns of every table: the first type that each was given."""
+        tables: dict[str, dict[str, T.StructField]] = {}
+        for r in self._catalog():
             kind = T.StructType.fromDDL(f"x {r['column_type']}")["x"].dataType
-            tables.setdefault(r["table_name"], []).append(T.StructField(r["column_name"], kind))
-        return {name: schema.lineage_last(T.StructType(fields)) for name, fields in tables.items()}
+            tables.setdefault(r["table_name"], {}).setdefault(r["column_name"], T.StructField(r["column_name"], kind))
+        return {name: schema.lineage_last(T.StructType(list(fields.values()))) for name, fields in tables.items()}
 
     def columns(self, table: str) -> T.StructType | None:
         """Current columns of a table, or None when it does not exist."""
@@ -180,8 +171,9 @@ class ArtifactTables:
         except Exception as exc:
             return table, None, False, time.time() - started, f"{type(exc).__name__}: {exc}".splitlines()[0]
 
-    def read(self, table: str) -> DataFrame:
-        current = self.columns(table)
+    def read(self, table: str, current: T.StructType | None = None) -> DataFrame:
+        """Rows of all loads; `current` are the table's columns where they have been asked for already."""
+        current = current or self.columns(table)
         if current is None:
             raise ValueError(f"no table {table}")
         twins = len(current.names) - len({n.lower() for n in current.names})
