@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from siftlake.functions import text
 from siftlake.operators.ledger import STATUSES
-from siftlake.plans.base import PKG, REC, lit_ntz, query, stamp, stamp_sql
+from siftlake.plans.base import PKG, REC, lit_ntz, query, stamp, stamp_sql, table
 from siftlake.session import scratch_path
 from siftlake.streaming import discovery, reactions, status
 
@@ -169,6 +169,23 @@ def stream_exports(spark, sf):
     return spark.read.schema("client_id bigint, flow_id string, export_name string").parquet(f"{out}/rows")
 
 
+@query("STM-06 JN-10 FN-22", f"""
+ SELECT user_id AS client_id, concat('F.', event_id) AS flow_id, concat('Host ', coalesce(c_name, cast(user_id AS varchar)),
+   ' F.', event_id, ' ', strftime(ts, '%Y%m%d'), '.zip') AS export_name
+ FROM {REC.sql} LEFT JOIN customer ON c_custkey = user_id AND c_custkey % 3 <> 0 WHERE regexp_matches(artifact, 'CLICK|sign', 'i')""")
+def stream_exports_named(spark, sf):
+    """Completed flows as a stream, joined with the table of clients for their names."""
+    out = scratch_path(spark, "exports-named")
+    done = _stream(spark, sf, REC, "user_id", "event_id", "artifact", "ts").select(
+        F.col("user_id").alias("client_id"), F.concat(F.lit("F."), "event_id").alias("flow_id"),
+        F.array("artifact").alias("artifacts_with_results"), "ts")
+    clients = table(spark, sf, "customer").where("c_custkey % 3 <> 0").selectExpr("c_custkey AS client_id", "c_name AS fqdn")
+    named = reactions.exports(done, "ts", "CLICK|sign", clients=clients)
+    _run(named.writeStream.format("parquet").option("checkpointLocation", f"{out}/checkpoint").option(
+        "path", f"{out}/rows").trigger(availableNow=True).start())
+    return spark.read.schema("client_id bigint, flow_id string, export_name string").parquet(f"{out}/rows")
+
+
 @query("STM-07 AG-04", f"""{_STATUS_STATE}
  SELECT status, count(*) AS packages, max(epoch(TIMESTAMP '2026-01-01') - epoch(entered))::BIGINT AS longest_seconds FROM s GROUP BY status""")
 def stream_counters(spark, sf):

@@ -22,8 +22,14 @@ def labels(completions: DataFrame, ts: str) -> DataFrame:
     return labelled.groupBy("client_id", "label").agg(F.min(ts).alias("first_seen"))
 
 
-def exports(completions: DataFrame, ts: str, artifact_regex: str = ".", per_flow_folder: bool = False) -> DataFrame:
-    """Name of the export of every completed flow with a matching artifact."""
+def exports(completions: DataFrame, ts: str, artifact_regex: str = ".", per_flow_folder: bool = False,
+            clients: DataFrame | None = None) -> DataFrame:
+    """Name of the export of every completed flow with a matching artifact. With `clients`
+    (client_id, fqdn; unique by client_id), a table that each batch reads anew, the name of a
+    client comes from there; a client that it does not know goes by its id."""
     done = completions.where(any_matches(F.col("artifacts_with_results"), artifact_regex))
+    if clients is not None:
+        done = done.drop("fqdn").join(clients.select("client_id", "fqdn"), "client_id", "left").withColumn(
+            "fqdn", F.coalesce("fqdn", F.col("client_id").cast("string")))
     return done.select("client_id", "flow_id", text.flow_export_name(
         F.col("fqdn"), F.col("flow_id"), F.date_format(ts, "yyyyMMdd"), per_flow_folder).alias("export_name"))
