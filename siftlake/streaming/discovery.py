@@ -78,6 +78,11 @@ def discover(listing: DataFrame, path: str, checkpoint: str, now: Column | None
     return start(listing, write, checkpoint, every=every)
 
 
+def compact_ledger(spark: SparkSession, path: str) -> int | None:
+    """Merges the batches of `discover`, so that a lookup reads one generation and what came after it."""
+    return generations.compact(spark, path, ENTRY, generations.newest_by("package"))
+
+
 def process(work: DataFrame, run: Callable[[DataFrame], DataFrame], path: str, checkpoint: str,
             every: str | None = None) -> StreamingQuery:
     """Runs queued packages. `run` gives rows with (package, error, ...): a package that

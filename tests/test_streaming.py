@@ -43,6 +43,18 @@ def test_discovery_of_real_files_is_idempotent(spark, tmp_path):
 EVENTS = "package string, status string, updated_at timestamp"
 
 
+def test_a_merged_ledger_still_knows_its_packages(spark, tmp_path):
+    ledger_path, schema = str(tmp_path / "ledger"), "package string, source string, size long"
+    for i in range(3):
+        write(spark, str(tmp_path / "in"), [(f"p{i}", "s", i), ("p0", "s", 0)], schema, f"f{i}")
+        discovery.discover(stream(spark, str(tmp_path / "in"), schema), ledger_path, str(tmp_path / "check")).awaitTermination()
+    assert discovery.compact_ledger(spark, ledger_path) == 1
+    write(spark, str(tmp_path / "in"), [("p0", "s", 0), ("p1", "s", 1), ("p9", "s", 9)], schema, "f9")
+    discovery.discover(stream(spark, str(tmp_path / "in"), schema), ledger_path, str(tmp_path / "check")).awaitTermination()
+    rows = generations.read(spark, ledger_path, discovery.ENTRY).collect()
+    assert sorted((r["package"], r["size"], r["batch"]) for r in rows) == [("p0", 0, 1), ("p1", 1, 1), ("p2", 2, 2), ("p9", 9, 3)]
+
+
 MOVES = [("a", "new", minutes(0)), ("a", "queued", minutes(1)), ("a", "finished", minutes(9)), ("b", "new", minutes(0)),
          ("b", "failed", minutes(2)), ("b", "unqueued", minutes(3)), ("c", "finished", minutes(1)),
          ("c", "processing", minutes(2)), ("d", "uploading", minutes(1)), ("a", "queued", minutes(1)), (None, "new", minutes(1)), ("e", "new", None)]
