@@ -223,7 +223,9 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, k: int = 5, percent
 
 
 def clean_documents(documents: DataFrame, benchmark: DataFrame, row_limit: int = BROADCAST_ROWS, **settings) -> DataFrame:
-    """The documents that hold no item, with all their columns."""
+    """The documents that hold no item, with all their columns. Null and empty texts hold nothing
+    and stay, with or without doc_id; repeated rows go or stay together. Without items all stay,
+    without documents none."""
     found = stored(contaminated(documents, benchmark, row_limit=row_limit, **settings).select(
         F.col("doc_id").alias("_found_id"), F.col("text_key").alias("_found_key")).distinct())
     side = F.broadcast(found) if found.count() <= row_limit else found

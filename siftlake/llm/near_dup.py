@@ -278,7 +278,8 @@ def near_duplicates(documents: DataFrame, k: int = 4, percent: int = 80) -> Data
 
 def distinct_documents(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One document of each group of near-duplicates, with all its columns: the one with the
-    smallest doc_id. Of rows that repeat a doc_id and its text one stays."""
+    smallest doc_id. Of rows that repeat a doc_id and its text one stays. Null, empty and blank
+    texts are in no group: they stay, as do all rows without doc_id. An empty table stays empty."""
     kept = near_duplicates(documents, k, percent).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_kept_id")).distinct()
     rows = documents.select(F.struct("*").alias("row"), F.col("doc_id").cast("bigint").alias("_id"), F.xxhash64(F.col("text").cast("string")).alias("_text"))
     first = Window.partitionBy("_id", "_text").orderBy("_id")

@@ -192,5 +192,6 @@ def quality_rules(documents: DataFrame, rules: tuple[Rule, ...] = RULES, order:
 
 def accepted_documents(documents: DataFrame, rules: tuple[Rule, ...] = RULES, order: list[str] | None = None) -> DataFrame:
     """The documents that every rule lets pass, with all their columns; figures that no rule asks
-    for are never made."""
+    for are never made. Null, empty and blank texts fail the base rule and go; nulls in other
+    columns stay as they are. Repeated rows go or stay together; an empty table stays empty."""
     return documents.mapInArrow(_judge(_ordered(documents, rules, order), False), documents.schema)

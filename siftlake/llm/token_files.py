@@ -235,7 +235,11 @@ def read_token_files(spark: SparkSession, folder: str, dtype: str = "<u2") -> Da
 
 
 def token_output(documents: DataFrame, tokenizer_path: str, end_id: int = 2, folder: str | None = None) -> DataFrame:
-    """Write the files and read them back: doc_id, start, n_tokens (with the end id), ids_crc32."""
+    """Write the files and read them back: doc_id, start, n_tokens (with the end id), ids_crc32.
+
+    Null and empty texts hold the end id alone. Rows without doc_id come first, repeated rows
+    each have their ids, and an empty table gives no rows. Other columns are not written.
+    """
     from tokenizers import Tokenizer
 
     spark = documents.sparkSession
