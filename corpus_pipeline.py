@@ -12,27 +12,29 @@ TOKENIZER = "word_bpe_49k.json"
 
 
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that a quality rule rejects go."""
+    """Documents that a quality rule rejects go, null and empty texts among them."""
     return quality_rules.accepted_documents(docs)
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, similarity 0.8) stays."""
+    """One document of each group of near-duplicates (five-word shingles, similarity 0.8)
+    stays, and every row without words or without doc_id."""
     return near_dup.distinct_documents(docs, k=5, percent=80)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go; null and empty texts hold none."""
     return decontamination.clean_documents(docs, read(spark, sf_dir, "benchmark"))
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's target asks for: not at all, once or twice."""
+    """Each document as often as its source's target asks for: not at all, once or twice. A null
+    source is a source; repeated rows are taken together."""
     return mixing.mixed_documents(docs)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files, and what they hold of each document."""
+    """Token files, and what they hold of each document; a null or empty text is its end id alone."""
     return token_files.token_output(docs, public_tokenizers.path(TOKENIZER))
 
 
@@ -44,6 +46,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over `documents`, each on all rows that the one before has written. An empty
+    table passes through and gives no rows."""
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = shared_path(spark, name)
