@@ -151,9 +151,13 @@ def _sam_values(spark, sf):
         parts += [gap(position - at), binary.pack_le(offset, 4), binary.pack_le(length, 4)]
         at, offset = position + 8, offset + length
     v = F.concat(*parts, gap(0xCC - at), *[F.col("b")[i] for i in range(len(blobs))])
-    return rows.select(
+    values = rows.select(
         F.concat(F.lit("Users\\"), "c_custkey").alias("key"), F.lit("SAM").alias("hive"), "f",
         F.when(F.col("c_custkey") % 10 != 0, v).alias("v"))
+    # Written, so that a filter on the values does not pack them a second time in the tasks of the scan.
+    path = scratch_path(spark, "sam")
+    values.write.parquet(path)
+    return spark.read.schema(values.schema).parquet(path)
 
 
 _SAM_FLAGS = "concat_ws(',', " + ", ".join(

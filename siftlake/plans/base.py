@@ -20,6 +20,8 @@ class Query:
 
 
 QUERIES: dict[str, Query] = {}
+#: Tasks for each core that a scan with much work per row is dealt out to.
+SCAN_TASKS = 4
 
 
 def query(ids: str, sql: str | None = None):
@@ -37,10 +39,14 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def spread_scan(rows: DataFrame) -> DataFrame:
-    """A raw scan over so many tasks as `siftlake.scan.tasks` asks for. Unset, which is right for
-    tables of many row groups, the scan stays as it is; a bench over tables of one row group sets it."""
+    """A raw scan over so many tasks as `siftlake.scan.tasks` asks for. Unset, a scan of fewer splits
+    than all cores need is dealt out anew, since small files may hold much work; a longer one stays
+    as it is."""
     tasks = rows.sparkSession.conf.get("siftlake.scan.tasks", None)
-    return rows.repartition(int(tasks)) if tasks else rows
+    if tasks:
+        return rows.repartition(int(tasks))
+    wanted = SCAN_TASKS * rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(wanted) if rows.rdd.getNumPartitions() < wanted else rows
 
 
 @dataclass(frozen=True)

@@ -143,3 +143,16 @@ def test_usn_defaults_keep_every_row(spark):
     assert execution.usn(journal).first()["os_path"] == "C:/a"
     assert execution.usn(journal, path_regex="a").count() == 0
     assert execution.usn(journal, date_before="2024-01-05").count() == 0
+
+
+def test_account_values_of_one_split_are_packed_by_many_tasks_and_once(spark, tmp_path):
+    from siftlake.plans import artifact_queries
+
+    rows = [(i, f"Customer#{i:09d}", i % 25, "BUILDING") for i in range(1, 200)]
+    spark.createDataFrame(rows, "c_custkey long, c_name string, c_nationkey int, c_mktsegment string").coalesce(1).write.parquet(
+        str(tmp_path / "customer.parquet"))
+    values = artifact_queries._sam_values(spark, str(tmp_path))
+    assert len(values.inputFiles()) > 8 and "customer.parquet" not in "".join(values.inputFiles())
+    found = {r["key"]: r for r in artifact_queries.sam_accounts(spark, str(tmp_path)).collect()}
+    assert len(found) == sum(i % 10 != 0 for i in range(1, 200))
+    assert found["Users\\7"]["fullname"] == "Full Customer#000000007" and found["Users\\7"]["rid"] == 7
