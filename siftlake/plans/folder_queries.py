@@ -6,6 +6,7 @@ import datetime
 import io
 import zipfile
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +26,8 @@ _STORE = f"CASE WHEN {_N} % 2 = 0 THEN 'blob' ELSE 'share' END"
 _READABLE = f"{_N} % 7 <> 6"
 _HOST = f"CASE WHEN {_N} % 3 = 0 THEN concat('host-', {_N}) ELSE '' END"
 _TABLE = "concat('tri_', coalesce(source, 'none'))"
+#: Rows of a file of collected events, about.
+_FILE_ROWS = 20_000
 NOW = datetime.datetime(2026, 1, 1)
 
 
@@ -32,8 +35,9 @@ def _archive(number: int, rows: pd.DataFrame) -> bytes:
     """Records by source; some archives hold an inner one, some are cut short."""
     content = io.BytesIO()
     with zipfile.ZipFile(content, "w", zipfile.ZIP_DEFLATED) as z:
-        for source, part in rows.groupby("source"):
-            z.writestr(f"results/{source}.jsonl", "".join(line + "\n" for line in part.sort_values("doc_id")["line"]))
+        ordered = sorted(zip(rows["source"], rows["doc_id"], rows["line"]), key=lambda r: r[:2])
+        for source, part in groupby(ordered, key=lambda r: r[0]):
+            z.writestr(f"results/{source}.jsonl", "".join(line + "\n" for _, _, line in part))
         z.writestr("uploads/raw.bin", b"raw")
         if number % 3 == 0:
             z.writestr(packages.CLIENT_INFO, f'{{"hostname": "host-{number}"}}')
@@ -168,17 +172,21 @@ def folder_intake(spark, sf):
     out = scratch_path(spark, "folder-intake")
     folder = f"{out}/collected"
     events = table(spark, sf, "events").withColumn("ts", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
-    files = events.select(F.lit("").alias("store"), F.concat("event_type", F.lit(".jsonl")).alias("name"),
-                          F.to_json(F.struct("event_id", "value", "ts")).alias("line"), "event_id")
+    # Each type is dealt out to folders of about _FILE_ROWS rows, so that no task holds a whole type.
+    largest = events.groupBy("event_type").count().agg(F.max("count")).scalar()
+    folders = F.greatest(F.ceil(largest / F.lit(_FILE_ROWS)), F.lit(1)).cast("bigint")
+    line = F.to_json(F.struct("event_id", "value", "ts"))
+    files = events.select(F.concat("event_type", F.lit(".jsonl")).alias("name"), line.alias("line"), "event_id").withColumn(
+        "store", F.concat(F.lit("part-"), F.pmod(F.xxhash64("event_id", "line"), folders).cast("string")))
 
     def one_file(rows: pd.DataFrame) -> pd.DataFrame:
         lines = "".join(line + "\n" for line in rows.sort_values("event_id")["line"])
-        return pd.DataFrame({"store": [""], "name": [rows["name"].iloc[0]], "content": [lines.encode()]})
+        return pd.DataFrame({"store": [rows["store"].iloc[0]], "name": [rows["name"].iloc[0]], "content": [lines.encode()]})
 
-    made = files.groupBy("name").applyInPandas(one_file, "store string, name string, content binary")
+    made = files.groupBy("store", "name").applyInPandas(one_file, "store string, name string, content binary")
     info = spark.createDataFrame([("", packages.CLIENT_INFO, b'{"os_info": {"fqdn": "host-f"}}')], made.schema)
     made.unionByName(info).mapInPandas(_written(folder), "name string").count()
-    intake.intake_folder(spark, folder, f"{out}/root", "s1", ignore=rules.IgnoreRules(paths=["*error.jsonl"]), prefix="ev_")
+    intake.intake_folder(spark, folder, f"{out}/root", "s1", True, rules.IgnoreRules(paths=["*error.jsonl"]), "ev_")
     store = sinks.ArtifactTables(spark, f"{out}/root/tables", prefix="ev_")
     rows = schema.union_tables([store.read(name, columns).withColumn("table_name", F.lit(name)) for name, columns in sorted(store.all_columns().items())])
     return rows.select("table_name", "event_id", "value", stamp("ts"), "src_host", "src_package")

@@ -158,3 +158,18 @@ def test_bad_messages_are_kept(spark, tmp_path):
     root = str(tmp_path / "lake")
     assert intake.take_messages(messages, root, "c1").count() == 0
     assert [r["message"] for r in spark.read.parquet(f"{root}/rejects/messages").collect()] == ["not a message"]
+
+
+def test_collected_files_of_one_type_are_bounded(spark, tmp_path, monkeypatch):
+    from siftlake.plans import folder_queries
+
+    monkeypatch.setattr(folder_queries, "_FILE_ROWS", 10)
+    rows = [(i, datetime.datetime(2024, 1, 5), ["click", "error", "click", None][i % 4], float(i)) for i in range(200)] + [(0, datetime.datetime(2024, 1, 5), "click", 0.0)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
+    monkeypatch.setattr(folder_queries, "scratch_path", lambda spark, purpose: str(tmp_path / purpose))
+    got = folder_queries.folder_intake(spark, str(tmp_path)).collect()
+    files = list((tmp_path / "folder-intake" / "collected").rglob("click.jsonl"))
+    sizes = [len(f.read_text().splitlines()) for f in files]
+    assert sum(sizes) == 101 and max(sizes) < 50 and len(files) > 4
+    assert sorted(r["event_id"] for r in got) == sorted(r[0] for r in rows if r[2] == "click")
+    assert {(r["table_name"], r["src_host"], r["src_package"]) for r in got} == {("ev_click", "host-f", "collected")}
