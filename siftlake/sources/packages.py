@@ -397,7 +397,7 @@ def member_inventory(packages: DataFrame, tasks: int | None = None, password: st
 
 
 def member_lines(members: DataFrame, tasks: int | None = None, carry: tuple[str, ...] = (),
-                 target_bytes: int = 1 << 30, password: str | None = None) -> DataFrame:
+                 target_bytes: int = 64 << 20, password: str | None = None) -> DataFrame:
     """Lines of the listed members, with the text columns of `carry` (host, upload id, ...)
     repeated on each line. They are joined to members, so lines are never shuffled for it.
     Work is spread by member, not by package.

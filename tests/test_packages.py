@@ -312,3 +312,11 @@ def test_a_package_with_a_compressed_inner_archive_is_taken_in(spark, tmp_path):
     rows = sinks.ArtifactTables(spark, str(tmp_path / "root/tables")).read("t").collect()
     assert sorted((r["n"], r["src_host"]) for r in rows) == [(1, "g"), (2, "g")]
     assert len(list((tmp_path / "root/_work").glob("*/inner/*.zip"))) == 1
+
+
+def test_members_of_one_table_are_many_tasks_by_their_bytes(spark):
+    rows = [("/no/such.zip", f"results/{i}.jsonl", 10 << 20, "A", "h", "u") for i in range(64)]
+    members = spark.createDataFrame(rows, "package string, member string, size long, table_name string, host string, upload_id string")
+    lines = packages.member_lines(members, 8, carry=("table_name", "host", "upload_id"))
+    tasks = lines.select("member", F.spark_partition_id().alias("task")).collect()
+    assert len(tasks) == 64 and len({r["task"] for r in tasks}) > 3
