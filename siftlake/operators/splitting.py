@@ -19,6 +19,7 @@ from siftlake.operators.numbering import BLOCK, running_sum
 from siftlake.session import ensure_checkpoint_dir
 
 FAN_IN = 8  # a summary holds at most the lines of one part, so eight of them fit a task
+TASKS = 4  # for each core, over which blocks are dealt out
 _NODE = "file string, node bigint, total bigint, bounds binary, rooms binary, cuts binary"
 _FULL = -(1 << 62)  # room before the first line: it always opens part 1
 
@@ -149,7 +150,9 @@ def greedy_parts(lines: DataFrame, target: int, max_file_blocks: int, block: int
     rows = lines.select("file", F.col("line_no").cast("bigint").alias("line_no"),
                         F.col("size").cast("bigint").alias("size"))
     rows = rows.withColumn("node", F.floor(F.col("line_no") / block).cast("bigint"))
-    levels = [rows.groupBy("file", "node").applyInPandas(_summaries(target), _NODE)]
+    # Sizes are few bytes for the work on them: a number of tasks that adaptive coalescing does not lower.
+    tasks = TASKS * lines.sparkSession.sparkContext.defaultParallelism
+    levels = [rows.repartition(tasks, "file", "node").groupBy("file", "node").applyInPandas(_summaries(target), _NODE)]
     nodes = max_file_blocks
     if nodes > fan_in:  # the summaries are read twice below: cut, so that sizes are read once
         ensure_checkpoint_dir(lines.sparkSession)
@@ -166,7 +169,8 @@ def greedy_parts(lines: DataFrame, target: int, max_file_blocks: int, block: int
         given = entry.withColumnRenamed("node", "parent")
         entry = children.join(given, ["file", "parent"]).groupBy("file", "parent").applyInPandas(_handed_down, state)
     out = "file string, line_no bigint, size bigint, part bigint"
-    return rows.join(entry, ["file", "node"]).groupBy("file", "node").applyInPandas(_numbered(target), out)
+    placed = rows.join(entry, ["file", "node"]).repartition(tasks, "file", "node")
+    return placed.groupBy("file", "node").applyInPandas(_numbered(target), out)
 
 
 def even_parts(lines: DataFrame, target: int) -> DataFrame:

@@ -214,3 +214,16 @@ def test_part_openings_equal_the_rule_line_by_line(seed):
         assert splitting._openings(sizes, target, room).tolist() == want
         out, cuts = splitting._Step.of_lines(sizes, target).apply(np.array([room]))
         assert (int(out[0]), int(cuts[0])) == (left, len(want))
+
+
+def test_blocks_of_few_bytes_are_dealt_out_to_many_tasks(spark):
+    lines = spark.range(4000).select(F.lit("f").alias("file"), F.col("id").alias("line_no"), (F.col("id") % 50 + 1).alias("size"))
+    parts = splitting.greedy_parts(lines, 500, max_file_blocks=40, block=100)
+    assert parts.select(F.spark_partition_id().alias("task")).distinct().count() > 4
+    want, used, part = {}, 0, 0
+    for i in range(4000):
+        size = i % 50 + 1
+        if part == 0 or used + size > 500:
+            used, part = 0, part + 1
+        used, want[i] = used + size, part
+    assert {r["line_no"]: r["part"] for r in parts.collect()} == want
