@@ -17,6 +17,8 @@ from siftlake.sources import packages, records, sinks
 # --- packages -------------------------------------------------------------------------------------
 
 _PER_PACKAGE = 20
+#: Bytes of text that a task packs, about: whoever opens packages may get all of a task's at once.
+_TASK_BYTES = 8 << 20
 
 
 def _pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -47,7 +49,9 @@ def _packages(spark, sf):
     docs = table(spark, sf, "documents").select(
         "doc_id", "source", "text", F.to_json(F.struct("doc_id", "text")).alias("line"),
         F.floor(F.col("doc_id") / _PER_PACKAGE).cast("bigint").alias("n"))
-    return docs.groupBy("n").applyInPandas(_pack, "package string, content binary")
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    tasks = max(spark.sparkContext.defaultParallelism, size // _TASK_BYTES + 1)
+    return docs.repartition(tasks, "n").groupBy("n").applyInPandas(_pack, "package string, content binary")
 
 
 _N = f"(doc_id // {_PER_PACKAGE})"

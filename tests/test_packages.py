@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftlake.operators import rules
+from siftlake.plans import io_queries
 from siftlake.session import case_sensitive
 from siftlake.sources import packages, records, sinks
 
@@ -320,3 +321,23 @@ def test_members_of_one_table_are_many_tasks_by_their_bytes(spark):
     lines = packages.member_lines(members, 8, carry=("table_name", "host", "upload_id"))
     tasks = lines.select("member", F.spark_partition_id().alias("task")).collect()
     assert len(tasks) == 64 and len({r["task"] for r in tasks}) > 3
+
+
+def test_packages_come_in_pieces_that_do_not_grow_with_the_table(spark, tmp_path, monkeypatch):
+    """Who opens packages gets no more of them at once from a larger table."""
+    monkeypatch.setattr(io_queries, "_TASK_BYTES", 100_000, raising=False)
+    rng, largest = random.Random(1), []
+    for documents in (2_000, 8_000):
+        rows = [(i, "s", f"{rng.getrandbits(4000):x}") for i in range(documents)]
+        spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/{documents}/documents.parquet")
+        made = io_queries._packages(spark, f"{tmp_path}/{documents}")
+        pieces = made.mapInPandas(lambda batches: (b[["package"]].iloc[:1].assign(n=len(b), size=b["content"].map(len).sum()) for b in batches),
+                                  "package string, n long, size long").collect()
+        assert sum(r["n"] for r in pieces) == documents // 20
+        largest.append(max(r["size"] for r in pieces))
+    assert largest[1] < 1.6 * largest[0]
+
+
+def test_no_documents_make_no_packages(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert io_queries._packages(spark, str(tmp_path)).count() == 0
