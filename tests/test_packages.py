@@ -326,7 +326,9 @@ def test_members_of_one_table_are_many_tasks_by_their_bytes(spark):
 def test_packages_come_in_pieces_that_do_not_grow_with_the_table(spark, tmp_path, monkeypatch):
     """Who opens packages gets no more of them at once from a larger table."""
     monkeypatch.setattr(io_queries, "_TASK_BYTES", 100_000, raising=False)
-    rng, largest = random.Random(1), []
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    kept, rng, largest = spark.conf.get(coalesce), random.Random(1), []
+    spark.conf.set(coalesce, "false")
     for documents in (2_000, 8_000):
         rows = [(i, "s", f"{rng.getrandbits(4000):x}") for i in range(documents)]
         spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/{documents}/documents.parquet")
@@ -335,6 +337,7 @@ def test_packages_come_in_pieces_that_do_not_grow_with_the_table(spark, tmp_path
                                   "package string, n long, size long").collect()
         assert sum(r["n"] for r in pieces) == documents // 20
         largest.append(max(r["size"] for r in pieces))
+    spark.conf.set(coalesce, kept)
     assert largest[1] < 1.6 * largest[0]
 
 
